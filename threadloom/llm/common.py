@@ -74,9 +74,9 @@ def open_fs(uri: str):
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the bytes of ``df``: file sizes for a plain scan."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size.toString()))
+    """Catalyst's estimate of the bytes of ``df``: file sizes for a plain scan, 0 where it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 55 else 0
 
 
 def lanes(spark: SparkSession, rows: DataFrame, bytes_each: int = 16 << 20) -> int:

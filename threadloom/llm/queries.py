@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, packing
+from . import common, packing, sstable
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,7 @@ def _with_package(f: Query) -> Query:
 def queries() -> dict[str, Query]:
     found = {
         "op1_vector_packing": packing.op1,
+        "op4_sorted_string_tables": sstable.op4,
     }
     return {name: _with_package(f) for name, f in found.items()}
 
