@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, packing, sstable
+from . import common, packing, simhash, sstable
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
     found = {
         "op1_vector_packing": packing.op1,
         "op4_sorted_string_tables": sstable.op4,
+        "op6_bit_sliced_simhash": simhash.op6,
     }
     return {name: _with_package(f) for name, f in found.items()}
 
