@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, packing, simhash, sstable
+from . import common, packing, simhash, sstable, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,7 @@ def queries() -> dict[str, Query]:
         "op1_vector_packing": packing.op1,
         "op4_sorted_string_tables": sstable.op4,
         "op6_bit_sliced_simhash": simhash.op6,
+        "op10_super_kmer_dedup": substrings.op10,
     }
     return {name: _with_package(f) for name, f in found.items()}
 
