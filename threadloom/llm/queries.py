@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, packing, simhash, sstable, substrings
+from . import common, decontamination, packing, simhash, sstable, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,10 +26,53 @@ def queries() -> dict[str, Query]:
         "op1_vector_packing": packing.op1,
         "op4_sorted_string_tables": sstable.op4,
         "op6_bit_sliced_simhash": simhash.op6,
+        "op7_prefix_filtered_decontamination": decontamination.op7,
         "op10_super_kmer_dedup": substrings.op10,
     }
     return {name: _with_package(f) for name, f in found.items()}
 
 
+#: Words of a text, as a list.
+_WORDS = r"""list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
+
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+wins AS (
+  SELECT DISTINCT item, w[s : s + least(len(w), 13) - 1] AS win, least(len(w), 13) AS n
+  FROM (SELECT item, w, unnest(generate_series(1, len(w) - least(len(w), 13) + 1)) AS s FROM i WHERE len(w) > 0)
+),
+sizes AS (SELECT DISTINCT n FROM wins),
+starts AS (
+  SELECT doc_id, n, s, w[s : s + n - 1] AS win
+  FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS s FROM d, sizes WHERE len(w) >= n)
+),
+hits AS (SELECT doc_id, s, wins.n, item FROM starts JOIN wins USING (win)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(s, s + n - 1)) AS p FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+wins AS (
+  SELECT doc_id, s, md5(array_to_string(w[s : s + 49], ' ')) AS win
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS s FROM d WHERE len(w) >= 50)
+),
+firsts AS (SELECT win, min(doc_id) AS first_id FROM wins GROUP BY win),
+gone AS (
+  SELECT DISTINCT doc_id, p
+  FROM (SELECT doc_id, unnest(generate_series(s, s + 49)) AS p FROM wins JOIN firsts USING (win) WHERE doc_id > first_id)
+),
+cut AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
+each AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_prefix_filtered_decontamination": OP7_SQL, "op10_super_kmer_dedup": OP10_SQL}
