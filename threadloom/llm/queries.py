@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontamination, packing, simhash, sstable, substrings
+from . import common, decontamination, packing, simhash, sstable, substrings, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,7 @@ def queries() -> dict[str, Query]:
         "op4_sorted_string_tables": sstable.op4,
         "op6_bit_sliced_simhash": simhash.op6,
         "op7_prefix_filtered_decontamination": decontamination.op7,
+        "op9_gzip_member_warc": warc.op9,
         "op10_super_kmer_dedup": substrings.op10,
     }
     return {name: _with_package(f) for name, f in found.items()}
