@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontamination, packing, simhash, sstable, substrings, warc
+from . import common, decontamination, packing, simhash, sstable, substrings, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
     found = {
         "op1_vector_packing": packing.op1,
         "op4_sorted_string_tables": sstable.op4,
+        "op5_subword_toxicity": toxicity.op5,
         "op6_bit_sliced_simhash": simhash.op6,
         "op7_prefix_filtered_decontamination": decontamination.op7,
         "op9_gzip_member_warc": warc.op9,
