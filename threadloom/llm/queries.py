@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontamination, packing, simhash, sstable, substrings, toxicity, warc
+from . import common, decontamination, packing, quality, simhash, sstable, substrings, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,7 @@ def queries() -> dict[str, Query]:
         "op5_subword_toxicity": toxicity.op5,
         "op6_bit_sliced_simhash": simhash.op6,
         "op7_prefix_filtered_decontamination": decontamination.op7,
+        "op8_naive_bayes_svm_quality": quality.op8,
         "op9_gzip_member_warc": warc.op9,
         "op10_super_kmer_dedup": substrings.op10,
     }
