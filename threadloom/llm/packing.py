@@ -185,14 +185,13 @@ def pack(
 
         waiting, held, n_row = [], 0, 0
         for batch in batches:
-            cols = batch.to_pydict()
-            runs = cols.get("runs")
-            for lo in range(0, batch.num_rows, 256):
-                got = enc.encode(cols["text"][lo : lo + 256])
+            docs_, runs = batch.column(0).to_pylist(), batch.column(2).to_pylist() if mask else None
+            for lo in range(0, batch.num_rows, 2048):
+                got = enc.encode(batch.column(1).slice(lo, 2048))
                 for j, b in enumerate(got):
                     b += end
                     n = len(b) // 4
-                    ids[n_row], rows[n_row] = b, (cols["doc_id"][lo + j], n)
+                    ids[n_row], rows[n_row] = b, (docs_[lo + j], n)
                     if runs and runs[lo + j] is not None:
                         r = np.asarray(runs[lo + j], int)
                         flags = np.repeat(np.arange(len(r)) % 2, r)[:n]

@@ -263,18 +263,18 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int
         end = end_id.to_bytes(4, "little")
         last, rank = object(), 0
         for batch in batches:
-            cols = batch.to_pydict()
-            for lo in range(0, batch.num_rows, 256):
-                got = enc.encode(cols["text"][lo : lo + 256])
+            docs_ = batch.column(0).to_pylist()
+            for lo in range(0, batch.num_rows, 2048):
+                got = enc.encode(batch.column(1).slice(lo, 2048))
                 for j, ids in enumerate(got):
                     if writer is None:
                         k = TaskContext.get().partitionId()
                         fs, root = common.open_fs(path)
                         fs.create_dir(root, recursive=True)
                         file = f"{root}/.{uuid.uuid4().hex}"
-                        out = fs.open_output_stream(file)
+                        out = fs.open_output_stream(file, compression=None)
                         writer = Writer(out)
-                    doc = cols["doc_id"][lo + j]
+                    doc = docs_[lo + j]
                     rank = rank + 1 if doc == last else 0
                     last = doc
                     writer.add(key_of(doc, rank), ids + end)
