@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontamination, forest, packing, quality, simhash, sstable, substrings, toxicity, warc
+from . import common, decontamination, forest, packing, pii, quality, simhash, sstable, substrings, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
     found = {
         "op1_vector_packing": packing.op1,
         "op2_hash_prefix_forest": forest.op2,
+        "op3_keyed_surrogates": pii.op3,
         "op4_sorted_string_tables": sstable.op4,
         "op5_subword_toxicity": toxicity.op5,
         "op6_bit_sliced_simhash": simhash.op6,
