@@ -55,8 +55,9 @@ def _spread(docs: DataFrame, sizes: list[int]) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, n_words, n_hit, items, contaminated`` for each row of ``docs``.
+    """``doc_id, text_hash, n_words, n_hit, items, contaminated`` for each row of ``docs``.
 
+    ``text_hash`` is Spark's xxhash64 of the text, null as empty.
     ``items`` are the sorted ids, as strings, of items with a window in the document.  A null text has no words.
     Repeated rows are returned as often as they come; rows that share a doc_id are judged each on its own text.
     Other columns are not read.  Without items, or with empty ones only, nothing is hit.
@@ -67,10 +68,10 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingl
     hint = F.broadcast if small else lambda x: x
     sizes = sorted(r.s for r in wins.select(F.least("n", F.lit(shingle)).alias("s")).distinct().collect())
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    split = base.select("doc_id", F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("w"))
+    split = base.select("doc_id", F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("w"))
     no_hit = F.array().cast("array<struct<a:int,n:int,items:array<string>>>")
     if not sizes:
-        return _judged(split.select("doc_id", F.size("w").alias("n_words"), no_hit.alias("hits")))
+        return _judged(split.select("doc_id", "text_hash", F.size("w").alias("n_words"), no_hit.alias("hits")))
 
     # Shingles of windows, then their counts over the whole corpus: the order of rarity.
     s = F.least("n", F.lit(shingle))
@@ -89,7 +90,7 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingl
         same = (start >= 0) & (start + F.col("n") <= F.size("w")) & (F.slice("w", start + 1, F.col("n")) == F.col("words"))
         met = _spread(split, sizes).join(hint(prefix), "h", "left").where(same | F.coalesce(F.col("pos") == 0, F.lit(True)))
         hit = F.when(same, F.struct(start.alias("a"), F.col("n").alias("n"), F.col("items").alias("items")))
-        hits = met.select("doc_id", "row", F.size("w").alias("n_words"), hit.alias("hit")).groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_set("hit").alias("hits"))
+        hits = met.select("doc_id", "text_hash", "row", F.size("w").alias("n_words"), hit.alias("hit")).groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text_hash").alias("text_hash"), F.max("n_words").alias("n_words"), F.collect_set("hit").alias("hits"))
         return _judged(hits.drop("row"))
     # Shingles and windows meet in a shuffle without the documents' words, which are joined to the places found.
     keyed = base.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
@@ -98,14 +99,14 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingl
     found = found.groupBy(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_")).agg(F.collect_set(F.struct(start.alias("a"), "n", "words", "items")).alias("places"))
     joined = keyed.join(found, keyed.doc_id.eqNullSafe(found.id_) & (keyed.text_hash == found.hash_), "left")
     held = F.filter("places", lambda p: F.slice("w", p["a"] + 1, p["n"]) == p["words"])
-    return _judged(joined.select("doc_id", F.size("w").alias("n_words"), F.coalesce(F.transform(held, lambda p: F.struct(p["a"].alias("a"), p["n"].alias("n"), p["items"].alias("items"))), no_hit).alias("hits")))
+    return _judged(joined.select("doc_id", "text_hash", F.size("w").alias("n_words"), F.coalesce(F.transform(held, lambda p: F.struct(p["a"].alias("a"), p["n"].alias("n"), p["items"].alias("items"))), no_hit).alias("hits")))
 
 
 def _judged(rows: DataFrame) -> DataFrame:
-    """The result for ``doc_id, n_words, hits`` rows."""
+    """The result for ``doc_id, text_hash, n_words, hits`` rows."""
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["a"], x["a"] + x["n"] - 1))))
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda x: x["items"]))))
-    out = rows.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.size(covered).cast("long").alias("n_hit"), items.alias("items"))
+    out = rows.select("doc_id", "text_hash", F.col("n_words").cast("long").alias("n_words"), F.size(covered).cast("long").alias("n_hit"), items.alias("items"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 

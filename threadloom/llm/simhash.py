@@ -246,21 +246,41 @@ def links(nodes: DataFrame, bands: int = BANDS, radius: int = RADIUS, block: int
 
 
 def near_duplicates(docs: DataFrame, bands: int = BANDS) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` for each row of ``docs``.
+    """``doc_id, text_hash, fingerprint, component, component_id`` for each row of ``docs``.
 
-    Null, empty and blank texts share fingerprint zero and are linked like any other.  A null doc_id is no
-    candidate for the smallest of a component unless there is no other.  Repeated rows are returned as
-    often as they come; an empty table gives no rows.  Other columns are not read.
+    ``component_id`` is the smallest doc_id of a component, ``component`` a number of its own.  Null, empty and
+    blank texts share fingerprint zero and are linked like any other.  A null doc_id is no candidate for the
+    smallest of a component unless there is no other.  Repeated rows are returned as often as they come; an
+    empty table gives no rows.  Other columns are not read.  ``text_hash`` is Spark's xxhash64 of the text, null as empty.
     """
-    marked = common.staged(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    marked = common.staged(fingerprints(rows.withColumn("text_hash", F.xxhash64("text")), "doc_id", "text_hash"))
     nodes = common.staged(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     labels = connected(links(nodes.select("fp"), bands))
     rooted = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     tops = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(tops, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = rooted.join(tops, "root").select("fp", F.col("root").alias("component"), "component_id")
+    return marked.join(named, "fp").select("doc_id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component", "component_id")
+
+
+def representatives(docs: DataFrame, bands: int = BANDS) -> DataFrame:
+    """``docs`` with one row of each component: the smallest doc_id, nulls last, then the smallest text hash."""
+    found = common.staged(near_duplicates(docs, bands))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    best = found.groupBy("component").agg(F.min(place).alias("best"))
+    own = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
+    gone = found.join(best, "component").where(~own).select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__gone_hash")).distinct()
+    rows = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = rows.join(gone, F.col("__id").eqNullSafe(F.col("__gone")) & (F.col("__hash") == F.col("__gone_hash")), "left_anti")
+    # Rows that repeat in id and text are all the best of their component; of these one stays.
+    again = common.staged(found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("__again"), F.col("text_hash").alias("__again_hash")))
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    same = F.col("__id").eqNullSafe(F.col("__again")) & (F.col("__hash") == F.col("__again_hash"))
+    once = kept.join(again, same, "left_anti").select(*docs.columns)
+    return once.union(kept.join(again, same, "left_semi").dropDuplicates(["__id", "__hash"]).select(*docs.columns))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and components of all documents."""
-    return near_duplicates(common.table(spark, sf_dir, "documents"))
+    return near_duplicates(common.table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")

@@ -98,7 +98,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7, bits: int = BITS,
     emb = rng.uniform(-1, 1, (1 << bits, dim)) / dim
     out = np.zeros((dim, 2))
     out[:, 1] = rng.normal(0, 0.5, dim)
-    share = (y.mean() if len(y) else 0.5).clip(0.01, 0.99)
+    share = float(np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99))
     model = Model(emb, out, np.array([0.0, np.log(share / (1 - share))]), bits)
     if len(set(labels)) < 2:
         model.out[:] = 0
