@@ -56,7 +56,7 @@ def boosted(rows: DataFrame, now: datetime, workspace: str | None = None, config
     """``score`` with the boosts for age and for the workspace at hand."""
     score = recency(F.col("score"), F.col("updated_at"), now, config)
     if workspace:
-        score = score + F.when(is_under(F.col("workspace_path"), workspace, ignore_case=True), F.col("score") * config.workspace_boost).otherwise(0.0)
+        score = score + F.when(is_under(F.col("workspace_path"), workspace, ignore_case=True), score * config.workspace_boost).otherwise(0.0)
     return rows.withColumn("score", score)
 
 

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import QUERIES, SQL, browse, scalar  # noqa: F401
+from .queries import QUERIES, SQL, browse, reading, scalar, search  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["list_updated"](spark, sf_dir)
+    return QUERIES["search_lexical"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
