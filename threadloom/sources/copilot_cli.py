@@ -110,7 +110,7 @@ class CopilotCli(SessionSource):
         folder = os.path.join(os.path.dirname(self.location), "session-state")
         if not os.path.isdir(folder):
             return None
-        lines = self.spark.read.option("pathGlobFilter", "*.jsonl").text(folder).where(F.col("_metadata.file_size") <= LARGEST_LOG, wholetext=True)
+        lines = self.spark.read.option("pathGlobFilter", "*.jsonl").text(folder, wholetext=True).where(F.col("_metadata.file_size") <= LARGEST_LOG)
         each = lines.select(F.regexp_extract("_metadata.file_name", r"^(.*)\.jsonl$", 1).alias("session_id"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "value"))
         totals = transcripts.exchanges_to_turns(self._table("turns")).groupBy("session_id").agg(F.count(F.lit(1)).alias("total_turns"))
         turns = tool_turn(tool_calls(each, max_output), totals)
