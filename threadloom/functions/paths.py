@@ -72,9 +72,9 @@ def group_key(kind: str, source: Column, at: Column) -> Column:
 
 
 def file_uri_path(c: Column) -> Column:
-    """The path of a ``file:`` URI, percent-decoded, without slashes at the end."""
-    bare = F.regexp_replace(F.regexp_replace(c, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*", ""), r"^/(?=[A-Za-z]:)", "")
-    return F.regexp_replace(F.url_decode(F.replace(F.regexp_replace(bare, r"%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B"))), "/+$", "")
+    """The path of a ``file:`` URI, percent-decoded, without slashes at the end or before a drive."""
+    bare = F.regexp_replace(F.regexp_replace(c, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*", ""), r"%(?![0-9A-Fa-f]{2})", "%25")
+    return F.regexp_replace(F.regexp_replace(F.url_decode(F.replace(bare, F.lit("+"), F.lit("%2B"))), r"^/(?=[A-Za-z]:)", ""), "/+$", "")
 
 
 def after_slash(c: Column) -> Column:

@@ -11,16 +11,27 @@ from ..config import SearchConfig
 from ..functions.paths import is_under
 
 
-def session_ranks(passages: DataFrame, limit: int = 0) -> DataFrame:
+def session_ranks(passages: DataFrame, bounded: bool = True) -> DataFrame:
     """``uri, rank``: each session's place among distinct sessions by its best passage.
 
-    A session's best passage is found by aggregation; the ranking window runs over one row for each session left, at most
-    as many as the cap on candidates.
+    A session's best passage is found by aggregation.  If the list is ``bounded``, by a cap on passages or by the
+    shortlist, one window ranks what is left; else ranks are counted range by range of scores, so that no task sees
+    all sessions.
     """
     best = passages.groupBy("uri").agg(F.max("score").alias("score"), F.min_by("ordinal", F.struct(-F.col("score"), "ordinal")).alias("ordinal"))
-    if limit:
-        best = best.orderBy(F.desc("score"), "uri", "ordinal").limit(limit)
-    return best.select("uri", F.row_number().over(Window.orderBy(F.desc("score"), "uri", "ordinal")).alias("rank"))
+    order = [F.desc("score"), F.col("uri").asc(), F.col("ordinal").asc()]
+    if bounded:
+        return best.select("uri", F.row_number().over(Window.orderBy(*order)).alias("rank"))
+    n = int(passages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = best.select(F.percentile_approx("score", [i / n for i in range(1, n)], 20 * n).alias("q")).first().q if n > 1 else None
+    cuts = sorted(set(cuts or []))
+    # Equal scores share a range, and a range counts those above it.
+    ranges = F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda c: c > F.col("score"))) if cuts else F.lit(0)
+    placed = best.withColumn("range", ranges)
+    counts = placed.groupBy("range").agg(F.count(F.lit(1)).alias("n"))  # a row for each range
+    before = counts.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = placed.withColumn("r", F.row_number().over(Window.partitionBy("range").orderBy(*order)))
+    return within.join(F.broadcast(before), "range").select("uri", (F.col("r") + F.col("before")).cast("int").alias("rank"))
 
 
 def fused(lists: dict[str, DataFrame], config: SearchConfig = SearchConfig()) -> DataFrame:

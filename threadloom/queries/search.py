@@ -205,7 +205,7 @@ def _hybrid(spark, d, deep: bool):
     v, q = _top_vectors(spark, d)
     lex = lexical.top_passages(lexical.bm25(_by_label(spark, d), TERMS).select("uri", "ordinal", "score"), 500)
     sem = semantic.search(v, None if deep else centroids(v, "uri"), q, deep=deep, config=SearchConfig(session_shortlist=3))
-    out = fusion.fused({"lexical": fusion.session_ranks(lex), "semantic": fusion.session_ranks(sem.select("uri", "ordinal", "score"))})
+    out = fusion.fused({"lexical": fusion.session_ranks(lex), "semantic": fusion.session_ranks(sem.select("uri", "ordinal", "score"), bounded=not deep)})
     return out.select("uri", F.col("lexical_rank").cast("bigint").alias("lexical_rank"), F.col("semantic_rank").cast("bigint").alias("semantic_rank"), F.round("score", 9).alias("score"))
 
 
@@ -225,8 +225,8 @@ def search_hybrid_deep(spark, d):
 )
 def rrf_fusion(spark, d):
     t = turns(spark, d)
-    a = fusion.session_ranks(t.select("uri", F.col("turn_index").alias("ordinal"), F.length("text").cast("double").alias("score")))
-    b = fusion.session_ranks(t.where("turn_index >= 3").select("uri", F.col("turn_index").alias("ordinal"), F.col("turn_index").cast("double").alias("score")))
+    a = fusion.session_ranks(t.select("uri", F.col("turn_index").alias("ordinal"), F.length("text").cast("double").alias("score")), bounded=False)
+    b = fusion.session_ranks(t.where("turn_index >= 3").select("uri", F.col("turn_index").alias("ordinal"), F.col("turn_index").cast("double").alias("score")), bounded=False)
     return fusion.fused({"lexical": a, "semantic": b}).select("uri", F.round("lexical_score", 9).alias("lexical_score"), F.round("semantic_score", 9).alias("semantic_score"))
 
 
