@@ -62,8 +62,8 @@ class Catalog:
         admitted = filters.filtered(sessions, self._filter(q.filter), self.store.tags()).select("uri")
         terms, lists, ranks = parse(q.text), {}, {}
         if mode in ("lexical", "hybrid") and terms:
-            found = lexical.bm25(chunk.select("uri", "ordinal", "tokens", "n_tokens"), terms, within=chunk.select("uri", "ordinal", "tokens", "n_tokens").join(admitted, "uri", "left_semi"))
-            lists["lexical"] = lexical.top_passages(found.select("uri", "ordinal", "score"), lexical.candidate_cap(top, c))
+            found = lexical.bm25(chunk, terms, admitted)
+            lists["lexical"] = lexical.top_passages(found, lexical.candidate_cap(top, c))
         if mode in ("semantic", "hybrid"):
             v = semantic.query_vector(self.embedder.vectors([q.text], query=True)[0])
             lists["semantic"] = semantic.search(vectors, centroid, v, admitted, q.deep, c).select("uri", "ordinal", "score")

@@ -23,8 +23,9 @@ _ACCENTED, _BASE = _accents()
 
 
 def fold(c: Column) -> Column:
-    """Lower case without accents."""
-    return F.translate(F.lower(c), _ACCENTED, _BASE)
+    """Lower case without accents; texts without any are not searched for them."""
+    low = F.lower(c)
+    return F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(low, _ACCENTED, _BASE))
 
 
 def fold_text(s: str) -> str:
@@ -37,6 +38,21 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(fold(c), F.lit(TOKEN), F.lit(0))
 
 
+def words(c: Column) -> Column:
+    """The tokens as text, a blank before and one after each: " a  b ".  A search of it is a search for substrings."""
+    bare = F.trim(F.regexp_replace(fold(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", "  "))
+    return F.when(bare == "", bare).otherwise(F.concat(F.lit(" "), bare, F.lit(" ")))
+
+
+def word_count(w: Column) -> Column:
+    """How many tokens ``words`` made."""
+    return F.when(w == "", 0).otherwise((F.length(w) - F.length(F.replace(w, F.lit("  "), F.lit("")))) / 2 + 1).cast("int")
+
+
+def word_list(w: Column) -> Column:
+    return F.when(w == "", F.array().cast("array<string>")).otherwise(F.split(F.trim(w), "  "))
+
+
 def flatten(c: Column) -> Column:
     """White space as single spaces, none at the ends; null is empty."""
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))

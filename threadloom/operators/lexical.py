@@ -1,6 +1,6 @@
 """Keyword search: matching, BM25, the cap on candidates, an inverted index.
 
-Statistics are those of the whole corpus whatever the filter.  Scoring reads the tokens of every passage; for corpora
+Statistics are those of the whole corpus whatever the filter.  Scoring reads the words of every passage; for corpora
 where that is too much, ``postings`` lays the corpus out by term, and ``bm25_postings`` reads a query's terms only.
 """
 
@@ -10,45 +10,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SearchConfig
-from ..functions.text import tokens as tokens_of
+from ..functions.text import word_count, word_list, words as words_of
 from ..plans.terms import QueryTerm
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
 
 
-def frequency(tokens: Column, term: QueryTerm) -> Column:
-    """How often a term occurs; a term without tokens never does."""
-    n = len(term.tokens)
-    if not n:
+def _overlaps(term: QueryTerm) -> bool:
+    """Whether two finds of a phrase may share tokens."""
+    t = term.tokens
+    same = lambda a, b: a == b or term.prefix and b.startswith(a)
+    return any(all(same(x, y) for x, y in zip(t[k:], t)) or any(same(t[0], y) for y in t[k:]) for k in range(1, len(t)))
+
+
+def frequency(words: Column, term: QueryTerm) -> Column:
+    """How often a term occurs in ``words``; a term without tokens never does."""
+    if not term.tokens:
         return F.lit(0)
-    last = term.tokens[-1]
-    fits = (lambda t: t.startswith(last)) if term.prefix else (lambda t: t == last)
-    if n == 1:
-        return F.size(F.filter(tokens, fits))
-    head = [F.lit(t) for t in term.tokens[:-1]]
+    if not _overlaps(term):
+        sign = " " + "  ".join(term.tokens) + ("" if term.prefix else " ")
+        return ((F.length(words) - F.length(F.replace(words, F.lit(sign), F.lit("")))) / len(sign)).cast("int")
+    # Finds that may share tokens are looked for at every token.
+    tokens, n = word_list(words), len(term.tokens)
 
     def at(i: Column) -> Column:
-        out = fits(F.get(tokens, i + n - 1))
-        for k, t in enumerate(head):
-            out = (F.get(tokens, i + k) == t) & out
+        out = F.lit(True)
+        for k, t in enumerate(term.tokens):
+            x = F.get(tokens, i + k)
+            out = out & (x.startswith(t) if term.prefix and k == n - 1 else x == t)
         return out
 
     starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(0), F.size(tokens) - n)).otherwise(F.array().cast("array<int>"))
     return F.size(F.filter(starts, at))
 
 
-def matches(tokens: Column, terms: list[QueryTerm]) -> Column:
+def matches(words: Column, terms: list[QueryTerm]) -> Column:
     """Whether any term occurs."""
     out = F.lit(False)
     for t in terms:
-        out |= frequency(tokens, t) > 0
+        out |= frequency(words, t) > 0
     return out
 
 
 def tokenized(chunks: DataFrame, text: str = "text") -> DataFrame:
-    """Chunks with ``tokens`` and ``n_tokens``, as an index stores them."""
-    return chunks.withColumn("tokens", tokens_of(F.col(text))).withColumn("n_tokens", F.size("tokens"))
+    """Chunks with ``words`` and ``n_tokens``, as an index stores them."""
+    return chunks.withColumn("words", words_of(F.col(text))).withColumn("n_tokens", word_count(F.col("words")))
 
 
 def _idf(n_rows: Column, n_with: Column) -> Column:
@@ -60,24 +67,28 @@ def _weight(tf: Column, n_tokens: Column, mean: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * n_tokens / mean))
 
 
-def statistics(chunks: DataFrame, terms: list[QueryTerm]) -> DataFrame:
-    """One row: ``n_rows, mean_tokens`` and for each term ``df_i``, over all chunks."""
-    held = [F.count(F.when(frequency(F.col("tokens"), t) > 0, 1)).cast("double").alias(f"df_{i}") for i, t in enumerate(terms)]
-    return chunks.agg(F.count(F.lit(1)).cast("double").alias("n_rows"), F.avg("n_tokens").alias("mean_tokens"), *held)
+def bm25(chunks: DataFrame, terms: list[QueryTerm], admitted: DataFrame | None = None) -> DataFrame:
+    """``uri, ordinal, score`` of chunks that hold a term.
 
-
-def bm25(chunks: DataFrame, terms: list[QueryTerm], within: DataFrame | None = None) -> DataFrame:
-    """Chunks that hold a term, with ``score``; statistics from ``chunks``, rows from ``within`` if given."""
-    rows = chunks if within is None else within
+    Statistics are those of all ``chunks``; ``admitted`` (``uri``) says whose chunks may be returned.  Every chunk is
+    read once: what the terms' counts leave of it, a few numbers, goes through an exchange that the statistics and the
+    scores share.  For that both must need the same columns, and nothing may be filtered below: a chunk's score is
+    positive exactly if it holds a term, and that is only known beside the statistics.
+    """
     if not terms:
-        return rows.withColumn("score", F.lit(0.0)).where(F.lit(False))
-    stats = statistics(chunks, terms)  # a row, whatever the corpus
-    tf = [frequency(F.col("tokens"), t).cast("double").alias(f"tf_{i}") for i, t in enumerate(terms)]
-    scored = rows.select("*", *tf).where(sum((F.col(f"tf_{i}") for i in range(len(terms))), F.lit(0.0)) > 0).crossJoin(F.broadcast(stats))
+        return chunks.select("uri", "ordinal", F.lit(0.0).alias("score")).where(F.lit(False))
+    every = range(len(terms))
+    tf = [frequency(F.col("words"), t).cast("double").alias(f"tf_{i}") for i, t in enumerate(terms)]
+    counted = chunks.select("uri", "ordinal", "n_tokens", *tf).repartition("uri")
+    held = [F.count(F.when(F.col(f"tf_{i}") > 0, 1)).cast("double").alias(f"df_{i}") for i in every]
+    stats = counted.agg(F.max(F.struct("uri", "ordinal")).alias("last"), F.count(F.lit(1)).cast("double").alias("n_rows"), F.avg("n_tokens").alias("mean_tokens"), *held)
+    rows = counted if admitted is None else counted.join(admitted.select("uri"), "uri", "left_semi")
+    beside = rows.crossJoin(F.broadcast(stats.where("last is not null").drop("last")))  # one row
     total = F.lit(0.0)
-    for i in range(len(terms)):
-        total = total + F.when(F.col(f"tf_{i}") > 0, _idf(F.col("n_rows"), F.col(f"df_{i}")) * _weight(F.col(f"tf_{i}"), F.col("n_tokens"), F.col("mean_tokens"))).otherwise(0.0)
-    return scored.withColumn("score", total).select(*rows.columns, "score")
+    for i in every:
+        gain = _idf(F.col("n_rows"), F.col(f"df_{i}")) * _weight(F.col(f"tf_{i}"), F.col("n_tokens"), F.col("mean_tokens"))
+        total = total + F.when(F.col(f"tf_{i}") > 0, gain).otherwise(0.0)
+    return beside.select("uri", "ordinal", total.alias("score")).where("score > 0")
 
 
 def candidate_cap(top: int, config: SearchConfig = SearchConfig()) -> int:
@@ -94,7 +105,7 @@ def postings(chunks: DataFrame) -> DataFrame:
 
     A frequent term's rows go to many partitions: they are ranged by term and place.
     """
-    terms = chunks.select("uri", "ordinal", "n_tokens", F.explode("tokens").alias("term"))
+    terms = chunks.select("uri", "ordinal", "n_tokens", F.explode(word_list(F.col("words"))).alias("term"))
     return terms.groupBy("term", "uri", "ordinal").agg(F.count(F.lit(1)).alias("tf"), F.first("n_tokens").alias("n_tokens"))
 
 
@@ -108,7 +119,7 @@ def bm25_postings(index: DataFrame, n_rows: float, mean_tokens: float, terms: li
     """``uri, ordinal, score`` for terms of single tokens; only their ranges of the index are read."""
     singles = [t for t in terms if len(t.tokens) == 1]
     if len(singles) < len([t for t in terms if t.tokens]):
-        raise ValueError("phrases need the passages' tokens: use bm25")
+        raise ValueError("phrases need the passages' words: use bm25")
     parts = None
     for i, t in enumerate(singles):
         low = t.tokens[0]

@@ -16,9 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ChunkPolicy, EngineConfig, EngineError, SessionFilter, UsageError
-from ..functions.text import tokens as tokens_of
 from ..functions.vectors import centroids
-from ..operators import chunking, incremental
+from ..operators import chunking, incremental, lexical
 from ..operators.filters import predicate
 from ..operators.semantic import check_model
 from ..sources.base import SessionSource
@@ -220,7 +219,7 @@ class IndexStore:
 
     def _write(self, source, todo, gone, old, generation, policy, embedder) -> None:
         turns = source.turns().join(todo.select("uri"), "uri", "left_semi")
-        chunk = chunking.chunks(todo, turns, policy).withColumn("tokens", tokens_of(F.col("text"))).withColumn("n_tokens", F.size("tokens"))
+        chunk = lexical.tokenized(chunking.chunks(todo, turns, policy))
         new = {"session": todo.drop("source_id"), "chunk": chunk}
         files = source.files()
         if files is not None:

@@ -7,7 +7,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import derive_title, preview, tokens
+from ..functions.text import derive_title, preview
+from ..operators.lexical import tokenized
 
 NOW = datetime(2024, 3, 1)
 NOW_SQL = "TIMESTAMP '2024-03-01 00:00:00'"
@@ -17,9 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, dealt to all cores where their files have fewer splits than there are.
+
+    A large table has splits enough and is left as it is.
+    """
+    docs = table(spark, sf_dir, "documents")
+    n = spark.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= n else docs.repartition(n, "doc_id")
+
+
 def sessions(spark: SparkSession, d: str) -> DataFrame:
     """A session for each document."""
-    docs, labels = table(spark, d, "documents"), table(spark, d, "labels").select("doc_id", "toxic")
+    docs, labels = texts(spark, d), table(spark, d, "labels").select("doc_id", "toxic")
     joined = docs.join(labels, "doc_id", "left")
     i = F.col("doc_id")
     at = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(doc_id % 1440 as int))")
@@ -95,12 +106,12 @@ tag AS (
 
 
 def passages(spark: SparkSession, d: str) -> DataFrame:
-    """A passage for each document, with tokens, as the index holds them."""
-    docs = table(spark, d, "documents").select(
+    """A passage for each document, with its words, as the index holds them."""
+    docs = texts(spark, d).select(
         F.concat(F.lit("doc://"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("uri"), F.lit(0).alias("ordinal"), F.col("source").alias("source_id"),
-        "doc_id", tokens(F.col("text")).alias("tokens"),
+        "doc_id", "text",
     )
-    return docs.withColumn("n_tokens", F.size("tokens"))
+    return tokenized(docs).drop("text")
 
 
 PASSAGE = f"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import json as J
 from ..functions import paths, text
 from . import query
-from .bindings import NOW, NOW_SQL, SESSION, SQL_TOKENS, sessions, sql_flatten, sql_title, sql_truncate, table, turns
+from .bindings import NOW, NOW_SQL, SESSION, SQL_TOKENS, sessions, sql_flatten, sql_title, sql_truncate, table, texts, turns
 
 FLAT = sql_flatten("text")
 
@@ -15,37 +15,37 @@ FLAT = sql_flatten("text")
 @query("tokenize_counts", f"SELECT doc_id, CAST(len({SQL_TOKENS}) AS BIGINT) AS n_tokens, CAST(len(list_distinct({SQL_TOKENS})) AS BIGINT) AS n_distinct FROM documents")
 def tokenize_counts(spark, d):
     t = text.tokens(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.size(t).cast("bigint").alias("n_tokens"), F.size(F.array_distinct(t)).cast("bigint").alias("n_distinct"))
+    return texts(spark, d).select("doc_id", F.size(t).cast("bigint").alias("n_tokens"), F.size(F.array_distinct(t)).cast("bigint").alias("n_distinct"))
 
 
 @query("flatten_text", f"SELECT doc_id, md5({FLAT}) AS flat FROM documents")
 def flatten_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(text.flatten(F.col("text"))).alias("flat"))
+    return texts(spark, d).select("doc_id", F.md5(text.flatten(F.col("text"))).alias("flat"))
 
 
 @query("truncate_text", f"SELECT doc_id, {sql_truncate('flat', 60)} AS short FROM (SELECT doc_id, {FLAT} AS flat FROM documents)")
 def truncate_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.truncate(text.flatten(F.col("text")), 60).alias("short"))
+    return texts(spark, d).select("doc_id", text.truncate(text.flatten(F.col("text")), 60).alias("short"))
 
 
 @query("preview_text", f"SELECT doc_id, {sql_truncate('flat', 240)} AS preview FROM (SELECT doc_id, {FLAT} AS flat FROM documents)")
 def preview_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.preview(F.col("text"), 240).alias("preview"))
+    return texts(spark, d).select("doc_id", text.preview(F.col("text"), 240).alias("preview"))
 
 
 @query("derive_title", f"SELECT doc_id, {sql_title('flat')} AS title FROM (SELECT doc_id, {FLAT} AS flat FROM documents)")
 def derive_title(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.derive_title(F.col("text")).alias("title"))
+    return texts(spark, d).select("doc_id", text.derive_title(F.col("text")).alias("title"))
 
 
 @query("output_truncation", "SELECT doc_id, CASE WHEN length(text) <= 500 THEN text ELSE substr(text, 1, 500) || chr(10) || '… [' || format('{:,}', length(text) - 500) || ' more characters]' END AS shown FROM documents")
 def output_truncation(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.output_cap(F.col("text"), 500).alias("shown"))
+    return texts(spark, d).select("doc_id", text.output_cap(F.col("text"), 500).alias("shown"))
 
 
 @query("tag_normalise", r"SELECT doc_id, regexp_replace(lower(trim(substr(text, 1, 24))), '\s+', '-', 'g') AS tag FROM documents")
 def tag_normalise(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.tag_name(F.substring("text", 1, 24)).alias("tag"))
+    return texts(spark, d).select("doc_id", text.tag_name(F.substring("text", 1, 24)).alias("tag"))
 
 
 @query("role_parse", "SELECT conv_id, turn, CASE WHEN lower(role) IN ('user', 'assistant', 'system', 'tool', 'info') THEN upper(role[1]) || lower(role[2:]) ELSE 'Assistant' END AS role_name FROM conversations")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import SearchConfig, SessionFilter
+from ..functions.text import derive_title
 from ..functions.vectors import centroids, cosine, dot, normalize
 from ..operators import filters, fusion, lexical, semantic, snippets
 from ..plans.terms import parse
@@ -42,7 +43,7 @@ ranks AS (SELECT uri, row_number() OVER (ORDER BY s DESC, uri) AS rank FROM (SEL
 
 @query("match_prefix", f"WITH {PASSAGE} SELECT doc_id, CAST({_tf(chr(115) + 'tarts_with(t, ' + chr(39) + 'tion' + chr(39) + ')')} AS BIGINT) AS tf FROM passage WHERE {_tf(chr(115) + 'tarts_with(t, ' + chr(39) + 'tion' + chr(39) + ')')} > 0")
 def match_prefix(spark, d):
-    tf = lexical.frequency(F.col("tokens"), parse("tion")[0])
+    tf = lexical.frequency(F.col("words"), parse("tion")[0])
     return passages(spark, d).select("doc_id", tf.cast("bigint").alias("tf")).where("tf > 0")
 
 
@@ -51,25 +52,25 @@ _PHRASE = "CAST(len(list_filter(generate_series(1, len(tokens) - 1), lambda i: t
 
 @query("match_phrase", f"WITH {PASSAGE} SELECT doc_id, {_PHRASE} AS tf FROM passage WHERE len(tokens) >= 2 AND {_PHRASE} > 0")
 def match_phrase(spark, d):
-    tf = lexical.frequency(F.col("tokens"), parse('"of the"')[0])
+    tf = lexical.frequency(F.col("words"), parse('"of the"')[0])
     return passages(spark, d).select("doc_id", tf.cast("bigint").alias("tf")).where("tf > 0")
 
 
 @query("match_or", f"WITH {PASSAGE} SELECT doc_id FROM passage WHERE {_TF[1]} > 0 OR {_TF[2]} > 0 OR len(list_filter(tokens, lambda t: t = 'le')) > 0")
 def match_or(spark, d):
-    return passages(spark, d).where(lexical.matches(F.col("tokens"), parse('nthe estionr "le"'))).select("doc_id")
+    return passages(spark, d).where(lexical.matches(F.col("words"), parse('nthe estionr "le"'))).select("doc_id")
 
 
 @query("bm25_topk", f"WITH {_bm25_sql(_TF)} SELECT uri, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, uri LIMIT 400")
 def bm25_topk(spark, d):
-    rows = lexical.bm25(passages(spark, d).select("uri", "ordinal", "source_id", "tokens", "n_tokens"), TERMS)
+    rows = lexical.bm25(passages(spark, d), TERMS)
     return lexical.top_passages(rows, lexical.candidate_cap(20)).select("uri", F.round("score", 6).alias("score"))
 
 
 @query("bm25_filtered_cap", f"WITH {_bm25_sql(_TF, where=chr(10) + 'source_id IN (' + chr(39) + 'src1' + chr(39) + ', ' + chr(39) + 'src2' + chr(39) + ')')} SELECT uri, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, uri LIMIT 50")
 def bm25_filtered(spark, d):
-    p = passages(spark, d).select("uri", "ordinal", "source_id", "tokens", "n_tokens")
-    rows = lexical.bm25(p, TERMS, within=p.where(F.col("source_id").isin("src1", "src2")))
+    admitted = sessions(spark, d).where(F.col("source_id").isin("src1", "src2"))
+    rows = lexical.bm25(passages(spark, d), TERMS, admitted)
     return lexical.top_passages(rows, lexical.candidate_cap(1)).select("uri", F.round("score", 6).alias("score"))
 
 
@@ -88,11 +89,11 @@ def search_lexical_rows(spark, d, text="tion nthe estionr", top=10):
     """The whole of a keyword search: candidates of admitted sessions, ranks, boosts; titles are fetched last."""
     s = sessions(spark, d)
     admitted = filters.filtered(s, SessionFilter()).select("uri")
-    p = passages(spark, d).select("uri", "ordinal", "tokens", "n_tokens")
-    rows = lexical.top_passages(lexical.bm25(p, parse(text), within=p.join(admitted, "uri", "left_semi")).select("uri", "ordinal", "score"), lexical.candidate_cap(top))
+    rows = lexical.top_passages(lexical.bm25(passages(spark, d), parse(text), admitted), lexical.candidate_cap(top))
     found = fusion.cut(fusion.fused({"lexical": fusion.session_ranks(rows)}), top)
-    named = found.join(s.select("uri", "title", "updated_at", "workspace_path"), "uri")
-    return fusion.boosted(named, NOW).orderBy(F.desc("score"), "uri").limit(top)
+    named = found.join(s.select("uri", "updated_at", "workspace_path", "text"), "uri")
+    hits = fusion.boosted(named, NOW).orderBy(F.desc("score"), "uri").limit(top)
+    return hits.withColumn("title", derive_title(F.col("text")))  # of the sessions shown only
 
 
 @query(
@@ -186,7 +187,7 @@ def search_semantic_deep(spark, d):
 
 def _by_label(spark, d):
     """Passages of documents under the sessions of vectors: ten sessions, documents by id modulo ten."""
-    return passages(spark, d).select(F.concat(F.lit("s"), (F.col("doc_id") % 10).cast("string")).alias("uri"), F.col("doc_id").alias("ordinal"), "tokens", "n_tokens")
+    return passages(spark, d).select(F.concat(F.lit("s"), (F.col("doc_id") % 10).cast("string")).alias("uri"), F.col("doc_id").alias("ordinal"), "words", "n_tokens")
 
 
 _HYB = (
@@ -203,7 +204,7 @@ FROM ranks l FULL JOIN sranks s ON l.uri = s.uri"""
 
 def _hybrid(spark, d, deep: bool):
     v, q = _top_vectors(spark, d)
-    lex = lexical.top_passages(lexical.bm25(_by_label(spark, d), TERMS).select("uri", "ordinal", "score"), 500)
+    lex = lexical.top_passages(lexical.bm25(_by_label(spark, d), TERMS), 500)
     sem = semantic.search(v, None if deep else centroids(v, "uri"), q, deep=deep, config=SearchConfig(session_shortlist=3))
     out = fusion.fused({"lexical": fusion.session_ranks(lex), "semantic": fusion.session_ranks(sem.select("uri", "ordinal", "score"), bounded=not deep)})
     return out.select("uri", F.col("lexical_rank").cast("bigint").alias("lexical_rank"), F.col("semantic_rank").cast("bigint").alias("semantic_rank"), F.round("score", 9).alias("score"))
@@ -266,7 +267,7 @@ def live_scan_snippets(spark, d):
 )
 def native_group_max(spark, d):
     t = lexical.tokenized(turns(spark, d).where("role <> 'system'"))
-    n = lexical.frequency(F.col("tokens"), parse("tion")[0]).cast("bigint")
+    n = lexical.frequency(F.col("words"), parse("tion")[0]).cast("bigint")
     return t.select("uri", n.alias("n")).where("n > 0").groupBy("uri").agg(F.max("n").alias("best"))
 
 
@@ -279,7 +280,7 @@ def federated_union(spark, d):
 
 @query("snippet_excerpts")
 def snippet_excerpts(spark, d):
-    hits = search_lexical_rows(spark, d).select("uri", F.lit(0).alias("ordinal"), F.lit(1).alias("place"))
-    text = sessions(spark, d).select("uri", F.lit(0).alias("ordinal"), F.lit("Assistant").alias("role"), F.lit(0).alias("turn_index"), "text")
-    out = snippets.collected(hits, text, TERMS, 3)
+    hits = search_lexical_rows(spark, d)
+    text = hits.select("uri", F.lit(0).alias("ordinal"), F.lit("Assistant").alias("role"), F.lit(0).alias("turn_index"), "text")
+    out = snippets.collected(hits.select("uri", F.lit(0).alias("ordinal"), F.lit(1).alias("place")), text, TERMS, 3)
     return out.select("uri", F.get("snippets", F.lit(0))["highlighted"].alias("highlighted"), F.get("snippets", F.lit(0))["text"].alias("excerpt"))
