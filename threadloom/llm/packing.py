@@ -118,7 +118,7 @@ class Packer:
         return done, [pool[i] for i in np.flatnonzero(alive)]
 
     def powers(self, seq: list[Piece]) -> list[list[Piece]]:
-        """Cuts a sequence that is not full into sequences whose lengths are powers of two: no padding."""
+        """Cuts a sequence that is not full into sequences whose lengths are powers of two, which need no padding."""
         out, queue = [], list(seq)
         total = sum(p.length for p in queue)
         while total:
@@ -208,15 +208,9 @@ def pack(
                     bearing = {k: v for k, v in bearing.items() if k in keep}
                     held = sum(p.length for p in waiting)
         done, _ = packer.pack(waiting, True)
-        tail: list[list[Piece]] = []
-        full = []
-        for s in done:
-            n = sum(p.length for p in s)
-            if n & (n - 1) and n < limits.tokens:
-                tail.extend(packer.powers(s))
-            else:
-                full.append(s)
-        yield emit(full + tail)
+        # The last sequence is short only for want of pieces.
+        short = [done.pop()] if done and sum(p.length for p in done[-1]) < limits.tokens else []
+        yield emit(done + [s for last in short for s in packer.powers(last)])
 
     return docs.select(*columns).mapInArrow(run, PIECE_SCHEMA)
 
