@@ -224,7 +224,8 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes) -> str:
             return body + d.of("0123456789")
         return next(body + c for c in "0123456789" if luhn(body + c))
     if kind == "ssn":
-        return "9" + "".join(d.of("0123456789") for _ in range(2)) + d.of("123456789") + d.of("123456789") + "".join(d.of("123456789") for _ in range(4))
+        area = 1 + d.below(898)
+        return f"{area + (area >= 666):03d}{1 + d.below(99):02d}{1 + d.below(9999):04d}"
     if kind == "ip4":
         if re.match(r"10\.|192\.168\.|172\.(1[6-9]|2\d|3[01])\.", value):
             return "10." + ".".join(str(d.below(256)) for _ in range(3))
