@@ -78,6 +78,16 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS
 FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+#: Base 32 of the SHA-1's hexadecimal digits ``h``: five of them are four characters.
+_BASE32 = """array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(h, CAST(5 * (k // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (k % 4) AS INTEGER)) & 31) + 1 AS BIGINT), 1) for k in range(32)], '')"""
+
+OP9_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM p
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_prefix_filtered_decontamination": OP7_SQL, "op10_super_kmer_dedup": OP10_SQL}
+    return {"op9_gzip_member_warc": OP9_SQL, "op7_prefix_filtered_decontamination": OP7_SQL, "op10_super_kmer_dedup": OP10_SQL}
