@@ -21,10 +21,10 @@ from .ngrams import Characters
 ORDERS = (3, 4, 5, 6, 7, 8)
 BITS = 18
 DIM = 8
-SEGMENT = 4
+SEGMENT = 3
 #: Bound on the texts of each label that training reads, and on the characters it reads of all.
 TRAIN_EACH = 2000
-EPOCHS = 10
+EPOCHS = 12
 THRESHOLD = 0.7
 #: Characters scored at once.
 STEP = 1 << 20
