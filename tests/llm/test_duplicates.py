@@ -56,7 +56,7 @@ def test_bit_sliced_forest(radius):
             at = np.flatnonzero(groups == g)
             if g == 1:
                 sides[at[len(at) // 2 :]] = 1
-        a, _ = simhash.forest(f, groups, sides, 0, 4, radius)
+        a, _ = simhash.forest(f, groups, sides, range(16), radius)
         ok = lambda i, j: groups[i] == groups[j] and (sides[i] != sides[j] or groups[i] != 1 or not sides[groups == 1].any())
         links = [(i, j) for i in range(len(f)) for j in range(i + 1, len(f)) if ok(i, j) and bin(int(f[i] ^ f[j])).count("1") <= radius]
         assert len(f) - len(a) == len(set(_roots(len(f), links)))
@@ -70,12 +70,23 @@ def test_large_buckets_are_split(spark):
     nodes = spark.createDataFrame([(f,) for f in signed], "fp long")
     links = [(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if bin(fps[i] ^ fps[j]).count("1") <= 3]
     want = _roots(len(fps), links)
-    for block in (7, 1 << 20):
-        got = {r.node: r.root for r in components.connected(simhash.links(nodes, block=block)).collect()}
+    for block, bands in ((7, None), (1 << 20, 4), (1 << 20, 5), (9, 6)):
+        got = {r.node: r.root for r in components.connected(simhash.links(nodes, bands, block=block)).collect()}
         seen = [got.get(f, f) for f in signed]
         assert len({(a, b) for a, b in zip(seen, want)}) == len(set(want)) == len(set(seen))
 
 
+def test_keys_meet_every_link():
+    rng = random.Random(2)
+    for bands in (4, 5, 6):
+        made = simhash.keys(bands)
+        assert len(made) == {4: 4, 5: 10, 6: 20}[bands]
+        for _ in range(200):
+            bits = set(rng.sample(range(64), 3))
+            assert any(all(p not in bits for a, b in k for p in range(a, b)) for k in made)
+    assert [simhash.bands_for(n) for n in (10, 4_000_000, 5_000_000, 10**11)] == [4, 4, 5, 6]
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components.connected(edges).collect()}

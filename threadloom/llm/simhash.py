@@ -1,8 +1,9 @@
 """SimHash near-duplicates with bit-sliced comparison.
 
-Fingerprints are compared within buckets.  Cut a fingerprint into four bands: two that differ in at most three
-bits agree in a whole band, so every link is met in some bucket (for more bits or tighter buckets, more
-bands).  Within a bucket fingerprints are stored vertically: word ``p`` of a block holds bit ``p`` of its 64
+Fingerprints are compared within buckets.  Cut a fingerprint into bands: two that differ in at most three bits
+agree in all bands but three, so with a key for each choice of so many bands every link is met in some bucket.
+Four bands make 4 keys of 16 bits, five 10 keys of 25, six 20 keys of 32; more fingerprints take more bands, so that
+buckets stay small, and any number finds the same links.  Within a bucket fingerprints are stored vertically: word ``p`` of a block holds bit ``p`` of its 64
 members.  A fingerprint meets 64 members at once; carry-save counters of two bits and a sticky overflow add
 the 64 difference planes, and a block is abandoned once all its members are beyond the radius.
 
@@ -14,6 +15,8 @@ are written to the shared folder.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +26,8 @@ from .components import connected
 SEED = 42
 SHINGLE = 3
 RADIUS = 3
-BANDS = 4
+#: Distinct fingerprints that a bucket may hold on average before more bands are taken.
+BUCKET = 64
 #: Nodes of a bucket that one task compares at once.
 BLOCK = 8192
 #: Queries against blocks in flight within a task.
@@ -153,11 +157,11 @@ def _merge(label, u, v):
             label[:] = next_
 
 
-def forest(fps, groups, sides, band: int, bands: int, radius: int = RADIUS):
+def forest(fps, groups, sides, equal=(), radius: int = RADIUS):
     """Links within groups as a forest of (fingerprint, smaller fingerprint).
 
     ``groups`` are ascending group numbers, ``sides`` 0 or 1 within them: members of side 0 are compared with all
-    of side 1 if the group has any, else with one another.
+    of side 1 if the group has any, else with one another.  Bits in which a group agrees, ``equal``, are left out.
     """
     import numpy as np
 
@@ -175,9 +179,7 @@ def forest(fps, groups, sides, band: int, bands: int, radius: int = RADIUS):
     label = np.arange(n)
     if not len(q):
         return fps[:0], fps[:0]
-    width = 64 // bands
-    own = set(range(band * width, 64 if band == bands - 1 else (band + 1) * width))
-    first = [p for p in range(64) if p not in own]
+    first = [p for p in range(64) if p not in equal]
     spans = (high - 1) // 64 - low // 64 + 1
     stops = np.cumsum(spans)
     lo = 0
@@ -201,18 +203,36 @@ def forest(fps, groups, sides, band: int, bands: int, radius: int = RADIUS):
     return fps[moved], fps[label[moved]]
 
 
-def links(nodes: DataFrame, bands: int = BANDS, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+def keys(bands: int, radius: int = RADIUS) -> list[list[tuple[int, int]]]:
+    """For each key the ranges of bits it is made of, bit 0 the highest."""
+    edges = [64 * i // bands for i in range(bands + 1)]
+    return [[(edges[b], edges[b + 1]) for b in chosen] for chosen in itertools.combinations(range(bands), bands - radius)]
+
+
+def bands_for(count: int, radius: int = RADIUS) -> int:
+    """Bands enough for so many fingerprints."""
+    bands = radius + 1
+    while bands < 2 * radius and count > BUCKET << min(sum(b - a for a, b in k) for k in keys(bands, radius)):
+        bands += 1
+    return bands
+
+
+def links(nodes: DataFrame, bands: int | None = None, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """``nodes``: distinct ``fp``.  A forest of links ``a, b`` whose components are those of all links."""
+    bands = bands or bands_for(nodes.count(), radius)
     if radius >= bands or radius > 3:
         raise ValueError("bands must outnumber the radius, which is at most 3")
-    width = 64 // bands
-    keys = [
-        F.struct(F.lit(i).cast("byte").alias("band"), F.shiftright(F.col("fp"), 64 - width * (i + 1)).bitwiseAND(F.lit((1 << width) - 1)).cast("long").alias("value"))
-        if i < bands - 1
-        else F.struct(F.lit(i).cast("byte").alias("band"), F.col("fp").bitwiseAND(F.lit((1 << (64 - width * i)) - 1)).cast("long").alias("value"))
-        for i in range(bands)
-    ]
-    rows = nodes.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.band", "k.value", "fp")
+    chosen = keys(bands, radius)
+
+    def value(ranges):
+        out, shift = F.lit(0).cast("long"), 0
+        for a, b in ranges:
+            out = out.bitwiseOR(F.shiftleft(F.shiftright(F.col("fp"), 64 - b).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")), shift))
+            shift += b - a
+        return out
+
+    made = [F.struct(F.lit(i).cast("byte").alias("band"), value(r).alias("value")) for i, r in enumerate(chosen)]
+    rows = nodes.select("fp", F.explode(F.array(*made)).alias("k")).select("k.band", "k.value", "fp")
     shared = rows.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     rows = rows.join(shared, ["band", "value"])
     parts = F.ceil(F.col("n") / block).cast("int")
@@ -232,20 +252,21 @@ def links(nodes: DataFrame, bands: int = BANDS, radius: int = RADIUS, block: int
             return
         t = pa.Table.from_batches(got)
         band, value, i, j, side, fp = (t.column(c).to_numpy() for c in ("band", "value", "i", "j", "side", "fp"))
-        for x in range(bands):
+        for x, ranges in enumerate(chosen):
             some = np.flatnonzero(band == x)
             some = some[np.lexsort((fp[some], side[some], j[some], i[some], value[some]))]
             if not len(some):
                 continue
             key = np.stack([value[some], i[some], j[some]])
             group = np.cumsum(np.r_[0, (key[:, 1:] != key[:, :-1]).any(axis=0)])
-            a, b = forest(fp[some].view(np.uint64), group, side[some].astype(np.int64), x, bands, radius)
+            equal = {p for lo, hi in ranges for p in range(lo, hi)}
+            a, b = forest(fp[some].view(np.uint64), group, side[some].astype(np.int64), equal, radius)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, bands: int = BANDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, bands: int | None = None) -> DataFrame:
     """``doc_id, text_hash, fingerprint, component, component_id`` for each row of ``docs``.
 
     ``component_id`` is the smallest doc_id of a component, ``component`` a number of its own.  Null, empty and
@@ -263,7 +284,7 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS) -> DataFrame:
     return marked.join(named, "fp").select("doc_id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component", "component_id")
 
 
-def representatives(docs: DataFrame, bands: int = BANDS) -> DataFrame:
+def representatives(docs: DataFrame, bands: int | None = None) -> DataFrame:
     """``docs`` with one row of each component: the smallest doc_id, nulls last, then the smallest text hash."""
     found = common.staged(near_duplicates(docs, bands))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
