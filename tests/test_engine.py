@@ -139,3 +139,31 @@ def test_windows_over_a_stream(spark, tmp_path, sf_dir):
         q.awaitTermination(60)
     n = e.count()
     assert spark.table("w2").count() == n and 0 < spark.table("w0").agg(F.sum("n")).first()[0] <= n
+
+
+def test_export_health_and_live_search(catalog):
+    md = catalog.markdown("aaaa1")
+    assert md.startswith("# Retry policy\n\n```yaml\nuri: session://memory/aaaa1") and "## assistant\n\n**Tool** `bash`\n\n```\nLONGTOOLTOKEN passed\n```" in md
+    assert catalog.health(NOW).where("name = 'overall'").first().ok and not catalog.health(NOW + timedelta(days=1)).where("name = 'freshness'").first().ok
+    assert [r.uri for r in catalog.search_live(SearchQuery("backoff")).collect()] == ["session://memory/aaaa1"]
+    assert catalog.list(mode="live").count() == 3 == catalog.list(mode="index_only").count()
+
+
+def test_settings():
+    from threadloom.config import settings, with_setting
+
+    c = with_setting(with_setting(EngineConfig(), "search.rrf_k", "70"), "chunk.include_reasoning", "no")
+    assert settings(c)["search.rrf_k"] == 70 and not c.chunk.include_reasoning and with_setting(c, "disabled_sources", "a, b").disabled_sources == {"a", "b"}
+    for name, value in (("odd", "1"), ("search.rrf_k", "x"), ("chunk.include_reasoning", "maybe")):
+        with pytest.raises(UsageError):
+            with_setting(c, name, value)
+
+
+def test_top_up_stops_at_its_budget(spark, tmp_path):
+    class Slow(Memory):
+        def sessions(self):
+            wait = F.udf(lambda x: __import__("time").sleep(0.4) or x, "string")
+            return super().sessions().repartition(60).withColumn("title", wait("title"))
+
+    c = Catalog(spark, IndexStore(spark, f"file://{tmp_path}/index"), [Slow(spark, [(f"x{i}", "t", "s", 1, 1) for i in range(200)])], EngineConfig(refresh_budget_seconds=1))
+    assert c.top_up(NOW) is None and not c.store.exists()

@@ -94,6 +94,8 @@ def cli(tmp_path_factory):
         CREATE TABLE sessions(id text PRIMARY KEY, cwd text, repository text, branch text, summary text, created_at text, updated_at text);
         CREATE TABLE turns(id integer PRIMARY KEY, session_id text, turn_index int, user_message text, assistant_response text, timestamp text);
         CREATE TABLE session_files(id integer PRIMARY KEY, session_id text, file_path text, tool_name text, turn_index int);
+        CREATE VIRTUAL TABLE search_index USING fts5(content, session_id UNINDEXED, source_type UNINDEXED, source_id UNINDEXED);
+        INSERT INTO search_index VALUES ('exponential backoff', 'a', 'user_message', 'a:turn:2'), ('backoff backoff', 'a', 'assistant', 'a:turn:0'), ('backoff', 'b', 'user', 'b:turn:0');
         CREATE TABLE assistant_usage_events(id integer PRIMARY KEY, session_id text, turn_index int, agent_id text, model text, input_tokens int, output_tokens int, reasoning_tokens int, total_nano_aiu int);"""
     )
     for k in ("a", "b"):
@@ -120,6 +122,13 @@ def test_cli_sessions_and_turns(spark, cli):
     assert src.references() is None and src.version() == "6"
 
 
+def test_cli_native_search(spark, cli):
+    src = CopilotCli(spark, str(cli / "session.db"))
+    got = src.search_native("backoff").collect()
+    assert [r.uri for r in got] == ["session://copilot-cli/a"] and [(p.role, p.turn_index) for p in got[0].passages] == [("Assistant", 0), ("User", 2)]
+    assert src.search_native("backoff", SessionFilter(branch="other")).count() == 0
+
+
 def test_cli_tool_log(spark, cli):
     turn = CopilotCli(spark, str(cli / "session.db")).tool_turns(max_output=10).collect()
     assert len(turn) == 1 and turn[0].turn_index == 3 and turn[0].role == "Tool"

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
 from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import EngineConfig, NotFoundError, SearchQuery, SessionFilter, TranscriptOptions, UsageError, clamp_search
-from .operators import filters, fusion, lexical, rollups, semantic, snippets, transcripts
+from .config import EngineConfig, EngineError, NotFoundError, SearchQuery, SessionFilter, TranscriptOptions, UsageError, clamp_search
+from .operators import export, filters, fusion, lexical, rollups, semantic, snippets, transcripts
 from .plans.embedding import Embedder
 from .plans.store import IndexStore
 from .plans.terms import parse
@@ -41,10 +43,13 @@ class Catalog:
     def _sessions(self) -> DataFrame:
         return self.store.table("session") if self.store.exists() else self.live_sessions()
 
-    def list(self, f: SessionFilter = SessionFilter()) -> DataFrame:
-        """Sessions by a filter, from the index, or from the sources where there is none."""
+    def list(self, f: SessionFilter = SessionFilter(), mode: str = "indexed") -> DataFrame:
+        """Sessions by a filter: from the index, or the sources where there is none; ``index_only``; or ``live``."""
+        if mode == "index_only" and not self.store.exists():
+            raise NotFoundError("there is no index: refresh first")
         tags = self.store.tags()
-        rows = filters.ordered(filters.filtered(self._sessions(), self._filter(f), tags), f.sort, f.limit)
+        every = self.live_sessions() if mode == "live" else self._sessions()
+        rows = filters.ordered(filters.filtered(every, self._filter(f), tags), f.sort, f.limit)
         return filters.ordered(filters.with_tags(rows, tags), f.sort)
 
     def search(self, q: SearchQuery, now: datetime, workspace: str | None = None) -> DataFrame:
@@ -78,6 +83,44 @@ class Catalog:
         excerpts = snippets.collected(shown, chunk.select("uri", "ordinal", "role", "turn_index", "text"), terms, per_session)
         return hits.join(excerpts, "uri", "left").orderBy(F.desc("score"), "uri")
 
+    def search_live(self, q: SearchQuery, limit: int = 400) -> DataFrame:
+        """Search of the sources themselves: each source's ranks are fused, as their scores don't compare."""
+        from .plans.terms import words
+
+        top, per_session = clamp_search(q.top, q.snippets)
+        terms, parts = [w for w, _ in words(q.text)], None
+        for s in self._enabled():
+            if not s.probe().available:
+                continue
+            said = s.turns().select("uri", "turn_index", F.array_join(F.transform(F.filter("blocks", lambda b: b["kind"] == "text"), lambda b: b["text"]), "\n\n").alias("text"))
+            scores, _ = lexical.live_scan(said, terms, filters.filtered(s.sessions(), self._filter(q.filter), self.store.tags()), limit, per_session)
+            ranks = fusion.session_ranks(scores.select("uri", F.lit(0).alias("ordinal"), "score"))
+            one = ranks.select("uri", (F.lit(1.0) / (self.config.search.rrf_k + F.col("rank"))).alias("score"))
+            parts = one if parts is None else parts.unionByName(one)
+        if parts is None:
+            raise NotFoundError("no source is available")
+        return parts.orderBy(F.desc("score"), "uri").limit(top)
+
+    def markdown(self, wanted: str, o: TranscriptOptions = TranscriptOptions(include_tool_output=True, include_reasoning=True, include_diffs=True)) -> str:
+        """A session as a Markdown document."""
+        uri = self.resolve(wanted)
+        session = self.live_sessions().where(F.col("uri") == uri)
+        files = None
+        for s in self._enabled():
+            if uri.split("://", 1)[1].startswith(s.source_id + "/") and (f := s.files()) is not None:
+                files = f.where(F.col("uri") == uri)
+        return export.documents(session, self.transcript(wanted, o), files).first().markdown
+
+    def health(self, now: datetime) -> DataFrame:
+        """``name, ok, detail`` of sources, index, freshness and the model, and of all together."""
+        m = self.store.manifest()
+        rows = [(f"source {p.source_id}", p.available, p.detail) for p in (s.probe() for s in self.sources)]
+        rows.append(("index", bool(m["sources"]), f"generation {m['generation']}"))
+        rows.append(("freshness", not self.store.stale(now, self.config), f"last refresh {m['last_refresh']}"))
+        same = self.embedder is None or m["embedding_model"] in (None, self.embedder.name)
+        rows.append(("model", same, str(m["embedding_model"])))
+        return rollups.health([self.spark.createDataFrame(rows, "name string, ok boolean, detail string")])
+
     def resolve(self, wanted: str) -> str:
         return filters.resolve(self._sessions(), wanted, tuple(self.config.disabled_sources))
 
@@ -105,8 +148,34 @@ class Catalog:
         return self.store.refresh(self.sources, now, self.config, self.embedder, **options)
 
     def top_up(self, now: datetime):
-        """A refresh without vectors if the last is long past; None if it isn't."""
-        return self.store.refresh(self.sources, now, self.config, None) if self.store.stale(now, self.config) else None
+        """A refresh without vectors if the last is long past; None if it isn't, or if it took longer than its budget.
+
+        Jobs that run over the budget are cancelled; the index stays as it was.
+        """
+        if not self.store.stale(now, self.config):
+            return None
+        tag, context = f"top-up {uuid.uuid4().hex}", self.spark.sparkContext
+        done, late = threading.Event(), threading.Event()
+
+        def stop() -> None:
+            if not done.wait(self.config.refresh_budget_seconds):
+                late.set()
+                while not done.wait(0.2):  # a job may be between two at any time
+                    context.cancelJobsWithTag(tag)
+
+        watch = threading.Thread(target=stop, daemon=True)
+        context.addJobTag(tag)
+        watch.start()
+        try:
+            return self.store.refresh(self.sources, now, self.config, None)
+        except EngineError:
+            if late.is_set():
+                return None
+            raise
+        finally:
+            done.set()
+            watch.join()
+            context.removeJobTag(tag)
 
     def status(self) -> DataFrame:
         """``source_id, sessions, chunks, embeddable_sessions, embedded_sessions``."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field, fields, is_dataclass, replace
 from datetime import datetime
 
 
@@ -129,3 +129,38 @@ def clamp_list(limit: int) -> int:
 
 def clamp_characters(n: int) -> int:
     return min(max(n, 1000), 200_000)
+
+
+def settings(config: EngineConfig) -> dict[str, object]:
+    """All settings by dotted name."""
+    out: dict[str, object] = {}
+
+    def walk(prefix: str, node) -> None:
+        for f in fields(node):
+            v = getattr(node, f.name)
+            if is_dataclass(v):
+                walk(f"{prefix}{f.name}.", v)
+            else:
+                out[prefix + f.name] = v
+
+    walk("", config)
+    return out
+
+
+def with_setting(config: EngineConfig, name: str, value: str) -> EngineConfig:
+    """A config with one setting read from text in the type that it has."""
+    known = settings(config)
+    if name not in known:
+        raise UsageError(f"unknown setting {name!r}")
+    old = known[name]
+    try:
+        if isinstance(old, bool):
+            new = {"true": True, "yes": True, "1": True, "false": False, "no": False, "0": False}[value.strip().lower()]
+        elif isinstance(old, frozenset):
+            new = frozenset(v.strip() for v in value.split(",") if v.strip())
+        else:
+            new = type(old)(value)
+    except (KeyError, ValueError):
+        raise UsageError(f"{value!r} does not fit {name}") from None
+    first, _, rest = name.partition(".")
+    return replace(config, **{first: replace(getattr(config, first), **{rest: new})}) if rest else replace(config, **{name: new})

@@ -7,10 +7,10 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from ..config import SessionFilter
-from ..operators import filters, incremental, rollups
+from ..operators import export, filters, incremental, rollups
 from ..operators.semantic import embeddable
 from . import query
-from .bindings import SESSION, TAG, TURN, sessions, table, tags, turns
+from .bindings import NOW, NOW_SQL, SESSION, TAG, TURN, sessions, table, tags, turns
 
 _SHOWN = "uri, title, source_id, message_count, strftime(updated_at, '%Y-%m-%dT%H:%M') AS updated"
 
@@ -159,3 +159,29 @@ def freshness(spark, d):
 def health_checks(spark, d):
     one = lambda t: table(spark, d, t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("name"), (F.col("n") > 0).alias("ok"), F.concat(F.col("n").cast("string"), F.lit(" rows")).alias("detail"))
     return rollups.health([one("documents"), one("labels")])
+
+
+_AGE_DAYS = f"(epoch_ms({NOW_SQL}) // 1000 - epoch_ms(updated_at) // 1000) // 86400"
+
+
+@query(
+    "detail_line",
+    f"""WITH {SESSION} SELECT uri, concat_ws('  ·  ', lang_part, branch, age, agent, nullif(array_to_string(models, ', '), ''), CASE WHEN message_count > 0 THEN message_count || CASE WHEN message_count = 1 THEN ' message' ELSE ' messages' END END) AS line
+    FROM (SELECT *, agent AS lang_part, CASE WHEN {_AGE_DAYS} < 1 THEN ((epoch_ms({NOW_SQL}) // 1000 - epoch_ms(updated_at) // 1000) // 3600) || 'h ago' WHEN {_AGE_DAYS} < 30 THEN {_AGE_DAYS} || 'd ago' ELSE ({_AGE_DAYS} // 30) || 'mo ago' END AS age FROM session)""",
+)
+def detail_line(spark, d):
+    return sessions(spark, d).select("uri", export.detail_line(F.lit(NOW).cast("timestamp_ntz")).alias("line"))
+
+
+@query(
+    "markdown_document",
+    f"""WITH {SESSION} SELECT uri, md5('# ' || title || chr(10) || chr(10) || '```yaml' || chr(10) || 'uri: ' || uri || chr(10) || 'source: ' || source_id || chr(10) || 'created: ' || strftime(created_at, '%Y-%m-%dT%H:%M:%S') || chr(10) || 'updated: ' || strftime(updated_at, '%Y-%m-%dT%H:%M:%S')
+    || chr(10) || 'workspace: ' || workspace_path || CASE WHEN branch IS NOT NULL THEN chr(10) || 'branch: ' || branch ELSE '' END || chr(10) || 'agent: ' || agent || CASE WHEN len(models) > 0 THEN chr(10) || 'models: [' || array_to_string(models, ', ') || ']' ELSE '' END || chr(10) || '```'
+    || chr(10) || chr(10) || '## user' || chr(10) || chr(10) || text || chr(10)) AS digest FROM session""",
+)
+def markdown_document(spark, d):
+    from ..sources.base import block
+
+    s = sessions(spark, d)
+    turns_ = s.select("uri", F.lit(0).alias("turn_index"), F.lit("User").alias("role"), F.lit(None).cast("string").alias("model"), F.lit(None).cast("timestamp_ntz").alias("timestamp"), F.array(block(kind="text", text=F.col("text"))).alias("blocks"))
+    return export.documents(s, turns_).select("uri", F.md5("markdown").alias("digest"))

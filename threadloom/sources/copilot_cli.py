@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import SessionFilter
 from ..functions.json import instant, text_at
 from ..functions.paths import session_uri
 from ..functions.text import derive_title, output_cap, preview
@@ -116,6 +117,27 @@ class CopilotCli(SessionSource):
         turns = tool_turn(tool_calls(each, max_output), totals)
         return turns.select(self._uri().alias("uri"), "turn_index", "role", F.lit(None).cast("timestamp_ntz").alias("timestamp"), F.lit(None).cast("string").alias("model"), F.lit(None).cast("string").alias("agent"), "blocks")
 
+    def search_native(self, text: str, f: SessionFilter = SessionFilter(), top: int = 20, snippets: int = 3) -> DataFrame:
+        """Search of the store's own table of passages: a session scores as its best passage.
+
+        ``uri, score, passages``; passages have role and turn.  The filter holds; without the table nothing is found.
+        """
+        from ..operators import lexical
+        from ..operators.filters import filtered
+        from ..plans.terms import parse
+
+        rows = self._table("search_index")
+        if rows is None:
+            return self.sessions().select("uri", F.lit(0.0).alias("score")).where("false")
+        c = backfilled(rows, {"content": "string", "session_id": "string", "source_type": "string", "source_id": "string"})
+        turn = F.regexp_extract("source_id", r":turn:(\d+)$", 1).try_cast("int")
+        role = F.when(F.col("source_type").contains("user"), "User").otherwise("Assistant")
+        chunk = lexical.tokenized(c.select(self._uri().alias("uri"), F.row_number().over(Window.partitionBy("session_id").orderBy("source_id", "content")).alias("ordinal"), F.col("content").alias("text"), role.alias("role"), turn.alias("turn_index")))
+        found = lexical.top_passages(lexical.bm25(chunk, parse(text), filtered(self.sessions(), f)), max(5 * top, 50))
+        shown = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "ordinal", "role", "turn_index", "text"))), 1, max(snippets, 1))
+        best = found.join(chunk.select("uri", "ordinal", "role", "turn_index", "text"), ["uri", "ordinal"]).groupBy("uri").agg(F.max("score").alias("score"), shown.alias("passages"))
+        return best.orderBy(F.desc("score"), "uri").limit(top)
+
     def version(self) -> str | None:
         v = self._table("schema_version")
         return None if v is None else str(v.agg(F.max("version").alias("v")).first().v)
