@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -37,7 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + os.path.join(tempfile.gettempdir(), "threadloom")
+        own = tempfile.mkdtemp(prefix="threadloom-")
+        atexit.register(remove_tree, own)
+        base = "file://" + own
         spark.conf.set("spark.checkpoint.dir", base)
     if "://" not in base and base.startswith("/"):
         base = "file://" + base
