@@ -103,10 +103,12 @@ def top_passages(scored: DataFrame, cap: int) -> DataFrame:
 def postings(chunks: DataFrame) -> DataFrame:
     """``term, uri, ordinal, tf, n_tokens``: the corpus by term, to be written sorted by term.
 
-    A frequent term's rows go to many partitions: they are ranged by term and place.
+    Passages are dealt out whole, by URI, so that counting their terms needs no further exchange: words travel once,
+    not as a row for each token.  A frequent term's rows go to many partitions: they are ranged by term and place.
     """
-    terms = chunks.select("uri", "ordinal", "n_tokens", F.explode(word_list(F.col("words"))).alias("term"))
-    return terms.groupBy("term", "uri", "ordinal").agg(F.count(F.lit(1)).alias("tf"), F.first("n_tokens").alias("n_tokens"))
+    dealt = chunks.select("uri", "ordinal", "n_tokens", "words").repartition("uri")
+    terms = dealt.select("uri", "ordinal", "n_tokens", F.explode(word_list(F.col("words"))).alias("term"))
+    return terms.groupBy("uri", "ordinal", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("n_tokens").alias("n_tokens"))
 
 
 def write_postings(chunks: DataFrame, path: str) -> None:
@@ -120,17 +122,29 @@ def bm25_postings(index: DataFrame, n_rows: float, mean_tokens: float, terms: li
     singles = [t for t in terms if len(t.tokens) == 1]
     if len(singles) < len([t for t in terms if t.tokens]):
         raise ValueError("phrases need the passages' words: use bm25")
-    parts = None
-    for i, t in enumerate(singles):
-        low = t.tokens[0]
-        hit = (F.col("term") >= low) & (F.col("term") < low + "\U0010ffff") & F.col("term").startswith(low) if t.prefix else F.col("term") == low
-        one = index.where(hit).groupBy("uri", "ordinal").agg(F.sum("tf").cast("double").alias("tf"), F.first("n_tokens").alias("n_tokens")).withColumn("i", F.lit(i))
-        parts = one if parts is None else parts.unionByName(one)
-    if parts is None:
+    if not singles:
         return index.select("uri", "ordinal", F.lit(0.0).alias("score")).where(F.lit(False))
-    held = parts.groupBy("i").agg(F.count(F.lit(1)).cast("double").alias("n_with"))  # a row for each term
-    gains = parts.join(F.broadcast(held), "i").withColumn("gain", _idf(F.lit(float(n_rows)), F.col("n_with")) * _weight(F.col("tf"), F.col("n_tokens"), F.lit(float(mean_tokens))))
-    return gains.groupBy("uri", "ordinal").agg(F.sum("gain").alias("score"))
+
+    def hit(t: QueryTerm) -> Column:
+        low = t.tokens[0]
+        if not t.prefix:
+            return F.col("term") == low
+        return (F.col("term") >= low) & (F.col("term") < low + "\U0010ffff") & F.col("term").startswith(low)
+
+    any_hit = F.lit(False)
+    for t in singles:
+        any_hit |= hit(t)
+    tf = [F.sum(F.when(hit(t), F.col("tf")).otherwise(0)).cast("double").alias(f"tf_{i}") for i, t in enumerate(singles)]
+    # One exchange for the passages' counts and for the statistics, as in bm25.
+    counted = index.where(any_hit).groupBy("uri", "ordinal").agg(F.first("n_tokens").alias("n_tokens"), *tf)
+    held = [F.count(F.when(F.col(f"tf_{i}") > 0, 1)).cast("double").alias(f"df_{i}") for i in range(len(singles))]
+    stats = counted.agg(F.max(F.struct("uri", "ordinal", "n_tokens")).alias("last"), *held)
+    beside = counted.crossJoin(F.broadcast(stats.where("last is not null").drop("last")))  # one row
+    total = F.lit(0.0)
+    for i in range(len(singles)):
+        gain = _idf(F.lit(float(n_rows)), F.col(f"df_{i}")) * _weight(F.col(f"tf_{i}"), F.col("n_tokens"), F.lit(float(mean_tokens)))
+        total = total + F.when(F.col(f"tf_{i}") > 0, gain).otherwise(0.0)
+    return beside.select("uri", "ordinal", total.alias("score"))
 
 
 def live_scan(turns: DataFrame, terms: list[str], sessions: DataFrame, limit: int = 400, snippets: int = 3) -> tuple[DataFrame, DataFrame]:
