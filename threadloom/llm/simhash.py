@@ -279,7 +279,9 @@ def near_duplicates(docs: DataFrame, bands: int | None = None) -> DataFrame:
     nodes = common.staged(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     labels = connected(links(nodes.select("fp"), bands))
     rooted = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    tops = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written first: a join of two plain exchanges can split the rows of a large component.
+    rooted = common.staged(rooted)
+    tops = common.staged(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     named = rooted.join(tops, "root").select("fp", F.col("root").alias("component"), "component_id")
     return marked.join(named, "fp").select("doc_id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component", "component_id")
 
@@ -288,7 +290,7 @@ def representatives(docs: DataFrame, bands: int | None = None) -> DataFrame:
     """``docs`` with one row of each component: the smallest doc_id, nulls last, then the smallest text hash."""
     found = common.staged(near_duplicates(docs, bands))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    best = found.groupBy("component").agg(F.min(place).alias("best"))
+    best = common.staged(found.groupBy("component").agg(F.min(place).alias("best")))
     own = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
     gone = found.join(best, "component").where(~own).select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__gone_hash")).distinct()
     rows = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))
