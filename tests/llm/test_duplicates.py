@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from threadloom.llm import common, components, decontamination, simhash, substrings
+from threadloom.llm import common, components, decontamination, overlap, simhash, substrings
 
 
 def _fp(text):
@@ -115,6 +115,55 @@ def test_op6_by_brute_force(spark, sf_dir):
     assert got == {r.doc_id: (f"{f:016x}", docs[w].doc_id) for r, f, w in zip(docs, fps, want)}
 
 
+def _five(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = re.findall(r"[^\x20\x09-\x0D]+", low)
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def _similar(texts):
+    sets = [_five(t) for t in texts]
+    return _roots(len(sets), [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])])
+
+
+def _edited(rng, n, words, edits):
+    base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    for _ in range(n):
+        w = list(base)
+        for _ in range(rng.randrange(edits + 1)):
+            w[rng.randrange(words)] = f"v{rng.randrange(10**6)}"
+        yield " ".join(w)
+
+
+def test_forest_of_similar_sets():
+    rng = random.Random(8)
+    for edits in (1, 4, 9):
+        texts = [t for _ in range(4) for t in _edited(rng, 12, 150, edits)] + ["a b", "c"]
+        links = overlap.forest([overlap.shingles(t)[1] for t in texts])
+        want = _similar(texts)
+        assert _roots(len(texts), links) == want and len(links) == len(texts) - len(set(want))
+
+
+@pytest.mark.parametrize("block", [overlap.BLOCK, 5])
+def test_stage_links_texts_beyond_three_bits(spark, monkeypatch, block):
+    monkeypatch.setattr(overlap.links, "__defaults__", (block,))
+    rng = random.Random(9)
+    texts = [t for e in (1, 3, 6) for t in _edited(rng, 20, 200, e)] + ["a b c d", "A  b\nC d", "a b c e", "", None, " \t"]
+    want = _similar(texts)
+    fps = [_fp(t) for t in texts]
+    assert any(w == want[j] and bin(fps[i] ^ fps[j]).count("1") > 3 for i, w in enumerate(want) for j in range(i))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == dict(enumerate(want))
+    assert {r.doc_id for r in simhash.representatives(df).collect()} == set(want)
+
+
+def test_stage_by_brute_force(spark, sf_dir):
+    docs = sorted(common.table(spark, sf_dir, "documents").select("doc_id", "text").collect())
+    want = _similar([r.text for r in docs])
+    got = {r.doc_id for r in simhash.representatives(common.table(spark, sf_dir, "documents")).collect()}
+    assert got == {docs[w].doc_id for w in want}
+
+
 def _kept(rows, window=50):
     words = [(d, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, t in rows]
     first = {}

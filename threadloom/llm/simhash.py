@@ -20,7 +20,7 @@ import itertools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, overlap
 from .components import connected
 
 SEED = 42
@@ -266,7 +266,13 @@ def links(nodes: DataFrame, bands: int | None = None, radius: int = RADIUS, bloc
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, bands: int | None = None) -> DataFrame:
+def _hashed(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, text_hash``, null texts as empty."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.withColumn("text_hash", F.xxhash64("text"))
+
+
+def fingerprint_components(docs: DataFrame, bands: int | None = None) -> DataFrame:
     """``doc_id, text_hash, fingerprint, component, component_id`` for each row of ``docs``.
 
     ``component_id`` is the smallest doc_id of a component, ``component`` a number of its own.  Null, empty and
@@ -274,8 +280,7 @@ def near_duplicates(docs: DataFrame, bands: int | None = None) -> DataFrame:
     smallest of a component unless there is no other.  Repeated rows are returned as often as they come; an
     empty table gives no rows.  Other columns are not read.  ``text_hash`` is Spark's xxhash64 of the text, null as empty.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    marked = common.staged(fingerprints(rows.withColumn("text_hash", F.xxhash64("text")), "doc_id", "text_hash"))
+    marked = common.staged(fingerprints(_hashed(docs), "doc_id", "text_hash"))
     nodes = common.staged(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     labels = connected(links(nodes.select("fp"), bands))
     rooted = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -286,9 +291,16 @@ def near_duplicates(docs: DataFrame, bands: int | None = None) -> DataFrame:
     return marked.join(named, "fp").select("doc_id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component", "component_id")
 
 
-def representatives(docs: DataFrame, bands: int | None = None) -> DataFrame:
-    """``docs`` with one row of each component: the smallest doc_id, nulls last, then the smallest text hash."""
-    found = common.staged(near_duplicates(docs, bands))
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """As ``fingerprint_components``, but the components are those of texts with a similarity of 0.8 or more (``overlap``)."""
+    rows = fingerprints(_hashed(docs), "doc_id", "text_hash", "text")
+    found = overlap.components(rows, "doc_id", "text_hash", "fp")
+    return found.select("doc_id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component", "component_id")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component of similar texts: the smallest doc_id, nulls last, then the smallest text hash."""
+    found = common.staged(overlap.components(_hashed(docs), "doc_id", "text_hash"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     best = common.staged(found.groupBy("component").agg(F.min(place).alias("best")))
     own = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
@@ -306,4 +318,4 @@ def representatives(docs: DataFrame, bands: int | None = None) -> DataFrame:
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and components of all documents."""
-    return near_duplicates(common.table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+    return fingerprint_components(common.table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
