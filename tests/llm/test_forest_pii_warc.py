@@ -99,6 +99,17 @@ def test_assigned_secrets_and_keys():
     assert re.fullmatch(r"[0-9a-f]{18}", spans[0][3])
 
 
+@pytest.mark.parametrize("sep", [" ", " - ", ": ", " / "])
+def test_long_lists_of_numbers(sep):
+    values = [("phone", f"202-555-{k:04d}") for k in range(100, 180)] + [("ip4", f"192.168.{k}.200") for k in range(100, 180)] + [("ssn", f"123-45-{k:04d}") for k in range(6700, 6780)]
+    random.Random(1).shuffle(values)
+    values += [("card", "4539 1488 0343 6467")] * 80
+    text = sep.join(f"2024-01-15 08:30:12 {v}" if k == "ip4" else v for k, v in values)
+    assert [(s[2], text[s[0] : s[1]]) for s in pii.find(text)] == values
+    new, _ = pii.replaced(text, b"k")
+    assert not any(v in new for _, v in values)
+
+
 def test_coreference_gender_and_script():
     text = "Ms. Ada Byron met Mr Charles BABBAGE. Byron (Ada) wrote; Госпожа Анна Иванова и Анна. ADA@X.org ada@x.ORG (743) 555-3824 +1 743 555 3824"
     new, spans = pii.replaced(text, b"k")

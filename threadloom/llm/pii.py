@@ -28,7 +28,7 @@ MAX_ATTEMPTS = 64
 
 _LOCAL = re.compile(r"[\w.%+-]{1,64}\Z")
 _DOMAIN = re.compile(r"(?:[^\W_](?:[\w-]{0,61}[^\W_])?\.){1,8}[^\W\d_]{2,24}(?![\w-])")
-_NUMBERS = re.compile(r"(?<![\w.@+(-])[+(]?\(?\d[\d ().:/-]{5,40}\d(?!\w)")
+_NUMBERS = re.compile(r"(?<![\w.@+(-])[+(]?\(?\d[\d ().:/-]{5,}\d(?!\w)")
 _PHONE = re.compile(r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[-. ]\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?!\d)")
 _CARD = re.compile(r"\d(?:[ -]?\d){12,18}(?!\d)")
 _SSN = re.compile(r"(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])")
