@@ -110,6 +110,16 @@ def test_long_lists_of_numbers(sep):
     assert not any(v in new for _, v in values)
 
 
+def test_long_secrets_are_replaced_whole():
+    rng = random.Random(2)
+    value, body = ("".join(rng.choice("abcXYZ0123456789") for _ in range(n)) for n in (5000, 60000))
+    text = f'token = "{value}" -----BEGIN PRIVATE KEY-----\n{body} \n-----END PRIVATE KEY-----'
+    new, spans = pii.replaced(text, b"k")
+    assert [text[a:b] for a, b, *_ in spans] == [value, body] and value[-50:] not in new and body[-50:] not in new
+    assert new.startswith('token = "') and new.endswith(" \n-----END PRIVATE KEY-----")
+    assert pii.find("-----BEGIN PRIVATE KEY-----" + " " * 200_000) == []
+
+
 def test_coreference_gender_and_script():
     text = "Ms. Ada Byron met Mr Charles BABBAGE. Byron (Ada) wrote; Госпожа Анна Иванова и Анна. ADA@X.org ada@x.ORG (743) 555-3824 +1 743 555 3824"
     new, spans = pii.replaced(text, b"k")

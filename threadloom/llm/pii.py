@@ -39,8 +39,8 @@ _TOKENS = re.compile(
     r"(?<!\w)(?:A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk[-_][A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[\w-]{35}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})(?!\w)"
 )
 _TOKEN_SIGNS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "sk_", "xox", "AIza", "eyJ")
-_ASSIGNED = re.compile(r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"'<>,;]{8,200})", re.I)
-_PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----\s*([A-Za-z0-9+/=\s]{16,20000}?)\s*-----END [A-Z ]*PRIVATE KEY-----")
+_ASSIGNED = re.compile(r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"'<>,;]{8,})", re.I)
+_PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----\s*+([A-Za-z0-9+/=\s]{16,}+)-----END [A-Z ]*PRIVATE KEY-----")
 #: Titles and the gender they tell: m, f or n.  Fixed values.
 TITLES = {
     "Mr": "m", "Mister": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "n", "Prof": "n",
@@ -141,7 +141,9 @@ def find(text: str) -> list[Span]:
     if "=" in text or ":" in text:
         found.extend((*m.span(1), "secret", m.group(1)) for m in _ASSIGNED.finditer(text) if any(c.isdigit() for c in m.group(1)))
     if "PRIVATE KEY" in text:
-        found.extend((*m.span(1), "secret", m.group(1)) for m in _PEM.finditer(text))
+        for m in _PEM.finditer(text):
+            body = m.group(1).rstrip()
+            found.append((m.start(1), m.start(1) + len(body), "secret", body))
     found.extend(_persons(text))
     found.sort(key=lambda s: (s[0], -s[1]))
     out, end = [], 0
