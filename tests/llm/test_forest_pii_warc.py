@@ -140,6 +140,14 @@ def test_collisions_are_resolved(spark):
     assert len({r.surrogate for r in got}) == 60 and not {r.surrogate for r in got} & {r.value for r in got} and max(r.attempt for r in got) > 0
 
 
+def test_collisions_across_kinds_are_resolved(spark):
+    rows = [(k, f"{v}") for k in ("given m latin", "family m latin", "family f latin") for v in range(20)] + [("given n greek", "βαβοσ")]
+    f = spark.createDataFrame(rows, "kind string, value string")
+    draw = lambda k, v, n, key: f"{v} {n} {k}" if n > 1 else ("βαβος" if v == "3" else f"same {v}" if n == 0 else "7")
+    got = pii.assigned(f, draw=draw).collect()
+    assert len(got) == len({r.surrogate for r in got}) == 61 and not {r.surrogate.replace("ς", "σ") for r in got} & {v for _, v in rows}
+
+
 def test_later_attempts_reach_the_documents(spark, monkeypatch):
     rows = [(1, "call +1 (743) 555-3824"), (2, "or +1 (743) 555-3825"), (2, "or +1 (743) 555-3825"), (3, None), (None, "+1 (743) 555-3824"), (4, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit(1)).withColumn("kind", F.lit("x"))

@@ -313,8 +313,13 @@ def values(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_hash long, kind string, value string")
 
 
+def _compared(column: str):
+    """Values are case-folded, which turns a final sigma into a plain one; surrogates are not."""
+    return F.translate(column, "ς", "σ")
+
+
 def assigned(found: DataFrame, key: bytes = KEY, draw=surrogate) -> DataFrame:
-    """``kind, value, attempt, surrogate`` for distinct ``kind, value`` rows, without collisions."""
+    """``kind, value, attempt, surrogate`` for distinct ``kind, value`` rows, without collisions within or across kinds."""
 
     def drawn(rows: DataFrame) -> DataFrame:
         def run(batches):
@@ -329,10 +334,12 @@ def assigned(found: DataFrame, key: bytes = KEY, draw=surrogate) -> DataFrame:
 
     now = common.staged(drawn(found.withColumn("attempt", F.lit(0))))
     for _ in range(MAX_ATTEMPTS):
-        twice = now.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "value")).alias("winner"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        losers = now.join(twice, ["kind", "surrogate"]).where(~((F.col("attempt") == F.col("winner.attempt")) & (F.col("value") == F.col("winner.value")))).select("kind", "value")
-        real = now.select("kind", F.col("value").alias("surrogate"))
-        taken = now.join(real, ["kind", "surrogate"], "left_semi").select("kind", "value")
+        # Over all kinds: two persons of different roles or genders are not to share a name either.
+        drawn_as = now.withColumn("as", _compared("surrogate"))
+        twice = drawn_as.groupBy("as").agg(F.min(F.struct("attempt", "kind", "value")).alias("winner"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        losers = drawn_as.join(twice, "as").where(F.struct("attempt", "kind", "value") != F.col("winner")).select("kind", "value")
+        real = now.select(_compared("value").alias("as"))
+        taken = drawn_as.join(real, "as", "left_semi").select("kind", "value")
         again = common.staged(losers.union(taken).distinct().withColumn("lost", F.lit(True)))
         if again.isEmpty():
             return now
