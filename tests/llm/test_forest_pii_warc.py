@@ -133,6 +133,22 @@ def test_coreference_gender_and_script():
     assert pii.replaced(text, b"other")[0] != new and pii.replaced(text, b"k")[0] == new
 
 
+@pytest.mark.parametrize("kind,value", [("ip6", "2001:470:1:18::119"), ("ip6", "2001:470:1:18:0:0:0:119"), ("card", "2223003122003222"), ("card", "2720 9900 0000 0007")])
+def test_numeric_addresses_and_cards_of_the_2_series(kind, value):
+    text = f"Say {value}, or not."
+    assert [(s[2], text[s[0] : s[1]]) for s in pii.find(text)] == [(kind, value)]
+    new, _ = pii.replaced(text, b"k")
+    assert value not in new and [s[2] for s in pii.find(new)] == [kind]
+
+
+def test_names_in_any_case():
+    text = "Ms. Ada Byron. BYRON wrote, byron said, ADA! Herr Jörg Weiß, JÖRG weiß; İan"
+    new, spans = pii.replaced(text, b"k")
+    at = {text[a:b]: s for a, b, _, s in spans}
+    assert set(at) == {"Ada", "Byron", "BYRON", "byron", "ADA", "Jörg", "Weiß", "JÖRG", "weiß"}
+    assert at["BYRON"] == at["Byron"].upper() and at["byron"] == at["Byron"].lower() and at["weiß"] == at["Weiß"].lower()
+
+
 def test_collisions_are_resolved(spark):
     f = spark.createDataFrame([("ssn", str(i)) for i in range(60)], "kind string, value string")
     draw = lambda k, v, n, key: str(int(hashlib.md5(f"{v},{n}".encode()).hexdigest(), 16) % 97 + (30 if n < 3 else 1000 * n))

@@ -94,7 +94,7 @@ def _numbers(text: str) -> Iterator[Span]:
                         continue
                     yield at, m.end(), kind, "+" + d if got[0] == "+" else "+1" + d
                 elif kind == "card":
-                    if d[0] not in "3456" or not luhn(d):
+                    if not (d[0] in "3456" or len(d) == 16 and "2221" <= d[:4] <= "2720") or not luhn(d):
                         continue
                     yield at, m.end(), kind, d
                 else:
@@ -132,7 +132,7 @@ def find(text: str) -> list[Span]:
             parts = re.split("[:-]", s)
             if len(parts) == 6 and all(len(p) == 2 for p in parts):
                 found.append((*m.span(), "mac", "".join(parts)))
-            elif "-" not in s and (s.count(":") == 7 and "::" not in s or s.count("::") == 1 and s.count(":") <= 7) and any(c in s for c in "abcdef"):
+            elif "-" not in s and (s.count(":") == 7 and "::" not in s or s.count("::") == 1 and s.count(":") <= 7):
                 head, _, tail = s.partition("::")
                 a, b = head.split(":"), tail.split(":") if tail else []
                 found.append((*m.span(), "ip6", ":".join(p.zfill(4) for p in a + ["0"] * (8 - len(a) - len(b)) + b)))
@@ -156,15 +156,19 @@ def find(text: str) -> list[Span]:
 
 def _persons(text: str) -> Iterator[Span]:
     kinds: dict[str, str] = {}
+    seen = set()
     for m in _PERSON.finditer(text):
         gender, names = TITLES[m.group(1)], m.group(2).split(" ")
         for k, name in enumerate(names):
             what = "family" if k == len(names) - 1 else "given"
-            kinds.setdefault(name, f"{what} {gender} {script(name)}")
+            kinds.setdefault(name.casefold(), f"{what} {gender} {script(name)}")
+            seen.add(name)
     if kinds:
-        anywhere = re.compile(r"(?<!\w)(" + "|".join(re.escape(n) for n in sorted(kinds, key=lambda n: (-len(n), n))) + r")(?!\w)")
+        anywhere = re.compile(r"(?<!\w)(" + "|".join(re.escape(n) for n in sorted(seen, key=lambda n: (-len(n), n))) + r")(?!\w)", re.I)
         for m in anywhere.finditer(text):
-            yield *m.span(), kinds[m.group()], m.group().casefold()
+            # The pattern also takes a dotted capital I for an i, which is another letter.
+            if (name := m.group().casefold()) in kinds:
+                yield *m.span(), kinds[name], name
 
 
 class Draw:
@@ -221,7 +225,8 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes) -> str:
             out += d.of("23456789") if code == 1 and k in (0, 3) else d.of("0123456789")
         return "+" + out
     if kind == "card":
-        body = value[0] + "".join(d.of("0123456789") for _ in value[2:])
+        head = str(2221 + d.below(500)) if value[0] == "2" else value[0]
+        body = head + "".join(d.of("0123456789") for _ in value[len(head) + 1 :])
         if not luhn(value):
             return body + d.of("0123456789")
         return next(body + c for c in "0123456789" if luhn(body + c))
@@ -272,6 +277,8 @@ def written(mention: str, kind: str, new: str) -> str:
         return new
     if kind == "ip6":
         return new.upper() if mention.upper() == mention else new
+    if mention.islower():
+        return new
     return new.upper() if mention.isupper() and len(mention) > 1 else new[:1].upper() + new[1:]
 
 
