@@ -43,23 +43,33 @@ def _months_back(at: datetime, n: int) -> datetime:
     raise ValueError
 
 
+#: What a time before now may be called: calendar steps as (months, days), and units of an amount in seconds.
+STEPS = {"day": (0, 1), "week": (0, 7), "month": (1, 0), "year": (12, 0)}
+UNITS = {"m": 60, "h": 3_600, "d": 86_400, "w": 604_800}
+_AMOUNT = re.compile(r"(?P<count>\d[\d.]*(?:e[+-]?\d+)?)(?P<unit>[" + "".join(UNITS) + "])")
+
+
+def _seconds(amount: str) -> float | None:
+    m = _AMOUNT.fullmatch(amount)
+    n = float(m["count"]) * UNITS[m["unit"]] if m else math.nan
+    return n if math.isfinite(n) else None
+
+
+def _instant(written: str, now: datetime, end_of_day: bool) -> datetime:
+    if (step := STEPS.get(written.lower())) is not None:
+        return _months_back(now - timedelta(days=step[1]), step[0])
+    if (ago := _seconds(written.lower())) is not None:
+        return now - timedelta(seconds=ago)
+    at = datetime.fromisoformat(written)
+    bare = re.fullmatch(r"\d{4}(?:-\d\d){2}", written)
+    return at.replace(hour=23, minute=59, second=59, microsecond=999_999) if bare and end_of_day else at
+
+
 def time_bound(value: str | None, lower: bool, now: datetime) -> datetime | None:
     """A time before ``now`` (``7d``, ``month``) or a date; an upper bound of a bare date is that day's last instant."""
-    if not value or not value.strip():
-        return None
-    v = value.strip().lower()
+    written = (value or "").strip()
     try:
-        if v in ("day", "week"):
-            return now - timedelta(days=1 if v == "day" else 7)
-        if v in ("month", "year"):
-            return _months_back(now, 1 if v == "month" else 12)
-        m = re.fullmatch(r"(\d[\d.]*(?:e[+-]?\d+)?)([dhmw])", v)
-        if m and math.isfinite(n := float(m.group(1))):
-            return now - timedelta(**{{"d": "days", "h": "hours", "m": "minutes", "w": "weeks"}[m.group(2)]: n})
-        parsed = datetime.fromisoformat(value.strip())
-        if not lower and re.fullmatch(r"\d{4}-\d\d-\d\d", v):
-            return parsed + timedelta(days=1) - timedelta(microseconds=1)
-        return parsed
+        return _instant(written, now, not lower) if written else None
     except (ValueError, OverflowError):
         raise UsageError(f"{value!r} is neither a date nor a duration: try 2026-01-31, 7d, 12h, 30m, week or month") from None
 
@@ -109,64 +119,78 @@ class BrowseQuery:
     tags: tuple[str, ...] = field(default=())
 
 
-def _facets(text: str):
-    """(raw token, field or None, value) for each token; quotes hold blanks."""
-    for raw in re.findall(r'(?:\\"|"(?:\\"|[^"])*(?:"|$)|[^\s"])+', text):
-        name, colon, value = raw.partition(":")
-        if colon and name.lower() in FIELDS:
-            yield raw, name.lower(), value.strip('"')
-        else:
-            yield raw, None, raw
+@dataclass(frozen=True)
+class Part:
+    """A blank-separated part of a query: as typed, and what it says of a field (none: it is search text)."""
+
+    typed: str
+    field: str = ""
+    keep: bool = True
+    value: str = ""
+
+
+_PART = re.compile(r'(?:\\"|"(?:\\"|[^"])*(?:"|$)|[^\s"])+')
+#: What a field is about; ``-`` before it may turn it round if it is about sources.
+_ABOUT = {"provider": "providers", "source": "providers", "last": "since", "repo": "repository", "tag": "tags"} | {f: f for f in ("since", "until", "sort", "group", "agent", "model")}
+
+
+def parts(text: str) -> list[Part]:
+    """A query cut at blanks outside of quotes."""
+    out = []
+    for typed in _PART.findall(text):
+        name, _, value = typed.partition(":")
+        known = len(name) < len(typed) and name.lower() in FIELDS
+        out.append(Part(typed, name.lower().removeprefix("-"), name[0] != "-", value.strip('"')) if known else Part(typed))
+    return out
+
+
+def _chosen_sources(said: list[Part], known: list[str], now: datetime) -> tuple[str, ...]:
+    asked = {keep: [p.value for p in said if p.keep is keep] for keep in (True, False)}
+    if any(v.lower() == "none" for v in asked[True]):
+        return ()
+    left_out = frozenset(sources(asked[False], known) if asked[False] else ())
+    return tuple(s for s in sources(asked[True], known) if s not in left_out)
+
+
+def _word_of(words: dict[str, str]):
+    def read(said: list[Part], known: list[str], now: datetime) -> str:
+        for p in said:
+            if p.value.lower() not in words:
+                raise UsageError(f"{p.field} {p.value!r} is unknown: use {', '.join(sorted(set(words.values())))}")
+        return words[said[-1].value.lower()]
+
+    return read
+
+
+#: How what was said of a matter becomes an attribute of the query.  Of single values the last one counts.
+_READ = {
+    "providers": _chosen_sources,
+    "since": lambda said, known, now: [time_bound(p.value, True, now) for p in said][-1],
+    "until": lambda said, known, now: [time_bound(p.value, False, now) for p in said][-1],
+    "sort": _word_of(BROWSE_SORTS),
+    "group": _word_of(GROUPS),
+    "tags": lambda said, known, now: tuple(p.value.lstrip("#") for p in said),
+}
 
 
 def browse(text: str, known: list[str], now: datetime) -> BrowseQuery:
     """A browser's query: facets by name, all else search text."""
-    rest, inside, outside, tags, none = [], [], [], [], False
-    chosen: dict[str, object] = {}
-
-    def one_of(names: dict[str, str], name: str, value: str) -> str:
-        try:
-            return names[value.lower()]
-        except KeyError:
-            raise UsageError(f"{name}: expects {', '.join(sorted(set(names)))}") from None
-
-    for raw, name, value in _facets(text):
-        if name is None:
-            rest.append(raw)
-        elif not value:
-            raise UsageError(f"{name}: needs a value")
-        elif name in ("provider", "source"):
-            chosen["named"] = True
-            if value.lower() == "none":
-                none = True
-            else:
-                inside.append(value)
-        elif name in ("-provider", "-source"):
-            outside.append(value)
-        elif name in ("since", "last"):
-            chosen["since"] = time_bound(value, True, now)
-        elif name == "until":
-            chosen["until"] = time_bound(value, False, now)
-        elif name == "sort":
-            chosen["sort"] = one_of(BROWSE_SORTS, name, value)
-        elif name == "group":
-            chosen["group"] = one_of(GROUPS, name, value)
-        elif name == "tag":
-            tags.append(value.lstrip("#"))
-        else:
-            chosen["repository" if name == "repo" else name] = value
-    if chosen.pop("named", False) or outside:
-        gone = set(sources(outside, known)) if outside else set()
-        chosen["providers"] = () if none else tuple(s for s in sources(inside, known) if s not in gone)
-    since, until = chosen.get("since"), chosen.get("until")
-    if since and until and since > until:
-        raise UsageError("since: must be earlier than until:")
-    return BrowseQuery(text=" ".join(rest), tags=tuple(tags), **chosen)
+    said: dict[str, list[Part]] = {}
+    for p in (found := parts(text)):
+        if p.field and not p.value:
+            raise UsageError(f"nothing follows {p.typed!r}: give a value, as in {p.field}:x")
+        said.setdefault(_ABOUT.get(p.field, "text"), []).append(p)
+    plain = lambda some, known, now: some[-1].value
+    got = {about: _READ.get(about, plain)(some, known, now) for about, some in said.items() if about != "text"}
+    if got.get("since") and got.get("until") and got["until"] < got["since"]:
+        raise UsageError("the time ends before it begins: no session can be since one and until the other")
+    return BrowseQuery(text=" ".join(p.typed for p in found if not p.field), **got)
 
 
 def without_facets(text: str, *fields: str) -> str:
-    """The text without the named facets, or without any."""
-    return " ".join(raw for raw, name, _ in _facets(text) if name is None or (fields and name not in fields))
+    """The text without the named facets (a leading ``-`` names the negated ones), or without any."""
+    gone = set(fields or FIELDS)
+    return " ".join(p.typed for p in parts(text) if (p.field if p.keep else "-" + p.field) not in gone)
 
 
 def merged(base: SessionFilter, typed: BrowseQuery) -> SessionFilter:
