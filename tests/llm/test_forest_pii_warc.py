@@ -15,47 +15,95 @@ from pyspark.sql import functions as F
 from threadloom.llm import common, forest, pii, warc
 
 
+def check_neighbours(got, ids, x, least=0.9):
+    """Every score exact, ranks and order right, and so many of the true neighbours found."""
+    by_query = {}
+    for r in got:
+        by_query.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    place, hit, asked = {v: i for i, v in enumerate(ids.tolist())}, 0, [i for i, v in enumerate(ids.tolist()) if v % 100 == 0]
+    assert set(by_query) == {int(ids[i]) for i in asked}
+    for i in asked:
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        d[i] = np.inf
+        found = sorted(by_query[ids[i]])
+        assert [r for r, _, _ in found] == list(range(1, 11)) and all(s == d[place[v]] for _, v, s in found)
+        assert [(s, v) for _, v, s in found] == sorted((s, v) for _, v, s in found)
+        hit += len({v for _, v, _ in found} & set(ids[np.lexsort((ids, d))[:10]].tolist()))
+    assert hit >= least * 10 * len(asked)
+
+
 def test_recall_on_clusters(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(12, 32))
     x = centres[rng.integers(0, 12, 3000)] + rng.normal(scale=0.6, size=(3000, 32))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    x = x.astype(np.float32).astype(np.float64)
-    got = {}
-    for r in forest.nearest(df, df.where("vec_id % 100 = 0"), candidates=200, block_rows=1000).collect():
-        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    hit = 0
-    for q in range(0, 3000, 100):
-        d = np.sqrt(((x - x[q]) ** 2).sum(1))
-        d[q] = np.inf
-        found = sorted(got[q])
-        assert [r for r, _, _ in found] == list(range(1, 11)) and all(s == d[v] for _, v, s in found)
-        assert [s for *_, s in found] == sorted(s for *_, s in found)
-        hit += len({v for _, v, _ in found} & set(np.lexsort((np.arange(3000), d))[:10].tolist()))
-    assert hit >= 0.9 * 300
+    check_neighbours(forest.nearest(df, df.where("vec_id % 100 = 0")).collect(), np.arange(3000), x.astype(np.float32).astype(np.float64))
+
+
+@pytest.mark.parametrize("name", ["sf0.01", "sf0.1"])
+def test_op2_recall_on_tables(spark, name):
+    d = f"/root/testdata/{name}"
+    rows = common.table(spark, d, "embeddings").where(forest.usable()).collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    check_neighbours(forest.op2(spark, d).collect(), ids, x)
+
+
+def test_op2_recall_and_share_on_50000(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(50_000, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.float32()))
+    pq.write_table(pa.table({"vec_id": pa.array(np.arange(50_000)), "embedding": flat}), tmp_path / "embeddings.parquet")
+    check_neighbours(forest.op2(spark, str(tmp_path)).collect(), np.arange(50_000), x.astype(float))
+    df, report = common.table(spark, str(tmp_path), "embeddings"), []
+    forest.nearest(df, df.where("vec_id % 100 = 0"), report=report)
+    length, _, queries, pairs, _ = report[0]
+    assert length >= 2 and queries == 500 and sum(r[3] for r in report) < 0.2 * 500 * 50_000
 
 
 def test_copies_ties_and_bad_vectors(spark):
     rows = [(0, [1.0, 0.0]), (100, [1.0, 0.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0]), (4, None), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [1.0, None]), (8, [1.0, 2.0, 3.0]), (9, [0.0, 2.0]), (10, [float("inf"), 1.0]), (11, []), (None, [1.0, 1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("block", F.lit(1)).withColumn("rank", F.lit(2))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("part", F.lit(1)).withColumn("rank", F.lit(2)).withColumn("member", F.lit(2))
     got = sorted((r.query_id, r["rank"], r.vec_id) for r in forest.nearest(df, df.where("vec_id % 100 = 0")).collect())
     assert got == [(0, 1, 3), (0, 2, 100), (0, 3, 9), (100, 1, 0), (100, 2, 3), (100, 3, 9)]
     many = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(300)], "vec_id long, embedding array<float>")
-    got = sorted((r.query_id, r["rank"], r.vec_id) for r in forest.nearest(many, many.where("vec_id = 5"), block_rows=64).collect())
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in forest.nearest(many, many.where("vec_id = 5")).collect())
     assert [v for _, _, v in got] == [0, 1, 2, 3, 4, 6, 7, 8, 9, 10]
-    assert forest.nearest(df.limit(0), df).count() == 0
+    assert forest.nearest(df.limit(0), df).count() == 0 and forest.nearest(df, df.limit(0)).count() == 0
+    twice = spark.createDataFrame([(0, [0.0, 1.0]), (1, [0.0, 3.0]), (1, [0.0, 2.0]), (2, [0.0, 2.5])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in forest.nearest(twice, twice.where("vec_id = 0")).orderBy("rank").collect()] == [(1, 1.0), (2, 1.5)]
+
+
+def test_a_third_of_all_rows_in_one_cluster(spark):
+    """Near copies share their prefixes in every tree; what is found is right, and the prefix is spread."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 16))
+    x[::3] = x[0] + rng.normal(scale=1e-3, size=(2000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    report = []
+    check_neighbours(forest.nearest(df, df.where("vec_id % 100 = 0"), report=report).collect(), np.arange(6000), x)
+    assert report[0][4].heavy
 
 
-def test_forest_levels():
+def test_cheapest_prefixes():
+    """The prefixes of a query are the cheapest of all combinations of corners, its own first."""
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(700, 16))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    f = forest.Forest(x)
-    few = [len(c) for c in f.candidates(x[:20], enough=20, least=1)]
-    many = [len(c) for c in f.candidates(x[:20], enough=400, least=1)]
-    assert sum(few) < sum(many) and all(i in c for i, c in enumerate(f.candidates(x[:20], enough=20, least=1)))
-    with_none = list(f.candidates(x[:3], enough=20, least=10**6))
-    assert with_none == [None] * 3
+    shape, unit = forest.Shape(4, 2, 3), forest._unit(rng.normal(size=(5, 4)))
+    got = shape.probes(unit, 1, 2, 9)
+    assert (got[:, 0] == shape.keys(unit, 1) >> shape.shift(2)).all()
+    for i in range(5):
+        price = []
+        for s in range(2):
+            y = unit[i] @ forest.rotations(4, 2, 3)[1, s]
+            both = np.stack([y, -y], 1).ravel()
+            price.append((both.max() - both) ** 2)
+        every = sorted((float(price[0][a] + price[1][b]), a << shape.bits | b) for a in range(8) for b in range(8))
+        assert set(got[i].tolist()) == {k for _, k in every[:9]}
+    few = shape.probes(unit, 0, 1, 100)
+    assert few.shape == (5, 8) and [x for x, _ in shape.ladder()] == sorted((x for x, _ in shape.ladder()), reverse=True)
 
 
 FOUND = {
