@@ -550,7 +550,8 @@ def compared(rows: DataFrame, queries: DataFrame, pairs: DataFrame | None, dim:
 def _search(rows: DataFrame, queries: DataFrame, dim: int, count: int, recall: float, report: list | None) -> DataFrame:
     """``query_id, vec_id, score`` of parts' best, for vectors of ``dim`` components."""
     shape, plan = Shape(dim), fit(rows, queries, dim, count, recall)
-    parts = max(1, -(-plan.rows // VECTOR_ROWS))
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(spread, -(-plan.rows // 2048)), -(-plan.rows // VECTOR_ROWS))
     left, asked, out = queries, queries.count(), []
     for rung in range(plan.rung, len(shape.ladder()), RUNGS) if plan.rung is not None else ():
         pairs = common.staged(candidates(rows, left, shape, plan, rung, parts))
