@@ -90,6 +90,82 @@ def test_no_padding_and_high_fill(spark, enc):
     assert sum(n == 4096 for n in fill.values()) >= sum(fill.values()) // 4096
 
 
+def _packed(lengths, limits=packing.Limits(), loss=lambda row, start, n: n - (start == 0 < n)):
+    p = packing.Packer(limits, loss)
+    done, rest = p.pack([x for row, n in enumerate(lengths) for x in p.pieces(row, n)], True)
+    assert not rest
+    ranges = {}
+    for s in done:
+        assert sum(x.length for x in s) <= limits.tokens and len(s) <= limits.segments and sum(x.loss for x in s) <= limits.loss
+        assert all(x.loss == loss(x.row, x.start, x.length) and x.length > 0 for x in s)
+        for x in s:
+            ranges.setdefault(x.row, []).append((x.start, x.length))
+    for row, n in enumerate(lengths):
+        at = 0
+        for start, length in sorted(ranges[row]):
+            assert start == at
+            at += length
+        assert at == n
+    return done
+
+
+@pytest.mark.parametrize("lengths", [[20] * 100_000, [3] * 20_000, [1] * 100_000, [1 + 7 * k % 4200 for k in range(900)], [4096] * 9, [9000, 1, 1, 8192]])
+def test_many_short_pieces_pack_fast_and_without_padding(lengths):
+    import time
+
+    began = time.perf_counter()
+    done = _packed(lengths)
+    assert time.perf_counter() - began < 20  # a scan of all waiting pieces for each would take minutes
+    sizes = [sum(x.length for x in s) for s in done]
+    assert all(n == 4096 or n & (n - 1) == 0 for n in sizes)
+    assert len(sizes) <= sum(lengths) / min(4096, 128 * min(lengths)) + 64
+
+
+def test_a_class_taken_at_once_is_what_single_picks_would_take():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        limits = packing.Limits(*(int(x) for x in (rng.integers(50, 200), rng.integers(2, 12), rng.integers(30, 150))))
+        share = rng.uniform(0.2, 1, 400)
+        loss = lambda row, start, n: int((start + n) * share[row]) - int(start * share[row])
+        lengths = rng.choice([2, 5, 11, 40], 200).tolist()
+        fast = _packed(lengths, limits, loss)
+        single = packing.Classes.times
+        packing.Classes.times = lambda self, k, free, scarce: 1
+        try:
+            slow = _packed(lengths, limits, loss)
+        finally:
+            packing.Classes.times = single
+        assert [sorted((x.length, x.loss) for x in s) for s in fast] == [sorted((x.length, x.loss) for x in s) for s in slow]
+
+
+def test_limits_below_one_are_refused():
+    with pytest.raises(ValueError):
+        packing.Limits(loss=0)
+
+
+def test_op1_gives_every_id_once(spark, sf_dir, enc):
+    """Ids, places and digests of all documents of a table against the library's own encoding."""
+    docs = {r.doc_id: enc.whole([r.text or ""])[0] + (2).to_bytes(4, "little") for r in common.table(spark, sf_dir, "documents").collect()}
+    rows = packing.op1(spark, sf_dir).collect()
+    pieces, sequences = {}, {}
+    for r in rows:
+        pieces.setdefault(r.doc_id, []).append(r)
+        sequences.setdefault(r.sequence_id, []).append(r)
+    assert set(pieces) == set(docs)
+    for doc, ids in docs.items():
+        at = 0
+        for r in sorted(pieces[doc], key=lambda r: r.start):
+            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(ids) // 4, zlib.crc32(ids[4 * at : 4 * (at + r.length)]))
+            at += r.length
+        assert at == len(ids) // 4
+    for some in sequences.values():
+        at = 0
+        for r in sorted(some, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at == 4096 or at < 4096 and at & (at - 1) == 0
+
+
 def test_shards(spark, enc, tmp_path):
     d = _docs(spark)
     m = sstable.write(d, f"file://{tmp_path}/a", shard_bytes=1)

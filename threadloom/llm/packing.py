@@ -4,7 +4,10 @@ Every example asks for three things at once: tokens, one segment, and loss-beari
 limit on each.  Sequences are filled one after another.  Of the waiting pieces that fit, the one is taken
 whose demand has the largest dot product with what the sequence has left, both as shares of the limits and
 weighted by how scarce each resource is among the waiting pieces (Panigrahy et al., 2011).  If none fits
-and pieces may be cut, the best one is cut to fill the rest.
+and pieces may be cut, the best one is cut to fill the rest.  Pieces of equal demand are one class with a number, and a
+class is taken as often at once as it would be chosen in a row, so the work follows the different demands
+and not the pieces.  Of a sequence that is closed before it has all its tokens the largest power of two stays, which needs no
+padding; the rest waits again.
 
 Each task packs the rows of its own input split, so nothing is shuffled and the result of a retried task is
 the same; a sequence's id holds the task's partition in its high bits.
@@ -12,6 +15,7 @@ the same; a sequence's id holds the task's partition in its high bits.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,8 +26,9 @@ from . import common, tokens
 
 MAX_TOKENS = 4096
 MAX_SEGMENTS = 256
-#: Tokens that wait in a task before they are packed: bounds its memory.
+#: Tokens that wait in a task before they are packed, a row counting for some at least: bounds its memory.
 BUFFER_TOKENS = 2_000_000
+ROW_TOKENS = 16
 END_ID = 2
 PIECE_SCHEMA = (
     "doc_id long, start long, length long, doc_tokens long, loss_tokens long, sequence_id long, offset long, segment int, ids binary"
@@ -36,8 +41,12 @@ class Limits:
     segments: int = MAX_SEGMENTS
     loss: int = MAX_TOKENS
 
+    def __post_init__(self):
+        if min(self.tokens, self.segments, self.loss) < 1:
+            raise ValueError("every limit must be at least 1")
 
-@dataclass
+
+@dataclass(slots=True)
 class Piece:
     row: int
     start: int
@@ -45,11 +54,92 @@ class Piece:
     loss: int
 
 
+class Classes:
+    """Waiting pieces by their demand (tokens, segments, loss-bearing tokens)."""
+
+    def __init__(self, limits):
+        import numpy as np
+
+        self.limits = limits
+        self.need = np.zeros((64, 3), np.int64)
+        self.count = np.zeros(64, np.int64)
+        self.held: list[deque[Piece]] = []
+        self.slot: dict[tuple[int, int], int] = {}
+        self.pieces = self.tokens = 0
+
+    def add(self, p: Piece) -> None:
+        import numpy as np
+
+        k = self.slot.get((p.length, p.loss))
+        if k is None:
+            k = self.slot[p.length, p.loss] = len(self.held)
+            self.held.append(deque())
+            if k == len(self.need):
+                self.need, self.count = np.concatenate([self.need, np.zeros_like(self.need)]), np.concatenate([self.count, np.zeros_like(self.count)])
+            self.need[k] = p.length, 1, p.loss
+        self.held[k].append(p)
+        self.count[k] += 1
+        self.pieces += 1
+        self.tokens += p.length
+
+    def scarcity(self):
+        """The mean share of each limit that the waiting pieces ask for; classes that ran out are forgotten."""
+        import numpy as np
+
+        live = np.flatnonzero(self.count[: len(self.held)])
+        if 2 * len(live) < len(self.held):
+            self.need[: len(live)], self.count[: len(live)] = self.need[live], self.count[live]
+            self.count[len(live) :] = 0
+            self.held = [self.held[k] for k in live]
+            self.slot = {(int(a), int(c)): k for k, (a, _, c) in enumerate(self.need[: len(live)])}
+        n = self.count[: len(self.held)]
+        return n @ (self.need[: len(self.held)] / self.limits) / n.sum()
+
+    def _scores(self, free, scarce):
+        return self.need[: len(self.held)] / self.limits * scarce @ (free / self.limits)
+
+    def best(self, free, scarce, whole: bool = True) -> int | None:
+        """The class of the largest dot product with what is left, of those that fit or of all."""
+        import numpy as np
+
+        fits = self.count[: len(self.held)] > 0
+        if whole:
+            fits &= (self.need[: len(self.held)] <= free).all(axis=1)
+        return int(np.argmax(np.where(fits, self._scores(free, scarce), -1.0))) if fits.any() else None
+
+    def times(self, k: int, free, scarce) -> int:
+        """How often in a row the class ``k`` would be chosen."""
+        import numpy as np
+
+        need = self.need[k]
+        most = min(int(self.count[k]), int((free[need > 0] // need[need > 0]).min()))
+        if most > 1:
+            # Each time a class's score falls by its product with what is taken; another overtakes where lines cross.
+            score, fall = self._scores(free, scarce), self._scores(need, scarce)
+            rival = (self.count[: len(self.held)] > 0) & (fall < fall[k])
+            if rival.any():
+                most = min(most, 1 + int(((score[k] - score[rival]) / (fall[k] - fall[rival])).min()))
+        return max(1, most)
+
+    def first(self, k: int) -> Piece:
+        return self.held[k][0]
+
+    def take(self, k: int, n: int) -> list[Piece]:
+        out = [self.held[k].popleft() for _ in range(n)]
+        self.count[k] -= n
+        self.pieces -= n
+        self.tokens -= int(n * self.need[k, 0])
+        return out
+
+    def rest(self) -> list[Piece]:
+        return [p for h in self.held for p in h]
+
+
 class Packer:
     """Packs pieces into sequences.  ``loss`` gives, for a row and a token range, its loss-bearing tokens."""
 
-    def __init__(self, limits: Limits, loss, cut: bool = True):
-        self.limits, self.loss, self.cut = limits, loss, cut
+    def __init__(self, limits: Limits, loss, cut: bool = True, trim: bool = True):
+        self.limits, self.loss, self.cut, self.trim = limits, loss, cut, trim
 
     def pieces(self, row: int, length: int) -> Iterator[Piece]:
         """A row's pieces, none beyond a limit on its own."""
@@ -71,80 +161,62 @@ class Packer:
         return low
 
     def pack(self, waiting: list[Piece], last: bool) -> tuple[list[list[Piece]], list[Piece]]:
-        """Full sequences, and the pieces left over (none if ``last``)."""
+        """Sequences, and the pieces left over (none if ``last``)."""
         import numpy as np
 
-        lim = np.array([self.limits.tokens, self.limits.segments, self.limits.loss], float)
-        full = [[p] for p in waiting if p.length == self.limits.tokens]
-        pool = [p for p in waiting if p.length < self.limits.tokens]
-        pool.sort(key=lambda p: (-p.length, p.row, p.start))
-        need = np.array([(p.length, 1, p.loss) for p in pool], float).reshape(-1, 3)
-        alive = np.ones(len(pool), bool)
-        left_tokens = need[:, 0].sum()
-        done = full
-        while alive.any():
-            if not last and left_tokens < 2 * self.limits.tokens:
-                break
-            # Rows sorted by length: those above the room can be skipped at once.
-            live = np.flatnonzero(alive)
-            need_l, scarce = need[live] / lim, None
-            scarce = need_l.mean(axis=0)
-            room, bin_, taken = np.ones(3), [], np.zeros(len(live), bool)
-            score_base = need_l * scarce
-            while not taken.all():
-                fits = ~taken & (need_l <= room + 1e-12).all(axis=1)
-                if not fits.any():
-                    break
-                k = int(np.argmax(np.where(fits, score_base @ room, -1.0)))
-                taken[k] = True
-                bin_.append(pool[live[k]])
-                room = room - need_l[k]
-            used = np.array([sum(p.length for p in bin_), len(bin_), sum(p.loss for p in bin_)])
-            free = lim.astype(int) - used
-            rest = live[~taken]
-            if self.cut and free[0] > 0 and free[1] > 0 and len(rest):
-                k = rest[int(np.argmax((need[rest] / lim * scarce) @ room))]
-                p = pool[k]
+        limits = np.array([self.limits.tokens, self.limits.segments, self.limits.loss])
+        done = [[p] for p in waiting if p.length == self.limits.tokens]
+        pool = Classes(limits)
+        for p in sorted((p for p in waiting if p.length < self.limits.tokens), key=lambda p: (-p.length, p.row, p.start)):
+            pool.add(p)
+        while pool.pieces and (last or pool.tokens >= 2 * self.limits.tokens):
+            scarce, free, sequence = pool.scarcity(), limits.copy(), []
+            while (k := pool.best(free, scarce)) is not None:
+                n = pool.times(k, free, scarce)
+                free -= n * pool.need[k]
+                sequence += pool.take(k, n)
+            if self.cut and free[0] > 0 and free[1] > 0 and pool.pieces:
+                k = pool.best(free, scarce, whole=False)
+                p = pool.first(k)
                 n = self.fitting(p.row, p.start, min(int(free[0]), p.length - 1), int(free[2]))
                 if n > 0:
-                    head = Piece(p.row, p.start, n, self.loss(p.row, p.start, n))
-                    tail = Piece(p.row, p.start + n, p.length - n, self.loss(p.row, p.start + n, p.length - n))
-                    bin_.append(head)
-                    pool[k] = tail
-                    need[k] = (tail.length, 1, tail.loss)
-            alive[live[taken]] = False
-            left_tokens = need[alive, 0].sum()
-            done.append(bin_)
-        return done, [pool[i] for i in np.flatnonzero(alive)]
-
-    def powers(self, seq: list[Piece]) -> list[list[Piece]]:
-        """Cuts a sequence that is not full into sequences whose lengths are powers of two, which need no padding."""
-        out, queue = [], list(seq)
-        total = sum(p.length for p in queue)
-        while total:
-            size = 1 << (total.bit_length() - 1)
-            now, room = [], size
-            while room:
-                p = queue.pop(0)
-                if p.length > room:
-                    queue.insert(0, Piece(p.row, p.start + room, p.length - room, self.loss(p.row, p.start + room, p.length - room)))
-                    p = Piece(p.row, p.start, room, self.loss(p.row, p.start, room))
-                now.append(p)
-                room -= p.length
-            out.append(now)
-            total -= size
-        return out
+                    pool.take(k, 1)
+                    sequence.append(Piece(p.row, p.start, n, self.loss(p.row, p.start, n)))
+                    pool.add(Piece(p.row, p.start + n, p.length - n, self.loss(p.row, p.start + n, p.length - n)))
+            if self.trim:
+                sequence, over = self.trimmed(sequence)
+                for p in over:
+                    pool.add(p)
+            done.append(sequence)
+        return done, pool.rest()
+
+    def trimmed(self, sequence: list[Piece]) -> tuple[list[Piece], list[Piece]]:
+        """A sequence that is not full cut to the largest power of two, which needs no padding, and what is over."""
+        total = sum(p.length for p in sequence)
+        room = total if total == self.limits.tokens else 1 << (total.bit_length() - 1)
+        kept, over = [], []
+        for p in sequence:
+            n = min(room, p.length)
+            if n:
+                kept.append(p if n == p.length else Piece(p.row, p.start, n, self.loss(p.row, p.start, n)))
+            if n < p.length:
+                over.append(p if not n else Piece(p.row, p.start + n, p.length - n, self.loss(p.row, p.start + n, p.length - n)))
+            room -= n
+        return kept, over
 
 
 def pack(
-    docs: DataFrame, vocabulary: str | None = None, limits: Limits = Limits(), end_id: int = END_ID, mask: str | None = None
+    docs: DataFrame, vocabulary: str | None = None, limits: Limits = Limits(), end_id: int = END_ID, mask: str | None = None, trim: bool | None = None
 ) -> DataFrame:
     """Encodes ``doc_id, text`` rows and packs them into sequences; one row per piece, with its ids as bytes.
 
     A null text is empty, an empty text still has the end id, a null doc_id stays null and repeated rows are
     packed as often as they come.  Very long texts are cut into pieces.  Other columns are not read.
     ``mask`` names an array<int> column of alternating run lengths (not bearing loss, bearing loss, ...) in
-    tokens, for instruction data; without it every token bears loss.  An empty table gives no rows.
+    tokens, for instruction data; without it every token bears loss but a document's first, which nothing
+    precedes.  An empty table gives no rows.
+    ``trim`` cuts sequences that are closed early to powers of two.  Without it, which is the default with a mask, examples
+    are cut only where they fill a sequence, and short sequences are padded.
     """
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text")]
     if mask:
@@ -166,9 +238,9 @@ def pack(
 
         def loss(row, start, n):
             c = bearing.get(row)
-            return n if c is None else int(c[start + n] - c[start])
+            return n - (start == 0 < n) if c is None else int(c[start + n] - c[start])
 
-        packer = Packer(limits, loss)
+        packer = Packer(limits, loss, trim=not mask if trim is None else trim)
 
         def emit(sequences):
             nonlocal sequence
@@ -198,7 +270,7 @@ def pack(
                         flags = np.concatenate([flags, np.full(n - len(flags), flags[-1] if len(flags) else 1)])
                         bearing[n_row] = np.concatenate([[0], np.cumsum(flags)])
                     waiting.extend(packer.pieces(n_row, n))
-                    held += n
+                    held += max(n, ROW_TOKENS)
                     n_row += 1
                 if held >= BUFFER_TOKENS:
                     done, waiting = packer.pack(waiting, False)
@@ -206,11 +278,8 @@ def pack(
                     keep = {p.row for p in waiting}
                     ids, rows = {k: v for k, v in ids.items() if k in keep}, {k: v for k, v in rows.items() if k in keep}
                     bearing = {k: v for k, v in bearing.items() if k in keep}
-                    held = sum(p.length for p in waiting)
-        done, _ = packer.pack(waiting, True)
-        # The last sequence is short only for want of pieces.
-        short = [done.pop()] if done and sum(p.length for p in done[-1]) < limits.tokens else []
-        yield emit(done + [s for last in short for s in packer.powers(last)])
+                    held = sum(max(p.length, ROW_TOKENS) for p in waiting)
+        yield emit(packer.pack(waiting, True)[0])
 
     return docs.select(*columns).mapInArrow(run, PIECE_SCHEMA)
 
