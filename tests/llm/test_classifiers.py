@@ -128,3 +128,45 @@ def test_scoring_odd_rows(spark, toxic):
     rows = toxicity.scored(df, toxic).collect()
     assert len(rows) == 5 and {r.doc_id: r.score > 0.5 for r in rows} == {1: False, 2: False, None: True, 3: False}
     assert toxicity.scored(df.limit(0), toxic).count() == 0
+
+
+def test_an_empty_text_scores_by_the_bias(toxic):
+    table, bias = toxic.table()
+    assert toxicity.score(["", None, " \t"], table, bias) == pytest.approx([1 / (1 + np.exp(-bias))] * 3) and bias < 0
+    assert toxicity.score([""], table, 1.0)[0] == pytest.approx(1 / (1 + np.exp(-1.0)))
+
+
+def test_toxicity_on_held_out_rows(spark):
+    """The query on a table whose held-out labels no choice was made by."""
+    d = "/root/testdata/sf0.1"
+    got = toxicity.op5(spark, d).join(common.table(spark, d, "labels"), "doc_id").where("held_out").select("predicted", "toxic").collect()
+    hit = sum(r.predicted and r.toxic for r in got)
+    assert hit >= 0.9 * sum(r.predicted for r in got) and hit >= 0.7 * sum(r.toxic for r in got)
+
+
+def test_training_rows_have_rules_for_repeats_and_bounds(spark):
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(40)] + [(0, "text 0"), (1, None), (None, "x")], "doc_id long, text string").withColumn("y", F.lit("clash")).withColumn("place", F.lit(1))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(4, 1), (7, 0), (7, 1), (None, 1), (8, None)], "doc_id long, toxic int").withColumn("text", F.lit("clash"))
+    rows = lambda **kw: toxicity.training_rows(docs, labels, "toxic", F.lit(False), **({"each": 100} | kw))
+    texts, y = rows()
+    assert sorted(texts) == sorted(["text 0"] + [f"text {k}" for k in range(40)]) and all(int(t.split()[1]) % 2 == v for t, v in zip(texts, y))
+    texts, y = rows(each=5)
+    assert len(texts) == 10 and sum(y) == 5
+    texts, y = rows(chars=30)
+    assert all(30 <= sum(len(t) for t, v in zip(texts, y) if v == w) < 40 for w in (0, 1))
+    assert rows(each=5) == toxicity.training_rows(docs.repartition(3), labels.repartition(2), "toxic", F.lit(False), 5)
+
+
+@pytest.mark.parametrize("module", [toxicity, quality])
+def test_scoring_any_rows(spark, module):
+    texts, y = _texts(200, 5)
+    model = module.train(texts, y)
+    rows = [(1, None), (2, ""), (3, texts[0]), (3, texts[0]), (None, texts[1]), (4, "bonlen " * 60_000), (5, "\ud83d".encode("utf-8", "replace").decode() + "\u0000  ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash")).withColumn("__text", F.lit(1))
+    got = module.scored(df.select("doc_id", "text", "__text"), model, "doc_id", "__text").collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+    by_id = {}
+    for r in got:
+        by_id.setdefault(r.doc_id, set()).add(r.score)
+    assert by_id[1] == by_id[2] and len(by_id[3]) == 1
+    assert module.scored(df.limit(0), model).count() == 0

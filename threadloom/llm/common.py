@@ -21,6 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def row_of(df: DataFrame, *columns: str):
+    """The named columns, or all, as one struct column ``row``: so an operator's own names can't clash with them."""
+    return F.struct(*[F.col(quoted(c)) for c in columns or df.columns]).alias("row")
+
+
+def unpacked(df: DataFrame, columns) -> list:
+    """The fields of ``row`` as columns again."""
+    return [F.col(f"row.{quoted(c)}").alias(c) for c in columns]
+
+
 def ship_package(spark: SparkSession) -> None:
     """Lets Python workers import this package from where the driver has it."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

@@ -1,6 +1,6 @@
 """Quality by naive Bayes support vectors (Wang and Manning, 2012).
 
-A text is the set of its n-grams: characters (1 to 3) and word shapes (1 to 4; a shape tells a word's cases, its
+A text is the set of its n-grams: characters (2 and 3) and word shapes (1 to 4; a shape tells a word's cases, its
 ends, its size, and whether it repeats the word before), hashed into buckets.  An indicator is scaled by the
 bucket's log-count ratio between the two labels; on these a linear hinge-loss model is fitted by dual
 coordinate descent (Hsieh et al., 2008).  Rows have unit length, so long texts count as short ones do.  Platt's
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .ngrams import Characters, mixed
@@ -167,21 +168,21 @@ def train(texts: list[str], labels: list[int], bits: int = BITS) -> Model:
 
 
 def scored(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """``keep`` columns (default ``doc_id``) and ``score`` for each row; null texts are empty."""
-    keep = keep or ("doc_id",)
+    """``keep`` columns (default ``doc_id``) and ``score`` for each row; null texts are empty, a kept ``score`` is replaced."""
+    keep = [c for c in keep or ("doc_id",) if c.lower() != "score"]
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.ratio, model.bias, model.a, model.b, model.bits))
-    kept = docs.select(*keep)
+    rows = docs.select(common.row_of(docs, *keep), F.col("text"))
 
     def run(batches):
         import pyarrow as pa
 
         m = Model(*shared.value)
         for batch in batches:
-            s = m.score(batch.column(batch.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s, pa.float64())], names=[*keep, "score"])
+            s = m.score(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], names=["row", "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, f"{schema}, score double")
+    schema = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(run, schema).select(*common.unpacked(rows, keep), "score")
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
@@ -193,7 +194,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents.
 
     Null and empty texts are sets without n-grams and score by the bias alone, repeated rows the same score each.
-    Without labels of both kinds the score is constant.  Labels of ids with several rows count once.
+    Without labels of both kinds the score is constant.  Of labels of one id that disagree most rows win, 0 on a tie.
     """
     docs = common.table(spark, sf_dir, "documents")
     out = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fitted(docs, common.table(spark, sf_dir, "labels")))

@@ -4,16 +4,20 @@ A segment's vector is the mean of the embeddings of its character n-grams (3 to
 words), hashed into buckets; two outputs and a softmax follow.  A misspelling or a new inflection shares most
 of its n-grams with words seen, hence their vectors.  A text's score is that of its worst segment of
 ``SEGMENT`` words, so that a long text doesn't dilute an insult.  In training a text stands for its worst
-segment under the model so far; embeddings and outputs are updated together by Adagrad.
+segment under the model so far, at first under the log-count ratios of n-grams in whole texts; embeddings and outputs are
+updated together by Adagrad.  Every batch has an empty bag that is not toxic, so an empty text scores by a bias that was
+taught what it means.
 
-Training reads at most ``TRAIN_EACH`` labelled texts of either label, those with the smallest hash of their id.
+Training reads at most ``TRAIN_EACH`` labelled texts of either label and ``TRAIN_CHARS`` characters, those with the smallest
+hash of their id, and all of each text.
 Scoring needs of an n-gram only the difference of its two outputs, one number for each bucket.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .ngrams import Characters
@@ -21,10 +25,11 @@ from .ngrams import Characters
 ORDERS = (3, 4, 5, 6, 7, 8)
 BITS = 18
 DIM = 8
-SEGMENT = 3
-#: Bound on the texts of each label that training reads, and on the characters it reads of all.
+SEGMENT = 2
+#: Bounds on the texts of each label that training reads, and on the characters of each label: a text that begins below it is read whole.
 TRAIN_EACH = 2000
-EPOCHS = 12
+TRAIN_CHARS = 24 << 20
+EPOCHS = 6
 THRESHOLD = 0.7
 #: Characters scored at once.
 STEP = 1 << 20
@@ -115,6 +120,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7, bits: int = BITS,
     g_emb, g_out, g_bias = np.full((1 << bits, 1), 1e-6), np.full(out.shape, 1e-6), np.full(2, 1e-6)
 
     def update(rate, ids, of, label):
+        label = np.r_[label, 0]  # the empty bag
         n = len(label)
         lens = np.maximum(1, np.bincount(of, minlength=n))[:, None]
         mean = np.stack([np.bincount(of, emb[ids, k], n) for k in range(dim)], 1) / lens
@@ -132,6 +138,15 @@ def train(texts: list[str], labels: list[int], seed: int = 7, bits: int = BITS,
         model.bias -= rate * 0.2 * d_bias / np.sqrt(g_bias)
         emb[uniq] -= rate * d_emb / np.sqrt(g_emb[uniq])
 
+    # How many texts of either label have an n-gram anywhere: the first guess at what is worst.
+    counts_of = np.ones((2, 1 << bits))
+    for members in blocks:
+        seg = Segments([texts[k] for k in members])
+        text_of = np.searchsorted(seg.chars.starts, np.arange(len(seg.chars.codes)), "right") - 1
+        own = [np.unique(np.minimum(text_of[c], seg.n - 1).astype(np.int64) << bits | b[c]) for b, c in seg.features(bits)]
+        for code in own:
+            np.add.at(counts_of, (y[np.array(members)[code >> bits]], code & ((1 << bits) - 1)), 1)
+    first = np.log(counts_of[1] / (1 + y.sum())) - np.log(counts_of[0] / (1 + len(y) - y.sum()))
     for epoch in range(epochs):
         rate = 0.5 * (1 - epoch / epochs) + 0.05
         for block in rng.permutation(len(blocks)):
@@ -140,12 +155,9 @@ def train(texts: list[str], labels: list[int], seed: int = 7, bits: int = BITS,
             if not len(seg.starts):
                 continue
             features = list(seg.features(bits))
-            if epoch == 0:
-                # No model yet: segments at random stand for their texts, so that frequent cues show.
-                rows = rng.permutation(len(seg.starts))[: 6 * seg.n]
-            else:
-                rows = seg.worst(seg.logits(*model.table(), features=features))[1]
-                rows = rng.permutation(rows[rows >= 0])
+            table, bias = model.table() if epoch else (first, 0.0)
+            rows = seg.worst(seg.logits(table, bias, features=features))[1]
+            rows = rng.permutation(rows[rows >= 0])
             ends = np.r_[seg.starts[1:], len(seg.chars.codes)]
             for lo in range(0, len(rows), 64):
                 r = rows[lo : lo + 64]
@@ -172,40 +184,47 @@ def score(texts: list[str], table, bias: float, bits: int = BITS):
             hi += 1
         seg = Segments(texts[lo:hi])
         z, which = seg.worst(seg.logits(table, bias, bits))
-        z = np.where(which < 0, min(bias, -2.0), z)
+        z = np.where(which < 0, bias, z)
         out[lo:hi] = 1 / (1 + np.exp(-z.clip(-30, 30)))
         lo = hi
     return out
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, held_out, each: int) -> tuple[list[str], list[int]]:
-    """A bounded sample of labelled texts: of each label the ``each`` ids with the smallest hash."""
-    used = labels.where(F.col(label).isin(0, 1) & ~held_out).select("doc_id", F.col(label).alias("y")).dropDuplicates(["doc_id"])
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, held_out, each: int, chars: int = TRAIN_CHARS) -> tuple[list[str], list[int]]:
+    """A bounded sample of labelled texts: of each label the ids with the smallest hash, up to ``each`` texts and ``chars`` characters.
+
+    An id whose label rows disagree has the label of most of them, 0 on a tie; one with several texts counts once for each.
+    """
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out).groupBy("doc_id").agg((F.avg(label) > 0.5).cast("int").alias("y"))
     some = None
     for y in (0, 1):
-        part = used.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each)
+        part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each).select(F.col("doc_id").alias("id_"), "y")
         some = part if some is None else some.union(part)
-    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(some), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * each).collect()
-    return [r.text for r in rows], [int(r.y) for r in rows]
+    order = Window.partitionBy("y").orderBy(F.xxhash64("id_"), "id_", "text")
+    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("id_"))
+    rows = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= each)
+    rows = rows.withColumn("before", F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.length("text")).where(F.col("before") < chars)
+    got = sorted(rows.select(F.xxhash64("id_"), "id_", "text", "y").collect())
+    return [r.text for r in got], [int(r.y) for r in got]
 
 
 def scored(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """``keep`` columns (default ``doc_id``) and ``score`` for each row; null texts are empty."""
-    keep = keep or ("doc_id",)
+    """``keep`` columns (default ``doc_id``) and ``score`` for each row; null texts are empty, a kept ``score`` is replaced."""
+    keep = [c for c in keep or ("doc_id",) if c.lower() != "score"]
     table, bias = model.table()
     shared = docs.sparkSession.sparkContext.broadcast((table, bias, model.bits))
-    kept = docs.select(*keep)
+    rows = docs.select(common.row_of(docs, *keep), F.col("text"))
 
     def run(batches):
         import pyarrow as pa
 
         t, b, bits = shared.value
         for batch in batches:
-            s = score(batch.column(batch.num_columns - 1).to_pylist(), t, b, bits)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s)], names=[*keep, "score"])
+            s = score(batch.column(1).to_pylist(), t, b, bits)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s)], names=["row", "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, f"{schema}, score double")
+    schema = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(run, schema).select(*common.unpacked(rows, keep), "score")
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
@@ -217,7 +236,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents.
 
     Null and empty texts get the score of an empty bag, repeated rows the same score each.  Without labels of both
-    kinds the score is constant.  Labels of ids with several rows count once.
+    kinds the score is constant.  Of labels of one id that disagree most rows win, 0 on a tie.
     """
     docs = common.table(spark, sf_dir, "documents")
     out = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fitted(docs, common.table(spark, sf_dir, "labels")))
