@@ -25,19 +25,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x")).first()
-    return r.n, r.x
+def _settled(edges: DataFrame) -> bool:
+    """Whether all edges ``a > b`` are stars: each ``a`` has one ``b``, and no ``b`` is an ``a``."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up")).union(edges.select(F.col("b").alias("node"), F.lit(0).alias("up")))
+    roles = ends.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("least"))
+    return roles.where("up > 1 or up = 1 and least = 0").isEmpty()
 
 
 def connected(links: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``links`` (``a, b``); the root is the component's smallest node."""
     edges = common.staged(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    seen = _mark(edges)
-    while seen[0]:
-        edges = common.staged(_star(common.staged(_star(edges, True)), False))
-        now = _mark(edges)
-        if now == seen:
-            break
-        seen = now
+    while not _settled(edges):
+        edges = common.staged(_star(_star(edges, True), False))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

@@ -19,6 +19,7 @@ import itertools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common, overlap
 from .components import connected
@@ -30,6 +31,8 @@ RADIUS = 3
 BUCKET = 64
 #: Nodes of a bucket that one task compares at once.
 BLOCK = 8192
+#: Sorted rows that a task gathers before it compares the whole groups among them.
+TASK_ROWS = 1 << 17
 #: Queries against blocks in flight within a task.
 CHUNK = 1 << 16
 
@@ -64,19 +67,18 @@ def fingerprint_texts(texts, shingle: int = SHINGLE, seed: int = SEED):
 def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
     """``keep`` columns (default ``doc_id``) and ``fp``, the fingerprint as a signed 64-bit integer."""
     keep = keep or ("doc_id",)
-    kept = docs.select(*keep)
+    rows = docs.select(common.row_of(docs, *keep), "text")
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            fp = fingerprint_texts(batch.column(batch.num_columns - 1).to_pylist()).view(np.int64)
-            cols = batch.columns[:-1]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(fp)], names=[*keep, "fp"])
+            fp = fingerprint_texts(batch.column(1).to_pylist()).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["row", "fp"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, f"{schema}, fp long")
+    schema = T.StructType([rows.schema["row"], T.StructField("fp", T.LongType())])
+    return rows.mapInArrow(run, schema).select(*common.unpacked(rows, keep), "fp")
 
 
 def planes(fps):
@@ -241,27 +243,41 @@ def links(nodes: DataFrame, bands: int | None = None, radius: int = RADIUS, bloc
     pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j"), F.when(mine > j, 1).otherwise(0).cast("byte").alias("side")))
     dealt = rows.select("band", "value", "fp", F.explode(pairs).alias("p")).select("band", "value", "p.i", "p.j", "p.side", "fp")
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(n, "band", "value", "i", "j")
+    dealt = dealt.repartition(n, "band", "value", "i", "j").sortWithinPartitions("band", "value", "i", "j", "side", "fp")
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        band, value, i, j, side, fp = (t.column(c).to_numpy() for c in ("band", "value", "i", "j", "side", "fp"))
-        for x, ranges in enumerate(chosen):
-            some = np.flatnonzero(band == x)
-            some = some[np.lexsort((fp[some], side[some], j[some], i[some], value[some]))]
-            if not len(some):
-                continue
-            key = np.stack([value[some], i[some], j[some]])
-            group = np.cumsum(np.r_[0, (key[:, 1:] != key[:, :-1]).any(axis=0)])
-            equal = {p for lo, hi in ranges for p in range(lo, hi)}
-            a, b = forest(fp[some].view(np.uint64), group, side[some].astype(np.int64), equal, radius)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+        def linked(t):
+            """Links of whole groups, all of one band."""
+            band, value, i, j, side, fp = (t.column(c).to_numpy() for c in ("band", "value", "i", "j", "side", "fp"))
+            edges = np.flatnonzero(np.r_[True, band[1:] != band[:-1], True])
+            for a, b in zip(edges[:-1], edges[1:]):
+                key = np.stack([value[a:b], i[a:b], j[a:b]])
+                group = np.cumsum(np.r_[0, (key[:, 1:] != key[:, :-1]).any(axis=0)])
+                equal = {p for lo, hi in chosen[band[a]] for p in range(lo, hi)}
+                u, v = forest(fp[a:b].view(np.uint64), group, side[a:b].astype(np.int64), equal, radius)
+                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["a", "b"])
+
+        # Sorted rows: what is held is cut where the last group begins, and a group is two blocks at most.
+        held, rows = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
+            if rows >= TASK_ROWS:
+                t = pa.Table.from_batches(held)
+                last = np.ones(rows, bool)
+                for c in ("band", "value", "i", "j"):
+                    x = t.column(c).to_numpy()
+                    last &= x == x[-1]
+                whole = rows - int(last.sum())
+                if whole:
+                    yield from linked(t.slice(0, whole))
+                    held, rows = t.slice(whole).to_batches(), rows - whole
+        if rows:
+            yield from linked(pa.Table.from_batches(held))
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
@@ -304,16 +320,15 @@ def representatives(docs: DataFrame) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     best = common.staged(found.groupBy("component").agg(F.min(place).alias("best")))
     own = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
-    gone = found.join(best, "component").where(~own).select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__gone_hash")).distinct()
-    rows = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = rows.join(gone, F.col("__id").eqNullSafe(F.col("__gone")) & (F.col("__hash") == F.col("__gone_hash")), "left_anti")
+    gone = found.join(best, "component").where(~own).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    rows = docs.select(common.row_of(docs), F.col("doc_id").cast("long").alias("id_"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash_"))
+    kept = rows.join(gone, F.col("id_").eqNullSafe(F.col("gone_id")) & (F.col("hash_") == F.col("gone_hash")), "left_anti")
     # Rows that repeat in id and text are all the best of their component; of these one stays.
-    again = common.staged(found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("__again"), F.col("text_hash").alias("__again_hash")))
-    if again.isEmpty():
-        return kept.select(*docs.columns)
-    same = F.col("__id").eqNullSafe(F.col("__again")) & (F.col("__hash") == F.col("__again_hash"))
-    once = kept.join(again, same, "left_anti").select(*docs.columns)
-    return once.union(kept.join(again, same, "left_semi").dropDuplicates(["__id", "__hash"]).select(*docs.columns))
+    again = common.staged(found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("again_id"), F.col("text_hash").alias("again_hash")))
+    if not again.isEmpty():
+        same = F.col("id_").eqNullSafe(F.col("again_id")) & (F.col("hash_") == F.col("again_hash"))
+        kept = kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates(["id_", "hash_"]))
+    return kept.select(*common.unpacked(kept, docs.columns))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
