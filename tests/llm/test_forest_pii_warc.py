@@ -282,3 +282,63 @@ def test_normalising_foreign_archives():
 def test_op9(spark, sf_dir):
     rows = [(r.page_id, r.url, r.html) for r in common.table(spark, sf_dir, "pages").collect()]
     assert sorted((tuple(r) for r in warc.op9(spark, sf_dir).collect()), key=repr) == _archive(rows)
+
+
+def test_names_without_titles_and_months():
+    for text, names in (
+        ("Contact John Smith today, then Alice Johnson called.", {"John", "Smith", "Alice", "Johnson"}),
+        ("Name: Grobna van der Vilfesk-Ost\nnext", {"Grobna", "Vilfesk-Ost"}),
+        ("Prof. María del Carmen García wrote", {"María", "Carmen", "García"}),
+        ("Ms. May left in May; May stayed until May 2024.", {"May"}),
+        ("The Peter principle. Public License. john smith", set()),
+    ):
+        assert {text[a:b] for a, b, *_ in pii.find(text)} == names, text
+    new, spans = pii.replaced("Ms. May left in May; May stayed until May 2024.", b"k")
+    assert new.count("May") == 2 and len(spans) == 2
+
+
+def test_nothing_of_long_addresses_is_left():
+    local, domain = "a.b-" * 400 + "z", "sub-domain." * 40 + "example" + "x" * 100 + ".technology"
+    text = f"Write {local}@{domain}, please. " + "x" * 100_000 + " @"
+    assert [text[a:b] for a, b, *_ in pii.find(text)] == [f"{local}@{domain}"]
+
+
+def test_short_addresses_stay_short():
+    for value in ("2a00:1450:4001:81b::200e", "fe80::1", "2001:0DB8:0:0:1::9"):
+        new, spans = pii.replaced(f"at {value} now", b"k")
+        assert [k for *_, k, _ in spans] == ["ip6"] and ("::" in spans[0][3]) and value not in new and spans[0][3].isupper() == value.isupper()
+        assert [s[2] for s in pii.find(new)] == ["ip6"]
+    one, two = (pii.replaced(t, b"k")[1][0][3] for t in ("2a00:1450:0:0:0:0:0:7", "2a00:1450::7"))
+    assert two.replace("::", ":0:0:0:0:0:") == one
+
+
+def test_one_identity_for_a_person_in_all_documents(spark):
+    rows = [(1, "Ms. Ada Byron came."), (2, "Dr. Ada Byron spoke."), (3, "Mr. Byron Lovelace, and Dr. Kim Lovelace."), (4, "Mrs. Kim Oz"), (5, "Mr. Kim Oz"), (6, "Ms. Ada Byron came."), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__later", F.lit(1)).withColumn("row", F.lit("clash")).withColumn("found", F.lit(2)).withColumn("id_", F.lit(3))
+    got = pii.pseudonymised(df, b"k")
+    assert got.columns == [*df.columns, "spans"]
+    out = {r.doc_id: r for r in got.collect()}
+    words = {}
+    for d, text in rows[:6]:
+        for s in out[d].spans:
+            words.setdefault(text[s.first : s.end], set()).add(s.surrogate)
+    assert all(len(v) == 1 for v in words.values()) and len({next(iter(v)) for v in words.values()}) == len(words) == 5
+    assert next(iter(words["Ada"])).endswith(("a", "ia", "ine")) and out[1].text.replace("Ms.", "Dr.").split()[:3] == out[2].text.split()[:3]
+    assert out[1].row == "clash" and out[None].text is None
+
+
+def test_names_share_no_surrogate_across_places_and_genders(spark):
+    words = [f"{a}{b}{c}" for a in ("Ba", "Do", "Gu") for b in ("ra", "lo", "ni", "te") for c in ("m", "nd", "rk", "st", "x")]
+    rows = [(k, f"Mr. {w} Zzyx{k % 7}q, Mrs. {words[-k - 1]} {w}") for k, w in enumerate(words)]
+    got = pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string"), b"k").collect()
+    pairs = {(dict(rows)[r.doc_id][s.first : s.end], s.surrogate) for r in got for s in r.spans}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}) and not {a for a, _ in pairs} & {b for _, b in pairs}
+
+
+def test_the_key_is_a_setting(spark):
+    assert pii.key_of(spark) == pii.KEY and len(pii.KEY) == 32
+    spark.conf.set(pii.KEY_SETTING, "mine")
+    try:
+        assert pii.key_of(spark) == b"mine"
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)

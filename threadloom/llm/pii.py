@@ -1,14 +1,19 @@
 """Surrogates for personal data: keyed, type-consistent, one for one.
 
 Found are e-mail addresses, telephone numbers, payment cards, US social security numbers, IBANs, IPv4, IPv6 and MAC
-addresses, credentials, and persons named after a title.  Every mention is reduced to a canonical value, so that
+addresses, credentials, and persons named after a title or a label or with a well-known given name.  Every mention is reduced to a canonical value, so that
 mentions of one entity agree however they are written, and an HMAC of kind and value under the key draws the
 surrogate; it is then written in the mention's own format: separators, case, script, check digits, gender.  Names
-are replaced word by word, so ``Ms. Ada Byron`` and a later ``Byron`` stay the same person.
+are replaced word by word, so ``Ms. Ada Byron`` and a later ``Byron`` stay the same person, and a word of a name is one
+entity in the whole corpus, whatever title or place it has; its gender is that on which all titles agree.
 
 No two values may share a surrogate, and none may be a value that occurs.  All distinct values of the corpus are
 drawn once and checked by aggregation and joins; losers draw again with the next attempt until nothing collides.
-Only values on a later attempt, normally none, have to be joined to the documents that hold them.
+Texts are searched once: what is found is written beside them, and only documents that hold something are visited again,
+with the values on which they need to be told more than they say themselves (a later attempt, another gender).
+
+The key is a secret of whoever runs this: the queries take it from ``spark.threadloom.pii.key``.  Where that is not set, it is
+drawn anew for each application, so surrogates can't be recomputed from the code, nor do they agree between runs.
 """
 
 from __future__ import annotations
@@ -16,25 +21,28 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import secrets
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
-KEY = b"threadloom surrogate key"
+#: The key where none is set: this application's own.
+KEY = secrets.token_bytes(32)
+KEY_SETTING = "spark.threadloom.pii.key"
 MAX_ATTEMPTS = 64
 
-_LOCAL = re.compile(r"[\w.%+-]{1,64}\Z")
-_DOMAIN = re.compile(r"(?:[^\W_](?:[\w-]{0,61}[^\W_])?\.){1,8}[^\W\d_]{2,24}(?![\w-])")
+_DOMAIN = re.compile(r"(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,}(?![\w-])")
 _NUMBERS = re.compile(r"(?<![\w.@+(-])[+(]?\(?\d[\d ().:/-]{5,}\d(?!\w)")
 _PHONE = re.compile(r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[-. ]\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?!\d)")
 _CARD = re.compile(r"\d(?:[ -]?\d){12,18}(?!\d)")
 _SSN = re.compile(r"(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])")
 _IP4 = re.compile(r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
-_HEXES = re.compile(r"(?<![\w:.-])[0-9A-Fa-f]{1,4}(?::{1,2}[0-9A-Fa-f]{1,4}){2,7}(?![\w:])|(?<![\w-])(?:[0-9A-Fa-f]{2}-){5}[0-9A-Fa-f]{2}(?![\w-])")
+_HEXES = re.compile(r"(?<![\w:.-])[0-9A-Fa-f]{1,4}(?::{1,2}[0-9A-Fa-f]{1,4}){1,7}(?![\w:])|(?<![\w-])(?:[0-9A-Fa-f]{2}-){5}[0-9A-Fa-f]{2}(?![\w-])")
 _TOKENS = re.compile(
     r"(?<!\w)(?:A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk[-_][A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[\w-]{35}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})(?!\w)"
 )
@@ -48,8 +56,23 @@ TITLES = {
     "Señor": "m", "Señora": "f", "Señorita": "f", "Sr": "m", "Sra": "f", "Srta": "f",
     "Господин": "m", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f",
 }
-_NAME = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
-_PERSON = re.compile(r"(?<!\w)(" + "|".join(sorted(TITLES, key=lambda t: -len(t))) + r")\.? (?=[^\W\d_a-z])(" + _NAME + r"(?: (?=[^\W\d_a-z])" + _NAME + r"){0,2})")
+#: Common given names by the gender they tell.  Fixed values.
+GIVEN = {
+    "m": "Alexander Andrew Anthony Antoine Benjamin Carlos Charles Christopher Daniel David Diego Edward Felix Fernando François Frank Fritz George Hans Heinrich Henry Jacques James Javier Jean Johann John Jonathan Jorge Joseph José Juan Jürgen Karl Kevin Klaus Laurent Luis Manuel Matthew Michael Miguel Nicholas Olivier Pablo Patrick Paul Pedro Peter Philippe Pierre Ricardo Richard Robert Samuel Stefan Stephen Thomas Timothy Uwe William Wolfgang",
+    "f": "Alice Amanda Amélie Andrea Angela Anna Anne Barbara Beatriz Brigitte Camille Carmen Catherine Charlotte Christine Claudia Cristina Deborah Elena Elizabeth Emily Emma Florence Françoise Gabriele Hannah Heike Helen Inés Isabel Jennifer Jessica Julia Karen Katharina Laura Linda Lisa Lucía Margaret Maria María Marie Martina Mary Michelle Monika Nathalie Nicole Olivia Patricia Petra Pilar Rachel Rebecca Sabine Sandra Sarah Sophie Susan Sylvie Teresa Ursula Valérie",
+}
+_GENDER = {name: gender for gender, names in GIVEN.items() for name in names.split()}
+#: Months that are names too, which alone after such a word, or before a number, are months.  Fixed values.
+MONTHS = frozenset(("april", "august", "avril", "juin", "june", "julio", "mai", "may", "mayo", "march", "märz"))
+_DATED = re.compile(r"(?<!\w)(?:in|on|since|until|till|by|of|last|next|early|late|mid|im|am|seit|bis|ab|en|de|depuis|desde|hasta|le|\d{1,2}\.?) \Z", re.I)
+_WORD = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
+_CAPITAL = r"(?=[^\W\d_a-z])" + _WORD
+#: Up to six words of a name, small ones such as ``van`` between capitalised ones.
+_MORE = r"(?: (?:(?:de|del|della|di|da|dos|du|la|le|van|von|der|den|ter|zu|bin|ibn|al) ){0,3}" + _CAPITAL + r")"
+_PERSON = re.compile(r"(?<!\w)(" + "|".join(sorted(TITLES, key=lambda t: -len(t))) + r")\.? (" + _CAPITAL + _MORE + r"{0,2})")
+_LABELLED = re.compile(r"(?<!\w)(?i:name|full name|contact|attn|patient|customer|employee|author|signed|kontakt|kunde|nom|nombre|cliente)() ?[:=] ?(" + _CAPITAL + _MORE + r"{1,5})")
+_KNOWN = re.compile(r"(?<!\w)()((?:" + "|".join(sorted(_GENDER, key=lambda t: -len(t))) + r")(?!\w)(?: [A-Z]\.)?" + _MORE + r"{1,2})")
+_SMALL = re.compile(r"\b(?:de|del|della|di|da|dos|du|la|le|van|von|der|den|ter|zu|bin|ibn|al|[A-Z]\.)(?!\w)")
 
 Span = tuple[int, int, str, str]  # first, end, kind, canonical value
 
@@ -113,9 +136,11 @@ def find(text: str) -> list[Span]:
     found: list[Span] = []
     at = text.find("@")
     while at >= 0:
-        a, b = _LOCAL.search(text, max(0, at - 64), at), _DOMAIN.match(text, at + 1)
-        if a and b:
-            first = a.start()
+        b = _DOMAIN.match(text, at + 1)
+        if b:
+            first = at
+            while first and (text[first - 1].isalnum() or text[first - 1] in "_.%+-"):
+                first -= 1
             while first < at and text[first] in ".%+-":
                 first += 1
             if first < at:
@@ -132,7 +157,7 @@ def find(text: str) -> list[Span]:
             parts = re.split("[:-]", s)
             if len(parts) == 6 and all(len(p) == 2 for p in parts):
                 found.append((*m.span(), "mac", "".join(parts)))
-            elif "-" not in s and (s.count(":") == 7 and "::" not in s or s.count("::") == 1 and s.count(":") <= 7):
+            elif "-" not in s and (s.count(":") == 7 and "::" not in s or s.count("::") == 1 and s.count(":") <= 7 and (s.count(":") > 2 or any(c.isdigit() for c in s))):
                 head, _, tail = s.partition("::")
                 a, b = head.split(":"), tail.split(":") if tail else []
                 found.append((*m.span(), "ip6", ":".join(p.zfill(4) for p in a + ["0"] * (8 - len(a) - len(b)) + b)))
@@ -157,20 +182,36 @@ def find(text: str) -> list[Span]:
 def _persons(text: str) -> Iterator[Span]:
     kinds: dict[str, str] = {}
     seen = set()
-    for m in _PERSON.finditer(text):
-        gender, names = TITLES[m.group(1)], m.group(2).split(" ")
-        for k, name in enumerate(names):
-            what = "family" if k == len(names) - 1 else "given"
-            kinds.setdefault(name.casefold(), f"{what} {gender} {script(name)}")
-            seen.add(name)
+    for pattern in (_PERSON, _LABELLED, _KNOWN):
+        for m in pattern.finditer(text):
+            names = [n for n in _SMALL.sub(" ", m.group(2)).split() if n]
+            for k, name in enumerate(names):
+                what = "family" if k == len(names) - 1 else "given"
+                gender = TITLES.get(m.group(1)) or _GENDER.get(names[0], "n")
+                kinds.setdefault(name.casefold(), f"{what} {gender} {script(name)}")
+                seen.add(name)
     if kinds:
         anywhere = re.compile(r"(?<!\w)(" + "|".join(re.escape(n) for n in sorted(seen, key=lambda n: (-len(n), n))) + r")(?!\w)", re.I)
         for m in anywhere.finditer(text):
             # The pattern also takes a dotted capital I for an i, which is another letter.
             if (name := m.group().casefold()) in kinds:
+                if name in MONTHS and (_DATED.search(text, max(0, m.start() - 12), m.start()) or re.match(r" \d", text[m.end() : m.end() + 2])):
+                    continue
                 yield *m.span(), kinds[name], name
 
 
+def is_name(kind: str) -> bool:
+    return kind.count(" ") == 2
+
+
+def entity(kind: str) -> str:
+    """The kind that a mention's surrogate is drawn for: a name's place is none of its own, a family's gender neither."""
+    if not is_name(kind):
+        return kind
+    what, gender, of = kind.split(" ")
+    return f"name {gender if what in ('given', 'name') else 'n'} {of}"
+
+
 class Draw:
     """Numbers from a keyed stream."""
 
@@ -238,7 +279,9 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes) -> str:
             return "10." + ".".join(str(d.below(256)) for _ in range(3))
         return f"{240 + d.below(15)}." + ".".join(str(d.below(256)) for _ in range(3))
     if kind == "ip6":
-        return "2001:0db8:" + ":".join(f"{d.below(65536):04x}" for _ in range(6))
+        # Groups of zeros stay, so that the short form does; later attempts fill them from the end.
+        groups = value.split(":")
+        return "2001:0db8:" + ":".join(f"{1 + d.below(65535):04x}" if g != "0000" or k >= 8 - attempt else g for k, g in enumerate(groups) if k > 1)
     if kind == "mac":
         return "02" + "".join(d.of("0123456789abcdef") for _ in range(10))
     if kind == "iban":
@@ -276,48 +319,59 @@ def written(mention: str, kind: str, new: str) -> str:
     if kind in ("ip4", "secret"):
         return new
     if kind == "ip6":
+        if "::" in mention:
+            runs = sorted(re.finditer(r"(?:(?<=:)0000(?::|$)){1,8}", new), key=lambda m: (-len(m.group()), m.start()))
+            new = new[: runs[0].start()] + ":" + new[runs[0].end() :] if runs else new
+        if not re.search(r"(?<![0-9A-Fa-f])0[0-9A-Fa-f]{3}", mention):
+            new = re.sub(r"(?<![0-9a-f])0{1,3}(?=[0-9a-f])", "", new)
         return new.upper() if mention.upper() == mention else new
     if mention.islower():
         return new
     return new.upper() if mention.isupper() and len(mention) > 1 else new[:1].upper() + new[1:]
 
 
-def replaced(text: str, key: bytes, attempts: dict[tuple[str, str], int] | None = None, cache: dict | None = None) -> tuple[str, list[tuple[int, int, str, str]]]:
-    """The text with surrogates, and (first, end, kind, surrogate as written) of each mention in the old text."""
-    spans, out, at = [], [], 0
-    for first, end, kind, value in find(text):
-        n = (attempts or {}).get((kind, value), 0)
-        new = cache.get((kind, value, n)) if cache is not None else None
+def _rewritten(text: str, spans, key: bytes, told, cache: dict | None) -> tuple[str, list[tuple[int, int, str, str]]]:
+    """The text with surrogates for ``spans``.  ``told`` gives (attempt, kind to draw for) of values that need it."""
+    shown, out, at = [], [], 0
+    for first, end, kind, value in spans:
+        n, what = (told or {}).get((kind, value)) or (0, entity(kind))
+        new = cache.get((what, value, n)) if cache is not None else None
         if new is None:
-            new = surrogate(kind, value, n, key)
+            new = surrogate(what, value, n, key)
             if cache is not None:
                 if len(cache) > 100_000:
                     cache.clear()
-                cache[kind, value, n] = new
+                cache[what, value, n] = new
         new = written(text[first:end], kind, new)
         out += (text[at:first], new)
-        spans.append((first, end, kind, new))
+        shown.append((first, end, kind, new))
         at = end
-    return ("".join(out) + text[at:] if spans else text), spans
+    return ("".join(out) + text[at:] if shown else text), shown
 
 
-def values(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, kind, value``: the distinct values of each row of ``doc_id, text``."""
-    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+def replaced(text: str, key: bytes, told: dict | None = None, cache: dict | None = None) -> tuple[str, list[tuple[int, int, str, str]]]:
+    """The text with surrogates, and (first, end, kind, surrogate as written) of each mention in the old text."""
+    return _rewritten(text, find(text), key, told, cache)
+
+
+_FOUND = "array<struct<first:int,end:int,kind:string,value:string>>"
+_SHOWN = "array<struct<first:int,end:int,kind:string,surrogate:string>>"
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """``row`` (the columns of ``docs`` but text), ``text, id_, hash_`` and ``found``, the mentions; written to the shared folder."""
+    rows = docs.select(common.row_of(docs, *[c for c in docs.columns if c != "text"]), "text", F.col("doc_id").cast("long").alias("id_"), F.xxhash64("text").alias("hash_"))
 
     def run(batches):
         import pyarrow as pa
 
+        kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))
         for batch in batches:
-            cols = ([], [], [], [])
-            docs_, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for doc, h, text in zip(docs_, hashes, batch.column(2)):
-                for kind, value in {(s[2], s[3]) for s in find(text.as_py())}:
-                    for c, v in zip(cols, (doc, h, kind, value)):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], names=["doc_id", "text_hash", "kind", "value"])
+            found = [[dict(zip(("first", "end", "kind", "value"), s)) for s in find(t.as_py())] if t.is_valid else [] for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=["row", "text", "id_", "hash_", "found"])
 
-    return rows.mapInArrow(run, "doc_id long, text_hash long, kind string, value string")
+    schema = T.StructType(rows.schema.fields + T.StructType.fromDDL(f"found {_FOUND}").fields)
+    return common.staged(rows.mapInArrow(run, schema))
 
 
 def _compared(column: str):
@@ -356,26 +410,44 @@ def assigned(found: DataFrame, key: bytes = KEY, draw=surrogate) -> DataFrame:
     raise ValueError(f"surrogates still collide after {MAX_ATTEMPTS} attempts: a kind has more values than its format allows")
 
 
+def entities(mentions: DataFrame) -> DataFrame:
+    """``kind, value, own, drawn`` for distinct ``kind, value`` mentions: the entity's kind as a mention alone tells it, and as all do.
+
+    A word of names is one entity.  Its gender is m or f where all given names that tell one agree, else n.
+    """
+    kind = F.split("kind", " ")
+    named = F.size(kind) == 3
+    gender = F.when(kind[0] == "given", kind[1]).otherwise("n")
+    own = F.when(named, F.concat_ws(" ", F.lit("name"), gender, kind[2])).otherwise(F.col("kind"))
+    each = mentions.select("kind", "value", own.alias("own"), named.alias("named"), gender.alias("gender"), kind[2].alias("script"))
+    told = F.when(F.col("gender") != "n", F.col("gender"))
+    people = each.where("named").groupBy("value").agg(F.min(told).alias("low"), F.max(told).alias("high"), F.min("script").alias("of"))
+    agreed = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise("n")
+    people = people.select(F.col("value").alias("value_"), F.concat_ws(" ", F.lit("name"), agreed, "of").alias("drawn"))
+    names = each.where("named").join(people, F.col("value") == F.col("value_")).select("kind", "value", "own", "drawn")
+    return names.union(each.where(~F.col("named")).select("kind", "value", "own", F.col("own").alias("drawn")))
+
+
 def pseudonymised(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """``docs`` with surrogates in ``text``, and ``spans``: first, end, kind and surrogate of each mention.
 
     Other columns stay as they are (a column ``spans`` is replaced).  A null text stays null and has no spans; rows that
     repeat get equal surrogates.  An empty table stays empty.
     """
-    found = common.staged(values(docs))
-    named = assigned(found.select("kind", "value").distinct(), key)
-    later = common.staged(named.where("attempt > 0").select("kind", "value", "attempt"))
     columns = [c for c in docs.columns if c != "spans"]
-    rows = docs.select(*columns)
-    if later.isEmpty():
-        rows = rows.withColumn("__later", F.lit(None).cast("map<string,int>"))
+    rows = marked(docs.select(*[F.col(common.quoted(c)) for c in columns]))
+    held = rows.where("size(found) > 0").select("id_", "hash_", F.explode(F.array_distinct(F.transform("found", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))).alias("m")).select("id_", "hash_", "m.kind", "m.value")
+    known = common.staged(entities(held.select("kind", "value").distinct()))
+    named = assigned(known.select(F.col("drawn").alias("kind"), "value").distinct(), key).select(F.col("kind").alias("drawn"), "value", "attempt")
+    told = common.staged(known.join(named, ["drawn", "value"]).where("attempt > 0 or own <> drawn").select("kind", "value", "attempt", "drawn"))
+    some = rows.where("size(found) > 0").select("row", "text", "id_", "hash_", "found")
+    if told.isEmpty():
+        some = some.select("row", "text", "found", F.lit(None).cast("map<string,struct<attempt:int,drawn:string>>").alias("told"))
     else:
-        # A document's later attempts; few values have any, but the documents that hold those may be many.
-        held = found.join(later, ["kind", "value"]).groupBy("doc_id", "text_hash").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\0", "kind", "value"), "attempt"))).alias("__later"))
-        held = held.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__later")
-        rows = rows.join(held, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left").select(*columns, "__later")
-    at = columns.index("text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
+        # What a document must be told; few values need it, but the documents that hold those may be many.
+        each = held.join(told, ["kind", "value"]).groupBy("id_", "hash_").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\0", "kind", "value"), F.struct("attempt", "drawn")))).alias("told"))
+        each = each.select(F.col("id_").alias("of_"), F.col("hash_").alias("with_"), "told")
+        some = some.join(each, F.col("id_").eqNullSafe(F.col("of_")) & (F.col("hash_") == F.col("with_")), "left").select("row", "text", "found", "told")
 
     def run(batches):
         import pyarrow as pa
@@ -384,20 +456,26 @@ def pseudonymised(docs: DataFrame, key: bytes = KEY) -> DataFrame:
         cache: dict = {}
         for batch in batches:
             texts, spans = [], []
-            for text, later_ in zip(batch.column(at), batch.column(batch.num_columns - 1).to_pylist()):
-                text = text.as_py()
-                attempts = {tuple(k.split("\0", 1)): n for k, n in later_} if later_ else None
-                new, got = replaced(text, key, attempts, cache) if text is not None else (None, [])
+            for text, found, more in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+                known_ = {tuple(k.split("\0", 1)): (v["attempt"], v["drawn"]) for k, v in more} if more else None
+                new, got = _rewritten(text, [tuple(f.values()) for f in found], key, known_, cache)
                 texts.append(new)
                 spans.append([dict(zip(("first", "end", "kind", "surrogate"), s)) for s in got])
-            cols = list(batch.columns[:-1])
-            cols[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(spans, kind)], names=[*columns, "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(spans, kind)], names=["row", "text", "spans"])
+
+    schema = T.StructType([rows.schema["row"], T.StructField("text", T.StringType()), *T.StructType.fromDDL(f"spans {_SHOWN}").fields])
+    none = rows.where("size(found) = 0").select("row", "text", F.array().cast(_SHOWN).alias("spans"))
+    out = some.mapInArrow(run, schema).union(none)
+    return out.select(*[F.col("text") if c == "text" else common.unpacked(out, [c])[0] for c in columns], "spans")
+
 
-    return rows.mapInArrow(run, f"{schema}, spans array<struct<first:int,end:int,kind:string,surrogate:string>>")
+def key_of(spark: SparkSession) -> bytes:
+    """The key that is set for the session, else the application's own."""
+    given = spark.conf.get(KEY_SETTING, None)
+    return given.encode() if given else KEY
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents with surrogates."""
-    out = pseudonymised(common.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    """All documents with surrogates under the session's key."""
+    out = pseudonymised(common.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), key_of(spark))
     return out.select("doc_id", "text", F.size("spans").cast("long").alias("n_replaced"), F.array_join(F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["kind"]))), ",").alias("kinds"))
