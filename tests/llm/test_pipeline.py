@@ -52,6 +52,25 @@ def test_odd_rows(spark, sf_dir, n):
     assert counts[:4] == ([8, 4, 4, 4] if n else [0] * 4)
 
 
+CLASHES = ("score", "__id", "__hash", "__bad", "__later", "row", "spans", "found", "text_hash", "fp", "node", "keys", "id_", "hash_", "bad_id", "contaminated", "component", "n", "a.b", "start", "ids", "label", "y")
+
+
+def test_columns_of_any_name(spark, sf_dir):
+    """Columns that an operator might use itself come through every stage as they were."""
+    from pyspark.sql import functions as F
+
+    docs = common.table(spark, sf_dir, "documents")
+    for k, c in enumerate(CLASHES):
+        docs = docs.withColumn(c, F.concat(F.lit(f"{k} "), F.col("doc_id")))
+    for _, f in cp.STAGES[:-1]:
+        columns = docs.columns
+        docs = common.staged(f(spark, docs, sf_dir))
+        assert docs.columns == columns
+    rows = docs.collect()
+    assert rows and all(r[c] == f"{k} {r.doc_id}" for r in rows for k, c in enumerate(CLASHES))
+    assert cp.pack_sequences(spark, docs, sf_dir).count() >= len(rows)
+
+
 def test_release(spark):
     df = common.staged(spark.range(3))
     assert df.count() == 3
