@@ -1,7 +1,8 @@
 """Keyword search: matching, BM25, the cap on candidates, an inverted index.
 
-Statistics are those of the whole corpus whatever the filter.  Scoring reads the words of every passage; for corpora
-where that is too much, ``postings`` lays the corpus out by term, and ``bm25_postings`` reads a query's terms only.
+Statistics are those of the whole corpus whatever the filter.  ``postings`` lays the corpus out by term with the places of each
+term, sorted on disk; ``bm25_postings`` reads the ranges of a query's terms only, phrases included.  ``bm25`` does
+without an index and reads the words of every passage.
 """
 
 from __future__ import annotations
@@ -101,50 +102,83 @@ def top_passages(scored: DataFrame, cap: int) -> DataFrame:
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """``term, uri, ordinal, tf, n_tokens``: the corpus by term, to be written sorted by term.
+    """``term, uri, ordinal, n_tokens, positions``: the corpus by term, to be written sorted by term.
 
-    Passages are dealt out whole, by URI, so that counting their terms needs no further exchange: words travel once,
-    not as a row for each token.  A frequent term's rows go to many partitions: they are ranged by term and place.
+    Passages are dealt out whole, by URI, so that gathering their terms needs no further exchange: words travel once,
+    not as a row for each token.
     """
     dealt = chunks.select("uri", "ordinal", "n_tokens", "words").repartition("uri")
-    terms = dealt.select("uri", "ordinal", "n_tokens", F.explode(word_list(F.col("words"))).alias("term"))
-    return terms.groupBy("uri", "ordinal", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("n_tokens").alias("n_tokens"))
+    terms = dealt.select("uri", "ordinal", "n_tokens", F.posexplode(word_list(F.col("words"))).alias("pos", "term"))
+    return terms.groupBy("uri", "ordinal", "term").agg(F.first("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list("pos")).alias("positions")).select("term", "uri", "ordinal", "n_tokens", "positions")
 
 
-def write_postings(chunks: DataFrame, path: str) -> None:
-    """Sorted by term within ranges, so that a term's row groups are found by their statistics."""
-    n = max(1, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    postings(chunks).repartitionByRange(n, "term", "uri", "ordinal").sortWithinPartitions("term", "uri", "ordinal").write.mode("overwrite").parquet(path)
+def by_term(rows: DataFrame) -> DataFrame:
+    """Postings as they are stored: sorted by term within ranges, so that a term's row groups are found by their statistics.
 
+    A frequent term's rows go to many ranges, as places are part of them.
+    """
+    return rows.repartitionByRange("term", "uri", "ordinal").sortWithinPartitions("term", "uri", "ordinal")
+
+
+def write_index(chunks: DataFrame, path: str) -> None:
+    """``posting`` and ``stats`` (a row: passages and their mean length) of ``chunks`` below ``path``."""
+    by_term(postings(chunks)).write.mode("overwrite").parquet(f"{path}/posting")
+    chunks.agg(F.count(F.lit(1)).cast("double").alias("n_rows"), F.avg("n_tokens").alias("mean_tokens")).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def indexed_bm25(spark, path: str, terms: list[QueryTerm], admitted: DataFrame | None = None) -> DataFrame:
+    """``bm25_postings`` over what ``write_index`` wrote."""
+    s = spark.read.parquet(f"{path}/stats").first()
+    return bm25_postings(spark.read.parquet(f"{path}/posting"), s.n_rows, s.mean_tokens or 1.0, terms, admitted)
 
-def bm25_postings(index: DataFrame, n_rows: float, mean_tokens: float, terms: list[QueryTerm]) -> DataFrame:
-    """``uri, ordinal, score`` for terms of single tokens; only their ranges of the index are read."""
-    singles = [t for t in terms if len(t.tokens) == 1]
-    if len(singles) < len([t for t in terms if t.tokens]):
-        raise ValueError("phrases need the passages' words: use bm25")
-    if not singles:
-        return index.select("uri", "ordinal", F.lit(0.0).alias("score")).where(F.lit(False))
 
-    def hit(t: QueryTerm) -> Column:
-        low = t.tokens[0]
-        if not t.prefix:
-            return F.col("term") == low
-        return (F.col("term") >= low) & (F.col("term") < low + "\U0010ffff") & F.col("term").startswith(low)
+def _hit(token: str, prefix: bool) -> Column:
+    if not prefix:
+        return F.col("term") == token
+    return (F.col("term") >= token) & (F.col("term") < token + "\U0010ffff") & F.col("term").startswith(token)
 
+
+def bm25_postings(index: DataFrame, n_rows: float, mean_tokens: float, terms: list[QueryTerm], admitted: DataFrame | None = None) -> DataFrame:
+    """``uri, ordinal, score`` as ``bm25`` gives them, from the index: only its rows of the query's tokens are read.
+
+    A phrase is where each token's places follow on those of the one before.
+    """
+    terms = [t for t in terms if t.tokens]
+    if not terms:
+        return index.select("uri", "ordinal", F.lit(0.0).alias("score")).where(F.lit(False))
+    wanted = sorted({(x, t.prefix and k == len(t.tokens) - 1) for t in terms for k, x in enumerate(t.tokens)})
     any_hit = F.lit(False)
-    for t in singles:
-        any_hit |= hit(t)
-    tf = [F.sum(F.when(hit(t), F.col("tf")).otherwise(0)).cast("double").alias(f"tf_{i}") for i, t in enumerate(singles)]
+    for token, prefix in wanted:
+        any_hit |= _hit(token, prefix)
+    none = F.array().cast("array<int>")
+    gathered = []
+    for i, t in enumerate(terms):
+        if len(t.tokens) == 1:
+            gathered.append(F.sum(F.when(_hit(t.tokens[0], t.prefix), F.size("positions")).otherwise(0)).cast("double").alias(f"tf_{i}"))
+        for k, x in enumerate(t.tokens if len(t.tokens) > 1 else ()):
+            gathered.append(F.flatten(F.collect_list(F.when(_hit(x, t.prefix and k == len(t.tokens) - 1), F.col("positions")))).alias(f"at_{i}_{k}"))
+
+    def followed(i: int, t: QueryTerm) -> Column:
+        def at(p: Column) -> Column:
+            out = F.lit(True)
+            for k in range(1, len(t.tokens)):
+                out = out & F.array_contains(F.col(f"at_{i}_{k}"), p + k)
+            return out
+
+        return F.size(F.filter(F.coalesce(F.col(f"at_{i}_0"), none), at)).cast("double").alias(f"tf_{i}")
+
     # One exchange for the passages' counts and for the statistics, as in bm25.
-    counted = index.where(any_hit).groupBy("uri", "ordinal").agg(F.first("n_tokens").alias("n_tokens"), *tf)
-    held = [F.count(F.when(F.col(f"tf_{i}") > 0, 1)).cast("double").alias(f"df_{i}") for i in range(len(singles))]
+    rows = index.where(any_hit).groupBy("uri", "ordinal").agg(F.first("n_tokens").alias("n_tokens"), *gathered)
+    counted = rows.select("uri", "ordinal", "n_tokens", *[F.col(f"tf_{i}") if len(t.tokens) == 1 else followed(i, t) for i, t in enumerate(terms)])
+    held = [F.count(F.when(F.col(f"tf_{i}") > 0, 1)).cast("double").alias(f"df_{i}") for i in range(len(terms))]
     stats = counted.agg(F.max(F.struct("uri", "ordinal", "n_tokens")).alias("last"), *held)
     beside = counted.crossJoin(F.broadcast(stats.where("last is not null").drop("last")))  # one row
     total = F.lit(0.0)
-    for i in range(len(singles)):
+    for i in range(len(terms)):
         gain = _idf(F.lit(float(n_rows)), F.col(f"df_{i}")) * _weight(F.col(f"tf_{i}"), F.col("n_tokens"), F.lit(float(mean_tokens)))
         total = total + F.when(F.col(f"tf_{i}") > 0, gain).otherwise(0.0)
-    return beside.select("uri", "ordinal", total.alias("score"))
+    scored = beside.select("uri", "ordinal", total.alias("score")).where("score > 0")
+    return scored if admitted is None else scored.join(admitted.select("uri"), "uri", "left_semi")
 
 
 def live_scan(turns: DataFrame, terms: list[str], sessions: DataFrame, limit: int = 400, snippets: int = 3) -> tuple[DataFrame, DataFrame]:

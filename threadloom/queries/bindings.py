@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import derive_title, preview
+from ..operators import lexical
 from ..operators.lexical import tokenized
+from ..plans import scratch
 
 NOW = datetime(2024, 3, 1)
 NOW_SQL = "TIMESTAMP '2024-03-01 00:00:00'"
@@ -28,9 +30,9 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs if docs.rdd.getNumPartitions() >= n else docs.repartition(n, "doc_id")
 
 
-def sessions(spark: SparkSession, d: str) -> DataFrame:
-    """A session for each document."""
-    docs, labels = texts(spark, d), table(spark, d, "labels").select("doc_id", "toxic")
+def sessions(spark: SparkSession, d: str, dealt: bool = True) -> DataFrame:
+    """A session for each document.  What reads few columns need not have the texts ``dealt`` to all cores."""
+    docs, labels = texts(spark, d) if dealt else table(spark, d, "documents"), table(spark, d, "labels").select("doc_id", "toxic")
     joined = docs.join(labels, "doc_id", "left")
     i = F.col("doc_id")
     at = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(doc_id % 1440 as int))")
@@ -114,6 +116,11 @@ def passages(spark: SparkSession, d: str) -> DataFrame:
     return tokenized(docs).drop("text")
 
 
+def index(spark: SparkSession, d: str) -> str:
+    """Where the passages' inverted index is; it is written when a session first needs it."""
+    return scratch.built(spark, f"index of {d}", lambda path: lexical.write_index(passages(spark, d), path))
+
+
 PASSAGE = f"""
 passage AS (
   SELECT 'doc://' || source || '/' || doc_id AS uri, 0 AS ordinal, source AS source_id, doc_id, toks AS tokens, len(toks) AS n_tokens

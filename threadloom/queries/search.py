@@ -10,7 +10,7 @@ from ..functions.vectors import centroids, cosine, dot, normalize
 from ..operators import filters, fusion, lexical, semantic, snippets
 from ..plans.terms import parse
 from . import query
-from .bindings import NOW, NOW_SQL, PASSAGE, SESSION, TURN, VECTOR, passages, query_vector, sessions, table, turns, vectors
+from .bindings import index, NOW, NOW_SQL, PASSAGE, SESSION, TURN, VECTOR, passages, query_vector, sessions, table, turns, vectors
 
 #: Terms asked for, as text and as SQL conditions on the token ``t``.
 TEXT = 'the tion shwhbl "the of" éler'
@@ -63,22 +63,42 @@ def match_or(spark, d):
 
 @query("bm25_topk", f"WITH {_bm25_sql(_TF)} SELECT uri, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, uri LIMIT 400")
 def bm25_topk(spark, d):
-    rows = lexical.bm25(passages(spark, d), TERMS)
+    rows = lexical.indexed_bm25(spark, index(spark, d), TERMS)
     return lexical.top_passages(rows, lexical.candidate_cap(20)).select("uri", F.round("score", 6).alias("score"))
 
 
 @query("bm25_filtered_cap", f"WITH {_bm25_sql(_TF, where=chr(10) + 'source_id IN (' + chr(39) + 'src1' + chr(39) + ', ' + chr(39) + 'src2' + chr(39) + ')')} SELECT uri, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, uri LIMIT 50")
 def bm25_filtered(spark, d):
-    admitted = sessions(spark, d).where(F.col("source_id").isin("src1", "src2"))
-    rows = lexical.bm25(passages(spark, d), TERMS, admitted)
+    admitted = sessions(spark, d, dealt=False).where(F.col("source_id").isin("src1", "src2"))
+    rows = lexical.indexed_bm25(spark, index(spark, d), TERMS, admitted)
     return lexical.top_passages(rows, lexical.candidate_cap(1)).select("uri", F.round("score", 6).alias("score"))
 
 
 @query("bm25_postings", f"WITH {_bm25_sql(_TF)} SELECT uri, round(score, 6) AS score FROM scored")
 def bm25_postings(spark, d):
-    p = passages(spark, d)
-    s = p.agg(F.count(F.lit(1)).alias("n"), F.avg("n_tokens").alias("mean")).first()
-    return lexical.bm25_postings(lexical.postings(p), s.n, s["mean"] or 1.0, TERMS).select("uri", F.round("score", 6).alias("score"))
+    return lexical.indexed_bm25(spark, index(spark, d), TERMS).select("uri", F.round("score", 6).alias("score"))
+
+
+@query("bm25_scan", f"WITH {_bm25_sql(_TF)} SELECT uri, round(score, 6) AS score FROM scored")
+def bm25_scan(spark, d):
+    """Without an index: the words of every passage are read."""
+    return lexical.bm25(passages(spark, d), TERMS).select("uri", F.round("score", 6).alias("score"))
+
+
+_SINGLES = [_tf("t = 'le'"), _tf("starts_with(t, 'nthe')")]
+
+
+@query("bm25_phrases", f"WITH {_bm25_sql([_PHRASE.replace('generate_series(1, len(tokens) - 1)', 'generate_series(1, greatest(len(tokens) - 1, 0))'), *_SINGLES])} SELECT uri, round(score, 6) AS score FROM scored")
+def bm25_phrases(spark, d):
+    """A phrase, an exact word and a prefix, from the index."""
+    return lexical.indexed_bm25(spark, index(spark, d), parse('"of the" "le" nthe')).select("uri", F.round("score", 6).alias("score"))
+
+
+@query("index_postings", f"WITH {PASSAGE}, each AS (SELECT uri, unnest(tokens) AS term, generate_subscripts(tokens, 1) - 1 AS pos FROM passage) SELECT term, uri, CAST(count(*) AS BIGINT) AS tf, CAST(min(pos) AS BIGINT) AS first, CAST(max(pos) AS BIGINT) AS last FROM each GROUP BY ALL")
+def index_postings(spark, d):
+    """What the written index holds."""
+    rows = spark.read.parquet(f"{index(spark, d)}/posting")
+    return rows.select("term", "uri", F.size("positions").cast("bigint").alias("tf"), F.array_min("positions").cast("bigint").alias("first"), F.array_max("positions").cast("bigint").alias("last"))
 
 
 _FINAL = f"""SELECT r.uri, title, round(score * (1 + 0.15 * power(0.5, greatest(epoch_us({NOW_SQL}) - epoch_us(updated_at), 0) / 86400000000.0 / 30)), 9) AS score
@@ -87,9 +107,9 @@ FROM (SELECT * FROM {{fused}} ORDER BY score DESC, lexical_rank NULLS LAST, sema
 
 def search_lexical_rows(spark, d, text="tion nthe estionr", top=10):
     """The whole of a keyword search: candidates of admitted sessions, ranks, boosts; titles are fetched last."""
-    s = sessions(spark, d)
+    s = sessions(spark, d, dealt=False)
     admitted = filters.filtered(s, SessionFilter()).select("uri")
-    rows = lexical.top_passages(lexical.bm25(passages(spark, d), parse(text), admitted), lexical.candidate_cap(top))
+    rows = lexical.top_passages(lexical.indexed_bm25(spark, index(spark, d), parse(text), admitted), lexical.candidate_cap(top))
     found = fusion.cut(fusion.fused({"lexical": fusion.session_ranks(rows)}), top)
     named = found.join(s.select("uri", "updated_at", "workspace_path", "text"), "uri")
     hits = fusion.boosted(named, NOW).orderBy(F.desc("score"), "uri").limit(top)
@@ -143,6 +163,16 @@ def vec_cosine(spark, d):
     return _asked(spark, d, vectors(spark, d)).select("ordinal", F.round(cosine(F.col("vector"), F.col("q")), 6).alias("score"))
 
 
+_UNIT = "list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda y: y * y))))"
+
+
+@query("vec_normalize_direction", f"SELECT vec_id, round(u[1], 6) AS first, round(u[len(u)], 6) AS last, round(list_sum(list_transform(u, lambda x, i: x * i)), 5) AS weighted FROM (SELECT vec_id, {_UNIT} AS u FROM embeddings)")
+def vec_normalize_direction(spark, d):
+    n = normalize(F.col("embedding"))
+    weighted = F.aggregate(F.transform(n, lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return table(spark, d, "embeddings").select("vec_id", F.round(F.element_at(n, 1), 6).alias("first"), F.round(F.element_at(n, -1), 6).alias("last"), F.round(weighted, 5).alias("weighted"))
+
+
 @query("vec_normalize", "SELECT vec_id, round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)) / list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)), 6) AS square FROM embeddings")
 def vec_normalize(spark, d):
     n = normalize(F.col("embedding"))
@@ -186,8 +216,9 @@ def search_semantic_deep(spark, d):
 
 
 def _by_label(spark, d):
-    """Passages of documents under the sessions of vectors: ten sessions, documents by id modulo ten."""
-    return passages(spark, d).select(F.concat(F.lit("s"), (F.col("doc_id") % 10).cast("string")).alias("uri"), F.col("doc_id").alias("ordinal"), "words", "n_tokens")
+    """Scored passages of documents under the sessions of vectors: ten sessions, documents by id modulo ten."""
+    i = F.element_at(F.split("uri", "/"), -1).cast("bigint")
+    return lexical.indexed_bm25(spark, index(spark, d), TERMS).select(F.concat(F.lit("s"), (i % 10).cast("string")).alias("uri"), i.alias("ordinal"), "score")
 
 
 _HYB = (
@@ -204,7 +235,7 @@ FROM ranks l FULL JOIN sranks s ON l.uri = s.uri"""
 
 def _hybrid(spark, d, deep: bool):
     v, q = _top_vectors(spark, d)
-    lex = lexical.top_passages(lexical.bm25(_by_label(spark, d), TERMS), 500)
+    lex = lexical.top_passages(_by_label(spark, d), 500)
     sem = semantic.search(v, None if deep else centroids(v, "uri"), q, deep=deep, config=SearchConfig(session_shortlist=3))
     out = fusion.fused({"lexical": fusion.session_ranks(lex), "semantic": fusion.session_ranks(sem.select("uri", "ordinal", "score"), bounded=not deep)})
     return out.select("uri", F.col("lexical_rank").cast("bigint").alias("lexical_rank"), F.col("semantic_rank").cast("bigint").alias("semantic_rank"), F.round("score", 9).alias("score"))
