@@ -32,10 +32,13 @@ class Catalog:
 
     def live_sessions(self) -> DataFrame:
         """All enabled sources as one; one that can't be read is left out."""
+        return self._live(lambda s: s.sessions())
+
+    def _live(self, of) -> DataFrame:
         out = None
         for s in self._enabled():
             if s.probe().available:
-                out = s.sessions() if out is None else out.unionByName(s.sessions())
+                out = of(s) if out is None else out.unionByName(of(s))
         if out is None:
             raise NotFoundError("no source is available")
         return out
@@ -48,8 +51,12 @@ class Catalog:
         if mode == "index_only" and not self.store.exists():
             raise NotFoundError("there is no index: refresh first")
         tags = self.store.tags()
-        every = self.live_sessions() if mode == "live" else self._sessions()
-        rows = filters.ordered(filters.filtered(every, self._filter(f), tags), f.sort, f.limit)
+        if mode == "live" or not self.store.exists():
+            # Each source filters and cuts by itself, then all are cut together.
+            best = lambda s: filters.ordered(filters.filtered(s.sessions(), self._filter(f), tags), f.sort, f.limit)
+            rows = filters.ordered(self._live(best), f.sort, f.limit)
+        else:
+            rows = filters.ordered(filters.filtered(self._sessions(), self._filter(f), tags), f.sort, f.limit)
         return filters.ordered(filters.with_tags(rows, tags), f.sort)
 
     def search(self, q: SearchQuery, now: datetime, workspace: str | None = None) -> DataFrame:
@@ -67,7 +74,8 @@ class Catalog:
         admitted = filters.filtered(sessions, self._filter(q.filter), self.store.tags()).select("uri")
         terms, lists, ranks = parse(q.text), {}, {}
         if mode in ("lexical", "hybrid") and terms:
-            found = lexical.bm25(chunk, terms, admitted)
+            posting = self.store.table("posting")
+            found = lexical.bm25_postings(posting, *self.store.statistics(), terms, admitted) if posting is not None else lexical.bm25(chunk, terms, admitted)
             lists["lexical"] = lexical.top_passages(found, lexical.candidate_cap(top, c))
         if mode in ("semantic", "hybrid"):
             v = semantic.query_vector(self.embedder.vectors([q.text], query=True)[0])
@@ -130,15 +138,16 @@ class Catalog:
         source = next((s for s in self._enabled() if uri.split("://", 1)[1].startswith(s.source_id + "/")), None)
         if source is None:
             raise NotFoundError(f"no source for {uri}")
-        turns = source.turns().where(F.col("uri") == uri).withColumn("blocks", transcripts.selected_blocks(F.col("blocks"), o))
+        said, tools = source.turns(), source.tool_turns() if o.include_tool_output else None
+        turns = (said if tools is None else said.unionByName(tools)).where(F.col("uri") == uri).withColumn("blocks", transcripts.selected_blocks(F.col("blocks"), o))
         size = F.aggregate("blocks", F.lit(0), lambda s, b: s + transcripts.block_size(b))
         return transcripts.page(turns, o, size).orderBy("turn_index")
 
     def files(self, wanted: str) -> DataFrame:
         uri = self.resolve(wanted)
         stored = self.store.table("session_file")
-        if stored is not None:
-            return stored.where(F.col("uri") == uri)
+        if stored is not None and not (mine := stored.where(F.col("uri") == uri)).isEmpty():
+            return mine
         for s in self._enabled():
             if uri.split("://", 1)[1].startswith(s.source_id + "/") and (f := s.files()) is not None:
                 return f.where(F.col("uri") == uri)

@@ -1,9 +1,10 @@
-"""The index: immutable generations of Parquet, a manifest that names the live one, tags outside.
+"""The index: immutable generations of Parquet, a manifest that names the live ones, tags outside.
 
-``<root>/gen=<n>/<table>/source_id=<s>/…`` and ``<root>/manifest.json``.  A refresh writes the next generation and then
-swaps the manifest by renaming it, so readers keep what they opened and a failed refresh leaves the old one live.  A
-source that did not change is not copied: the manifest notes the generation that holds it.  Files are reached through
-Hadoop's file systems, so that a root may be in any store Spark can write.
+``<root>/gen=<n>/<table>/source_id=<s>/…`` and ``<root>/manifest.json``.  A refresh writes a generation that holds what changed,
+with the URIs that it replaces or drops (``gone``), and then swaps the manifest by renaming it, so readers keep what they
+opened and a failed refresh leaves the old one live.  A source's rows are those of its generations, less what later ones
+have gone; after ``MAX_DELTAS`` of them the source is written anew as one.  Files are reached through Hadoop's file systems,
+so that a root may be in any store Spark can write.
 """
 
 from __future__ import annotations
@@ -19,12 +20,16 @@ from ..config import ChunkPolicy, EngineConfig, EngineError, SessionFilter, Usag
 from ..functions.vectors import centroids
 from ..operators import chunking, incremental, lexical
 from ..operators.filters import predicate
-from ..operators.semantic import check_model
+from ..operators.semantic import check_model, embeddable
 from ..sources.base import SessionSource
 from .embedding import Embedder
 
-SCHEMA_VERSION = 1
-TABLES = ("session", "chunk", "chunk_embedding", "session_embedding", "session_file")
+SCHEMA_VERSION = 2
+TABLES = ("session", "chunk", "posting", "chunk_embedding", "session_embedding", "session_file")
+VECTORS = ("chunk_embedding", "session_embedding")
+#: Generations of a source, and files of the log of tags, before they are written as one.
+MAX_DELTAS = 8
+MAX_TAG_FILES = 64
 
 
 @dataclass
@@ -34,6 +39,8 @@ class SourceReport:
     written: int = 0
     unchanged: int = 0
     pruned: int = 0
+    #: Sessions that could not be read.  They keep what the index has of them, and the cursor stays.
+    failed: int = 0
     complete: bool = True
 
 
@@ -92,7 +99,7 @@ class IndexStore:
     def clear(self) -> None:
         """Drops all generations; tags stay."""
         fs, m = self._fs(), self.manifest()
-        self._swap({"schema_version": SCHEMA_VERSION, "generation": m["generation"], "embedding_model": None, "last_refresh": None, "sources": {}})
+        self._swap({"schema_version": SCHEMA_VERSION, "generation": m["generation"], "embedding_model": None, "last_refresh": None, "sources": {}, "tags": m.get("tags", "tags")})
         for status in fs.globStatus(self._path("gen=*")) or []:
             fs.delete(status.getPath(), True)
 
@@ -100,30 +107,74 @@ class IndexStore:
 
     def table(self, name: str, manifest: dict | None = None) -> DataFrame | None:
         """The live rows of a table; None if no source has any."""
-        m = manifest or self.manifest()
-        fs, parts = self._fs(), None
+        m, parts = manifest or self.manifest(), None
         for source_id, state in sorted(m["sources"].items()):
-            where = (f"gen={state['generation']}", name, f"source_id={source_id}")
-            if state["generation"] and fs.exists(self._path(*where)):
-                one = self.spark.read.parquet("/".join((self.root, *where))).withColumn("source_id", F.lit(source_id))
+            one = self._source_table(name, source_id, state)
+            if one is not None:
+                one = one.withColumn("source_id", F.lit(source_id))
                 parts = one if parts is None else parts.unionByName(one, allowMissingColumns=True)
         return parts
 
+    def _written(self, name: str, source_id: str, generation: int) -> DataFrame | None:
+        where = (f"gen={generation}", name, f"source_id={source_id}")
+        return self.spark.read.parquet("/".join((self.root, *where))) if self._fs().exists(self._path(*where)) else None
+
+    def _source_table(self, name: str, source_id: str, state: dict) -> DataFrame | None:
+        """A source's live rows: of each generation those that no later one has gone."""
+        all_, dead = None, None
+        for g in reversed(state.get("generations", ())):
+            # Vectors of another model are not there any more.
+            rows = None if name in VECTORS and g < state.get("vectors_from", 0) else self._written(name, source_id, g)
+            if rows is not None:
+                rows = rows if dead is None else rows.join(dead, "uri", "left_anti")
+                all_ = rows if all_ is None else all_.unionByName(rows, allowMissingColumns=True)
+            gone = self._written("gone", source_id, g)
+            if gone is not None:
+                dead = gone if dead is None else dead.union(gone)
+        return all_
+
+    def statistics(self, manifest: dict | None = None) -> tuple[float, float]:
+        """Passages of the index and their mean number of tokens."""
+        states = (manifest or self.manifest())["sources"].values()
+        n, tokens = (sum(s.get(x, 0) for s in states) for x in ("chunks", "tokens"))
+        return float(n), tokens / n if n else 1.0
+
+    def vacuum(self) -> int:
+        """Deletes generations and logs of tags that the manifest names no more; returns how many.  Readers must be done with them."""
+        fs, m = self._fs(), self.manifest()
+        live = {f"gen={g}" for s in m["sources"].values() for g in s.get("generations", ())} | {m.get("tags", "tags")}
+        dead = [x.getPath() for pattern in ("gen=*", "tags*") for x in fs.globStatus(self._path(pattern)) or [] if x.getPath().getName() not in live]
+        return sum(bool(fs.delete(p, True)) for p in dead)
+
     def tags(self) -> DataFrame:
         fs = self._fs()
-        if not fs.exists(self._path("tags")):
+        folder = self.manifest().get("tags", "tags")
+        if not fs.exists(self._path(folder)):
             return self.spark.createDataFrame([], "uri string, tag string, origin string, created_at timestamp_ntz, deleted boolean, version bigint").select("uri", "tag", "origin", "created_at")
-        log = self.spark.read.parquet(f"{self.root}/tags")
+        log = self.spark.read.parquet(f"{self.root}/{folder}")
         latest = log.groupBy("uri", "tag").agg(F.max_by(F.struct("origin", "created_at", "deleted"), "version").alias("x"))
         return latest.where("not x.deleted").select("uri", "tag", "x.origin", "x.created_at")
 
     def _log_tags(self, rows: DataFrame, deleted: bool, now: datetime) -> int:
         n = rows.count()
         if n:
-            version = int(now.timestamp() * 1e6)
-            rows.select("uri", "tag", F.lit("manual").alias("origin"), F.lit(now).cast("timestamp_ntz").alias("created_at"), F.lit(deleted).alias("deleted"), F.lit(version).alias("version")).write.mode("append").parquet(f"{self.root}/tags")
+            # Of an addition and a removal at one time the removal is the later.
+            version = 2 * int(now.timestamp() * 1e6) + deleted
+            rows.select("uri", "tag", F.lit("manual").alias("origin"), F.lit(now).cast("timestamp_ntz").alias("created_at"), F.lit(deleted).alias("deleted"), F.lit(version).alias("version")).coalesce(1).write.mode("append").parquet(f"{self.root}/{self.manifest().get('tags', 'tags')}")
         return n
 
+    def _compacted_tags(self, manifest: dict) -> dict:
+        """The manifest with a log of tags of few files: the newest row of each tag, written anew if there are too many."""
+        folder = manifest.get("tags", "tags")
+        found = self._fs().globStatus(self._path(folder, "part-*")) or []
+        if len(found) <= MAX_TAG_FILES:
+            return manifest
+        new = f"tags-{manifest['generation']}"
+        log = self.spark.read.parquet(f"{self.root}/{folder}")
+        newest = log.groupBy("uri", "tag").agg(F.max_by(F.struct("origin", "created_at", "deleted", "version"), "version").alias("x"))
+        newest.select("uri", "tag", "x.*").write.mode("overwrite").parquet(f"{self.root}/{new}")
+        return dict(manifest, tags=new)
+
     def add_tags(self, wanted: DataFrame, now: datetime) -> int:
         """Adds (``uri, tag``) rows; returns how many are new."""
         return self._log_tags(incremental.tags_added(self.tags(), wanted), False, now)
@@ -142,20 +193,21 @@ class IndexStore:
         """Brings the index up to its sources.
 
         A source's cursor is taken before its listing and kept only if the listing was whole and unscoped.  Sessions
-        whose hash the index has are left alone, unless forced; a backfill writes those that have something to embed
-        and no vector.  The time of the refresh is noted even if one fails.
+        whose hash the index has are left alone, unless forced; a backfill also writes those that have something to embed
+        and no vector.  A session that can't be read is left as the index has it.  A forced change of the model drops the
+        vectors of every source, named or not.  The time of the refresh is noted even if one fails.
         """
         m = self.manifest()
-        if embedder is not None and check_model(m["embedding_model"], embedder.name, force):
-            for s in m["sources"].values():
-                s["model"] = None
         report = RefreshReport(generation=m["generation"] + 1)
-        new = dict(m, generation=report.generation, sources=dict(m["sources"]), last_refresh=now.isoformat())
+        new = dict(m, generation=report.generation, sources={k: dict(s) for k, s in m["sources"].items()}, last_refresh=now.isoformat())
+        if embedder is not None and check_model(m["embedding_model"], embedder.name, force):
+            for s in new["sources"].values():
+                s["vectors_from"] = report.generation
         if embedder is not None:
             new["embedding_model"] = embedder.name
         try:
             for source in sources:
-                state, why = m["sources"].get(source.source_id, {}), self._left_out(source.source_id, config, named)
+                state, why = new["sources"].get(source.source_id, {}), self._left_out(source.source_id, config, named)
                 one = SourceReport(source.source_id, skipped=why)
                 report.sources.append(one)
                 if why is None:
@@ -165,7 +217,7 @@ class IndexStore:
             if isinstance(e, EngineError):
                 raise
             raise EngineError(f"the refresh failed: {e}") from e
-        self._swap(new)
+        self._swap(self._compacted_tags(new))
         return report
 
     @staticmethod
@@ -185,58 +237,70 @@ class IndexStore:
         live = everything if force or backfill or known is None else source.changed_since(datetime.fromisoformat(known))
         if scope is not None:
             live = live.where(predicate(scope))
+        bad = source.unreadable()
+        if bad is not None:
+            bad = bad.select("uri").distinct().persist()
+            report.failed = bad.count()
+            report.complete = not report.failed
+            live = live.join(bad, "uri", "left_anti")
         if old["session"] is None:
             todo = live
-        elif backfill:
-            todo = incremental.without_vectors(live, old["chunk"].where("is_embeddable"), old["session_embedding"]) if old["session_embedding"] is not None else live
         else:
             todo = incremental.changed(live, old["session"], force)
+            if backfill:
+                bare = old["chunk"].where(embeddable(F.col("role"), F.col("text"))) if old["chunk"] is not None else live.where("false")
+                have = old["session_embedding"] if old["session_embedding"] is not None else live.where("false")
+                wanted = todo.select("uri").union(incremental.without_vectors(live, bare, have).select("uri")).distinct()
+                todo = live.join(wanted, "uri", "left_semi")
         gone = incremental.vanished(old["session"].select("uri"), source.ids()) if prune and old["session"] is not None else None
+        if gone is not None and bad is not None:
+            gone = gone.join(bad, "uri", "left_anti")
         todo = todo.persist()
         try:
             report.written = todo.count()
             report.pruned = gone.count() if gone is not None else 0
             report.unchanged = (old["session"].count() if old["session"] is not None else 0) - report.pruned
             kept = dict(state, last_indexed=manifest["last_refresh"])
+            kept.setdefault("generations", [])
             if report.written or report.pruned:
-                self._write(source, todo, gone, old, manifest["generation"], policy, embedder)
-                kept["generation"] = manifest["generation"]
+                whole = len(kept["generations"]) >= MAX_DELTAS
+                self._write(source, todo, gone, old, manifest["generation"], policy, embedder, whole)
+                kept["generations"] = ([] if whole else kept["generations"]) + [manifest["generation"]]
                 kept["sessions"] = self._source_table("session", source.source_id, kept).count()
                 chunk = self._source_table("chunk", source.source_id, kept)
-                kept["chunks"] = chunk.count() if chunk is not None else 0
-            kept.setdefault("generation", 0)
+                n = chunk.agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("tokens")).first() if chunk is not None else None
+                kept["chunks"], kept["tokens"] = (n.n, n.tokens or 0) if n else (0, 0)
             if report.complete and scope is None and cursor is not None:
                 kept["cursor"] = cursor.isoformat()
             return kept
         finally:
             todo.unpersist()
+            if bad is not None:
+                bad.unpersist()
 
-    def _source_table(self, name: str, source_id: str, state: dict) -> DataFrame | None:
-        if not state.get("generation"):
-            return None
-        where = (f"gen={state['generation']}", name, f"source_id={source_id}")
-        return self.spark.read.parquet("/".join((self.root, *where))) if self._fs().exists(self._path(*where)) else None
-
-    def _write(self, source, todo, gone, old, generation, policy, embedder) -> None:
+    def _write(self, source, todo, gone, old, generation, policy, embedder, whole: bool) -> None:
+        """A generation of what changed, or of the ``whole`` source."""
         turns = source.turns().join(todo.select("uri"), "uri", "left_semi")
         chunk = lexical.tokenized(chunking.chunks(todo, turns, policy))
-        new = {"session": todo.drop("source_id"), "chunk": chunk}
+        new = {"session": todo.drop("source_id"), "chunk": chunk, "posting": lexical.postings(chunk)}
         files = source.files()
         if files is not None:
             new["session_file"] = files.join(todo.select("uri"), "uri", "left_semi").dropDuplicates(["uri", "path"])
         if embedder is not None:
-            vectors = embedder.embed(chunk.where("is_embeddable and length(text) >= 24").select("uri", "ordinal", "text"))
+            vectors = embedder.embed(chunk.where(embeddable(F.col("role"), F.col("text")) & F.col("is_embeddable")).select("uri", "ordinal", "text"))
             new["chunk_embedding"] = vectors
             new["session_embedding"] = centroids(vectors, "uri")
-        none = todo.select("uri").where("false")
+        touched = todo.select("uri").union(gone if gone is not None else todo.select("uri").where("false")).distinct()
+        where = lambda name: f"{self.root}/gen={generation}/{name}/source_id={source.source_id}"
         for name in TABLES:
             rows = new.get(name)
-            if old[name] is not None:
-                touched = todo.select("uri").union(gone if gone is not None else none).distinct()
+            if whole and old[name] is not None:
                 left = old[name].join(touched, "uri", "left_anti")
                 rows = left if rows is None else left.unionByName(rows, allowMissingColumns=True)
             if rows is not None:
-                rows.write.mode("overwrite").parquet(f"{self.root}/gen={generation}/{name}/source_id={source.source_id}")
+                (lexical.by_term(rows) if name == "posting" else rows).write.mode("overwrite").parquet(where(name))
+        if not whole and old["session"] is not None:
+            touched.write.mode("overwrite").parquet(where("gone"))
 
     def stale(self, now: datetime, config: EngineConfig) -> bool:
         """Whether a search should top the index up first: the cooldown has passed."""

@@ -49,6 +49,14 @@ class SessionSource(ABC):
     def references(self) -> DataFrame | None:
         return None
 
+    def tool_turns(self) -> DataFrame | None:
+        """Turns that the store keeps apart from what was said; they follow on the session's own."""
+        return None
+
+    def unreadable(self) -> DataFrame | None:
+        """``uri`` of sessions that are there but can't be read."""
+        return None
+
     def version(self) -> str | None:
         return None
 

@@ -160,8 +160,8 @@ class VsCode(SessionSource):
         super().__init__(spark, location)
         self.include_empty = include_empty
 
-    def documents(self) -> DataFrame:
-        """``native_id, hash, modified, document``: each session file as one JSON document.
+    def _files(self) -> DataFrame:
+        """``native_id, hash, modified, document``: each session file as one JSON document, null where it can't be read.
 
         A log is walked in order, so each file is handled whole, in Arrow batches; files beyond the limit are left out.
         """
@@ -181,8 +181,14 @@ class VsCode(SessionSource):
 
             return text.combine(ending, one)
 
-        kept = raw.select(F.regexp_extract(path, name, 2).alias("native_id"), F.regexp_extract(path, name, 1).alias("hash"), F.col("_metadata.file_modification_time").alias("modified"), whole("value", F.regexp_extract(path, name, 3)).alias("document"))
-        return kept.where("document is not null")
+        return raw.select(F.regexp_extract(path, name, 2).alias("native_id"), F.regexp_extract(path, name, 1).alias("hash"), F.col("_metadata.file_modification_time").alias("modified"), whole("value", F.regexp_extract(path, name, 3)).alias("document"))
+
+    def documents(self) -> DataFrame:
+        """``native_id, hash, modified, document``: each session file as one JSON document, those that hold none left out."""
+        return self._files().where("document is not null")
+
+    def unreadable(self) -> DataFrame:
+        return self._files().where("document is null").select(session_uri(F.lit(self.source_id), F.col("native_id")).alias("uri"))
 
     def workspaces(self) -> DataFrame:
         files = self.spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "workspace.json").text(self.location, wholetext=True)
