@@ -13,6 +13,26 @@ from pyspark.sql import functions as F
 from . import common
 
 
+def merge(label, u, v):
+    """Lets label hold the smallest index of each component after adding edges u-v."""
+    import numpy as np
+
+    while len(u):
+        a, b = label[u], label[v]
+        open_ = a != b
+        if not open_.any():
+            return
+        u, v, a, b = u[open_], v[open_], a[open_], b[open_]
+        low = np.minimum(a, b)
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        while True:
+            next_ = label[label]
+            if (next_ == label).all():
+                break
+            label[:] = next_
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step over edges ``a > b``."""
     both = edges.union(edges.select(F.col("b"), F.col("a"))) if large else edges
@@ -36,5 +56,5 @@ def connected(links: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``links`` (``a, b``); the root is the component's smallest node."""
     edges = common.staged(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     while not _settled(edges):
-        edges = common.staged(_star(_star(edges, True), False))
+        edges = common.staged(_star(common.staged(_star(edges, True)), False))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

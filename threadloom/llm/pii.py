@@ -71,7 +71,9 @@ _CAPITAL = r"(?=[^\W\d_a-z])" + _WORD
 _MORE = r"(?: (?:(?:de|del|della|di|da|dos|du|la|le|van|von|der|den|ter|zu|bin|ibn|al) ){0,3}" + _CAPITAL + r")"
 _PERSON = re.compile(r"(?<!\w)(" + "|".join(sorted(TITLES, key=lambda t: -len(t))) + r")\.? (" + _CAPITAL + _MORE + r"{0,2})")
 _LABELLED = re.compile(r"(?<!\w)(?i:name|full name|contact|attn|patient|customer|employee|author|signed|kontakt|kunde|nom|nombre|cliente)() ?[:=] ?(" + _CAPITAL + _MORE + r"{1,5})")
-_KNOWN = re.compile(r"(?<!\w)()((?:" + "|".join(sorted(_GENDER, key=lambda t: -len(t))) + r")(?!\w)(?: [A-Z]\.)?" + _MORE + r"{1,2})")
+#: A capitalised word before another, or before an initial: it may be a given name.
+_PAIR = re.compile(r"(?<!\w)([A-ZÀ-Þ][a-zß-ÿ]{2,}) (?=[A-ZÀ-Þdvtzbal])")
+_KNOWN = re.compile(r"()(" + _CAPITAL + r"(?: [A-Z]\.)?" + _MORE + r"{1,2})")
 _SMALL = re.compile(r"\b(?:de|del|della|di|da|dos|du|la|le|van|von|der|den|ter|zu|bin|ibn|al|[A-Z]\.)(?!\w)")
 
 Span = tuple[int, int, str, str]  # first, end, kind, canonical value
@@ -182,14 +184,17 @@ def find(text: str) -> list[Span]:
 def _persons(text: str) -> Iterator[Span]:
     kinds: dict[str, str] = {}
     seen = set()
-    for pattern in (_PERSON, _LABELLED, _KNOWN):
-        for m in pattern.finditer(text):
-            names = [n for n in _SMALL.sub(" ", m.group(2)).split() if n]
-            for k, name in enumerate(names):
-                what = "family" if k == len(names) - 1 else "given"
-                gender = TITLES.get(m.group(1)) or _GENDER.get(names[0], "n")
-                kinds.setdefault(name.casefold(), f"{what} {gender} {script(name)}")
-                seen.add(name)
+    found = list(_PERSON.finditer(text))
+    if ":" in text or "=" in text:
+        found += _LABELLED.finditer(text)
+    found += filter(None, (_KNOWN.match(text, m.start()) for m in _PAIR.finditer(text) if m.group(1) in _GENDER))
+    for m in found:
+        names = _SMALL.sub(" ", m.group(2)).split()
+        for k, name in enumerate(names):
+            what = "family" if k == len(names) - 1 else "given"
+            gender = TITLES.get(m.group(1)) or _GENDER.get(names[0], "n")
+            kinds.setdefault(name.casefold(), f"{what} {gender} {script(name)}")
+            seen.add(name)
     if kinds:
         anywhere = re.compile(r"(?<!\w)(" + "|".join(re.escape(n) for n in sorted(seen, key=lambda n: (-len(n), n))) + r")(?!\w)", re.I)
         for m in anywhere.finditer(text):

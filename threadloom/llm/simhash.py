@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common, overlap
-from .components import connected
+from .components import connected, merge
 
 SEED = 42
 SHINGLE = 3
@@ -139,26 +139,6 @@ def _count(one, two, over, diff, radius):
     return over | (one & two)
 
 
-def _merge(label, u, v):
-    """Lets label hold the smallest index of each component after adding edges u-v."""
-    import numpy as np
-
-    while len(u):
-        a, b = label[u], label[v]
-        open_ = a != b
-        if not open_.any():
-            return
-        u, v, a, b = u[open_], v[open_], a[open_], b[open_]
-        low = np.minimum(a, b)
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        while True:
-            next_ = label[label]
-            if (next_ == label).all():
-                break
-            label[:] = next_
-
-
 def forest(fps, groups, sides, equal=(), radius: int = RADIUS):
     """Links within groups as a forest of (fingerprint, smaller fingerprint).
 
@@ -199,7 +179,7 @@ def forest(fps, groups, sides, equal=(), radius: int = RADIUS):
         if len(at):
             lanes = np.unpackbits(hit.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64)
             r, c = np.nonzero(lanes)
-            _merge(label, q[who[at[r]]], 64 * block[at[r]] + c)
+            merge(label, q[who[at[r]]], 64 * block[at[r]] + c)
         lo = hi
     moved = label != me
     return fps[moved], fps[label[moved]]
