@@ -107,6 +107,112 @@ def test_policy_and_backfill(spark, tmp_path):
         EngineConfig().with_source(["nope"], ["memory"], enabled=False)
 
 
+def test_refreshes_write_what_changed(catalog, spark, tmp_path):
+    """A changed session is a generation of its own; later ones replace it; many are written as one."""
+    store, src = catalog.store, catalog.sources[0]
+    first = store.manifest()["generation"]
+    for k in range(10):
+        src.rows[0] = ("aaaa1", f"Retry {k}", f"word{k} about jitter", 10 + k, 1 - k / 20)
+        assert catalog.refresh(NOW + timedelta(minutes=k)).written == 1
+        state = store.manifest()["sources"]["memory"]
+        if k == 0:
+            assert state["generations"] == [first, first + 1]
+            assert spark.read.parquet(f"file://{tmp_path}/index/gen={first + 1}/session").count() == 1
+    assert len(state["generations"]) < 8 and state["sessions"] == 3 == store.table("session").count()
+    assert {r.title for r in store.table("session").collect()} == {"Retry 9", "Colours", "Parsing"}
+    assert store.statistics()[0] == state["chunks"] == store.table("chunk").count()
+    assert store.table("posting").select("uri", "ordinal").distinct().count() == state["chunks"]
+    assert catalog.search(SearchQuery("word8", mode="lexical"), NOW).count() == 0 and catalog.search(SearchQuery("word9", mode="lexical"), NOW).count() == 1
+    live = catalog.list().count()
+    assert store.vacuum() > 0 and catalog.list().count() == live == 3 and store.vacuum() == 0
+
+
+def test_search_reads_postings_only(catalog):
+    """The words of passages are not scanned; phrases come from the index too."""
+    from threadloom.operators import lexical
+    from threadloom.plans.terms import parse
+
+    store, terms = catalog.store, parse('"choose a palette" parser the_answer LONGTOOL')
+    plan = lexical.bm25_postings(store.table("posting"), *store.statistics(), terms)._jdf.queryExecution().executedPlan().toString()
+    assert "words" not in plan and "PushedFilters: [Or(" in plan
+    whole = {(r.uri, r.ordinal): round(r.score, 9) for r in lexical.bm25(store.table("chunk"), terms).collect()}
+    assert {(r.uri, r.ordinal): round(r.score, 9) for r in lexical.bm25_postings(store.table("posting"), *store.statistics(), terms).collect()} == whole and len(whole) > 3
+
+
+def test_another_model_drops_all_vectors(spark, tmp_path):
+    """Forced for one source only, the vectors of the other must not live on under the new model's name."""
+    one, two = Memory(spark, ROWS[:2]), Memory(spark, ROWS[2:])
+    two.source_id = "other"
+    store = IndexStore(spark, f"file://{tmp_path}/index")
+    Catalog(spark, store, [one, two], embedder=HashedWords()).refresh(NOW)
+    assert store.table("session_embedding").count() == 3
+    small = Catalog(spark, store, [one, two], embedder=HashedWords(32))
+    assert small.refresh(NOW, force=True, named=["memory"]).written == 2
+    assert store.manifest()["embedding_model"] == HashedWords(32).name
+    assert {r.n for r in store.table("chunk_embedding").select(F.size("vector").alias("n")).collect()} == {32}
+    assert {r.source_id for r in store.table("session_embedding").collect()} == {"memory"}
+    assert small.refresh(NOW, backfill=True).written == 1 and store.table("session_embedding").count() == 3
+
+
+def test_backfill_takes_only_what_can_be_embedded(spark, tmp_path):
+    rows = [*ROWS, ("cccc1", "Tiny", "x", 1, 2)]
+
+    class Short(Memory):
+        def turns(self):
+            return super().turns().where("uri <> 'session://memory/cccc1' or turn_index = 7")
+
+    store, src = IndexStore(spark, f"file://{tmp_path}/index"), Short(spark, rows)
+    assert Catalog(spark, store, [src]).refresh(NOW).written == 4
+    with_vectors = Catalog(spark, store, [src], embedder=HashedWords())
+    assert with_vectors.refresh(NOW, backfill=True).written == 3 and with_vectors.refresh(NOW, backfill=True).written == 0
+
+
+def test_unreadable_sessions_hold_the_cursor(spark, tmp_path):
+    class Torn(Memory):
+        torn = ()
+
+        def unreadable(self):
+            return self.spark.createDataFrame([(f"session://memory/{i}",) for i in self.torn], "uri string")
+
+    src, store = Torn(spark, list(ROWS)), IndexStore(spark, f"file://{tmp_path}/index")
+    c = Catalog(spark, store, [src])
+    src.torn = ("aaaa1",)
+    report = c.refresh(NOW).sources[0]
+    assert (report.written, report.failed, report.complete) == (2, 1, False) and "cursor" not in store.manifest()["sources"]["memory"]
+    src.torn = ()
+    report = c.refresh(NOW).sources[0]
+    assert (report.written, report.complete) == (1, True) and "cursor" in store.manifest()["sources"]["memory"]
+    src.rows[0], src.torn = ("aaaa1", "Newer", "other words", 9, 0), ("aaaa1",)
+    assert c.refresh(NOW).sources[0].failed == 1 and {r.title for r in c.list().collect()} == {"Retry policy", "Colours", "Parsing"}
+
+
+def test_files_fall_back_to_the_source(spark, tmp_path):
+    class WithFiles(Memory):
+        known = [("session://memory/aaaa1", "/a", "edit", 0)]
+
+        def files(self):
+            return self.spark.createDataFrame(self.known, "uri string, path string, tool string, turn_index int")
+
+    src, store = WithFiles(spark, list(ROWS)), IndexStore(spark, f"file://{tmp_path}/index")
+    c = Catalog(spark, store, [src])
+    c.refresh(NOW)
+    src.known = [("session://memory/aaaa1", "/later", "edit", 0), ("session://memory/bbbb1", "/b", "edit", 1)]
+    assert [r.path for r in c.files("aaaa1").collect()] == ["/a"] and [r.path for r in c.files("bbbb1").collect()] == ["/b"]
+
+
+def test_tags_of_one_moment_and_many_files(catalog, monkeypatch):
+    from threadloom.plans import store as module
+
+    assert catalog.tag("aaaa1", add=["x"], remove=["x"], now=NOW) == (1, 1)
+    assert catalog.list(SessionFilter(tags=("x",))).count() == 0
+    for k in range(3):
+        catalog.tag("aaaa2", add=[f"t{k}"], now=NOW + timedelta(minutes=k))
+    monkeypatch.setattr(module, "MAX_TAG_FILES", 2)
+    catalog.refresh(NOW + timedelta(hours=1))
+    assert catalog.store.manifest()["tags"].startswith("tags-") and catalog.list(SessionFilter(tags=("t0", "t1", "t2"))).count() == 1
+    assert catalog.tag("aaaa2", remove=["t1"], now=NOW + timedelta(hours=2)) == (0, 1) and catalog.list(SessionFilter(tags=("t1",))).count() == 0
+
+
 def test_tags_outlive_the_index(catalog):
     assert catalog.tag("aaaa1", add=[" My Tag ", "my-tag", "x"], now=NOW) == (2, 0)
     assert catalog.tag("aaaa1", add=["X"], now=NOW) == (0, 0)

@@ -20,7 +20,7 @@ def usage_by_session(by_model: DataFrame) -> DataFrame:
     """Models, agent, tokens and cost of each session; none where nothing was used."""
     positive = lambda c: F.when(c > 0, c)
     return by_model.groupBy("session_id").agg(
-        F.array_sort(F.collect_set(F.lower("model"))).alias("models"), F.min_by("agent", "model").alias("agent"),
+        F.array_sort(F.collect_set(F.lower("model"))).alias("models"), F.min_by("agent", F.when(F.col("agent").isNotNull(), F.col("model"))).alias("agent"),
         positive(F.sum("tokens")).alias("total_tokens"), positive(F.sum("nano") / NANOS).alias("cost"),
     )
 
