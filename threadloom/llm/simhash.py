@@ -300,7 +300,8 @@ def representatives(docs: DataFrame) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     best = common.staged(found.groupBy("component").agg(F.min(place).alias("best")))
     own = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
-    gone = found.join(best, "component").where(~own).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    # Written first, so that its size is known before the texts would be sent to meet it.
+    gone = common.staged(found.join(best, "component").where(~own).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct())
     rows = docs.select(common.row_of(docs), F.col("doc_id").cast("long").alias("id_"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash_"))
     kept = rows.join(gone, F.col("id_").eqNullSafe(F.col("gone_id")) & (F.col("hash_") == F.col("gone_hash")), "left_anti")
     # Rows that repeat in id and text are all the best of their component; of these one stays.
