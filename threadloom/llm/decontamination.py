@@ -6,9 +6,11 @@ of the whole corpus.  So only documents' shingles equal to some window's rarest
 place in the window must leave room before and after it in the document (position and length), and what
 remains is compared word by word over the item-sized window.
 
+Documents are cut into words once.  What that pass finds of the windows' shingles, with their places, is written; counts,
+prefixes and candidates come from there, and only documents with a candidate are read again, to compare words.
+
 Windows are few next to the corpus, but nothing bounds them: their rows are counted, and only up to
-``BROADCAST_WINDOWS`` of them are broadcast.  Beyond, shingles and windows meet in a shuffle, and the documents
-are joined to the places found.
+``BROADCAST_WINDOWS`` of them are broadcast.  Beyond, the same joins are shuffles.
 """
 
 from __future__ import annotations
@@ -48,10 +50,11 @@ def _shingle(array: Column, at: Column, size: int) -> Column:
 
 
 def _spread(docs: DataFrame, sizes: list[int]) -> DataFrame:
-    """A row for each shingle of each document: its hash ``h`` at word ``pos``."""
-    rows = docs.select("*", F.posexplode_outer("w").alias("pos", "word"))
-    hashes = [F.when(F.col("pos") <= F.size("w") - s, _shingle(F.col("w"), F.col("pos"), s)) for s in sizes]
-    return rows.withColumn("h", hashes[0] if len(sizes) == 1 else F.explode(F.array(*hashes))).drop("word")
+    """A row for each shingle of each document, its hash ``h`` at word ``pos``, and one with a number of its own at -1."""
+    rows = docs.select("*", F.posexplode(F.concat(F.array(F.lit("")), F.col("w"))).alias("pos", "word")).withColumn("pos", F.col("pos") - 1)
+    own = F.when(F.col("pos") == -1, F.xxhash64(F.lit("row"), "row"))
+    hashes = [(own if k == 0 else F).when((F.col("pos") >= 0) & (F.col("pos") <= F.size("w") - s), _shingle(F.col("w"), F.col("pos"), s)) for k, s in enumerate(sizes)]
+    return rows.withColumn("h", hashes[0] if len(sizes) == 1 else F.explode(F.array(*hashes))).where("h is not null").drop("word")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
@@ -64,42 +67,43 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingl
     """
     wins = common.staged(windows(items, window, shingle)).withColumn("wid", F.monotonically_increasing_id())
     n_windows = wins.count()
-    small = n_windows <= BROADCAST_WINDOWS
-    hint = F.broadcast if small else lambda x: x
+    hint = F.broadcast if n_windows <= BROADCAST_WINDOWS else lambda x: x
     sizes = sorted(r.s for r in wins.select(F.least("n", F.lit(shingle)).alias("s")).distinct().collect())
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    split = base.select("doc_id", F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("w"))
+    keyed = base.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    split = keyed.select("doc_id", "text_hash", F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("w"))
     no_hit = F.array().cast("array<struct<a:int,n:int,items:array<string>>>")
     if not sizes:
         return _judged(split.select("doc_id", "text_hash", F.size("w").alias("n_words"), no_hit.alias("hits")))
 
-    # Shingles of windows, then their counts over the whole corpus: the order of rarity.
     s = F.least("n", F.lit(shingle))
     places = wins.select("wid", "words", "n", "items", s.alias("s"), F.explode(F.sequence(F.lit(0), F.col("n") - s)).alias("at"))
     hashed = F.coalesce(*[F.when(F.col("s") == k, _shingle(F.col("words"), F.col("at"), k)) for k in sizes])
     places = common.staged(places.withColumn("h", hashed))
-    counts = _spread(split.select("w"), sizes).select("h").join(hint(places.select("h").distinct()), "h").groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+
+    # The one pass over all words: where shingles of windows stand, and how many words there are.
+    wanted = places.select("h").distinct().withColumn("known", F.lit(True))
+    light = _spread(split, sizes).select("doc_id", "text_hash", "row", F.size("w").alias("n_words"), "pos", "h")
+    met = light.join(hint(wanted), "h", "left").where("known or pos = -1")
+    mark = F.when(F.col("pos") >= 0, F.struct("pos", "h"))
+    marks = common.staged(met.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text_hash").alias("text_hash"), F.first("n_words").alias("n_words"), F.collect_list(mark).alias("marks")))
+    each = marks.where("size(marks) > 0").select("doc_id", "text_hash", "n_words", F.explode("marks").alias("m")).select("doc_id", "text_hash", "n_words", "m.pos", "m.h")
+
+    # Counts over the whole corpus: the order of rarity.  A window with a shingle that the corpus lacks is nowhere.
+    counts = each.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     order = Window.partitionBy("wid").orderBy(F.col("df").asc(), F.col("h"), F.col("at"))
-    # A window with a shingle that the corpus lacks is nowhere.
     rated = places.join(counts, "h", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     prefix = common.staged(rated.withColumn("r", F.row_number().over(order)).where("r = 1 and df > 0").select("h", "at", "words", "n", "items"))
 
     start = F.col("pos") - F.col("at")
-    if small:
-        # The first word's row stays without a hit, so that each document has one.
-        same = (start >= 0) & (start + F.col("n") <= F.size("w")) & (F.slice("w", start + 1, F.col("n")) == F.col("words"))
-        met = _spread(split, sizes).join(hint(prefix), "h", "left").where(same | F.coalesce(F.col("pos") == 0, F.lit(True)))
-        hit = F.when(same, F.struct(start.alias("a"), F.col("n").alias("n"), F.col("items").alias("items")))
-        hits = met.select("doc_id", "text_hash", "row", F.size("w").alias("n_words"), hit.alias("hit")).groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text_hash").alias("text_hash"), F.max("n_words").alias("n_words"), F.collect_set("hit").alias("hits"))
-        return _judged(hits.drop("row"))
-    # Shingles and windows meet in a shuffle without the documents' words, which are joined to the places found.
-    keyed = base.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
-    light = _spread(keyed, sizes).select("doc_id", "text_hash", F.size("w").alias("size"), "pos", "h")
-    found = light.join(prefix, "h").where((start >= 0) & (start + F.col("n") <= F.col("size")))
-    found = found.groupBy(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_")).agg(F.collect_set(F.struct(start.alias("a"), "n", "words", "items")).alias("places"))
-    joined = keyed.join(found, keyed.doc_id.eqNullSafe(found.id_) & (keyed.text_hash == found.hash_), "left")
-    held = F.filter("places", lambda p: F.slice("w", p["a"] + 1, p["n"]) == p["words"])
-    return _judged(joined.select("doc_id", "text_hash", F.size("w").alias("n_words"), F.coalesce(F.transform(held, lambda p: F.struct(p["a"].alias("a"), p["n"].alias("n"), p["items"].alias("items"))), no_hit).alias("hits")))
+    found = each.join(hint(prefix), "h").where((start >= 0) & (start + F.col("n") <= F.col("n_words")))
+    found = common.staged(found.groupBy(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_")).agg(F.collect_set(F.struct(start.alias("a"), "n", "words", "items")).alias("places")))
+    again = keyed.join(found, keyed.doc_id.eqNullSafe(found.id_) & (keyed.text_hash == found.hash_)).select("id_", "hash_", words(F.col("text")).alias("w"), "places")
+    same = F.filter("places", lambda p: F.slice("w", p["a"] + 1, p["n"]) == p["words"])
+    held = F.transform(same, lambda p: F.struct(p["a"].alias("a"), p["n"].alias("n"), p["items"].alias("items")))
+    sure = common.staged(again.select("id_", "hash_", held.alias("hits")).where("size(hits) > 0").dropDuplicates(["id_", "hash_"]))
+    joined = marks.join(sure, marks.doc_id.eqNullSafe(sure.id_) & (marks.text_hash == sure.hash_), "left")
+    return _judged(joined.select("doc_id", "text_hash", "n_words", F.coalesce("hits", no_hit).alias("hits")))
 
 
 def _judged(rows: DataFrame) -> DataFrame:
