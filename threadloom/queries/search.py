@@ -111,9 +111,11 @@ def search_lexical_rows(spark, d, text="tion nthe estionr", top=10):
     admitted = filters.filtered(s, SessionFilter()).select("uri")
     rows = lexical.top_passages(lexical.indexed_bm25(spark, index(spark, d), parse(text), admitted), lexical.candidate_cap(top))
     found = fusion.cut(fusion.fused({"lexical": fusion.session_ranks(rows)}), top)
-    named = found.join(s.select("uri", "updated_at", "workspace_path", "text"), "uri")
+    named = found.join(s.select("uri", "updated_at", "workspace_path"), "uri")
     hits = fusion.boosted(named, NOW).orderBy(F.desc("score"), "uri").limit(top)
-    return hits.withColumn("title", derive_title(F.col("text")))  # of the sessions shown only
+    texts = table(spark, d, "documents").select(F.concat(F.lit("doc://"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("uri"), "text")
+    shown = texts.join(F.broadcast(hits), "uri")  # at most ``top`` rows
+    return shown.withColumn("title", derive_title(F.col("text")))
 
 
 @query(
