@@ -15,6 +15,7 @@ from .operators import export, filters, fusion, lexical, rollups, semantic, snip
 from .plans.embedding import Embedder
 from .plans.store import IndexStore
 from .plans.terms import parse
+from .shipping import ship
 from .sources.base import SessionSource
 
 
@@ -22,6 +23,7 @@ class Catalog:
     """Sources and their index.  ``now`` is always given, so that results don't depend on the clock."""
 
     def __init__(self, spark: SparkSession, store: IndexStore, sources: list[SessionSource], config: EngineConfig = EngineConfig(), embedder: Embedder | None = None):
+        ship(spark)
         self.spark, self.store, self.sources, self.config, self.embedder = spark, store, sources, config, embedder
 
     def _enabled(self) -> list[SessionSource]:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -17,9 +20,15 @@ def query(name: str, sql: str | None = None):
     def put(f: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"two queries named {name}")
-        QUERIES[name] = f
+
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql:
             SQL[name] = sql
-        return f
+        return run
 
     return put
