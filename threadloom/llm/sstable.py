@@ -14,8 +14,9 @@ A key is the id as a big-endian number with its sign bit flipped (byte order is
 (uint32) among rows of one id; a null id is the empty string before the rank, first of all.  A value is the width of an id in bytes (2 or
 4), then the ids.
 
-Each task writes one key range through a name of its own attempt and renames the file when it is whole, so a
-lost or repeated attempt leaves nothing half-written.
+Each attempt of a task writes one key range to a file with a name of its own, and the manifest has the files of attempts
+that ended well.  So nothing is renamed, which not every store can do over a file that is there, and what a lost
+or repeated attempt leaves is never read.
 """
 
 from __future__ import annotations
@@ -240,11 +241,13 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int
 
     Null texts are empty; each text gets ``end_id`` last.  Null ids come first; rows of one id follow one
     another in the order of their texts.  Other columns are not read.  An empty table writes no shard.
-    The ranges come from quantiles of the ids alone, a read of one column.
+    The ranges come from quantiles of the ids alone, a read of one column.  Rows of one id, or without any, are in one range,
+    as the order asks; a task writes them as they come and holds none of them.
     """
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = max(1, -(-common.plan_bytes(docs) // shard_bytes), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-common.plan_bytes(docs) // (4 << 20))))
+    size = common.text_bytes(docs)
+    n = max(1, -(-size // shard_bytes), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (4 << 20))))
     cuts: list[int] = []
     if n > 1:
         got = d.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n).alias("q")).first().q
@@ -259,7 +262,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int
         import pyarrow as pa
         from pyspark import TaskContext
 
-        enc, writer, out, file = tokens.encoder(vocabulary), None, None, None
+        enc, writer, out = tokens.encoder(vocabulary), None, None
         end = end_id.to_bytes(4, "little")
         last, rank = object(), 0
         for batch in batches:
@@ -271,8 +274,8 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int
                         k = TaskContext.get().partitionId()
                         fs, root = common.open_fs(path)
                         fs.create_dir(root, recursive=True)
-                        file = f"{root}/.{uuid.uuid4().hex}"
-                        out = fs.open_output_stream(file, compression=None)
+                        name = f"ids-{k:06d}-{uuid.uuid4().hex}.sst"
+                        out = fs.open_output_stream(f"{root}/{name}", compression=None)
                         writer = Writer(out)
                     doc = docs_[lo + j]
                     rank = rank + 1 if doc == last else 0
@@ -281,8 +284,6 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int
         if writer is not None:
             writer.close()
             out.close()
-            name = f"ids-{k:06d}.sst"
-            fs.move(file, f"{root}/{name}")
             yield pa.RecordBatch.from_pydict({"part": [k], "path": [f"{path}/{name}"], "n_docs": [writer.keys.__len__()], "n_tokens": [writer.tokens], "n_bytes": [writer.at]}, schema=pa.schema([("part", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())]))
 
     return common.staged(dealt.mapInArrow(run, MANIFEST))

@@ -169,8 +169,9 @@ def write(pages: DataFrame, path: str, least: int = 0) -> DataFrame:
 
         fs, root = common.open_fs(path)
         fs.create_dir(root, recursive=True)
-        tag = uuid.uuid4().hex
-        whole, parts, side = (f"{root}/.{tag}{x}" for x in (".gz", ".warc.gz", ".idx"))
+        # Names of this attempt: the manifest has those of attempts that ended well, and no file is renamed.
+        name = f"pages-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
+        whole, parts, side = (f"{root}/{x}" for x in (f".{name}.gz", f"{name}.warc.gz", f"{name}.idx"))
         z, out, inflated = zlib.compressobj(1, zlib.DEFLATED, 31), None, 0
         for batch in batches:
             for k in range(batch.num_rows):
@@ -186,9 +187,6 @@ def write(pages: DataFrame, path: str, least: int = 0) -> DataFrame:
         out.close()
         with fs.open_input_stream(whole, compression=None) as src, fs.open_output_stream(parts, compression=None) as dst, fs.open_output_stream(side, compression=None) as idx:
             n, size = normalise(src, dst, idx)
-        name = f"pages-{TaskContext.get().partitionId():06d}"
-        fs.move(parts, f"{root}/{name}.warc.gz")
-        fs.move(side, f"{root}/{name}.idx")
         fs.delete_file(whole)
         row = {"archive": [f"{path}/{name}.warc.gz"], "index": [f"{path}/{name}.idx"], "n_records": [n], "n_bytes": [size], "n_inflated": [inflated]}
         yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("archive", pa.string()), ("index", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64()), ("n_inflated", pa.int64())]))
