@@ -207,6 +207,27 @@ def test_repeats_with_small_windows(spark, window, size):
     assert got == sorted(_kept(rows, window))
 
 
+@pytest.mark.parametrize("flush", [1 << 20, 2000])
+def test_repeats_around_hot_minimisers(spark, monkeypatch, flush):
+    """Word runs that a third of all rows have, each time in another context, and some passages that do repeat."""
+    monkeypatch.setattr(substrings, "HOT_LEAST", 3)
+    monkeypatch.setattr(substrings, "FLUSH_BYTES", flush)
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    hot, passage = "a b c d e f g h", " ".join(word() for _ in range(40))
+    rows = []
+    for d in rng.sample(range(1000), 90):
+        text = " ".join(word() for _ in range(rng.randrange(60)))
+        text += f" {hot} " * 3 + passage * (d % 5 == 0) + " " + hot if d % 3 == 0 else " " + passage * (d % 4 == 0)
+        rows.append((d, text + " " + " ".join(word() for _ in range(rng.randrange(30)))))
+    rows += [rows[0], (2000, rows[1][1]), (2001, None), (None, rows[2][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = substrings.hot_minimisers(df.where("doc_id is not null and text is not null").selectExpr("doc_id", "xxhash64(text)", "text"), 20, 4, 1)
+    assert found
+    got = sorted(map(tuple, _digest(substrings.remove_repeats(df, 20, 4, sample=1)).collect()), key=repr)
+    assert got == sorted(_kept(rows, 20), key=repr)
+
+
 def test_op10_by_brute_force(spark, sf_dir):
     rows = [tuple(r) for r in common.table(spark, sf_dir, "documents").select("doc_id", "text").collect()]
     assert sorted(map(tuple, substrings.op10(spark, sf_dir).collect())) == sorted(_kept(rows))

@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: The characters that separate words in the operators on ASCII white space.
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -36,11 +38,8 @@ def unpacked(df: DataFrame, columns) -> list:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    """Lets Python workers import this package, wherever they run."""
+    ship(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -96,9 +95,9 @@ def plan_bytes(df: DataFrame) -> int:
     return size if size < 1 << 55 else 0
 
 
-def lanes(spark: SparkSession, rows: DataFrame, bytes_each: int = 16 << 20) -> int:
-    """Partitions for an exchange of ``rows``: by size, at least the session's setting."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-plan_bytes(rows) // bytes_each))
+def text_bytes(df: DataFrame, column: str = "text") -> int:
+    """Bytes of a table's texts: by the files' sizes, and where those are not known by reading the column."""
+    return plan_bytes(df) or df.agg(F.sum(F.octet_length(F.col(column).cast("string"))).alias("n")).first().n or 0
 
 
 def remainder(column: str, by: int):

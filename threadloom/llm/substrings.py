@@ -10,8 +10,12 @@ Groups of copies: strings that a task meets again are not sent.  The smallest do
 is witness enough that the others' windows are repeats; it alone goes to the bucket, so a passage that a third
 of all rows share arrives once per task.  A minimiser that one document alone has is dropped unsorted.
 
+A minimiser that turns up in ever new contexts would fill one bucket with strings.  Such hot minimisers are found first, on a
+share of the documents; their windows go one by one to the bucket of their own digest, again without those that a
+task has met.  It changes where windows meet, not which are equal.
+
 Strings go in compressed packets per bucket.  Windows are sorted by 128-bit digests, and equal digests are
-compared as strings before they count.
+compared as strings before they count; of hot minimisers' windows digests of 192 bits stand for the words.
 """
 
 from __future__ import annotations
@@ -29,11 +33,22 @@ MINIMISER = 4
 FLUSH_BYTES = 24 << 20
 #: Bytes of input per bucket partition.
 PARTITION_BYTES = 6 << 20
-#: Words hashed at once in a very long text.
+#: One document in so many is looked at for hot minimisers: those with new strings in more than this share of them.
+HOT_SAMPLE = 64
+HOT_SHARE = 1 / 256
+HOT_LEAST = 64
 _HEAD = struct.Struct("<qqQIII")  # doc_id, text hash, minimiser, first window, windows, bytes of the string
+#: A window alone: doc_id, text hash, place, whether it is known to be a repeat, digest.
+_ALONE = struct.Struct("<qqI?24s")
 _SEED = 42
 
 
+def _digest(window: bytes) -> bytes:
+    from xxhash import xxh3_128_digest, xxh64_digest
+
+    return xxh3_128_digest(window) + xxh64_digest(window, _SEED)
+
+
 def word_hashes(words: list[bytes], cache: dict[bytes, int]):
     import numpy as np
     from xxhash import xxh64_intdigest
@@ -84,13 +99,14 @@ def super_kmers(hashes, window: int = WINDOW, size: int = MINIMISER):
 class Sender:
     """Gathers a task's super-k-mers into packets per bucket partition."""
 
-    def __init__(self, parts: int, window: int, size: int):
-        self.parts, self.window, self.size = parts, window, size
+    def __init__(self, parts: int, window: int, size: int, hot: frozenset[int] = frozenset()):
+        self.parts, self.window, self.size, self.hot = parts, window, size, hot
         self.cache: dict[bytes, int] = {}
         self._reset()
 
     def _reset(self) -> None:
         self.strings: dict[bytes, list] = {}
+        self.windows: dict[bytes, list] = {}
         self.held = 0
 
     def add(self, doc_id: int, text_hash: int, words: list[bytes]) -> None:
@@ -102,6 +118,10 @@ class Sender:
             at.append(at[-1] + len(w) + 1)
         strings, grow = self.strings, self.window - 1
         for first, n, low in zip(*super_kmers(word_hashes(words, self.cache), self.window, self.size)):
+            if low in self.hot:
+                for k in range(first, first + n):
+                    self.windows.setdefault(_digest(flat[at[k] : at[k + self.window] - 1]), []).append((doc_id, text_hash, k))
+                continue
             s = flat[at[first] : at[first + n + grow] - 1]
             got = strings.get(s)
             if got is None:
@@ -125,12 +145,18 @@ class Sender:
                     to.append(_HEAD.pack(doc, text_hash, low, first, n, 0))
         packer = zstandard.ZstdCompressor(level=1)
         for part, bits in out.items():
-            yield part, packer.compress(b"".join(bits))
+            yield part, False, packer.compress(b"".join(bits))
+        alone: dict[int, list[bytes]] = {}
+        for d, places in self.windows.items():
+            to, least = alone.setdefault(int.from_bytes(d[:8], "little") % self.parts, []), min(p[0] for p in places)
+            to += [_ALONE.pack(doc, text_hash, place, doc != least, d) for doc, text_hash, place in places]
+        for part, bits in alone.items():
+            yield part, True, packer.compress(b"".join(bits))
         self._reset()
 
 
 def unpack(packets):
-    """Records of packets: the fields of the head, then the string (empty: known to be a repeat)."""
+    """Records of packets of strings: the fields of the head, then the string (empty: known to be a repeat)."""
     import zstandard
 
     reader = zstandard.ZstdDecompressor()
@@ -190,24 +216,71 @@ def repeats(records: list[tuple], window: int = WINDOW) -> list[tuple[int, int,
     return [tuple(x[:4]) for x in out]
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, size: int = MINIMISER, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
+def lone_repeats(packets, window: int = WINDOW):
+    """(doc_id, text hash, first word, end word) arrays of spans of windows that came alone and that a smaller doc_id has."""
+    import numpy as np
+    import zstandard
+
+    reader = zstandard.ZstdDecompressor()
+    kind = np.dtype([("doc", "<i8"), ("text", "<i8"), ("place", "<u4"), ("known", "?"), ("a", "<u8"), ("b", "<u8"), ("c", "<u8")])
+    rows = np.concatenate([np.frombuffer(reader.decompress(p), kind) for p in packets])
+    rows = rows[np.lexsort((rows["doc"], rows["c"], rows["b"], rows["a"]))]
+    fresh = np.r_[True, (rows["a"][1:] != rows["a"][:-1]) | (rows["b"][1:] != rows["b"][:-1]) | (rows["c"][1:] != rows["c"][:-1])]
+    least = rows["doc"][np.maximum.accumulate(np.where(fresh, np.arange(len(rows)), 0))]
+    rows = rows[rows["known"] | (rows["doc"] > least)]
+    doc, text, place = (rows[c] for c in ("doc", "text", "place"))
+    order = np.lexsort((place, text, doc))
+    doc, text, place = doc[order], text[order], place[order].astype(np.int64)
+    # Windows that overlap or touch are one span.
+    head = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]) | (place[1:] > place[:-1] + window)]) if len(doc) else np.zeros(0, int)
+    last = np.r_[head[1:], len(doc)] - 1
+    return doc[head], text[head], place[head].astype(np.int32), (place[last] + window).astype(np.int32)
+
+
+def hot_minimisers(rows: DataFrame, window: int, size: int, sample: int, share: float = HOT_SHARE) -> frozenset[int]:
+    """Minimisers with new strings in more than a ``share`` of one document in ``sample``; at most a few for each document by ``1 / share``."""
+    some = rows.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(sample)) == 0)
+
+    def run(batches):
+        import pyarrow as pa
+
+        cache: dict[bytes, int] = {}
+        for batch in batches:
+            lows, strings = [], []
+            for text in batch.column(2):
+                words = text.as_py().encode().split()
+                for first, n, low in zip(*super_kmers(word_hashes(words, cache), window, size)) if len(words) >= window else ():
+                    lows.append(low)
+                    strings.append(_digest(b" ".join(words[first : first + n + window - 1]))[:8])
+            low = [x - (1 << 64) if x >> 63 else x for x in lows]
+            yield pa.RecordBatch.from_arrays([pa.array([None] + low, pa.int64()), pa.array([None] + strings, pa.binary()), pa.array([batch.num_rows] + [0] * len(low), pa.int64())], names=["low", "string", "docs"])
+
+    seen = common.staged(some.mapInArrow(run, "low long, string binary, docs long"))
+    docs = seen.agg(F.sum("docs").alias("n")).first().n or 0
+    many = seen.where("low is not null").groupBy("low").agg(F.countDistinct("string").alias("n")).where(F.col("n") > max(HOT_LEAST, share * docs))
+    return frozenset(r.low % (1 << 64) for r in many.select("low").collect())
+
+
+def repeated_spans(docs: DataFrame, window: int = WINDOW, size: int = MINIMISER, partition_bytes: int = PARTITION_BYTES, sample: int = HOT_SAMPLE) -> DataFrame:
     """``doc_id, text_hash, first, end``: word ranges of ``docs`` to remove, may overlap.
 
     ``text_hash`` is Spark's xxhash64 of the text.  Rows without doc_id or text have no windows.
     """
     spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-common.plan_bytes(docs) // partition_bytes))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-common.text_bytes(docs) // partition_bytes))
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
 
+    hot = hot_minimisers(rows, window, size, sample)
+
     def send(batches):
         import pyarrow as pa
 
-        sender = Sender(parts, window, size)
-        schema = pa.schema([("part", pa.int32()), ("packet", pa.binary())])
+        sender = Sender(parts, window, size, hot)
+        schema = pa.schema([("part", pa.int32()), ("alone", pa.bool_()), ("packet", pa.binary())])
 
         def flush():
             got = list(sender.packets())
-            return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.binary())], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], f.type) for k, f in enumerate(schema)], schema=schema)
 
         for batch in batches:
             doc, text_hash = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -227,9 +300,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, size: int = MINIMISER,
             cols = list(zip(*found)) if found else [[]] * 4
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
-        found, groups = [], {}
+        found, groups, lone = [], {}, []
         for batch in batches:
-            for doc, text_hash, low, first, n, s in unpack(batch.column(1).to_pylist()):
+            alone, packets_ = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            lone += [p for p, a in zip(packets_, alone) if a]
+            for doc, text_hash, low, first, n, s in unpack(p for p, a in zip(packets_, alone) if not a):
                 if s:
                     groups.setdefault(low, []).append((doc, text_hash, low, first, n, s))
                 else:
@@ -244,12 +319,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, size: int = MINIMISER,
                     yield batch_of(found)
                     found = []
         yield batch_of(found)
+        if lone:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in lone_repeats(lone, window)], schema=schema)
 
-    packets = rows.mapInArrow(send, "part int, packet binary").repartitionById(parts, F.col("part"))
+    packets = rows.mapInArrow(send, "part int, alone boolean, packet binary").repartitionById(parts, F.col("part"))
     return packets.mapInArrow(count, "doc_id long, text_hash long, first int, end int")
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, size: int = MINIMISER) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, size: int = MINIMISER, sample: int = HOT_SAMPLE) -> DataFrame:
     """``doc_id, text, kept, n_words, n_removed``: ``kept`` is the words that stay, joined by a space.
 
     Rows without doc_id own no passage and keep all their words; a null text has no words.  Rows that share a
@@ -257,7 +334,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, size: int = MINIMISER)
     columns are not read.
     """
     spans = (
-        common.staged(repeated_spans(docs, window, size))
+        common.staged(repeated_spans(docs, window, size, sample=sample))
         .groupBy("doc_id", "text_hash")
         .agg(F.collect_set(F.struct("first", "end")).alias("spans"))
         .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "spans")
