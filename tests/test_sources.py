@@ -5,6 +5,7 @@ import sqlite3
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from threadloom.config import SessionFilter
 from threadloom.sources import sqlite_source
@@ -83,6 +84,26 @@ def test_opencode_tree(spark, tmp_path):
     src = OpenCodeTree(spark, str(tmp_path))
     assert [(r.native_id, r.workspace_path, r.message_count) for r in src.sessions().collect()] == [("s1", "/w", 2)]
     assert [r.blocks[0].text for r in src.turns().orderBy("turn_index").collect()] == ["ask", "answer"]
+    put("part/m2/b.json", {"type": "patch", "files": ["/w/x.py"]})
+    put("part/m2/c.json", {"type": "tool", "tool": "edit", "state": {"input": {"filePath": "/w/y.py"}}})
+    assert {(r.uri, r.path, r.tool) for r in src.files().collect()} == {("session://opencode/s1", "/w/x.py", "patch"), ("session://opencode/s1", "/w/y.py", "edit")}
+    assert [r.uri for r in src.unreadable().collect()] == ["session://opencode/bad"]
+    (tmp_path / "whole").mkdir()
+    (tmp_path / "whole/opencode.db").write_bytes(b"no database" * 2000)
+    (tmp_path / "whole/storage").symlink_to(tmp_path)
+    assert isinstance(opencode(spark, str(tmp_path / "whole")), OpenCodeTree)
+
+
+def test_sqlite_reads_what_is_asked_for(spark, tmp_path):
+    con = sqlite3.connect(tmp_path / "x.db")
+    con.execute("CREATE TABLE t(a int, b text, c real, d blob)")
+    con.executemany("INSERT INTO t VALUES (?,?,?,?)", [(k, f"v{k}" if k % 3 else None, k / 2, bytes([k % 256])) for k in range(10_000)] + [("odd", b"\xff", "x", None)])
+    con.commit()
+    con.close()
+    t = sqlite_source.read_table(spark, str(tmp_path / "x.db"), "T")
+    assert t.count() == 10_001 and t.where("a is null").first().b == "\ufffd" and t.agg(F.sum("c")).first()[0] == sum(range(10_000)) / 2
+    some = sqlite_source.read_table(spark, str(tmp_path / "x.db"), "t", where="a < 5 OR b = 'v7'")
+    assert sorted(r.a for r in some.collect()) == [0, 1, 2, 3, 4, 7]
 
 
 @pytest.fixture(scope="module")

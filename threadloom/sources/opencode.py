@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from datetime import timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -94,12 +95,17 @@ def map_turns(messages: DataFrame, parts: DataFrame, source_id: str = "opencode"
     )
 
 
+def _of_kinds(*kinds: str) -> str:
+    """SQLite's condition for parts of some kinds; rows without valid JSON have none."""
+    return f"CASE WHEN json_valid(data) THEN json_extract(data, '$.type') END IN ({', '.join(repr(k) for k in kinds)})"
+
+
 class OpenCodeSqlite(SessionSource):
     source_id = "opencode"
     capabilities = ("resume", "fork", "tool_calls", "patches", "incremental", "usage", "file_tracking")
 
-    def _table(self, name: str) -> DataFrame | None:
-        return sqlite_source.read_table(self.spark, self.location, name)
+    def _table(self, name: str, where: str = "") -> DataFrame | None:
+        return sqlite_source.read_table(self.spark, self.location, name, where=where)
 
     def sessions(self) -> DataFrame:
         counts = self._table("message").groupBy("session_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
@@ -107,12 +113,22 @@ class OpenCodeSqlite(SessionSource):
         return s.join(counts, s.native_id == counts.session_id, "left").withColumn("message_count", F.coalesce("n", F.lit(0))).select(*s.columns)
 
     def turns(self) -> DataFrame:
-        return map_turns(self._table("message"), self._table("part"))
+        return map_turns(self._table("message"), self._table("part", _of_kinds(*PARTS)))
+
+    def changed_since(self, cursor) -> DataFrame:
+        """Sessions of rows that SQLite finds newer."""
+        if cursor is None:
+            return self.sessions()
+        ms = int(cursor.replace(tzinfo=timezone.utc).timestamp() * 1000)
+        rows = self._table("session", f"max(coalesce(time_updated, 0), coalesce(time_created, 0)) > {ms}")
+        counts = self._table("message").groupBy("session_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+        s = map_sessions(rows, self._table("project")).where(F.col("updated_at") > F.lit(cursor))
+        return s.join(counts, s.native_id == counts.session_id, "left").withColumn("message_count", F.coalesce("n", F.lit(0))).select(*s.columns)
 
     def files(self) -> DataFrame:
         from ..operators.transcripts import touched_files
 
-        p = self._table("part").select(session_uri(F.lit(self.source_id), F.col("session_id")).alias("uri"), F.coalesce(text_at(F.col("data"), "$.tool"), F.lit("patch")).alias("tool"), F.explode(part_files(F.col("data"))).alias("path"), F.col("time_created").alias("turn_index"), F.col("id").alias("pos"))
+        p = self._table("part", _of_kinds("patch", "tool")).select(session_uri(F.lit(self.source_id), F.col("session_id")).alias("uri"), F.coalesce(text_at(F.col("data"), "$.tool"), F.lit("patch")).alias("tool"), F.explode(part_files(F.col("data"))).alias("path"), F.col("time_created").alias("turn_index"), F.col("id").alias("pos"))
         return touched_files(p)
 
     def version(self) -> str | None:
@@ -149,13 +165,31 @@ class OpenCodeTree(SessionSource):
         parts = self._documents("part").select("id", F.col("folder").alias("message_id"), "data")
         return map_turns(messages, parts)
 
+    def files(self) -> DataFrame:
+        """Paths that parts name; a part belongs to the session of its message."""
+        from ..operators.transcripts import touched_files
+
+        messages = self._documents("message").select(F.col("id").alias("message_id"), F.col("folder").alias("session_id"))
+        parts = self._documents("part").select(F.col("folder").alias("message_id"), "id", "data").join(messages, "message_id")
+        data = F.col("data")
+        named = parts.select(session_uri(F.lit(self.source_id), F.col("session_id")).alias("uri"), F.coalesce(text_at(data, "$.tool"), F.lit("patch")).alias("tool"), F.explode(part_files(data)).alias("path"), F.lit(None).cast("bigint").alias("turn_index"), F.concat("message_id", F.lit("/"), "id").alias("pos"))
+        return touched_files(named)
+
+    def unreadable(self) -> DataFrame:
+        """Sessions whose own document is torn."""
+        files = self.spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(os.path.join(self.location, "session"), wholetext=True)
+        torn = files.where(F.try_parse_json("value").isNull())
+        return torn.select(session_uri(F.lit(self.source_id), F.regexp_extract("_metadata.file_path", r"([^/]+)\.json$", 1)).alias("uri"))
+
 
 def opencode(spark: SparkSession, root: str, prefer_json: bool = False) -> SessionSource | None:
-    """The store below a folder: the SQLite file if it holds something, else the tree, else none."""
+    """The store below a folder: the SQLite file if it holds something that can be read, else the tree, else none."""
     file, tree = os.path.join(root, "opencode.db"), os.path.join(root, "storage")
     has_tree = os.path.isdir(os.path.join(tree, "session"))
     if prefer_json and has_tree:
         return OpenCodeTree(spark, tree)
     if os.path.exists(file) and os.path.getsize(file) > SMALLEST_FILE:
-        return OpenCodeSqlite(spark, file)
+        store = OpenCodeSqlite(spark, file)
+        if not has_tree or store.probe().available:
+            return store
     return OpenCodeTree(spark, tree) if has_tree else None

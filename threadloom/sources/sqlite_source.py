@@ -1,6 +1,7 @@
 """SQLite files as a Spark data source on the standard library: ``spark.read.format("sqlite_table")``.
 
-Options: ``path``, ``table``, ``partitions`` (ranges of rowid).  Files are opened read-only; a store that another process
+Options: ``path``, ``table``, ``partitions`` (ranges of rowid), ``where`` (a condition in SQLite's own words, which it applies
+while it reads).  Rows come in Arrow batches.  Files are opened read-only; a store that another process
 has locked is read from a copy of the file and its log in the worker's own folder.
 """
 
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+BATCH_ROWS = 4096
 _TYPES = {"INT": "bigint", "CHAR": "string", "CLOB": "string", "TEXT": "string", "BLOB": "binary", "REAL": "double", "FLOA": "double", "DOUB": "double"}
 
 
@@ -65,8 +67,8 @@ class _Range(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, table: str, names: list[tuple[str, str]], parts: int):
-        self.path, self.table, self.names, self.parts = path, table, names, parts
+    def __init__(self, path: str, table: str, names: list[tuple[str, str]], parts: int, where: str = ""):
+        self.path, self.table, self.names, self.parts, self.where = path, table, names, parts, where
 
     def partitions(self):
         with opened(self.path) as con:
@@ -80,21 +82,25 @@ class _Reader(DataSourceReader):
         return [_Range(a, min(a + step - 1, high)) for a in range(low, high + 1, step)]
 
     def read(self, partition):
-        kinds = {"bigint": int, "double": float, "string": str, "binary": bytes}
+        import pyarrow as pa
+
+        kinds = {"bigint": (int, pa.int64()), "double": (float, pa.float64()), "string": (str, pa.string()), "binary": (bytes, pa.binary())}
 
         def fitting(value, kind):
-            if value is None:
-                return None
+            if value is None or type(value) is kind:
+                return value
             try:
                 return value.decode("utf-8", "replace") if kind is str and isinstance(value, bytes) else kind(value)
             except (TypeError, ValueError):
                 return None
 
         names = ", ".join(quoted(n) for n, _ in self.names)
-        where = f" WHERE rowid BETWEEN {partition.low} AND {partition.high}" if partition.low <= partition.high else ""
+        conditions = ([f"rowid BETWEEN {partition.low} AND {partition.high}"] if partition.low <= partition.high else []) + ([f"({self.where})"] if self.where else [])
+        schema = pa.schema([(n, kinds[t][1]) for n, t in self.names])
         with opened(self.path) as con:
-            for row in con.execute(f"SELECT {names} FROM {quoted(self.table)}{where}"):
-                yield tuple(fitting(v, kinds[t]) for v, (_, t) in zip(row, self.names))
+            found = con.execute(f"SELECT {names} FROM {quoted(self.table)}" + (f" WHERE {' AND '.join(conditions)}" if conditions else ""))
+            while rows := found.fetchmany(BATCH_ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array([fitting(v, kinds[t][0]) for v in c], kinds[t][1]) for c, (_, t) in zip(zip(*rows), self.names)], schema=schema)
 
 
 class SqliteSource(DataSource):
@@ -107,12 +113,12 @@ class SqliteSource(DataSource):
 
     def reader(self, schema: StructType):
         names = [(f.name, f.dataType.simpleString()) for f in schema.fields]
-        return _Reader(self.options["path"], self.options["table"], names, int(self.options.get("partitions", "4")))
+        return _Reader(self.options["path"], self.options["table"], names, int(self.options.get("partitions", "4")), self.options.get("where", ""))
 
 
-def read_table(spark: SparkSession, path: str, table: str, partitions: int = 4) -> DataFrame | None:
-    """A table of a SQLite file, None if the file has none of that name."""
+def read_table(spark: SparkSession, path: str, table: str, partitions: int = 4, where: str = "") -> DataFrame | None:
+    """A table of a SQLite file, or its rows that meet a condition; None if the file has none of that name."""
     if table.lower() not in (t.lower() for t in tables(path)):
         return None
     spark.dataSource.register(SqliteSource)
-    return spark.read.format("sqlite_table").option("path", path).option("table", table).option("partitions", str(partitions)).load()
+    return spark.read.format("sqlite_table").option("path", path).option("table", table).option("partitions", str(partitions)).option("where", where).load()
