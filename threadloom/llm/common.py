@@ -95,6 +95,15 @@ def plan_bytes(df: DataFrame) -> int:
     return size if size < 1 << 55 else 0
 
 
+#: A written table that may be broadcast: so many rows and bytes on disk at most, at some ten times the size in memory.
+SMALL_ROWS, SMALL_BYTES = 1 << 20, 16 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it is within these bounds; else a join with it is left to shuffle."""
+    return F.broadcast(df) if plan_bytes(df) <= SMALL_BYTES and df.count() <= SMALL_ROWS else df
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """Bytes of a table's texts: by the files' sizes, and where those are not known by reading the column."""
     return plan_bytes(df) or df.agg(F.sum(F.octet_length(F.col(column).cast("string"))).alias("n")).first().n or 0

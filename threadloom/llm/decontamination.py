@@ -98,11 +98,13 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingl
     start = F.col("pos") - F.col("at")
     found = each.join(hint(prefix), "h").where((start >= 0) & (start + F.col("n") <= F.col("n_words")))
     found = common.staged(found.groupBy(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_")).agg(F.collect_set(F.struct(start.alias("a"), "n", "words", "items")).alias("places")))
-    again = keyed.join(found, keyed.doc_id.eqNullSafe(found.id_) & (keyed.text_hash == found.hash_)).select("id_", "hash_", words(F.col("text")).alias("w"), "places")
+    again = keyed.join(common.small(found), keyed.doc_id.eqNullSafe(found.id_) & (keyed.text_hash == found.hash_))
+    # Generated, not projected: a projection would be merged into the next one, and a text cut into words for each place.
+    again = again.select("id_", "hash_", "places", F.explode(F.array(words(F.col("text")))).alias("w"))
     same = F.filter("places", lambda p: F.slice("w", p["a"] + 1, p["n"]) == p["words"])
     held = F.transform(same, lambda p: F.struct(p["a"].alias("a"), p["n"].alias("n"), p["items"].alias("items")))
     sure = common.staged(again.select("id_", "hash_", held.alias("hits")).where("size(hits) > 0").dropDuplicates(["id_", "hash_"]))
-    joined = marks.join(sure, marks.doc_id.eqNullSafe(sure.id_) & (marks.text_hash == sure.hash_), "left")
+    joined = marks.join(common.small(sure), marks.doc_id.eqNullSafe(sure.id_) & (marks.text_hash == sure.hash_), "left")
     return _judged(joined.select("doc_id", "text_hash", "n_words", F.coalesce("hits", no_hit).alias("hits")))
 
 

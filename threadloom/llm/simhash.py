@@ -303,10 +303,11 @@ def representatives(docs: DataFrame) -> DataFrame:
     # Written first, so that its size is known before the texts would be sent to meet it.
     gone = common.staged(found.join(best, "component").where(~own).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct())
     rows = docs.select(common.row_of(docs), F.col("doc_id").cast("long").alias("id_"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash_"))
-    kept = rows.join(gone, F.col("id_").eqNullSafe(F.col("gone_id")) & (F.col("hash_") == F.col("gone_hash")), "left_anti")
+    kept = rows.join(common.small(gone), F.col("id_").eqNullSafe(F.col("gone_id")) & (F.col("hash_") == F.col("gone_hash")), "left_anti")
     # Rows that repeat in id and text are all the best of their component; of these one stays.
     again = common.staged(found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("again_id"), F.col("text_hash").alias("again_hash")))
     if not again.isEmpty():
+        again = common.small(again)
         same = F.col("id_").eqNullSafe(F.col("again_id")) & (F.col("hash_") == F.col("again_hash"))
         kept = kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates(["id_", "hash_"]))
     return kept.select(*common.unpacked(kept, docs.columns))
