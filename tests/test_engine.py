@@ -186,6 +186,16 @@ def test_unreadable_sessions_hold_the_cursor(spark, tmp_path):
     assert c.refresh(NOW).sources[0].failed == 1 and {r.title for r in c.list().collect()} == {"Retry policy", "Colours", "Parsing"}
 
 
+def test_pending_sources_and_kept_centroids(catalog):
+    assert catalog.pending() == []
+    catalog.sources[0].rows[0] = ("aaaa1", "Newer", "colours of another palette", 5, 1)
+    assert catalog.pending() == ["memory"]
+    one = catalog._centroids()
+    assert catalog._centroids() is one and one.is_cached
+    catalog.refresh(NOW)
+    assert catalog.pending() == [] and catalog._centroids() is not one and catalog._centroids().count() == 3
+
+
 def test_files_fall_back_to_the_source(spark, tmp_path):
     class WithFiles(Memory):
         known = [("session://memory/aaaa1", "/a", "edit", 0)]

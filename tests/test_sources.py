@@ -1,8 +1,9 @@
 """Connectors over stores made here with the real layouts."""
 
 import json
+import os
 import sqlite3
-from datetime import datetime
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -185,4 +186,9 @@ def test_vscode(spark, tmp_path):
     assert s["d"].workspace_path == "c:/my code" and s["d"].message_count == 2
     assert [(r.role, r.turn_index) for r in src.turns().where("uri like '%/d'").orderBy("turn_index").collect()] == [("User", 0), ("Assistant", 1)]
     assert {r.ref_value for r in src.references().collect()} == {"https://x.y"}
+    (ws / "chatSessions" / "torn.json").write_text("{")
+    assert [r.uri for r in src.unreadable().collect()] == ["session://copilot-vscode/torn"]
+    os.utime(ws / "chatSessions" / "l.jsonl", (T0 / 1000 - 90_000, T0 / 1000 - 90_000))
+    assert {r.native_id for r in src.changed_since(datetime(2023, 1, 1)).collect()} == {"d", "l"}
+    assert {r.native_id for r in src.changed_since(datetime.fromtimestamp(T0 / 1000 - 1, timezone.utc).replace(tzinfo=None)).collect()} == {"d"}
     assert [r.native_id for r in src.list(SessionFilter(model="GPT", limit=1)).collect()] in (["d"], ["l"])

@@ -25,6 +25,7 @@ class Catalog:
     def __init__(self, spark: SparkSession, store: IndexStore, sources: list[SessionSource], config: EngineConfig = EngineConfig(), embedder: Embedder | None = None):
         ship(spark)
         self.spark, self.store, self.sources, self.config, self.embedder = spark, store, sources, config, embedder
+        self._kept: tuple[int, DataFrame | None] | None = None
 
     def _enabled(self) -> list[SessionSource]:
         return [s for s in self.sources if s.source_id not in self.config.disabled_sources]
@@ -68,7 +69,7 @@ class Catalog:
         top, per_session = clamp_search(q.top, q.snippets)
         c = self.config.search
         sessions, chunk = self.store.table("session"), self.store.table("chunk")
-        vectors, centroid = self.store.table("chunk_embedding"), self.store.table("session_embedding")
+        vectors, centroid = self.store.table("chunk_embedding"), self._centroids()
         has_model = self.embedder is not None and vectors is not None
         if q.mode in ("hybrid", "semantic"):
             self.store.require_model(self.embedder)
@@ -93,6 +94,26 @@ class Catalog:
         excerpts = snippets.collected(shown, chunk.select("uri", "ordinal", "role", "turn_index", "text"), terms, per_session)
         return hits.join(excerpts, "uri", "left").orderBy(F.desc("score"), "uri")
 
+    def _centroids(self) -> DataFrame | None:
+        """The sessions' vectors, kept in memory until another generation is live."""
+        m = self.store.manifest()
+        if self._kept is None or self._kept[0] != m["generation"]:
+            if self._kept is not None and self._kept[1] is not None:
+                self._kept[1].unpersist()
+            rows = self.store.table("session_embedding", m)
+            self._kept = m["generation"], rows if rows is None else rows.persist()
+        return self._kept[1]
+
+    def pending(self) -> list[str]:
+        """Sources that have changes the index lacks: those never indexed whole, or with a newer cursor; unavailable ones are left out."""
+        states, out = self.store.manifest()["sources"], []
+        for s in self._enabled():
+            if s.probe().available:
+                known, now = states.get(s.source_id, {}).get("cursor"), s.change_cursor()
+                if known is None or now is not None and now > datetime.fromisoformat(known):
+                    out.append(s.source_id)
+        return out
+
     def search_live(self, q: SearchQuery, limit: int = 400) -> DataFrame:
         """Search of the sources themselves: each source's ranks are fused, as their scores don't compare."""
         from .plans.terms import words

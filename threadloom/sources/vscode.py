@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -160,15 +161,19 @@ class VsCode(SessionSource):
         super().__init__(spark, location)
         self.include_empty = include_empty
 
-    def _files(self) -> DataFrame:
+    def _files(self, since: datetime | None = None) -> DataFrame:
         """``native_id, hash, modified, document``: each session file as one JSON document, null where it can't be read.
 
+        Files that were not modified ``since`` a time are left out by their metadata, before they are opened.
+
         A log is walked in order, so each file is handled whole, in Arrow batches; files beyond the limit are left out.
         """
         files = self.spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json*").text(self.location, wholetext=True)
         name = r"/([^/]+)/chatSessions/([^/]+)\.(jsonl?)$"
         path = F.col("_metadata.file_path")
         raw = files.where((F.col("_metadata.file_size") > 0) & (F.col("_metadata.file_size") <= LARGEST_FILE) & path.rlike(name))
+        if since is not None:
+            raw = raw.where(F.col("_metadata.file_modification_time") >= F.lit(since.replace(tzinfo=timezone.utc)))
 
         @F.pandas_udf("string")
         def whole(text, ending):
@@ -183,9 +188,15 @@ class VsCode(SessionSource):
 
         return raw.select(F.regexp_extract(path, name, 2).alias("native_id"), F.regexp_extract(path, name, 1).alias("hash"), F.col("_metadata.file_modification_time").alias("modified"), whole("value", F.regexp_extract(path, name, 3)).alias("document"))
 
-    def documents(self) -> DataFrame:
+    def documents(self, since: datetime | None = None) -> DataFrame:
         """``native_id, hash, modified, document``: each session file as one JSON document, those that hold none left out."""
-        return self._files().where("document is not null")
+        return self._files(since).where("document is not null")
+
+    def changed_since(self, cursor) -> DataFrame:
+        """Newer sessions.  A session is no newer than its file, whose time may be a few seconds coarse."""
+        if cursor is None:
+            return self.sessions()
+        return self._sessions(self.documents(cursor - timedelta(seconds=2))).where(F.col("updated_at") > F.lit(cursor))
 
     def unreadable(self) -> DataFrame:
         return self._files().where("document is null").select(session_uri(F.lit(self.source_id), F.col("native_id")).alias("uri"))
@@ -196,6 +207,9 @@ class VsCode(SessionSource):
         return files.select(F.regexp_extract("_metadata.file_path", r"/([^/]+)/workspace\.json$", 1).alias("hash"), F.regexp_replace(folder, r"/[^/]+\.code-workspace$", "").alias("workspace_path"))
 
     def sessions(self) -> DataFrame:
+        return self._sessions(self.documents())
+
+    def _sessions(self, documents: DataFrame) -> DataFrame:
         d = F.col("document")
         requests = F.from_json(F.get_json_object(d, "$.requests"), "array<string>")
         n = F.coalesce(F.size(requests), F.lit(0))
@@ -207,7 +221,7 @@ class VsCode(SessionSource):
         agents = F.filter(F.transform(requests, lambda r: after_dot(F.get_json_object(r, "$.agent.id"))), lambda a: a.isNotNull())
         last = F.array_max(F.transform(requests, lambda r: F.get_json_object(r, "$.timestamp").try_cast("bigint")))
         modified = F.unix_millis("modified")
-        j = self.documents().join(self.workspaces(), "hash", "left").where((n > 0) | F.lit(self.include_empty))
+        j = documents.join(self.workspaces(), "hash", "left").where((n > 0) | F.lit(self.include_empty))
         at = lambda *c: F.coalesce(*[millis(x) for x in c])
         custom = text_at(d, "$.customTitle")
         return as_sessions(
