@@ -279,6 +279,23 @@ def test_op7_by_brute_force(spark, sf_dir):
     assert sorted(map(tuple, decontamination.op7(spark, sf_dir).collect())) == sorted(want)
 
 
+def test_tables_beyond_the_broadcast_bounds(spark, sf_dir, monkeypatch):
+    """What is written is joined by a shuffle where it is too large to be broadcast; the results are the same."""
+    docs, items = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark")
+    show = lambda df: sorted(map(tuple, df.collect()))
+    kept, judged = show(simhash.representatives(docs).select("doc_id")), show(decontamination.contaminated(docs, items).select("doc_id", "n_hit", "n_words"))
+    monkeypatch.setattr(common, "SMALL_ROWS", -1)
+    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = common.small(common.staged(spark.range(3)))._jdf.queryExecution().toString()
+        assert "broadcast" not in plan
+        assert show(simhash.representatives(docs).select("doc_id")) == kept
+        assert show(decontamination.contaminated(docs, items).select("doc_id", "n_hit", "n_words")) == judged
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_op7_runs_no_python(spark, sf_dir):
     plan = decontamination.op7(spark, sf_dir)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

@@ -17,6 +17,7 @@ from ..shipping import ship
 BLANKS = r"[\x20\x09-\x0D]+"
 
 _scratch: dict[str, list[str]] = {}
+_own: str | None = None
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,14 +48,15 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where that setting is absent and Spark runs in one process is a temporary folder used.
     """
+    global _own
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        own = tempfile.mkdtemp(prefix="threadloom-")
-        atexit.register(remove_tree, own)
-        base = "file://" + own
-        spark.conf.set("spark.checkpoint.dir", base)
+        if _own is None:
+            _own = tempfile.mkdtemp(prefix="threadloom-")
+            atexit.register(remove_tree, _own)
+        base = _own
     if "://" not in base and base.startswith("/"):
         base = "file://" + base
     path = f"{base.rstrip('/')}/llm/{uuid.uuid4().hex}"

@@ -139,13 +139,14 @@ def normalise(source, out, index) -> tuple[int, int]:
 def planned(pages: DataFrame, least: int = 0) -> DataFrame:
     """``page_id, url, payload, digest, refers_to, revisit``: which record of equal payloads has the payload.
 
-    Of payloads of at least ``least`` bytes that are equal, the page with the largest id is the response; tied rows
+    Payloads are equal if their SHA-1 and their sizes are, as archives compare them.  Of equal ones of at least ``least`` bytes the page with the largest id is the response; tied rows
     are responses both.  A null id is smaller than any; a null html is empty.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload"))
-    groups = rows.select("sha", "page_id").groupBy("sha").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "top")
-    joined = rows.join(groups, "sha", "left")
+    rows = rows.withColumn("size", F.length("payload"))
+    groups = rows.groupBy("sha", "size").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "size", "top")
+    joined = rows.join(groups, ["sha", "size"], "left")
     again = (F.length("payload") >= least) & F.col("top").isNotNull() & ~F.col("top").eqNullSafe(F.col("page_id"))
     revisit = F.coalesce(again, F.lit(False))
     return joined.select("page_id", "url", "payload", F.when(revisit, F.col("top")).alias("refers_to"), revisit.alias("revisit"))
