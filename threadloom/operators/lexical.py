@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import SearchConfig
 from ..functions.text import word_count, word_list, words as words_of
+from ..plans import scratch
 from ..plans.terms import QueryTerm
 
 K1, B = 1.2, 0.75
@@ -104,25 +105,50 @@ def top_passages(scored: DataFrame, cap: int) -> DataFrame:
 def postings(chunks: DataFrame) -> DataFrame:
     """``term, uri, ordinal, n_tokens, positions``: the corpus by term, to be written sorted by term.
 
-    Passages are dealt out whole, by URI, so that gathering their terms needs no further exchange: words travel once,
-    not as a row for each token.
+    A passage's terms are grouped where it is, in Arrow batches: gathering lists of places by an aggregation would
+    sort a row for each token.
     """
-    dealt = chunks.select("uri", "ordinal", "n_tokens", "words").repartition("uri")
-    terms = dealt.select("uri", "ordinal", "n_tokens", F.posexplode(word_list(F.col("words"))).alias("pos", "term"))
-    return terms.groupBy("uri", "ordinal", "term").agg(F.first("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list("pos")).alias("positions")).select("term", "uri", "ordinal", "n_tokens", "positions")
 
-
-def by_term(rows: DataFrame) -> DataFrame:
-    """Postings as they are stored: sorted by term within ranges, so that a term's row groups are found by their statistics.
-
-    A frequent term's rows go to many ranges, as places are part of them.
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            batch = batch.filter(pc.not_equal(batch.column(3), ""))
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                lists = pc.split_pattern(pc.utf8_trim(part.column(3), " "), "  ")
+                size = pc.list_value_length(lists).to_numpy()
+                coded = pc.dictionary_encode(lists.flatten())
+                code, row = coded.indices.to_numpy(), np.repeat(np.arange(len(size)), size)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+                order = np.lexsort((place, code, row))
+                code, row, place = code[order], row[order], place[order].astype(np.int32)
+                head = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (row[1:] != row[:-1])])
+                of = pa.array(row[head])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[head, len(row)].astype(np.int32)), pa.array(place))
+                yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[head])), *(part.column(k).take(of) for k in range(3)), lists], names=["term", "uri", "ordinal", "n_tokens", "positions"])
+
+    rows = chunks.select("uri", F.col("ordinal").cast("int").alias("ordinal"), F.col("n_tokens").cast("int").alias("n_tokens"), "words")
+    return rows.mapInArrow(run, "term string, uri string, ordinal int, n_tokens int, positions array<int>")
+
+
+def write_by_term(rows: DataFrame, path: str) -> None:
+    """Writes postings sorted by term within ranges, so that a term's row groups are found by their statistics.
+
+    A frequent term's rows go to many ranges, as places are part of them.  The rows are written as they come first: the
+    bounds of ranges are sampled, and texts would be cut into words once more for that.
     """
-    return rows.repartitionByRange("term", "uri", "ordinal").sortWithinPartitions("term", "uri", "ordinal")
+    spark, loose = rows.sparkSession, scratch.shared_dir(rows.sparkSession)
+    rows.write.parquet(loose)
+    spark.read.schema(rows.schema).parquet(loose).repartitionByRange("term", "uri", "ordinal").sortWithinPartitions("term", "uri", "ordinal").write.mode("overwrite").parquet(path)
+    scratch.delete(spark, loose)
 
 
 def write_index(chunks: DataFrame, path: str) -> None:
     """``posting`` and ``stats`` (a row: passages and their mean length) of ``chunks`` below ``path``."""
-    by_term(postings(chunks)).write.mode("overwrite").parquet(f"{path}/posting")
+    write_by_term(postings(chunks), f"{path}/posting")
     chunks.agg(F.count(F.lit(1)).cast("double").alias("n_rows"), F.avg("n_tokens").alias("mean_tokens")).write.mode("overwrite").parquet(f"{path}/stats")
 
 

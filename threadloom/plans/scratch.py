@@ -28,6 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/engine/{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def built(spark: SparkSession, what: str, build) -> str:
     """The folder where ``build`` (a function of a path) put something in this application; built when it is first asked for."""
     key = spark.sparkContext.applicationId, what

@@ -298,7 +298,10 @@ class IndexStore:
                 left = old[name].join(touched, "uri", "left_anti")
                 rows = left if rows is None else left.unionByName(rows, allowMissingColumns=True)
             if rows is not None:
-                (lexical.by_term(rows) if name == "posting" else rows).write.mode("overwrite").parquet(where(name))
+                if name == "posting":
+                    lexical.write_by_term(rows, where(name))
+                else:
+                    rows.write.mode("overwrite").parquet(where(name))
         if not whole and old["session"] is not None:
             touched.write.mode("overwrite").parquet(where("gone"))
 
