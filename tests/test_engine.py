@@ -133,10 +133,10 @@ def test_search_reads_postings_only(catalog):
     from threadloom.plans.terms import parse
 
     store, terms = catalog.store, parse('"choose a palette" parser the_answer LONGTOOL')
-    plan = lexical.bm25_postings(store.table("posting"), *store.statistics(), terms)._jdf.queryExecution().executedPlan().toString()
+    plan = lexical.bm25_places(store.table("posting"), *store.statistics(), terms)._jdf.queryExecution().executedPlan().toString()
     assert "words" not in plan and "PushedFilters: [Or(" in plan
     whole = {(r.uri, r.ordinal): round(r.score, 9) for r in lexical.bm25(store.table("chunk"), terms).collect()}
-    assert {(r.uri, r.ordinal): round(r.score, 9) for r in lexical.bm25_postings(store.table("posting"), *store.statistics(), terms).collect()} == whole and len(whole) > 3
+    assert {(r.uri, r.ordinal): round(r.score, 9) for r in lexical.bm25_places(store.table("posting"), *store.statistics(), terms).collect()} == whole and len(whole) > 3
 
 
 def test_another_model_drops_all_vectors(spark, tmp_path):

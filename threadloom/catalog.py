@@ -78,7 +78,7 @@ class Catalog:
         terms, lists, ranks = parse(q.text), {}, {}
         if mode in ("lexical", "hybrid") and terms:
             posting = self.store.table("posting")
-            found = lexical.bm25_postings(posting, *self.store.statistics(), terms, admitted) if posting is not None else lexical.bm25(chunk, terms, admitted)
+            found = lexical.bm25_places(posting, *self.store.statistics(), terms, admitted) if posting is not None else lexical.bm25(chunk, terms, admitted)
             lists["lexical"] = lexical.top_passages(found, lexical.candidate_cap(top, c))
         if mode in ("semantic", "hybrid"):
             v = semantic.query_vector(self.embedder.vectors([q.text], query=True)[0])

@@ -1,7 +1,7 @@
 """Keyword search: matching, BM25, the cap on candidates, an inverted index.
 
 Statistics are those of the whole corpus whatever the filter.  ``postings`` lays the corpus out by term with the places of each
-term, sorted on disk; ``bm25_postings`` reads the ranges of a query's terms only, phrases included.  ``bm25`` does
+term, sorted on disk; ``bm25_places`` reads the ranges of a query's terms only, phrases included.  ``bm25`` does
 without an index and reads the words of every passage.
 """
 
@@ -153,9 +153,9 @@ def write_index(chunks: DataFrame, path: str) -> None:
 
 
 def indexed_bm25(spark, path: str, terms: list[QueryTerm], admitted: DataFrame | None = None) -> DataFrame:
-    """``bm25_postings`` over what ``write_index`` wrote."""
+    """``bm25_places`` over what ``write_index`` wrote."""
     s = spark.read.parquet(f"{path}/stats").first()
-    return bm25_postings(spark.read.parquet(f"{path}/posting"), s.n_rows, s.mean_tokens or 1.0, terms, admitted)
+    return bm25_places(spark.read.parquet(f"{path}/posting"), s.n_rows, s.mean_tokens or 1.0, terms, admitted)
 
 
 def _hit(token: str, prefix: bool) -> Column:
@@ -164,7 +164,7 @@ def _hit(token: str, prefix: bool) -> Column:
     return (F.col("term") >= token) & (F.col("term") < token + "\U0010ffff") & F.col("term").startswith(token)
 
 
-def bm25_postings(index: DataFrame, n_rows: float, mean_tokens: float, terms: list[QueryTerm], admitted: DataFrame | None = None) -> DataFrame:
+def bm25_places(index: DataFrame, n_rows: float, mean_tokens: float, terms: list[QueryTerm], admitted: DataFrame | None = None) -> DataFrame:
     """``uri, ordinal, score`` as ``bm25`` gives them, from the index: only its rows of the query's tokens are read.
 
     A phrase is where each token's places follow on those of the one before.
@@ -207,6 +207,13 @@ def bm25_postings(index: DataFrame, n_rows: float, mean_tokens: float, terms: li
     return scored if admitted is None else scored.join(admitted.select("uri"), "uri", "left_semi")
 
 
+def bm25_postings(index: DataFrame, n_rows: float, mean_tokens: float, terms: list[QueryTerm], admitted: DataFrame | None = None) -> DataFrame:
+    """``bm25_places`` for terms of single tokens, which need no places; phrases are refused."""
+    if any(len(t.tokens) > 1 for t in terms):
+        raise ValueError("phrases need places: use bm25_places")
+    return bm25_places(index, n_rows, mean_tokens, terms, admitted)
+
+
 def live_scan(turns: DataFrame, terms: list[str], sessions: DataFrame, limit: int = 400, snippets: int = 3) -> tuple[DataFrame, DataFrame]:
     """Search without an index: (``uri, score, hits``, snippets) of the first ``limit`` sessions.
 
