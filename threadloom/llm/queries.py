@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontamination, forest, packing, pii, quality, simhash, sstable, substrings, toxicity, warc
+from . import bpe, common, decontamination, forest, packing, pii, quality, simhash, sstable, substrings, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,7 @@ def queries() -> dict[str, Query]:
         "op8_naive_bayes_svm_quality": quality.op8,
         "op9_gzip_member_warc": warc.op9,
         "op10_super_kmer_dedup": substrings.op10,
+        "op13_byte_level_bpe": bpe.op13,
     }
     return {name: _with_package(f) for name, f in found.items()}
 
