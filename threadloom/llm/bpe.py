@@ -10,10 +10,9 @@ The rank map is one literal row, which expressions hold as a scalar subquery: it
 stage, is copied for no row and is printed in no plan.  Spark looks keys of a map up one by one, so the map is cut into
 buckets by hash: an array of small maps from two pieces to the piece of their union.  Pairs of single bytes have an array.
 
-Words repeat, so most are folded once: the ``WORDS`` most frequent words of at most ``WORD_BYTES`` bytes are folded
-beforehand, and the texts look them up.  That list has a fixed bound, whatever the corpus; all other words are
-folded where they stand.  Where a word is folded changes no id, so the words are counted on the documents whose hash falls
-in one part of ``COUNTED``.  Texts are never shuffled.
+Words repeat, so most are folded once: of the distinct words that occur again, the ``WORDS`` most frequent of at most
+``WORD_BYTES`` bytes are folded beforehand, and the texts look them up.  That list has a fixed bound, whatever the corpus; the
+rare rest is folded where it stands, which changes no id.  Texts are never shuffled.
 
 Decoding joins the byte pieces of the ids.  Bytes are held as strings of the characters 0 to 255 (ISO-8859-1), since only
 strings are joined in one pass.
@@ -34,11 +33,10 @@ from . import common
 
 #: The rank file that the contract names.
 VOCABULARY = "byte_bpe_50k.tiktoken"
-WORDS = 1 << 18
+WORDS = 1 << 19
 WORD_BYTES = 32
-COUNTED = 4
 #: Buckets of the folded words, and of the pairs.
-_WORD_BUCKETS = 1 << 17
+_WORD_BUCKETS = 1 << 18
 _PAIR_BUCKETS = 1 << 17
 #: Stands for "no token": above all characters of ids.
 _NONE = "\U0010FFFF"
@@ -170,8 +168,8 @@ class Encoder:
             return F.struct(joined.alias("p"), ranked.alias("r"))
 
         def step(s: Column, _: Column) -> Column:
-            least = F.array(F.instr(s["r"], F.array_min(F.split(s["r"], ""))))
-            return F.when(F.rtrim(s["r"], F.lit(_NONE)) == "", s).otherwise(F.aggregate(least, s, merged))
+            least = F.array(F.array_min(F.split(s["r"], "")))
+            return F.aggregate(least, s, lambda s, m: F.when(m == _NONE, s).otherwise(F.aggregate(F.array(F.instr(s["r"], m)), s, merged)))
 
         pieces = F.array_join(F.transform(codes, lambda c: F.get(t["bytes"], c)), "")
         ranks = F.transform(codes, lambda c, i: F.coalesce(F.get(t["first"], c * 256 + F.get(codes, i + 1)), F.lit(_NONE)))
@@ -200,14 +198,13 @@ class Encoder:
         """``df`` with a column of arrays of ids as unsigned 32-bit integers, little-endian, one after another."""
         return self._joined(df, column, out, self.numbers)
 
-    def known_words(self, texts: DataFrame, column: str = "text", words: int = WORDS, counted: int = COUNTED) -> Column:
+    def known_words(self, texts: DataFrame, column: str = "text", words: int = WORDS) -> Column:
         """The most frequent words of at most ``WORD_BYTES`` bytes with their ids: at most ``words``, in buckets, as one value.
 
-        Counts are of the texts in one of ``counted`` parts by hash.  A threshold of frequency is taken from a count of
-        counts, so no task sorts the words.  The result is an array of maps, to be given to ``encode``.
+        A threshold of frequency is taken from a count of counts, so no task sorts the words.  The result is an array of
+        maps, to be given to ``encode``.
         """
-        part = texts.where(F.pmod(F.xxhash64(column), F.lit(counted)) == 0) if counted > 1 else texts
-        each = part.select(F.explode(self.words(F.col(column))).alias("word")).where(F.octet_length("word") <= WORD_BYTES)
+        each = texts.select(F.explode(self.words(F.col(column))).alias("word")).where(F.octet_length("word") <= WORD_BYTES)
         counts = common.staged(each.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
         level = F.floor(F.log2("n") * 16).cast("int")
         total, least = 0, 1 << 30
