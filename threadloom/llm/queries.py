@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, decontamination, forest, packing, pii, quality, simhash, sstable, substrings, toxicity, warc, whitening
+from . import bpe, common, decontamination, forest, packing, pii, quality, repair, simhash, sstable, substrings, toxicity, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,7 @@ def queries() -> dict[str, Query]:
         "op8_naive_bayes_svm_quality": quality.op8,
         "op9_gzip_member_warc": warc.op9,
         "op10_super_kmer_dedup": substrings.op10,
+        "op11_structure_repair": repair.op11,
         "op12_embedding_whitening": whitening.op12,
         "op13_byte_level_bpe": bpe.op13,
     }
