@@ -157,3 +157,13 @@ def test_registered_query_on_a_table(spark, sf_dir):
 
 def test_turns_after_follow_the_audit():
     assert repair.turns_after(b"DIKR", ["tool", "assistant", "tool"], ["x", "y", "z"]) == [("user", ""), ("assistant", "y"), ("user", "z")]
+
+
+def test_query_equals_its_sql(spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf_dir}/conversations.parquet'")
+    name = "op11_structure_repair"
+    rows = con.execute(f"SELECT conv_id, {', '.join(repair.COUNTS)}, audit, repaired_sha256 FROM ({queries.oracle_sql()[name]})").fetchall()
+    assert {r[0]: tuple(r[1:]) for r in rows} == found(queries.queries()[name](spark, sf_dir))

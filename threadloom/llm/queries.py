@@ -92,5 +92,82 @@ FROM p
 """
 
 
+#: CRC-32 of an ASCII text ``key``, byte by byte and bit by bit.
+_CRC32 = """xor(list_reduce(list_concat([4294967295], [CAST(ascii(x) AS BIGINT) for x in string_split(key, '')]),
+  lambda c, b: xor(c >> 8, list_reduce([xor(c & 255, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, (a & 1) * 3988292384)))), 4294967295)"""
+
+OP11_SQL = rf"""
+WITH RECURSIVE
+ids AS (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+said AS (
+  SELECT c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(k.conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key
+  FROM conversations k JOIN ids ON k.conv_id IS NOT DISTINCT FROM ids.conv_id
+),
+fates AS (SELECT *, {_CRC32} % 20 AS fate FROM said),
+hurt AS (
+  SELECT c, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM fates WHERE fate <> 0
+),
+placed AS (
+  SELECT c, turn, role, text, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, sha256(text)) AS i,
+    right(regexp_replace(text, '[ 	-]+$', ''), 1) AS tail
+  FROM hurt
+),
+told AS (SELECT *, row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS again, lag(role) OVER (PARTITION BY c ORDER BY i) AS before FROM placed),
+r AS (
+  SELECT c, i, turn, role, text, substr(role, 1, 1) AS k, tail = '' AS blank, tail <> '' AND again AS twice, tail = '' OR again AS gone,
+    CASE WHEN tail <> '' AND NOT again AND tail NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS cut,
+    i > 1 AND substr(before, 1, 1) || substr(role, 1, 1) NOT IN ('su', 'ua', 'au') AS illegal
+  FROM told
+),
+counts AS (
+  SELECT c, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+    count(*) FILTER (twice) AS duplicate, sum(cut) AS truncated, count(*) FILTER (illegal) AS illegal
+  FROM r GROUP BY c
+),
+back AS (
+  SELECT c, n + 1 AS i, CAST(0 AS BIGINT) AS w0, CAST(4 AS BIGINT) AS w1, CAST(2 AS BIGINT) AS w2, CAST(0 AS BIGINT) AS w3 FROM counts
+  UNION ALL
+  SELECT c, i, least(a0, 2 + a2, 4 + a3), least(a1, 2 + a2, 4 + a3), least(a2, 2 + a3), least(a3, 2 + a2)
+  FROM (
+    SELECT r.c, r.i,
+      least(3 + w0, CASE WHEN gone THEN 1000000000 ELSE cut + least(2 + w2, CASE k WHEN 'u' THEN w2 WHEN 's' THEN w1 ELSE 1000000000 END) END) AS a0,
+      least(3 + w1, CASE WHEN gone THEN 1000000000 ELSE cut + least(2 + w2, CASE k WHEN 'u' THEN w2 ELSE 1000000000 END) END) AS a1,
+      least(3 + w2, CASE WHEN gone THEN 1000000000 ELSE cut + least(2 + w3, CASE k WHEN 'a' THEN w3 ELSE 1000000000 END) END) AS a2,
+      least(3 + w3, CASE WHEN gone THEN 1000000000 ELSE cut + least(2 + w2, CASE k WHEN 'u' THEN w2 ELSE 1000000000 END) END) AS a3
+    FROM back JOIN r ON r.c = back.c AND r.i = back.i - 1
+  )
+),
+w AS (SELECT c, i, [w0, w1, w2, w3] AS w FROM back),
+steps AS (
+  SELECT w.c, w.i, w.w AS w, nxt.w AS v, role, text, k, gone, cut FROM w LEFT JOIN r ON r.c = w.c AND r.i = w.i LEFT JOIN w AS nxt ON nxt.c = w.c AND nxt.i = w.i + 1
+),
+walk AS (
+  SELECT c, CAST(1 AS BIGINT) AS i, 1 AS q, '' AS audit, CAST([] AS VARCHAR[]) AS lines FROM counts
+  UNION ALL
+  SELECT c, CASE WHEN edit = 'I' THEN i ELSE i + 1 END, CASE edit WHEN 'D' THEN q WHEN 'K' THEN CASE k WHEN 'u' THEN 3 WHEN 'a' THEN 4 ELSE 2 END ELSE CASE q WHEN 3 THEN 4 ELSE 3 END END,
+    audit || edit,
+    CASE edit WHEN 'D' THEN lines WHEN 'K' THEN list_append(lines, role || ':' || text)
+      ELSE list_append(lines, CASE q WHEN 3 THEN 'assistant:' ELSE 'user:' END || CASE edit WHEN 'I' THEN '' ELSE text END) END
+  FROM (
+    SELECT walk.*, role, text, k,
+      CASE WHEN v IS NULL THEN 'I' WHEN 3 + v[q] = w[q] THEN 'D' WHEN 2 + w[CASE q WHEN 3 THEN 4 ELSE 3 END] = w[q] THEN 'I'
+        WHEN NOT gone AND cut + CASE WHEN k = 'u' AND q <> 3 THEN v[3] WHEN k = 'a' AND q = 3 THEN v[4] WHEN k = 's' AND q = 1 THEN v[2] END = w[q] THEN 'K' ELSE 'R' END AS edit
+    FROM walk JOIN steps ON steps.c = walk.c AND steps.i = walk.i
+    WHERE v IS NOT NULL OR q IN (2, 3)
+  )
+),
+ends AS (SELECT walk.c, arg_max(audit, len(audit)) AS audit, arg_max(lines, len(audit)) AS lines FROM walk GROUP BY walk.c),
+costs AS (SELECT c, w[1] AS cost FROM w WHERE i = 1)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+  CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM ids LEFT JOIN counts USING (c) LEFT JOIN ends USING (c) LEFT JOIN costs USING (c)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_gzip_member_warc": OP9_SQL, "op7_prefix_filtered_decontamination": OP7_SQL, "op10_super_kmer_dedup": OP10_SQL}
+    return {"op11_structure_repair": OP11_SQL, "op9_gzip_member_warc": OP9_SQL, "op7_prefix_filtered_decontamination": OP7_SQL, "op10_super_kmer_dedup": OP10_SQL}
