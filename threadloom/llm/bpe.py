@@ -33,10 +33,10 @@ from . import common
 
 #: The rank file that the contract names.
 VOCABULARY = "byte_bpe_50k.tiktoken"
-WORDS = 1 << 19
+WORDS = 1 << 20
 WORD_BYTES = 32
 #: Buckets of the folded words, and of the pairs.
-_WORD_BUCKETS = 1 << 18
+_WORD_BUCKETS = 1 << 19
 _PAIR_BUCKETS = 1 << 17
 #: Stands for "no token": above all characters of ids.
 _NONE = "\U0010FFFF"
@@ -158,9 +158,8 @@ class Encoder:
     def _merged(self, t: Column, codes: Column) -> Column:
         """Ids of a word of these bytes.  The state holds the pieces ``p``, and ``r``, the union of each with its right neighbour."""
 
-        def merged(s: Column, i: Column) -> Column:
+        def merged(s: Column, rank: Column, i: Column) -> Column:
             p, r = s["p"], s["r"]
-            rank = F.substring(r, i, F.lit(1))
             left = F.when(i > 1, self._rank(t, F.concat(F.substring(p, i - 1, F.lit(1)), rank))).otherwise("")
             right = self._rank(t, F.concat(rank, F.substring(p, i + 2, F.lit(1))))
             joined = F.concat(F.substring(p, F.lit(1), i - 1), rank, F.substr(p, i + 2))
@@ -169,7 +168,8 @@ class Encoder:
 
         def step(s: Column, _: Column) -> Column:
             least = F.array(F.array_min(F.split(s["r"], "")))
-            return F.aggregate(least, s, lambda s, m: F.when(m == _NONE, s).otherwise(F.aggregate(F.array(F.instr(s["r"], m)), s, merged)))
+            at = lambda s, m: F.aggregate(F.array(F.instr(s["r"], m)), s, lambda s, i: merged(s, m, i))
+            return F.aggregate(least, s, lambda s, m: F.when(m == _NONE, s).otherwise(at(s, m)))
 
         pieces = F.array_join(F.transform(codes, lambda c: F.get(t["bytes"], c)), "")
         ranks = F.transform(codes, lambda c, i: F.coalesce(F.get(t["first"], c * 256 + F.get(codes, i + 1)), F.lit(_NONE)))
