@@ -63,6 +63,56 @@ def test_opencode_turns_and_files(spark, oc):
     assert src.version() == "1.2" and src.probe().sessions == 3
 
 
+def scanned(df):
+    """Rows that each scan of a query gave to Spark."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan()
+    leaves = (leaves.finalPhysicalPlan() if "AdaptiveSparkPlan" in leaves.nodeName() else leaves).collectLeaves()
+    out = []
+    for i in range(leaves.size()):
+        node = leaves.apply(i)
+        while "QueryStage" in node.nodeName():
+            node = node.plan().collectLeaves().apply(0) if "QueryStage" not in node.plan().nodeName() else node.plan()
+        if node.metrics().contains("numOutputRows"):
+            out.append(node.metrics().apply("numOutputRows").value())
+    return out
+
+
+def test_one_session_reads_its_own_messages_and_parts(spark, oc):
+    src = OpenCodeSqlite(spark, str(oc / "opencode.db"))
+    one = src.turns_of("s0")
+    same = src.turns().where("uri = 'session://opencode/s0'")
+    assert [r.asDict(True) for r in one.orderBy("turn_index").collect()] == [r.asDict(True) for r in same.orderBy("turn_index").collect()]
+    assert sorted(scanned(one)) == [4, 12]  # of 12 messages and 48 parts
+    assert sum(scanned(src.turns_of("nobody"))) == 0 and src.turns_of("nobody").count() == 0
+    assert sum(scanned(src._table("session").where("time_updated > 1700000000005 and title like 'Title%'"))) == 2
+    assert sum(scanned(src._table("session").where(F.col("id").isin("s1", "s2", "s9")))) == 2
+
+
+def test_conditions_of_sqlite():
+    from pyspark.sql import datasource as ds
+
+    kinds = {"a": "bigint", "b": "string", "d": "binary"}
+    of = lambda f: sqlite_source.condition(f, kinds)
+    assert of(ds.EqualTo(("a",), 5)) == ('"a" = ?', [5]) and of(ds.EqualTo(("a",), "5")) is None and of(ds.EqualTo(("d",), b"x")) is None
+    assert of(ds.LessThan(("b",), "x")) == ('"b" < ? COLLATE BINARY', ["x"]) and of(ds.In(("b",), ("x", "y"))) == ('"b" IN (?, ?)', ["x", "y"])
+    assert of(ds.StringStartsWith(("b",), "x%")) == ('substr("b", 1, 2) = ?', ["x%"]) and of(ds.IsNull(("b",))) is None and of(ds.EqualTo(("b", "c"), "x")) is None
+    assert of(ds.Not(ds.EqualTo(("b",), "x"))) is None and of(ds.EqualTo(("missing",), 1)) is None
+
+
+def test_pushed_filters_give_what_spark_would(spark, tmp_path):
+    con = sqlite3.connect(tmp_path / "x.db")
+    con.execute("CREATE TABLE t(a int, b text COLLATE NOCASE, c real, n)")
+    con.executemany("INSERT INTO t VALUES (?,?,?,?)", [(1, "x", 1.5, 1), (2, "X", 2, "1"), (5.7, "é", None, None), ("odd", None, "no", "x"), (None, "it's", 1e300, 2.5), (2**60, "10", 0, b"z")])
+    con.commit()
+    con.close()
+    spark_side = [tuple(r) for r in sqlite_source.read_table(spark, str(tmp_path / "x.db"), "t").collect()]
+    plain = spark.createDataFrame(spark_side, "a long, b string, c double, n string")
+    for cond in ["a = 2", "a >= 2", "a is null", "b = 'x'", "b > 'X'", "b = 'it''s'", "b like 'X%'", "c > 1", "c is not null", "n = '1'", "b in ('x', '10') and a < 100", "b <=> null", "a = 5", "not (b = 'x')"]:
+        t = sqlite_source.read_table(spark, str(tmp_path / "x.db"), "t").where(cond)
+        assert sorted(map(repr, t.collect())) == sorted(map(repr, plain.where(cond).collect())), cond
+
+
 def test_store_choice_and_missing_store(spark, oc, tmp_path):
     assert isinstance(opencode(spark, str(oc)), OpenCodeSqlite) and opencode(spark, str(tmp_path)) is None
     assert not OpenCodeSqlite(spark, str(tmp_path / "none.db")).probe().available
@@ -85,6 +135,12 @@ def test_opencode_tree(spark, tmp_path):
     src = OpenCodeTree(spark, str(tmp_path))
     assert [(r.native_id, r.workspace_path, r.message_count) for r in src.sessions().collect()] == [("s1", "/w", 2)]
     assert [r.blocks[0].text for r in src.turns().orderBy("turn_index").collect()] == ["ask", "answer"]
+    put("message/s2/m3.json", {"role": "user"})
+    put("part/m3/a.json", {"type": "text", "text": "other"})
+    assert [(r.uri, r.blocks[0].text) for r in src.turns_of("s1").orderBy("turn_index").collect()] == [("session://opencode/s1", "ask"), ("session://opencode/s1", "answer")]
+    (tmp_path / "part/m3/a.json").unlink()
+    (tmp_path / "message/s2/m3.json").unlink()
+    assert src.turns_of("none").count() == 0
     put("part/m2/b.json", {"type": "patch", "files": ["/w/x.py"]})
     put("part/m2/c.json", {"type": "tool", "tool": "edit", "state": {"input": {"filePath": "/w/y.py"}}})
     assert {(r.uri, r.path, r.tool) for r in src.files().collect()} == {("session://opencode/s1", "/w/x.py", "patch"), ("session://opencode/s1", "/w/y.py", "edit")}
@@ -158,6 +214,23 @@ def test_cli_tool_log(spark, cli):
     assert turn[0].blocks[0].output == "x" * 10 + "\n… [20 more characters]"
 
 
+def test_tool_turn_follows_the_page_whatever_the_budget(spark, cli, tmp_path):
+    from threadloom.catalog import Catalog
+    from threadloom.config import SearchQuery, TranscriptOptions
+    from threadloom.plans.store import IndexStore
+
+    catalog = Catalog(spark, IndexStore(spark, f"file://{tmp_path}/index"), [CopilotCli(spark, str(cli / "session.db"))])
+    page = lambda **o: [(t.turn_index, t.role, t.total_turns, t.is_truncated) for t in catalog.transcript("a", TranscriptOptions(**o)).collect()]
+    said = [(0, "User", 4, False), (1, "User", 4, False), (2, "Assistant", 4, False)]
+    assert page(include_tool_output=True) == [*said, (3, "Tool", 4, False)]
+    assert page(include_tool_output=True, max_characters=6) == [*said, (3, "Tool", 4, False)]
+    assert page(include_tool_output=True, max_characters=3) == [(0, "User", 3, True)]
+    assert page(include_tool_output=True, to_turn=1) == [(0, "User", 3, False), (1, "User", 3, False)]
+    assert page(include_tool_output=True, from_turn=3) == [(3, "Tool", 4, False)] and page() == [(i, r, 3, False) for i, r, _, _ in said]
+    # The store's own passages serve a live search.
+    assert [r.uri for r in catalog.search_live(SearchQuery("backoff")).collect()] == ["session://copilot-cli/a"]
+
+
 def test_replay():
     ops = [{"kind": 0, "v": {"requests": []}}, {"kind": 2, "k": ["requests"], "v": [{"a": 1}]}, {"kind": 1, "k": ["requests", 2, "b"], "v": 5}, {"kind": 7}, {"kind": 1, "k": ["x", "y", 0], "v": "z"}]
     log = "\n".join(json.dumps(o) for o in ops) + '\n{"kind":1,"k":["late"],"v":1'
@@ -185,6 +258,7 @@ def test_vscode(spark, tmp_path):
     assert set(s) == {"d", "l"} and s["l"].title == "Named" and s["d"].title == "Hi there" and s["d"].models == ["gpt"] and s["d"].agent == "editsAgent"
     assert s["d"].workspace_path == "c:/my code" and s["d"].message_count == 2
     assert [(r.role, r.turn_index) for r in src.turns().where("uri like '%/d'").orderBy("turn_index").collect()] == [("User", 0), ("Assistant", 1)]
+    assert [(r.role, r.turn_index) for r in src.turns_of("d").orderBy("turn_index").collect()] == [("User", 0), ("Assistant", 1)]
     assert {r.ref_value for r in src.references().collect()} == {"https://x.y"}
     (ws / "chatSessions" / "torn.json").write_text("{")
     assert [r.uri for r in src.unreadable().collect()] == ["session://copilot-vscode/torn"]

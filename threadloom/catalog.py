@@ -123,15 +123,24 @@ class Catalog:
         for s in self._enabled():
             if not s.probe().available:
                 continue
+            if "native_search" in s.capabilities:
+                # The store's own table of passages serves, where scanning all it holds would be slower.
+                scores = s.search_native(q.text, self._filter(q.filter), max(top, 1), per_session).select("uri", "score")
+                one = self._reciprocal(scores)
+                parts = one if parts is None else parts.unionByName(one)
+                continue
             said = s.turns().select("uri", "turn_index", F.array_join(F.transform(F.filter("blocks", lambda b: b["kind"] == "text"), lambda b: b["text"]), "\n\n").alias("text"))
             scores, _ = lexical.live_scan(said, terms, filters.filtered(s.sessions(), self._filter(q.filter), self.store.tags()), limit, per_session)
-            ranks = fusion.session_ranks(scores.select("uri", F.lit(0).alias("ordinal"), "score"))
-            one = ranks.select("uri", (F.lit(1.0) / (self.config.search.rrf_k + F.col("rank"))).alias("score"))
+            one = self._reciprocal(scores)
             parts = one if parts is None else parts.unionByName(one)
         if parts is None:
             raise NotFoundError("no source is available")
         return parts.orderBy(F.desc("score"), "uri").limit(top)
 
+    def _reciprocal(self, scores: DataFrame) -> DataFrame:
+        ranks = fusion.session_ranks(scores.select("uri", F.lit(0).alias("ordinal"), "score"))
+        return ranks.select("uri", (F.lit(1.0) / (self.config.search.rrf_k + F.col("rank"))).alias("score"))
+
     def markdown(self, wanted: str, o: TranscriptOptions = TranscriptOptions(include_tool_output=True, include_reasoning=True, include_diffs=True)) -> str:
         """A session as a Markdown document."""
         uri = self.resolve(wanted)
@@ -161,10 +170,12 @@ class Catalog:
         source = next((s for s in self._enabled() if uri.split("://", 1)[1].startswith(s.source_id + "/")), None)
         if source is None:
             raise NotFoundError(f"no source for {uri}")
-        said, tools = source.turns(), source.tool_turns() if o.include_tool_output else None
-        turns = (said if tools is None else said.unionByName(tools)).where(F.col("uri") == uri).withColumn("blocks", transcripts.selected_blocks(F.col("blocks"), o))
+        native_id = uri.split("://", 1)[1].split("/", 1)[1]
+        shown = lambda rows: rows.withColumn("blocks", transcripts.selected_blocks(F.col("blocks"), o))
         size = F.aggregate("blocks", F.lit(0), lambda s, b: s + transcripts.block_size(b))
-        return transcripts.page(turns, o, size).orderBy("turn_index")
+        paged = transcripts.page(shown(source.turns_of(native_id)), o, size)
+        tools = source.tool_turns_of(native_id) if o.include_tool_output else None
+        return (paged if tools is None else transcripts.with_tool_turn(paged, shown(tools), o)).orderBy("turn_index")
 
     def files(self, wanted: str) -> DataFrame:
         uri = self.resolve(wanted)

@@ -122,3 +122,21 @@ def resume_command(source: Column, native_id: Column, cwd: Column, fork: bool =
     if model:
         line = F.concat(line, F.lit(" --model "), quoted(F.lit(model)))
     return F.when(cwd.isNotNull() & source.isin("opencode", "copilot-cli"), F.concat(F.lit("cd "), quoted(cwd), F.lit(" && "), line)).otherwise(line)
+
+
+def with_tool_turn(paged: DataFrame, tools: DataFrame, o: TranscriptOptions) -> DataFrame:
+    """Pages with their sessions' tool turns, which a store keeps apart: each follows the last turn, whatever the budget.
+
+    There is none where the page was cut, or ends before it, or begins beyond it.  It counts among the turns, and has the
+    time of the last turn shown.
+    """
+    if o.from_turn is not None:
+        tools = tools.where(F.col("turn_index") >= o.from_turn)
+    if o.to_turn is not None:
+        tools = tools.where(F.col("turn_index") <= o.to_turn)
+    ends = paged.groupBy("uri").agg(F.bool_or("is_truncated").alias("__cut"), F.max_by("timestamp", "turn_index").alias("__at"))
+    more = tools.join(ends, "uri", "left").where(~F.coalesce("__cut", F.lit(False))).withColumn("timestamp", F.col("__at")).drop("__cut", "__at")
+    more = more.withColumns({"total_turns": F.col("turn_index") + 1, "next_turn_index": F.lit(None).cast("int"), "is_truncated": F.lit(False)})
+    counted = paged.join(more.select("uri", F.lit(1).alias("__more")), "uri", "left")
+    counted = counted.withColumn("total_turns", F.col("total_turns") + F.coalesce("__more", F.lit(0))).drop("__more")
+    return counted.unionByName(more.select(*counted.columns))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import SessionFilter
+from ..functions.paths import SCHEME
 from ..operators.filters import filtered, ordered
 from ..schema import SESSION
 
@@ -43,6 +44,10 @@ class SessionSource(ABC):
     @abstractmethod
     def turns(self) -> DataFrame: ...
 
+    def turns_of(self, native_id: str) -> DataFrame:
+        """The turns of one session.  Stores that can read one alone do."""
+        return self.turns().where(F.col("uri") == f"{SCHEME}://{self.source_id}/{native_id}")
+
     def files(self) -> DataFrame | None:
         return None
 
@@ -53,6 +58,10 @@ class SessionSource(ABC):
         """Turns that the store keeps apart from what was said; they follow on the session's own."""
         return None
 
+    def tool_turns_of(self, native_id: str) -> DataFrame | None:
+        rows = self.tool_turns()
+        return None if rows is None else rows.where(F.col("uri") == f"{SCHEME}://{self.source_id}/{native_id}")
+
     def unreadable(self) -> DataFrame | None:
         """``uri`` of sessions that are there but can't be read."""
         return None

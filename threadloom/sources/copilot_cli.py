@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,13 +82,19 @@ class CopilotCli(SessionSource):
         )
 
     def turns(self) -> DataFrame:
-        m = transcripts.exchanges_to_turns(self._table("turns"))
+        return self._turns(lambda rows: rows)
+
+    def turns_of(self, native_id: str) -> DataFrame:
+        return self._turns(lambda rows: rows.where(F.col("session_id") == native_id))
+
+    def _turns(self, chosen) -> DataFrame:
+        m = transcripts.exchanges_to_turns(chosen(self._table("turns")))
         out = m.select("session_id", F.col("turn_index").alias("exchange"), F.col("message_index").cast("int").alias("turn_index"), "role", instant(F.col("timestamp")).alias("timestamp"), F.array(block(kind="text", text=F.col("text"))).alias("blocks"))
         usage = self._table("assistant_usage_events")
         if usage is None:
             out = out.withColumn("model", F.lit(None).cast("string")).withColumn("agent", F.lit(None).cast("string"))
         else:
-            u = rollups.usage_by_turn(usage).withColumnRenamed("turn_index", "exchange")
+            u = rollups.usage_by_turn(chosen(usage)).withColumnRenamed("turn_index", "exchange")
             out = out.join(u, ["session_id", "exchange"], "left")
         return out.select(self._uri().alias("uri"), "turn_index", "role", "timestamp", "model", "agent", "blocks")
 
@@ -108,12 +115,19 @@ class CopilotCli(SessionSource):
 
     def tool_turns(self, max_output: int = 0) -> DataFrame | None:
         """Turns of the logs in ``session-state`` beside the file; logs beyond the limit are left out."""
+        return self._tool_turns("*", lambda rows: rows, max_output)
+
+    def tool_turns_of(self, native_id: str) -> DataFrame | None:
+        """The turn of one session's log, the only one that is opened."""
+        return self._tool_turns(re.sub(r"([\\*?\[\]{}])", r"\\\1", native_id), lambda rows: rows.where(F.col("session_id") == native_id), 0)
+
+    def _tool_turns(self, name: str, chosen, max_output: int) -> DataFrame | None:
         folder = os.path.join(os.path.dirname(self.location), "session-state")
         if not os.path.isdir(folder):
             return None
-        lines = self.spark.read.option("pathGlobFilter", "*.jsonl").text(folder, wholetext=True).where(F.col("_metadata.file_size") <= LARGEST_LOG)
+        lines = self.spark.read.option("pathGlobFilter", f"{name}.jsonl").text(folder, wholetext=True).where(F.col("_metadata.file_size") <= LARGEST_LOG)
         each = lines.select(F.regexp_extract("_metadata.file_name", r"^(.*)\.jsonl$", 1).alias("session_id"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "value"))
-        totals = transcripts.exchanges_to_turns(self._table("turns")).groupBy("session_id").agg(F.count(F.lit(1)).alias("total_turns"))
+        totals = transcripts.exchanges_to_turns(chosen(self._table("turns"))).groupBy("session_id").agg(F.count(F.lit(1)).alias("total_turns"))
         turns = tool_turn(tool_calls(each, max_output), totals)
         return turns.select(self._uri().alias("uri"), "turn_index", "role", F.lit(None).cast("timestamp_ntz").alias("timestamp"), F.lit(None).cast("string").alias("model"), F.lit(None).cast("string").alias("agent"), "blocks")
 

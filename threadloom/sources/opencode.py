@@ -15,6 +15,8 @@ from . import sqlite_source
 from .base import SessionSource, as_sessions, backfilled, block
 
 SMALLEST_FILE = 8192
+#: Folders of parts that are listed one by one.
+MOST_FOLDERS = 1000
 PARTS = ("text", "reasoning", "tool", "patch")
 _SESSION = {
     "id": "string", "project_id": "string", "parent_id": "string", "slug": "string", "directory": "string", "title": "string", "version": "string", "agent": "string", "model": "string",
@@ -115,6 +117,10 @@ class OpenCodeSqlite(SessionSource):
     def turns(self) -> DataFrame:
         return map_turns(self._table("message"), self._table("part", _of_kinds(*PARTS)))
 
+    def turns_of(self, native_id: str) -> DataFrame:
+        mine = F.col("session_id") == native_id
+        return map_turns(self._table("message").where(mine), self._table("part", _of_kinds(*PARTS)).where(mine))
+
     def changed_since(self, cursor) -> DataFrame:
         """Sessions of rows that SQLite finds newer."""
         if cursor is None:
@@ -143,8 +149,13 @@ class OpenCodeTree(SessionSource):
     source_id = "opencode"
     capabilities = OpenCodeSqlite.capabilities
 
-    def _documents(self, kind: str) -> DataFrame:
-        files = self.spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(os.path.join(self.location, kind), wholetext=True)
+    def _documents(self, kind: str, folders: tuple[str, ...] = ()) -> DataFrame:
+        """The documents of a kind, or those in some of its folders, which are the only ones listed."""
+        top = os.path.join(self.location, kind)
+        paths = [p for p in (os.path.join(top, f) for f in folders) if os.path.isdir(p)] if folders else [top]
+        reader = self.spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json")
+        files = reader.text(paths or [top], wholetext=True)
+        files = files if paths else files.where("false")
         name = F.regexp_extract("_metadata.file_path", r"([^/]+)/([^/]+)\.json$", 2)
         return files.select(F.col("value").alias("data"), name.alias("id"), F.regexp_extract("_metadata.file_path", r"([^/]+)/([^/]+)\.json$", 1).alias("folder")).where(F.try_parse_json("data").isNotNull())
 
@@ -165,6 +176,13 @@ class OpenCodeTree(SessionSource):
         parts = self._documents("part").select("id", F.col("folder").alias("message_id"), "data")
         return map_turns(messages, parts)
 
+    def turns_of(self, native_id: str) -> DataFrame:
+        """Messages are in their session's folder, parts in their message's."""
+        messages = self._documents("message", (native_id,)).select("id", F.col("folder").alias("session_id"), F.lit(0).cast("bigint").alias("time_created"), "data")
+        ids = tuple(r.id for r in messages.select("id").limit(MOST_FOLDERS + 1).collect())
+        parts = self._documents("part", ids if 0 < len(ids) <= MOST_FOLDERS else ()).select("id", F.col("folder").alias("message_id"), "data")
+        return map_turns(messages, parts)
+
     def files(self) -> DataFrame:
         """Paths that parts name; a part belongs to the session of its message."""
         from ..operators.transcripts import touched_files

@@ -161,14 +161,14 @@ class VsCode(SessionSource):
         super().__init__(spark, location)
         self.include_empty = include_empty
 
-    def _files(self, since: datetime | None = None) -> DataFrame:
+    def _files(self, since: datetime | None = None, name: str = "*") -> DataFrame:
         """``native_id, hash, modified, document``: each session file as one JSON document, null where it can't be read.
 
-        Files that were not modified ``since`` a time are left out by their metadata, before they are opened.
+        Files that were not modified ``since`` a time, or are not of a session's ``name``, are left out before they are opened.
 
         A log is walked in order, so each file is handled whole, in Arrow batches; files beyond the limit are left out.
         """
-        files = self.spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json*").text(self.location, wholetext=True)
+        files = self.spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"{name}.json*").text(self.location, wholetext=True)
         name = r"/([^/]+)/chatSessions/([^/]+)\.(jsonl?)$"
         path = F.col("_metadata.file_path")
         raw = files.where((F.col("_metadata.file_size") > 0) & (F.col("_metadata.file_size") <= LARGEST_FILE) & path.rlike(name))
@@ -234,7 +234,7 @@ class VsCode(SessionSource):
             )
         )
 
-    def _walked(self) -> DataFrame:
+    def _walked(self, documents: DataFrame | None = None) -> DataFrame:
         kind = f"array<struct<turn_index:int,role:string,at:bigint,model:string,agent:string,blocks:{BLOCK.simpleString()},files:array<struct<path:string,tool:string>>>>".replace(BLOCK.simpleString(), f"array<{BLOCK.simpleString()}>")
 
         @F.pandas_udf(kind)
@@ -248,10 +248,20 @@ class VsCode(SessionSource):
 
             return documents.map(one)
 
-        return self.documents().select(session_uri(F.lit(self.source_id), F.col("native_id")).alias("uri"), F.inline(walk("document")))
+        rows = self.documents() if documents is None else documents
+        return rows.select(session_uri(F.lit(self.source_id), F.col("native_id")).alias("uri"), F.inline(walk("document")))
 
     def turns(self) -> DataFrame:
-        return self._walked().select("uri", "turn_index", "role", millis(F.col("at")).alias("timestamp"), after_slash(F.col("model")).alias("model"), after_dot(F.col("agent")).alias("agent"), "blocks")
+        return self._turns(self._walked())
+
+    def turns_of(self, native_id: str) -> DataFrame:
+        """Only files of the session's name are opened."""
+        mine = self._files(name=re.sub(r"([\\*?\[\]{}])", r"\\\1", native_id)).where(F.col("native_id") == native_id)
+        return self._turns(self._walked(mine.where("document is not null")))
+
+    @staticmethod
+    def _turns(walked: DataFrame) -> DataFrame:
+        return walked.select("uri", "turn_index", "role", millis(F.col("at")).alias("timestamp"), after_slash(F.col("model")).alias("model"), after_dot(F.col("agent")).alias("agent"), "blocks")
 
     def files(self) -> DataFrame:
         from ..operators.transcripts import touched_files
