@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import EngineConfig, EngineError, NotFoundError, SearchQuery, SessionFilter, TranscriptOptions, UsageError, clamp_search
-from .operators import export, filters, fusion, lexical, rollups, semantic, snippets, transcripts
+from .operators import export, fetch, filters, fusion, lexical, rollups, semantic, snippets, transcripts
 from .plans.embedding import Embedder
 from .plans.store import IndexStore
 from .plans.terms import parse
@@ -63,7 +63,10 @@ class Catalog:
         return filters.ordered(filters.with_tags(rows, tags), f.sort)
 
     def search(self, q: SearchQuery, now: datetime, workspace: str | None = None) -> DataFrame:
-        """Sessions by relevance with their snippets: candidates, ranks, fusion, boosts, then text for those shown."""
+        """Sessions by relevance with their snippets: candidates, ranks, fusion, boosts, then text for those shown.
+
+        Candidates of the lexical list (at most the configured cap) and the hits are computed at once, as texts are asked for by name.
+        """
         if not self.store.exists():
             raise NotFoundError("there is no index to search: refresh first")
         top, per_session = clamp_search(q.top, q.snippets)
@@ -79,7 +82,7 @@ class Catalog:
         if mode in ("lexical", "hybrid") and terms:
             posting = self.store.table("posting")
             found = lexical.bm25_places(posting, *self.store.statistics(), terms, admitted) if posting is not None else lexical.bm25(chunk, terms, admitted)
-            lists["lexical"] = lexical.top_passages(found, lexical.candidate_cap(top, c))
+            lists["lexical"] = fetch.local(lexical.top_passages(found, lexical.candidate_cap(top, c)))
         if mode in ("semantic", "hybrid"):
             v = semantic.query_vector(self.embedder.vectors([q.text], query=True)[0])
             lists["semantic"] = semantic.search(vectors, centroid, v, admitted, q.deep, c).select("uri", "ordinal", "score")
@@ -89,9 +92,12 @@ class Catalog:
             ranks[name] = fusion.session_ranks(rows, bounded=name == "lexical" or not q.deep)
         best = fusion.cut(fusion.fused(ranks, c), top)
         named = best.join(sessions.select("uri", "title", "source_id", "updated_at", "workspace_path"), "uri")
-        hits = fusion.boosted(named, now, workspace, c).orderBy(F.desc("score"), "uri").limit(top)
-        shown = fusion.chosen_passages(lists, c).join(hits.select("uri"), "uri", "left_semi")
-        excerpts = snippets.collected(shown, chunk.select("uri", "ordinal", "role", "turn_index", "text"), terms, per_session)
+        hits = fetch.local(fusion.boosted(named, now, workspace, c).orderBy(F.desc("score"), "uri").limit(top))
+        uris = [r.uri for r in hits.select("uri").collect()]
+        # Texts last, and of the sessions shown only: their names reach the scan.
+        shown = fetch.few(fusion.chosen_passages(lists, c), "uri", uris)
+        texts = fetch.few(chunk, "uri", uris).select("uri", "ordinal", "role", "turn_index", "text")
+        excerpts = snippets.collected(shown, texts, terms, per_session)
         return hits.join(excerpts, "uri", "left").orderBy(F.desc("score"), "uri")
 
     def _centroids(self) -> DataFrame | None:

@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 
 from ..config import ChunkPolicy, EngineConfig, EngineError, SessionFilter, UsageError
 from ..functions.vectors import centroids
-from ..operators import chunking, incremental, lexical
+from ..operators import chunking, fetch, incremental, lexical
 from ..operators.filters import predicate
 from ..operators.semantic import check_model, embeddable
 from ..sources.base import SessionSource
+from . import scratch
 from .embedding import Embedder
 
 SCHEMA_VERSION = 2
@@ -281,7 +282,8 @@ class IndexStore:
     def _write(self, source, todo, gone, old, generation, policy, embedder, whole: bool) -> None:
         """A generation of what changed, or of the ``whole`` source."""
         turns = source.turns().join(todo.select("uri"), "uri", "left_semi")
-        chunk = lexical.tokenized(chunking.chunks(todo, turns, policy))
+        # Cut once: passages, postings and vectors all come from what is written here.
+        chunk, loose = fetch.written(lexical.tokenized(chunking.chunks(todo, turns, policy)))
         new = {"session": todo.drop("source_id"), "chunk": chunk, "posting": lexical.postings(chunk)}
         files = source.files()
         if files is not None:
@@ -300,8 +302,11 @@ class IndexStore:
             if rows is not None:
                 if name == "posting":
                     lexical.write_by_term(rows, where(name))
+                elif name == "chunk":
+                    fetch.write_clustered(rows, where(name), "uri", "ordinal")
                 else:
                     rows.write.mode("overwrite").parquet(where(name))
+        scratch.delete(self.spark, loose)
         if not whole and old["session"] is not None:
             touched.write.mode("overwrite").parquet(where("gone"))
 

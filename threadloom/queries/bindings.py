@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import derive_title, preview
-from ..operators import lexical
+from ..operators import fetch, lexical
 from ..operators.lexical import tokenized
 from ..plans import scratch
 
@@ -117,8 +117,19 @@ def passages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index(spark: SparkSession, d: str) -> str:
-    """Where the passages' inverted index is; it is written when a session first needs it."""
-    return scratch.built(spark, f"index of {d}", lambda path: lexical.write_index(passages(spark, d), path))
+    """Where the passages' inverted index and their texts by ``uri`` are; they are written when a session first needs them."""
+
+    def build(path: str) -> None:
+        lexical.write_index(passages(spark, d), path)
+        uri = F.concat(F.lit("doc://"), "source", F.lit("/"), F.col("doc_id").cast("string"))
+        fetch.write_clustered(table(spark, d, "documents").select(uri.alias("uri"), "text"), f"{path}/text", "uri")
+
+    return scratch.built(spark, f"index of {d}", build)
+
+
+def passage_texts(spark: SparkSession, d: str, uris: list[str]) -> DataFrame:
+    """``uri, text`` of a few passages."""
+    return fetch.few(spark.read.parquet(f"{index(spark, d)}/text"), "uri", uris)
 
 
 PASSAGE = f"""

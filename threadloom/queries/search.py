@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from ..config import SearchConfig, SessionFilter
 from ..functions.text import derive_title
 from ..functions.vectors import centroids, cosine, dot, normalize
-from ..operators import filters, fusion, lexical, semantic, snippets
+from ..operators import fetch, filters, fusion, lexical, semantic, snippets
 from ..plans.terms import parse
 from . import query
-from .bindings import index, NOW, NOW_SQL, PASSAGE, SESSION, TURN, VECTOR, passages, query_vector, sessions, table, turns, vectors
+from .bindings import index, NOW, NOW_SQL, PASSAGE, SESSION, TURN, VECTOR, passage_texts, passages, query_vector, sessions, table, turns, vectors
 
 #: Terms asked for, as text and as SQL conditions on the token ``t``.
 TEXT = 'the tion shwhbl "the of" éler'
@@ -109,12 +109,11 @@ def search_lexical_rows(spark, d, text="tion nthe estionr", top=10):
     """The whole of a keyword search: candidates of admitted sessions, ranks, boosts; titles are fetched last."""
     s = sessions(spark, d, dealt=False)
     admitted = filters.filtered(s, SessionFilter()).select("uri")
-    rows = lexical.top_passages(lexical.indexed_bm25(spark, index(spark, d), parse(text), admitted), lexical.candidate_cap(top))
+    rows = fetch.local(lexical.top_passages(lexical.indexed_bm25(spark, index(spark, d), parse(text), admitted), lexical.candidate_cap(top)))
     found = fusion.cut(fusion.fused({"lexical": fusion.session_ranks(rows)}), top)
-    named = found.join(s.select("uri", "updated_at", "workspace_path"), "uri")
-    hits = fusion.boosted(named, NOW).orderBy(F.desc("score"), "uri").limit(top)
-    texts = table(spark, d, "documents").select(F.concat(F.lit("doc://"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("uri"), "text")
-    shown = texts.join(F.broadcast(hits), "uri")  # at most ``top`` rows
+    named = found.join(fetch.few(s, "uri", [r.uri for r in rows.select("uri").distinct().collect()]).select("uri", "updated_at", "workspace_path"), "uri")
+    hits = fetch.local(fusion.boosted(named, NOW).orderBy(F.desc("score"), "uri").limit(top))
+    shown = passage_texts(spark, d, [r.uri for r in hits.collect()]).join(F.broadcast(hits), "uri")  # at most ``top`` rows
     return shown.withColumn("title", derive_title(F.col("text")))
 
 
