@@ -33,10 +33,10 @@ from . import common
 
 #: The rank file that the contract names.
 VOCABULARY = "byte_bpe_50k.tiktoken"
-WORDS = 1 << 20
+WORDS = 1 << 19
 WORD_BYTES = 32
 #: Buckets of the folded words, and of the pairs.
-_WORD_BUCKETS = 1 << 19
+_WORD_BUCKETS = 1 << 18
 _PAIR_BUCKETS = 1 << 17
 #: Stands for "no token": above all characters of ids.
 _NONE = "\U0010FFFF"
