@@ -1,6 +1,6 @@
 """Surrogates for personal data: keyed, type-consistent, one for one.
 
-Found are e-mail addresses, telephone numbers, payment cards, US social security numbers, IBANs, IPv4, IPv6 and MAC
+Found are e-mail addresses, telephone numbers (separated, with a country code or the trunk's zero, or after a word such as ``phone``), payment cards, US social security numbers, IBANs, IPv4, IPv6 and MAC
 addresses, credentials, and persons named after a title or a label or with a well-known given name.  Every mention is reduced to a canonical value, so that
 mentions of one entity agree however they are written, and an HMAC of kind and value under the key draws the
 surrogate; it is then written in the mention's own format: separators, case, script, check digits, gender.  Names
@@ -47,8 +47,23 @@ _TOKENS = re.compile(
     r"(?<!\w)(?:A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk[-_][A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[\w-]{35}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})(?!\w)"
 )
 _TOKEN_SIGNS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "sk_", "xox", "AIza", "eyJ")
-_ASSIGNED = re.compile(r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"'<>,;]{8,})", re.I)
-_PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----\s*+([A-Za-z0-9+/=\s]{16,}+)-----END [A-Z ]*PRIVATE KEY-----")
+_ASSIGNED = re.compile(r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s{0,3}([=:])\s{0,3}[\"']?([^\s\"'<>,;]{4,})", re.I)
+#: What stands for a credential where there is none.  Fixed values.
+_NO_SECRET = frozenset("changeme disabled empty enabled expired false forgotten hidden incorrect invalid missing mandatory necessary needed none null optional password protected redacted required reset secret string undefined unknown username value wrong".split())
+_LINE_END = re.compile(r"[.)\]}]?[\"',;]|[.)\]}]?[ \t]*(?:$|[\r\n])")
+#: Letters that no word of prose after a colon has.
+LONG_WORD = 16
+_USERINFO = re.compile(r"(?<=://)[^\s/:@\"'<>]{0,256}:([^\s/@\"'<>]+)@(?=[\w\[])")
+_BEGIN = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:\s|\\[nr])*+(?:[A-Za-z-]+: [^\n]*\n)*+(?:\s|\\[nr])*+")
+_BODY = re.compile(r"((?:[A-Za-z0-9+/=\s]|\\[nr]){16,}+)-----END ")
+#: A key's lines where its end is not there: long ones, then one that padding or a digit tells from a word.
+_OPEN_BODY = re.compile(r"(?:[A-Za-z0-9+/=]{16,}(?:\s|\\[nr])*+)+(?:[A-Za-z+/]*[0-9=][A-Za-z0-9+/=]*(?!\w))?")
+#: Words before a telephone number.  Fixed values.
+_CALLED = re.compile(r"(?<!\w)(?:call|cell|fax|fon|handy|mobil|mobile|móvil|phone|portable|sms|tel|telefon|teléfono|telephone|téléphone|text|whatsapp)(?:[ .]{0,2}(?:number|no|nr|num|n°|me at|us at|at|on))?\.?[ ]?[:=#]?[ ]{0,2}([+(]?\d[\d ()./-]{4,}\d)(?![\w-])", re.I)
+_DATE = re.compile(r"\d{4}[-/.]\d{1,2}[-/.]\d{1,2}(?!\d)|\d{1,2}[-/.]\d{1,2}[-/.](?:\d\d){1,2}(?!\d)")
+_PLAIN = re.compile(r"\+?\(?\d{3}\)?[ .-]?\d{3,4}[ .-]?\d{4}")
+#: A number that begins with the trunk's zero, in groups.
+_TRUNK = re.compile(r"(?<![\w.,:/+-])\(?0\d{1,4}\)?([ -])\d{2,4}(?:\1\d{2,4}){1,3}(?![\w-]|[.,:/]\d)")
 #: Titles and the gender they tell: m, f or n.  Fixed values.
 TITLES = {
     "Mr": "m", "Mister": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "n", "Prof": "n",
@@ -64,6 +79,19 @@ GIVEN = {
 _GENDER = {name: gender for gender, names in GIVEN.items() for name in names.split()}
 #: Months that are names too, which alone after such a word, or before a number, are months.  Fixed values.
 MONTHS = frozenset(("april", "august", "avril", "juin", "june", "julio", "mai", "may", "mayo", "march", "märz"))
+#: Words that are family names too: in small letters they are words.  Fixed values.
+COMMON = frozenset(
+    (
+        "abbot archer arrow ash baker ball bank banks barber bell best berry bird bishop black blue bond book booth bow bowman branch bright brook brown brush bull burns bush butcher butler "
+        "canon carpenter carter case chance chase church clay cliff close coach cole cook cooper corn cross crow day dean dear drew drum duke ease east english farmer field finch fish fisher "
+        "fletcher flint flower flowers ford forest fox frank frost gold good grant grass gray green grey hall hand hard hardy hart heath hill hope horn house hunt hunter jewel joy judge just "
+        "kay keen key kind king knight lamb land lane law light little long love low mark marsh martin mason may miles mill miller moon moss nice noble north page paige park parker pike pool "
+        "pope porter post potter power price prince public rain read reed rice rich ring rivers road rob rock rose rush sage sand sharp shepherd short silver singer small smart smith snow south "
+        "spring star steel stone storm street strong summer swan swift tanner taylor turner walker wall ward waters way weaver well wells west wheeler white wild will winter wise wolf wood woods "
+        "worth wright young"
+    ).split()
+)
+_ARTICLE = re.compile(r"(?<!\w)(?:a|an|the|this|that|these|those|my|your|his|her|its|our|their|no|some|any|every|each|very|so|too|as|ein|eine|einen|einem|einer|der|die|das|den|dem|un|une|le|la|les|des|el|los|las|una) \Z", re.I)
 _DATED = re.compile(r"(?<!\w)(?:in|on|since|until|till|by|of|last|next|early|late|mid|im|am|seit|bis|ab|en|de|depuis|desde|hasta|le|\d{1,2}\.?) \Z", re.I)
 _WORD = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
 _CAPITAL = r"(?=[^\W\d_a-z])" + _WORD
@@ -133,9 +161,47 @@ def _numbers(text: str) -> Iterator[Span]:
                     at += 1
 
 
+def _called(text: str) -> Iterator[Span]:
+    """Numbers of telephones that a word before them, or the trunk's zero, tells."""
+    for m in _CALLED.finditer(text):
+        d = _digits(m.group(1))
+        verb = m.group()[:4].casefold() in ("call", "cell", "text", "hand", "port")
+        if 7 <= len(d) <= 15 and not _DATE.match(m.group(1)) and (not verb or _PLAIN.fullmatch(m.group(1))):
+            yield *m.span(1), "phone", "+" + d if m.group(1)[0] == "+" else "+1" + d
+    for m in _TRUNK.finditer(text):
+        if 10 <= len(d := _digits(m.group())) <= 11:
+            yield *m.span(), "phone", "+1" + d
+
+
+def _is_secret(text: str, m: re.Match) -> bool:
+    """Whether a value after a label is a credential: it has a digit, or is assigned, or is all there is on its line, or is no word."""
+    sign, value = m.group(1), m.group(2)
+    bare = value.rstrip(".)]}")
+    if bare.casefold() in _NO_SECRET or len(bare) < 4 or bare[0] in "$%{<[(" or not any(c.isalnum() for c in bare):
+        return False
+    if any(c.isdigit() for c in bare) or sign == "=" or len(bare) >= LONG_WORD:
+        return True
+    return len(bare) >= 6 and _LINE_END.match(text, m.start(2) + len(bare)) is not None
+
+
+def _keys(text: str) -> Iterator[Span]:
+    """Bodies of private keys, with headers or without, to their end line or, where that is missing, as far as lines are a key's."""
+    for head in _BEGIN.finditer(text):
+        m = _BODY.match(text, head.end())
+        first, body = (m.span(1)[0], m.group(1)) if m else (head.end(), (_OPEN_BODY.match(text, head.end()) or [""])[0])
+        body = re.sub(r"(?:\s|\\[nr])+\Z", "", body)
+        if len(body) >= 16:
+            yield first, first + len(body), "secret", body
+
+
 def find(text: str) -> list[Span]:
     """Mentions in order, none overlapping; of two that overlap the earlier, then the longer."""
     found: list[Span] = []
+    hidden: set[int] = set()
+    if "://" in text:
+        for m in _USERINFO.finditer(text):
+            found.append((*m.span(1), "secret", m.group(1)))
+            hidden.add(m.end(1))
     at = text.find("@")
     while at >= 0:
         b = _DOMAIN.match(text, at + 1)
@@ -145,10 +211,11 @@ def find(text: str) -> list[Span]:
                 first -= 1
             while first < at and text[first] in ".%+-":
                 first += 1
-            if first < at:
+            if first < at and at not in hidden:
                 found.append((first, b.end(), "email", text[first : b.end()].lower()))
         at = text.find("@", at + 1)
     found.extend(_numbers(text))
+    found.extend(_called(text))
     for m in _IBAN.finditer(text):
         s = m.group().replace(" ", "")
         if 15 <= len(s) <= 34 and _iban_valid(s):
@@ -166,11 +233,9 @@ def find(text: str) -> list[Span]:
     if any(s in text for s in _TOKEN_SIGNS):
         found.extend((*m.span(), "secret", m.group()) for m in _TOKENS.finditer(text))
     if "=" in text or ":" in text:
-        found.extend((*m.span(1), "secret", m.group(1)) for m in _ASSIGNED.finditer(text) if any(c.isdigit() for c in m.group(1)))
+        found.extend((*m.span(2), "secret", m.group(2)) for m in _ASSIGNED.finditer(text) if _is_secret(text, m))
     if "PRIVATE KEY" in text:
-        for m in _PEM.finditer(text):
-            body = m.group(1).rstrip()
-            found.append((m.start(1), m.start(1) + len(body), "secret", body))
+        found.extend(_keys(text))
     found.extend(_persons(text))
     found.sort(key=lambda s: (s[0], -s[1]))
     out, end = [], 0
@@ -181,27 +246,49 @@ def find(text: str) -> list[Span]:
     return out
 
 
+def _names_in(words: str) -> list[str]:
+    """Words of a name; what follows on a possessive belongs to no name."""
+    out = []
+    for name in _SMALL.sub(" ", words).split():
+        bare = re.sub(r"['’](?:s|S)?\Z", "", name)
+        out.append(bare)
+        if bare != name:
+            break
+    return [n for n in out if n]
+
+
 def _persons(text: str) -> Iterator[Span]:
     kinds: dict[str, str] = {}
-    seen = set()
-    found = list(_PERSON.finditer(text))
+    seen: dict[str, int] = {}  # how a name is spelled, and where it is first introduced
+    introduced: dict[str, int] = {}
+    found = [(m, True) for m in _PERSON.finditer(text)]
     if ":" in text or "=" in text:
-        found += _LABELLED.finditer(text)
-    found += filter(None, (_KNOWN.match(text, m.start()) for m in _PAIR.finditer(text) if m.group(1) in _GENDER))
-    for m in found:
-        names = _SMALL.sub(" ", m.group(2)).split()
+        found += [(m, True) for m in _LABELLED.finditer(text)]
+    found += [(k, False) for m in _PAIR.finditer(text) if m.group(1) in _GENDER and (k := _KNOWN.match(text, m.start()))]
+    for m, sure in found:
+        names = _names_in(m.group(2))
         for k, name in enumerate(names):
             what = "family" if k == len(names) - 1 else "given"
             gender = TITLES.get(m.group(1)) or _GENDER.get(names[0], "n")
             kinds.setdefault(name.casefold(), f"{what} {gender} {script(name)}")
-            seen.add(name)
+            seen[name] = min(m.start(), seen.get(name, m.start()))
+            if sure:
+                introduced[name.casefold()] = min(m.start(), introduced.get(name.casefold(), m.start()))
     if kinds:
         anywhere = re.compile(r"(?<!\w)(" + "|".join(re.escape(n) for n in sorted(seen, key=lambda n: (-len(n), n))) + r")(?!\w)", re.I)
+        words: set[str] = set()  # names that occur as words
         for m in anywhere.finditer(text):
             # The pattern also takes a dotted capital I for an i, which is another letter.
             if (name := m.group().casefold()) in kinds:
                 if name in MONTHS and (_DATED.search(text, max(0, m.start() - 12), m.start()) or re.match(r" \d", text[m.end() : m.end() + 2])):
                     continue
+                if m.group().islower() and m.group() not in seen:
+                    # In small letters it may be a word: of the common ones, before the person is introduced, or after an article.
+                    at = introduced.get(name)
+                    if at is None or name in COMMON or m.start() < at or _ARTICLE.search(text, max(0, m.start() - 12), m.start()):
+                        words.add(name)
+                    if name in words:
+                        continue
                 yield *m.span(), kinds[name], name
 
 
@@ -307,8 +394,17 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes) -> str:
     return "".join(d.of(onset) + d.of(vowel) for _ in range(n)) + d.of(onset) + ends[gender][d.below(3)]
 
 
+def drawn(kind: str, value: str, attempt: int, key: bytes, draw=surrogate, attempts: int = MAX_ATTEMPTS) -> str:
+    """``draw``'s surrogate; after so many attempts, where a kind's format has no free values left, a mark without its format."""
+    if attempt < attempts:
+        return draw(kind, value, attempt, key)
+    return f"[{kind} {hmac.new(key, chr(0).join((kind, value, str(attempt))).encode('utf-8', 'surrogatepass'), hashlib.sha256).hexdigest()[:32]}]"
+
+
 def written(mention: str, kind: str, new: str) -> str:
     """A canonical surrogate in the format of a mention."""
+    if new[:1] == "[" and new[-1:] == "]":
+        return new
     if kind in ("phone", "card", "ssn"):
         digits = iter(_digits(new)[-len(_digits(mention)) :])
         return "".join(next(digits) if c.isdigit() else c for c in mention)
@@ -342,7 +438,7 @@ def _rewritten(text: str, spans, key: bytes, told, cache: dict | None) -> tuple[
         n, what = (told or {}).get((kind, value)) or (0, entity(kind))
         new = cache.get((what, value, n)) if cache is not None else None
         if new is None:
-            new = surrogate(what, value, n, key)
+            new = drawn(what, value, n, key)
             if cache is not None:
                 if len(cache) > 100_000:
                     cache.clear()
@@ -384,22 +480,25 @@ def _compared(column: str):
     return F.translate(column, "ς", "σ")
 
 
-def assigned(found: DataFrame, key: bytes = KEY, draw=surrogate) -> DataFrame:
-    """``kind, value, attempt, surrogate`` for distinct ``kind, value`` rows, without collisions within or across kinds."""
+def assigned(found: DataFrame, key: bytes = KEY, draw=surrogate, attempts: int = MAX_ATTEMPTS) -> DataFrame:
+    """``kind, value, attempt, surrogate`` for distinct ``kind, value`` rows, without collisions within or across kinds.
+
+    A kind with more values than its format has surrogates for gets marks for the rest (see ``drawn``), distinct as well.
+    """
 
-    def drawn(rows: DataFrame) -> DataFrame:
+    def of(rows: DataFrame) -> DataFrame:
         def run(batches):
             import pyarrow as pa
 
             for b in batches:
                 cols = [c.to_pylist() for c in b.columns]
-                new = [draw(k, v, n, key) for k, v, n in zip(*cols)]
+                new = [drawn(k, v, n, key, draw, attempts) for k, v, n in zip(*cols)]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(new, pa.string())], names=["kind", "value", "attempt", "surrogate"])
 
         return rows.select("kind", "value", "attempt").mapInArrow(run, "kind string, value string, attempt int, surrogate string")
 
-    now = common.staged(drawn(found.withColumn("attempt", F.lit(0))))
-    for _ in range(MAX_ATTEMPTS):
+    now = common.staged(of(found.withColumn("attempt", F.lit(0))))
+    for _ in range(attempts + 2):
         # Over all kinds: two persons of different roles or genders are not to share a name either.
         drawn_as = now.withColumn("as", _compared("surrogate"))
         twice = drawn_as.groupBy("as").agg(F.min(F.struct("attempt", "kind", "value")).alias("winner"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -410,9 +509,9 @@ def assigned(found: DataFrame, key: bytes = KEY, draw=surrogate) -> DataFrame:
         if again.isEmpty():
             return now
         marked = now.join(again, ["kind", "value"], "left")
-        redone = drawn(marked.where("lost").withColumn("attempt", F.col("attempt") + 1))
+        redone = of(marked.where("lost").withColumn("attempt", F.col("attempt") + 1))
         now = common.staged(marked.where("lost is null").select("kind", "value", "attempt", "surrogate").union(redone))
-    raise ValueError(f"surrogates still collide after {MAX_ATTEMPTS} attempts: a kind has more values than its format allows")
+    raise ValueError("marks of 128 bits collide: the key is not secret, or this is a fault")
 
 
 def entities(mentions: DataFrame) -> DataFrame:
