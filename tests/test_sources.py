@@ -180,7 +180,7 @@ def test_cli_sessions_and_turns(spark, cli):
     src = CopilotCli(spark, str(cli / "session.db"))
     s = src.sessions().collect()
     assert [r.native_id for r in s] == ["a"] and s[0].title == "Fix the parser." and s[0].message_count == 3
-    assert s[0].models == ["m1", "m2"] and s[0].total_tokens == 13 and s[0].cost == 1.5 and s[0].updated_at == datetime(2024, 1, 2)
+    assert s[0].models == ["M1", "m2"] and s[0].total_tokens == 13 and s[0].cost == 1.5 and s[0].updated_at == datetime(2024, 1, 2)
     t = src.turns().orderBy("turn_index").collect()
     assert [(r.role, r.blocks[0].text) for r in t] == [("User", "q0"), ("User", "q2"), ("Assistant", "r2")] and t[0].model == "M1"
     assert {r.path: r.turn_index for r in src.files().collect()} == {"x.py": 1, "y.py": 1, "z.py": None}

@@ -226,11 +226,16 @@ class Catalog:
             watch.join()
             context.removeJobTag(tag)
 
-    def status(self) -> DataFrame:
-        """``source_id, sessions, chunks, embeddable_sessions, embedded_sessions``."""
+    def status(self, exact: bool = True) -> DataFrame:
+        """``source_id, sessions, chunks, embeddable_sessions, embedded_sessions``.
+
+        If not ``exact``, the last two are estimates from the generations' sketches (with quantiles of passages' tokens), and no passage is read.
+        """
         m = self.store.manifest()
         rows = [(s, int(x.get("sessions", 0)), int(x.get("chunks", 0))) for s, x in sorted(m["sources"].items())]
         counts = self.spark.createDataFrame(rows, "source_id string, sessions bigint, chunks bigint")
+        if not exact and (estimated := self.store.sketched(m)) is not None:
+            return counts.join(estimated, "source_id", "left")
         chunk, vectors = self.store.table("chunk", m), self.store.table("session_embedding", m)
         if chunk is None:
             return counts.select("*", F.lit(0).cast("bigint").alias("embeddable_sessions"), F.lit(0).cast("bigint").alias("embedded_sessions"))

@@ -17,12 +17,17 @@ def usage_by_model(events: DataFrame) -> DataFrame:
 
 
 def usage_by_session(by_model: DataFrame) -> DataFrame:
-    """Models, agent, tokens and cost of each session; none where nothing was used."""
+    """Models, agent, tokens and cost of each session; none where nothing was used.
+
+    Of models that differ in case only the first is kept, as it is spelled; blank ones are left out.
+    """
+    named = F.array_sort(F.collect_set(F.when(F.trim("model") != "", F.col("model"))))
+    first = lambda names: F.filter(names, lambda m, i: F.array_position(F.transform(names, lambda x: F.lower(x)), F.lower(m)) == i + 1)
     positive = lambda c: F.when(c > 0, c)
     return by_model.groupBy("session_id").agg(
-        F.array_sort(F.collect_set(F.lower("model"))).alias("models"), F.min_by("agent", F.when(F.col("agent").isNotNull(), F.col("model"))).alias("agent"),
+        named.alias("models"), F.min_by("agent", F.when(F.col("agent").isNotNull(), F.col("model"))).alias("agent"),
         positive(F.sum("tokens")).alias("total_tokens"), positive(F.sum("nano") / NANOS).alias("cost"),
-    )
+    ).withColumn("models", first(F.col("models")))
 
 
 def usage_by_turn(events: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..config import ChunkPolicy, EngineConfig, EngineError, SessionFilter, UsageError
 from ..functions.vectors import centroids
-from ..operators import chunking, fetch, incremental, lexical
+from ..operators import chunking, fetch, incremental, lexical, sketches
 from ..operators.filters import predicate
 from ..operators.semantic import check_model, embeddable
 from ..sources.base import SessionSource
@@ -134,6 +134,31 @@ class IndexStore:
                 dead = gone if dead is None else dead.union(gone)
         return all_
 
+    def sketched(self, manifest: dict | None = None) -> DataFrame | None:
+        """By source, from what the generations' sketches say: estimated sessions with something to embed and with a vector,
+        and the median and 95th percentile of passages' tokens.  No passage is read.
+
+        Sessions that were replaced or dropped are taken off; the lengths of their passages still count until the source is written whole.
+        """
+        m, parts = manifest or self.manifest(), None
+        for source_id, state in sorted(m["sources"].items()):
+            for g in state.get("generations", ()):
+                one = self._written("sketch", source_id, g)
+                if one is None:
+                    return None
+                old_model = g < state.get("vectors_from", 0)
+                one = one.withColumns({"source_id": F.lit(source_id), "generation": F.lit(g), "embedded": F.col("nothing") if old_model else F.col("embedded")})
+                parts = one if parts is None else parts.unionByName(one)
+        if parts is None:
+            return None
+        each = F.array_sort(F.collect_list(F.struct("generation", "embeddable", "embedded", "gone")))
+        rows = parts.groupBy("source_id").agg(each.alias("g"), F.first("nothing").alias("nothing"), sketches.merged_distribution(F.col("tokens")).alias("tokens"))
+        count = lambda name: F.round(sketches.estimate(sketches.live(F.transform("g", lambda x: F.struct(x[name].alias("has"), x["gone"].alias("gone"))), F.col("nothing")))).cast("bigint")
+        return rows.select(
+            "source_id", count("embeddable").alias("embeddable_sessions"), count("embedded").alias("embedded_sessions"),
+            sketches.quantile(F.col("tokens"), 0.5).alias("median_tokens"), sketches.quantile(F.col("tokens"), 0.95).alias("tokens_95"),
+        )
+
     def statistics(self, manifest: dict | None = None) -> tuple[float, float]:
         """Passages of the index and their mean number of tokens."""
         states = (manifest or self.manifest())["sources"].values()
@@ -309,6 +334,9 @@ class IndexStore:
         scratch.delete(self.spark, loose)
         if not whole and old["session"] is not None:
             touched.write.mode("overwrite").parquet(where("gone"))
+        chunk, vectors, gone_ = (self._written(n, source.source_id, generation) for n in ("chunk", "session_embedding", "gone"))
+        can = embeddable(F.col("role"), F.col("text"))
+        sketches.summary(chunk, vectors, gone_, can).coalesce(1).write.mode("overwrite").parquet(where("sketch"))
 
     def stale(self, now: datetime, config: EngineConfig) -> bool:
         """Whether a search should top the index up first: the cooldown has passed."""

@@ -181,10 +181,10 @@ def chunk_pieces(spark, d):
 # Usage: line items stand for usage events.
 
 
-def _usage(spark, d):
+def _usage(spark, d, model=None):
     li = table(spark, d, "lineitem")
     return li.select(
-        F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").alias("turn_index"), F.col("l_returnflag").alias("model"), F.col("l_linestatus").alias("agent_id"),
+        F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").alias("turn_index"), (F.col("l_returnflag") if model is None else model).alias("model"), F.col("l_linestatus").alias("agent_id"),
         F.col("l_quantity").cast("bigint").alias("input_tokens"), F.col("l_suppkey").alias("output_tokens"), F.lit(None).cast("bigint").alias("reasoning_tokens"), F.round(F.col("l_tax") * 1e9).cast("bigint").alias("total_nano"),
     )
 
@@ -200,7 +200,21 @@ def usage_by_model(spark, d):
 @query("usage_rollup", f"WITH {_BY_MODEL} SELECT session_id, string_agg(lower(model), ',' ORDER BY lower(model)) AS models, arg_min(agent, model) AS agent, CASE WHEN sum(tokens) > 0 THEN CAST(sum(tokens) AS BIGINT) END AS total_tokens, round(CASE WHEN sum(nano) > 0 THEN sum(nano) / 1e9 END, 6) AS cost FROM bm GROUP BY session_id")
 def usage_rollup(spark, d):
     out = rollups.usage_by_session(rollups.usage_by_model(_usage(spark, d)))
-    return out.select("session_id", F.array_join("models", ",").alias("models"), "agent", "total_tokens", F.round("cost", 6).alias("cost"))
+    return out.select("session_id", F.lower(F.array_join("models", ",")).alias("models"), "agent", "total_tokens", F.round("cost", 6).alias("cost"))
+
+
+_SPELLED = "CASE WHEN l_linenumber % 2 = 0 THEN 'Model-' ELSE 'model-' END || l_returnflag"
+
+
+@query(
+    "usage_spelling",
+    f"WITH names AS (SELECT DISTINCT l_orderkey AS session_id, {_SPELLED} AS model FROM lineitem), first AS (SELECT session_id, lower(model) AS low, min(model) AS model FROM names GROUP BY ALL) SELECT session_id, string_agg(model, ',' ORDER BY model) AS models FROM first GROUP BY session_id",
+)
+def usage_spelling(spark, d):
+    """Models as they are spelled, the first of those that differ in case."""
+    spelled = F.concat(F.when(F.col("l_linenumber") % 2 == 0, "Model-").otherwise("model-"), F.col("l_returnflag"))
+    rows = _usage(spark, d, spelled)
+    return rollups.usage_by_session(rollups.usage_by_model(rows)).select("session_id", F.array_join("models", ",").alias("models"))
 
 
 @query("usage_per_turn", "SELECT l_orderkey AS session_id, l_linenumber AS turn_index, max(l_returnflag) AS model, max(l_linestatus) AS agent FROM lineitem GROUP BY ALL")

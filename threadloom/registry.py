@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import QUERIES, SQL, browse, engine, reading, scalar, search, timed  # noqa: F401
+from .queries import QUERIES, SQL, browse, engine, reading, scalar, search, sets, timed  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
