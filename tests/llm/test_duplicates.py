@@ -228,6 +228,29 @@ def test_repeats_around_hot_minimisers(spark, monkeypatch, flush):
     assert got == sorted(_kept(rows, 20), key=repr)
 
 
+def test_buckets_are_bounded_by_bytes(spark):
+    """A run of words in 3 of 1,000 documents, each time in another context, is hot once its bucket would hold too much."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    run, passage = "a b c d e f", " ".join(word() for _ in range(30))
+    rows = [(d, " ".join(word() for _ in range(25)) + (f" {run} " + " ".join(word() for _ in range(25)) if d % 333 == 0 else "") + (" " + passage) * (d % 250 == 0)) for d in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    keyed = df.selectExpr("doc_id", "xxhash64(text)", "text")
+    sizes = {}
+    for _, text in rows:
+        words = text.encode().split()
+        for first, n, low in zip(*substrings.super_kmers(substrings.word_hashes(words, {}), 20, 4)):
+            sizes.setdefault(low, {})[b" ".join(words[first : first + n + 19])] = None
+    held = {low: sum(map(len, strings)) for low, strings in sizes.items()}
+    most = sorted(held.values())[-3]
+    hot = substrings.hot_minimisers(keyed, 20, 4, 1, most=most)
+    assert hot == {low for low, n in held.items() if n > most} and 1 <= len(hot) <= 2
+    assert substrings.hot_minimisers(keyed, 20, 4, 1) == frozenset()
+    for bound in (most, 200):
+        got = sorted(map(tuple, _digest(substrings.remove_repeats(df, 20, 4, sample=1, most=bound)).collect()), key=repr)
+        assert got == sorted(_kept(rows, 20), key=repr)
+
+
 def test_op10_by_brute_force(spark, sf_dir):
     rows = [tuple(r) for r in common.table(spark, sf_dir, "documents").select("doc_id", "text").collect()]
     assert sorted(map(tuple, substrings.op10(spark, sf_dir).collect())) == sorted(_kept(rows))

@@ -10,8 +10,8 @@ Groups of copies: strings that a task meets again are not sent.  The smallest do
 is witness enough that the others' windows are repeats; it alone goes to the bucket, so a passage that a third
 of all rows share arrives once per task.  A minimiser that one document alone has is dropped unsorted.
 
-A minimiser that turns up in ever new contexts would fill one bucket with strings.  Such hot minimisers are found first, on a
-share of the documents; their windows go one by one to the bucket of their own digest, again without those that a
+A minimiser that turns up in ever new contexts would fill one bucket with strings.  Such hot minimisers, by a share of
+the documents or by the bytes of their bucket, are found first, on one document in 64; their windows go one by one to the bucket of their own digest, again without those that a
 task has met.  It changes where windows meet, not which are equal.
 
 Strings go in compressed packets per bucket.  Windows are sorted by 128-bit digests, and equal digests are
@@ -33,7 +33,9 @@ MINIMISER = 4
 FLUSH_BYTES = 24 << 20
 #: Bytes of input per bucket partition.
 PARTITION_BYTES = 6 << 20
-#: One document in so many is looked at for hot minimisers: those with new strings in more than this share of them.
+#: One document in so many is looked at for hot minimisers: those with new strings in more than this share of them, or
+#: whose bucket would hold more than so many bytes of strings, however large the corpus is.
+HOT_BYTES = 256 << 20
 HOT_SAMPLE = 64
 HOT_SHARE = 1 / 256
 HOT_LEAST = 64
@@ -237,8 +239,11 @@ def lone_repeats(packets, window: int = WINDOW):
     return doc[head], text[head], place[head].astype(np.int32), (place[last] + window).astype(np.int32)
 
 
-def hot_minimisers(rows: DataFrame, window: int, size: int, sample: int, share: float = HOT_SHARE) -> frozenset[int]:
-    """Minimisers with new strings in more than a ``share`` of one document in ``sample``; at most a few for each document by ``1 / share``."""
+def hot_minimisers(rows: DataFrame, window: int, size: int, sample: int, share: float = HOT_SHARE, most: int = HOT_BYTES) -> frozenset[int]:
+    """Minimisers with new strings in more than a ``share`` of one document in ``sample``, or with ``most`` bytes of strings in all.
+
+    Of the former there are a few for each document by ``1 / share``, of the latter as many as ``most`` goes into all strings.
+    """
     some = rows.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(sample)) == 0)
 
     def run(batches):
@@ -246,22 +251,25 @@ def hot_minimisers(rows: DataFrame, window: int, size: int, sample: int, share:
 
         cache: dict[bytes, int] = {}
         for batch in batches:
-            lows, strings = [], []
+            lows, strings, sizes = [], [], []
             for text in batch.column(2):
                 words = text.as_py().encode().split()
                 for first, n, low in zip(*super_kmers(word_hashes(words, cache), window, size)) if len(words) >= window else ():
                     lows.append(low)
-                    strings.append(_digest(b" ".join(words[first : first + n + window - 1]))[:8])
+                    string = b" ".join(words[first : first + n + window - 1])
+                    strings.append(_digest(string)[:8])
+                    sizes.append(len(string))
             low = [x - (1 << 64) if x >> 63 else x for x in lows]
-            yield pa.RecordBatch.from_arrays([pa.array([None] + low, pa.int64()), pa.array([None] + strings, pa.binary()), pa.array([batch.num_rows] + [0] * len(low), pa.int64())], names=["low", "string", "docs"])
+            yield pa.RecordBatch.from_arrays([pa.array([None] + low, pa.int64()), pa.array([None] + strings, pa.binary()), pa.array([None] + sizes, pa.int64()), pa.array([batch.num_rows] + [0] * len(low), pa.int64())], names=["low", "string", "size", "docs"])
 
-    seen = common.staged(some.mapInArrow(run, "low long, string binary, docs long"))
+    seen = common.staged(some.mapInArrow(run, "low long, string binary, size long, docs long"))
     docs = seen.agg(F.sum("docs").alias("n")).first().n or 0
-    many = seen.where("low is not null").groupBy("low").agg(F.countDistinct("string").alias("n")).where(F.col("n") > max(HOT_LEAST, share * docs))
+    each = seen.where("low is not null").groupBy("low", "string").agg(F.max("size").alias("size"))
+    many = each.groupBy("low").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).where((F.col("n") > max(HOT_LEAST, share * docs)) | (F.col("size") * sample > most))
     return frozenset(r.low % (1 << 64) for r in many.select("low").collect())
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, size: int = MINIMISER, partition_bytes: int = PARTITION_BYTES, sample: int = HOT_SAMPLE) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, size: int = MINIMISER, partition_bytes: int = PARTITION_BYTES, sample: int = HOT_SAMPLE, most: int = HOT_BYTES) -> DataFrame:
     """``doc_id, text_hash, first, end``: word ranges of ``docs`` to remove, may overlap.
 
     ``text_hash`` is Spark's xxhash64 of the text.  Rows without doc_id or text have no windows.
@@ -270,7 +278,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, size: int = MINIMISER,
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-common.text_bytes(docs) // partition_bytes))
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
 
-    hot = hot_minimisers(rows, window, size, sample)
+    hot = hot_minimisers(rows, window, size, sample, most=most)
 
     def send(batches):
         import pyarrow as pa
@@ -326,7 +334,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, size: int = MINIMISER,
     return packets.mapInArrow(count, "doc_id long, text_hash long, first int, end int")
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, size: int = MINIMISER, sample: int = HOT_SAMPLE) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, size: int = MINIMISER, sample: int = HOT_SAMPLE, most: int = HOT_BYTES) -> DataFrame:
     """``doc_id, text, kept, n_words, n_removed``: ``kept`` is the words that stay, joined by a space.
 
     Rows without doc_id own no passage and keep all their words; a null text has no words.  Rows that share a
@@ -334,7 +342,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, size: int = MINIMISER,
     columns are not read.
     """
     spans = (
-        common.staged(repeated_spans(docs, window, size, sample=sample))
+        common.staged(repeated_spans(docs, window, size, sample=sample, most=most))
         .groupBy("doc_id", "text_hash")
         .agg(F.collect_set(F.struct("first", "end")).alias("spans"))
         .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "spans")
