@@ -253,3 +253,25 @@ def test_vscode(spark, tmp_path):
     assert {r.native_id for r in src.changed_since(datetime(2023, 1, 1)).collect()} == {"d", "l"}
     assert {r.native_id for r in src.changed_since(datetime.fromtimestamp(T0 / 1000 - 1, timezone.utc).replace(tzinfo=None)).collect()} == {"d"}
     assert [r.native_id for r in src.list(SessionFilter(model="GPT", limit=1)).collect()] in (["d"], ["l"])
+
+
+def test_vscode_opens_only_files_that_a_filter_leaves(spark, tmp_path):
+    doc = {"creationDate": T0, "lastMessageDate": T0, "requests": [{"message": {"text": "Hi"}, "response": []}]}
+    for k in range(6):
+        (tmp_path / f"h{k}/chatSessions").mkdir(parents=True)
+        if k != 5:
+            (tmp_path / f"h{k}/workspace.json").write_text(json.dumps({"folder": f"file:///code/{'a' if k < 2 else 'b'}{k}"}))
+        for n in range(4):
+            f = tmp_path / f"h{k}/chatSessions/s{k}{n}.json"
+            f.write_text(json.dumps(doc) if k < 2 or n else "{torn")
+            if n == 3:
+                os.utime(f, (T0 / 1000 - 90_000, T0 / 1000 - 90_000))
+    src = VsCode(spark, str(tmp_path))
+    listed = lambda **o: src.list(SessionFilter(limit=0, **o))
+    one = listed(workspace_path="/code/a1")
+    assert {r.native_id for r in one.collect()} == {"s10", "s11", "s12", "s13"} and max(scanned(listed(workspace_path="/code/a1"))) <= 8  # four of 24 session files, twice, as a sort samples first
+    assert {r.native_id for r in listed(workspace_path="/code").collect()} == {f"s{k}{n}" for k in range(5) for n in range(4) if k < 2 or n}
+    assert {r.native_id for r in listed(workspace_path="h5").collect()} == {"s51", "s52", "s53"} and listed(workspace_path="/none").count() == 0
+    late = listed(since=datetime(2023, 11, 14), workspace_path="/code/a1")  # the day of T0; a file's own time rules s13 out
+    assert {r.native_id for r in late.collect()} == {"s10", "s11", "s12"}
+    assert {r.native_id for r in listed().collect()} == {r.native_id for r in src.sessions().collect()}

@@ -40,7 +40,7 @@ class Catalog:
     def _live(self, of) -> DataFrame:
         out = None
         for s in self._enabled():
-            if s.probe().available:
+            if s.available():
                 out = of(s) if out is None else out.unionByName(of(s))
         if out is None:
             raise NotFoundError("no source is available")
@@ -56,7 +56,7 @@ class Catalog:
         tags = self.store.tags()
         if mode == "live" or not self.store.exists():
             # Each source filters and cuts by itself, then all are cut together.
-            best = lambda s: filters.ordered(filters.filtered(s.sessions(), self._filter(f), tags), f.sort, f.limit)
+            best = lambda s: filters.ordered(filters.filtered(s.sessions_for(self._filter(f)), self._filter(f), tags), f.sort, f.limit)
             rows = filters.ordered(self._live(best), f.sort, f.limit)
         else:
             rows = filters.ordered(filters.filtered(self._sessions(), self._filter(f), tags), f.sort, f.limit)
@@ -114,7 +114,7 @@ class Catalog:
         """Sources that have changes the index lacks: those never indexed whole, or with a newer cursor; unavailable ones are left out."""
         states, out = self.store.manifest()["sources"], []
         for s in self._enabled():
-            if s.probe().available:
+            if s.available():
                 known, now = states.get(s.source_id, {}).get("cursor"), s.change_cursor()
                 if known is None or now is not None and now > datetime.fromisoformat(known):
                     out.append(s.source_id)
@@ -127,7 +127,7 @@ class Catalog:
         top, per_session = clamp_search(q.top, q.snippets)
         terms, parts = [w for w, _ in words(q.text)], None
         for s in self._enabled():
-            if not s.probe().available:
+            if not s.available():
                 continue
             if "native_search" in s.capabilities:
                 # The store's own table of passages serves, where scanning all it holds would be slower.

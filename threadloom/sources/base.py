@@ -69,8 +69,20 @@ class SessionSource(ABC):
     def version(self) -> str | None:
         return None
 
+    def sessions_for(self, f: SessionFilter) -> DataFrame:
+        """Sessions among which are all that a filter admits; stores of many files leave files out that it rules out."""
+        return self.sessions()
+
     def list(self, f: SessionFilter = SessionFilter()) -> DataFrame:
-        return ordered(filtered(self.sessions(), f), f.sort, f.limit)
+        return ordered(filtered(self.sessions_for(f), f), f.sort, f.limit)
+
+    def available(self) -> bool:
+        """Whether the store can be read, by its first session; ``probe`` counts them."""
+        try:
+            self.sessions().isEmpty()
+            return True
+        except Exception:  # as a probe, it reports whatever is wrong with the store
+            return False
 
     def change_cursor(self):
         """The newest change there is, to be taken before a listing."""

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import SessionFilter
 from ..functions.json import long_at, millis, text_at
-from ..functions.paths import after_dot, after_slash, file_uri_path, session_uri
+from ..functions.paths import after_dot, after_slash, file_uri_path, is_under, session_uri
 from ..functions.text import derive_title, preview
 from ..schema import BLOCK
 from .base import SessionSource, as_sessions
@@ -148,6 +150,8 @@ def turns_of(document: dict) -> list[dict]:
     return out
 
 
+#: Folders that are listed one by one; beyond, all are.
+MOST_FOLDERS = 1000
 _FIELDS = [f.name for f in BLOCK.fields]
 
 
@@ -161,14 +165,14 @@ class VsCode(SessionSource):
         super().__init__(spark, location)
         self.include_empty = include_empty
 
-    def _files(self, since: datetime | None = None, name: str = "*") -> DataFrame:
+    def _files(self, since: datetime | None = None, name: str = "*", folders: list[str] | None = None) -> DataFrame:
         """``native_id, hash, modified, document``: each session file as one JSON document, null where it can't be read.
 
-        Files that were not modified ``since`` a time, or are not of a session's ``name``, are left out before they are opened.
+        Files that were not modified ``since`` a time, or are not of a session's ``name`` or in one of the ``folders``, are left out before they are opened.
 
         A log is walked in order, so each file is handled whole, in Arrow batches; files beyond the limit are left out.
         """
-        files = self.spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"{name}.json*").text(self.location, wholetext=True)
+        files = self.spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"{name}.json*").text(self.location if folders is None else [os.path.join(self.location, x) for x in folders], wholetext=True)
         name = r"/([^/]+)/chatSessions/([^/]+)\.(jsonl?)$"
         path = F.col("_metadata.file_path")
         raw = files.where((F.col("_metadata.file_size") > 0) & (F.col("_metadata.file_size") <= LARGEST_FILE) & path.rlike(name))
@@ -188,9 +192,26 @@ class VsCode(SessionSource):
 
         return raw.select(F.regexp_extract(path, name, 2).alias("native_id"), F.regexp_extract(path, name, 1).alias("hash"), F.col("_metadata.file_modification_time").alias("modified"), whole("value", F.regexp_extract(path, name, 3)).alias("document"))
 
-    def documents(self, since: datetime | None = None) -> DataFrame:
+    def documents(self, since: datetime | None = None, folders: list[str] | None = None) -> DataFrame:
         """``native_id, hash, modified, document``: each session file as one JSON document, those that hold none left out."""
-        return self._files(since).where("document is not null")
+        return self._files(since, folders=folders).where("document is not null")
+
+    def sessions_for(self, f: SessionFilter) -> DataFrame:
+        """First files by their times and folders by their workspaces, then what is left is opened."""
+        if f.workspace_path is None and f.since is None:
+            return self.sessions()
+        folders = None
+        if f.workspace_path is not None:
+            # Folders with sessions, named by their workspace or else by themselves; no session is opened for that.
+            listed = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json*").load(self.location)
+            held = listed.select(F.regexp_extract("path", r"/([^/]+)/chatSessions/[^/]+\.jsonl?$", 1).alias("hash")).where("hash <> ''").distinct()
+            named = held.join(self.workspaces(), "hash", "left").withColumn("workspace_path", F.coalesce("workspace_path", "hash"))
+            admitted = named.where(is_under(F.col("workspace_path"), f.workspace_path, ignore_case=True)).select("hash").distinct()
+            folders = [r.hash for r in admitted.limit(MOST_FOLDERS + 1).collect()]
+            if not folders:
+                return self.sessions().where("false")
+            folders = folders if len(folders) <= MOST_FOLDERS else None
+        return self._sessions(self.documents(f.since and f.since - timedelta(seconds=2), folders))
 
     def changed_since(self, cursor) -> DataFrame:
         """Newer sessions.  A session is no newer than its file, whose time may be a few seconds coarse."""
