@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..config import TranscriptOptions
+from ..config import ChunkPolicy, TranscriptOptions
 from ..functions.text import derive_title
 from ..operators import chunking, incremental, rollups, transcripts
 from . import query
@@ -173,7 +173,14 @@ def chunk_split(spark, d):
     return table(spark, d, "documents").select("doc_id", F.inline(places("text")))
 
 
-@query("chunk_pieces")
+_PIECES = (
+    _WALK.rpartition("SELECT doc_id, CAST(pos")[0]
+    + r"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS piece_no, md5(piece) AS digest
+FROM (SELECT doc_id, pos, regexp_replace(regexp_replace(substr(s, pos + 1, n), '^\s+', ''), '\s+$', '') AS piece FROM walk) WHERE length(piece) >= MIN_PIECE"""
+)
+
+
+@query("chunk_pieces", _PIECES.replace("MIN_PIECE", str(ChunkPolicy().min_characters)))
 def chunk_pieces(spark, d):
     return chunking.split_texts(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "piece_no", F.md5("piece").alias("digest"))
 
