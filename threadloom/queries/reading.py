@@ -130,6 +130,18 @@ def chunk_tool(spark, d):
 
 
 
+_FLAT = sql_flatten("text")
+
+
+@query(
+    "chunk_tool_whole",
+    f"WITH {TURN} SELECT uri, turn_index, md5('[' || role || ']' || CASE WHEN trim(text) <> '' THEN ' ' || {_FLAT} || chr(10) || substr(text, 1, 2000) || chr(10) || substr(text, 1, 4000) ELSE '' END) AS digest FROM turns",
+)
+def chunk_tool_whole(spark, d):
+    """Every turn, blank ones too, with its whole text as title, input and output."""
+    t = chunking.tool_text(F.col("role"), F.col("text"), F.col("text"), F.col("text"))
+    return turns(spark, d).select("uri", "turn_index", F.md5(t).alias("digest"))
+
 
 def _cut_sql(w: str) -> str:
     """Where a full window ``w`` of 1200 characters is cut."""
@@ -229,6 +241,16 @@ def usage_per_turn(spark, d):
     return rollups.usage_by_turn(_usage(spark, d))
 
 
+@query("session_projects_mapped", "SELECT 'session://opencode/' || o_orderkey AS uri, c_name AS repository, c_name AS workspace_path, o_orderstatus AS title FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_nationkey % 5 <> 0")
+def session_projects_mapped(spark, d):
+    """All orders as a store's sessions, through the source's own mapping; a fifth of the nations' customers are no projects."""
+    from ..sources.opencode import map_sessions
+
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").cast("string").alias("project_id"), F.col("o_orderstatus").alias("title"))
+    projects = table(spark, d, "customer").where("c_nationkey % 5 <> 0").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("worktree"))
+    return map_sessions(rows, projects).select("uri", "repository", "workspace_path", "title")
+
+
 @query("session_project_left_join", "SELECT o_orderkey, c_name AS project, o_orderstatus FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING') ON o_custkey = c_custkey")
 def session_project(spark, d):
     c = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'")

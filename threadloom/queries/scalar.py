@@ -48,6 +48,12 @@ def tag_normalise(spark, d):
     return texts(spark, d).select("doc_id", text.tag_name(F.substring("text", 1, 24)).alias("tag"))
 
 
+@query("tag_normalise_whole", r"SELECT doc_id, md5(regexp_replace(lower(trim(text)), '\s+', '-', 'g')) AS digest FROM documents")
+def tag_normalise_whole(spark, d):
+    """Whole texts as tags."""
+    return texts(spark, d).select("doc_id", F.md5(text.tag_name(F.col("text"))).alias("digest"))
+
+
 @query("role_parse", "SELECT conv_id, turn, CASE WHEN lower(role) IN ('user', 'assistant', 'system', 'tool', 'info') THEN upper(role[1]) || lower(role[2:]) ELSE 'Assistant' END AS role_name FROM conversations")
 def role_parse(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", text.role_name(F.col("role")).alias("role_name"))
