@@ -11,8 +11,8 @@ How far queries ascend is measured, not guessed.  ``fit`` compares a bounded sam
 each pair the first rung of a ladder on which some tree lets them meet: long prefixes before short ones, and for
 each length one prefix, then 2, 3, 4, 6 and so on.  It picks the least number of candidates with which the sample finds ``RECALL`` of
 its true neighbours, and the rung on which nearly all of the sample have so many.  All trees ascend together: queries start
-on that rung, those with fewer candidates go on to wider ones, and the last few are compared with every row.  So
-the share of rows compared follows the data at every size, with nothing cut off.
+on that rung, those with fewer candidates go on to wider ones, however many or few they are, and those for which the
+ladder ends are compared with every row.  So the share of rows compared follows the data at every size, with nothing cut off.
 
 Candidates are compared exactly, on original vectors in double precision, in the part that holds their vectors.  Rows with
 equal vectors are one member with its smallest ids: of equal distances the smaller ids win, so no others can be among
@@ -41,8 +41,6 @@ SAMPLE = 128
 RECALL = 0.95
 #: Rungs that queries without enough candidates go up at a time.
 RUNGS = 4
-#: Queries that are compared with every row at once when no more than these are left: as dear as hashing all rows.
-FEW = 4096
 #: Strings of a tree in one part; members in one part of vectors; pairs handled at once.
 TREE_ROWS = 1 << 19
 VECTOR_ROWS = 1 << 16
@@ -562,7 +560,7 @@ def _search(rows: DataFrame, queries: DataFrame, dim: int, count: int, recall: f
         out.append(found.where("vec_id is not null").join(done, "query_id", "left_semi"))
         left = common.staged(left.join(done, F.col("vec_id") == F.col("query_id"), "left_anti"))
         asked = left.count()
-        if asked <= FEW:
+        if not asked:
             break
     if asked:
         found = compared(rows, left, None, dim, parts, count)
