@@ -58,6 +58,13 @@ def relative_time(value: Column, now: Column) -> Column:
     )
 
 
+def coarse_age(value: Column, now: Column) -> Column:
+    """How long ago, in whole hours, days or months, never finer or as a date."""
+    s = F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(value.cast("timestamp"))
+    whole = lambda n: F.floor(s / n).cast("string")
+    return F.when(s < 86400, F.concat(whole(3600), F.lit("h ago"))).when(s < 30 * 86400, F.concat(whole(86400), F.lit("d ago"))).otherwise(F.concat(whole(30 * 86400), F.lit("mo ago")))
+
+
 def group_key(kind: str, source: Column, at: Column) -> Column:
     """The header a session stands under: provider, day, week (from Monday) or month."""
     if kind == "provider":

@@ -54,10 +54,10 @@ def documents(sessions: DataFrame, turns: DataFrame, files: DataFrame | None = N
     return j.select("uri", F.concat(F.concat_ws("\n\n", F.concat(F.lit("# "), F.col("title")), traits, F.col("body"), tail), F.lit("\n")).alias("markdown"))
 
 
-def detail_line(now: Column) -> Column:
-    """What stands below a session's title in a list: place, age, agent, models, size."""
+def detail_line(now: Column, age: Column | None = None) -> Column:
+    """What stands below a session's title in a list: place, ``age`` (by default the relative time), agent, models, size."""
     n = F.col("message_count")
     return F.concat_ws(
-        "  ·  ", label(F.lit(None).cast("string"), F.col("workspace_path"), F.col("repository")), F.nullif(F.col("branch"), F.lit("")), relative_time(F.col("updated_at"), now),
+        "  ·  ", label(F.lit(None).cast("string"), F.col("workspace_path"), F.col("repository")), F.nullif(F.col("branch"), F.lit("")), relative_time(F.col("updated_at"), now) if age is None else age,
         F.nullif(F.col("agent"), F.lit("")), F.nullif(F.array_join("models", ", "), F.lit("")), F.when(n > 0, F.concat(n.cast("string"), F.when(n == 1, " message").otherwise(" messages"))),
     )
