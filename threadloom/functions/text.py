@@ -22,10 +22,14 @@ def _accents() -> tuple[str, str]:
 _ACCENTED, _BASE = _accents()
 
 
+def once(c: Column, f) -> Column:
+    """``f(c)``, with ``c`` computed once however often ``f`` names it, also where Spark moves a filter below ``c``."""
+    return F.transform(F.array(c), f)[0]
+
+
 def fold(c: Column) -> Column:
     """Lower case without accents; texts without any are not searched for them."""
-    low = F.lower(c)
-    return F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(low, _ACCENTED, _BASE))
+    return once(F.lower(c), lambda low: F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(low, _ACCENTED, _BASE)))
 
 
 def fold_text(s: str) -> str:
@@ -41,12 +45,12 @@ def tokens(c: Column) -> Column:
 def words(c: Column) -> Column:
     """The tokens as text, a blank before and one after each: " a  b ".  A search of it is a search for substrings."""
     bare = F.trim(F.regexp_replace(fold(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", "  "))
-    return F.when(bare == "", bare).otherwise(F.concat(F.lit(" "), bare, F.lit(" ")))
+    return once(bare, lambda b: F.when(b == "", b).otherwise(F.concat(F.lit(" "), b, F.lit(" "))))
 
 
 def word_count(w: Column) -> Column:
     """How many tokens ``words`` made."""
-    return F.when(w == "", 0).otherwise((F.length(w) - F.length(F.replace(w, F.lit("  "), F.lit("")))) / 2 + 1).cast("int")
+    return once(w, lambda x: F.when(x == "", 0).otherwise((F.length(x) - F.length(F.replace(x, F.lit("  "), F.lit("")))) / 2 + 1).cast("int"))
 
 
 def word_list(w: Column) -> Column:

@@ -1,7 +1,7 @@
 """Keyword search: matching, BM25, the cap on candidates, an inverted index.
 
 Statistics are those of the whole corpus whatever the filter.  ``postings`` lays the corpus out by term with the places of each
-term, sorted on disk; ``bm25_places`` reads the ranges of a query's terms only, phrases included.  ``bm25`` does
+term in each file, sorted on disk; ``bm25_places`` reads the runs of a query's terms only, phrases included.  ``bm25`` does
 without an index and reads the words of every passage.
 """
 
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SearchConfig
-from ..functions.text import word_count, word_list, words as words_of
+from ..functions.text import once, word_count, word_list, words as words_of
 from ..plans import scratch
 from ..plans.terms import QueryTerm
 
@@ -26,13 +26,18 @@ def _overlaps(term: QueryTerm) -> bool:
     return any(all(same(x, y) for x, y in zip(t[k:], t)) or any(same(t[0], y) for y in t[k:]) for k in range(1, len(t)))
 
 
+def _sign(term: QueryTerm) -> str:
+    """What ``words`` holds exactly where the term occurs."""
+    return " " + "  ".join(term.tokens) + ("" if term.prefix else " ")
+
+
 def frequency(words: Column, term: QueryTerm) -> Column:
     """How often a term occurs in ``words``; a term without tokens never does."""
     if not term.tokens:
         return F.lit(0)
     if not _overlaps(term):
-        sign = " " + "  ".join(term.tokens) + ("" if term.prefix else " ")
-        return ((F.length(words) - F.length(F.replace(words, F.lit(sign), F.lit("")))) / len(sign)).cast("int")
+        sign = _sign(term)
+        return once(words, lambda w: ((F.length(w) - F.length(F.replace(w, F.lit(sign), F.lit("")))) / len(sign)).cast("int"))
     # Finds that may share tokens are looked for at every token.
     tokens, n = word_list(words), len(term.tokens)
 
@@ -48,11 +53,16 @@ def frequency(words: Column, term: QueryTerm) -> Column:
 
 
 def matches(words: Column, terms: list[QueryTerm]) -> Column:
-    """Whether any term occurs."""
-    out = F.lit(False)
-    for t in terms:
-        out |= frequency(words, t) > 0
-    return out
+    """Whether any term occurs; the words are made once for all terms, and a find ends the search for its term."""
+
+    def any_of(w: Column) -> Column:
+        out = F.lit(False)
+        for t in terms:
+            if t.tokens:
+                out |= w.contains(_sign(t))
+        return out
+
+    return once(words, any_of)
 
 
 def tokenized(chunks: DataFrame, text: str = "text") -> DataFrame:
@@ -103,7 +113,7 @@ def top_passages(scored: DataFrame, cap: int) -> DataFrame:
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """``term, uri, ordinal, n_tokens, positions``: the corpus by term, to be written sorted by term.
+    """``term, uri, ordinal, n_tokens, positions``: the corpus by term, to be written sorted by term in each task.
 
     A passage's terms are grouped where it is, in Arrow batches: gathering lists of places by an aggregation would
     sort a row for each token.
