@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from ..config import SearchConfig
 from ..functions.text import once, word_count, word_list, words as words_of
-from ..plans import scratch
 from ..plans.terms import QueryTerm
 
 K1, B = 1.2, 0.75
@@ -145,21 +144,21 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 
 def write_by_term(rows: DataFrame, path: str) -> None:
-    """Writes postings sorted by term within ranges, so that a term's row groups are found by their statistics.
+    """Writes postings where they are made, each task's sorted by term, so that a term's row groups and pages are found by their statistics.
 
-    A frequent term's rows go to many ranges, as places are part of them.  The rows are written as they come first: the
-    bounds of ranges are sampled, and texts would be cut into words once more for that.
+    Nothing is exchanged: a term has a run of rows in each file, which are as many as the texts have splits, and a
+    frequent term's rows never meet in one task.
     """
-    spark, loose = rows.sparkSession, scratch.shared_dir(rows.sparkSession)
-    rows.write.parquet(loose)
-    spark.read.schema(rows.schema).parquet(loose).repartitionByRange("term", "uri", "ordinal").sortWithinPartitions("term", "uri", "ordinal").write.mode("overwrite").parquet(path)
-    scratch.delete(spark, loose)
+    rows.sortWithinPartitions("term", "uri", "ordinal").write.mode("overwrite").parquet(path)
 
 
 def write_index(chunks: DataFrame, path: str) -> None:
     """``posting`` and ``stats`` (a row: passages and their mean length) of ``chunks`` below ``path``."""
     write_by_term(postings(chunks), f"{path}/posting")
-    chunks.agg(F.count(F.lit(1)).cast("double").alias("n_rows"), F.avg("n_tokens").alias("mean_tokens")).write.mode("overwrite").parquet(f"{path}/stats")
+    # Passages without a token have no posting but count; their tokens are the places of the others.
+    placed = chunks.sparkSession.read.parquet(f"{path}/posting").agg(F.coalesce(F.sum(F.size("positions")), F.lit(0)).alias("n_tokens"))
+    counted = chunks.agg(F.count(F.lit(1)).cast("double").alias("n_rows")).crossJoin(placed)  # one row each
+    counted.select("n_rows", F.try_divide(F.col("n_tokens"), F.col("n_rows")).alias("mean_tokens")).write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def indexed_bm25(spark, path: str, terms: list[QueryTerm], admitted: DataFrame | None = None) -> DataFrame:
