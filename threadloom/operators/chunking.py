@@ -6,10 +6,14 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import ChunkPolicy
 from ..functions.text import flatten
 
+#: Characters of texts whose pieces a Python worker holds at once.
+SLICE_CHARACTERS = 1 << 20
+
 _SENTENCE = re.compile(r"[.!?](?=\s|\Z)")
 
 
@@ -43,18 +47,47 @@ def split(text: str | None, policy: ChunkPolicy = ChunkPolicy()) -> list[str]:
     return [p for p in out if len(p) >= policy.min_characters]
 
 
-def split_texts(rows: DataFrame, text: str = "text", policy: ChunkPolicy = ChunkPolicy()) -> DataFrame:
-    """A row for each piece: ``piece_no`` from 0 and ``piece`` in place of ``text``.
+def walked(rows: DataFrame, walk, fields: str, text: str = "text") -> DataFrame:
+    """The other columns of ``rows`` and what ``walk`` yields of each ``text``: tuples of ``fields``, a schema as DDL.
 
-    Each cut depends on the one before, so texts are walked in Arrow batches, whole texts at a time.
+    Each cut depends on the one before, so texts are walked whole, one at a time.  An Arrow batch stays in Arrow and its results
+    leave in slices of ``SLICE_CHARACTERS``, so that a worker holds one text and one slice as Python objects, however many rows come.
     """
+    kept = [c for c in rows.columns if c != text]
+    taken = rows.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in kept]).alias("row"), text)
+    made = T.StructType.fromDDL(fields)
+    names = made.fieldNames()
 
-    @F.pandas_udf("array<string>")
-    def pieces(s):
-        return s.map(lambda t: split(t, policy))
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
 
-    kept = [c for c in rows.columns if c != text]
-    return rows.select(*kept, F.posexplode(pieces(F.col(text))).alias("piece_no", "piece"))
+        types = [to_arrow_type(f.dataType) for f in made.fields]
+        for batch in batches:
+            at, out, held = [], [], 0
+
+            def slice_():
+                columns = [pa.array([o[k] for o in out], t) for k, t in enumerate(types)]
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], names=["row", *names])
+
+            for i in range(batch.num_rows):
+                t = batch.column(1)[i].as_py() or ""
+                for o in walk(t):
+                    at.append(i)
+                    out.append(o)
+                held += len(t) + 1
+                if held >= SLICE_CHARACTERS:
+                    yield slice_()
+                    at, out, held = [], [], 0
+            yield slice_()
+
+    schema = T.StructType([taken.schema["row"], *made.fields])
+    return taken.mapInArrow(run, schema).select(*[F.col("row").getField(c).alias(c) for c in kept], *names)
+
+
+def split_texts(rows: DataFrame, text: str = "text", policy: ChunkPolicy = ChunkPolicy()) -> DataFrame:
+    """A row for each piece: ``piece_no`` from 0 and ``piece`` in place of ``text``."""
+    return walked(rows, lambda t: enumerate(split(t, policy)), "piece_no int, piece string", text)
 
 
 def header_text(title: Column, preview: Column, label: Column) -> Column:

@@ -168,21 +168,16 @@ def chunk_split(spark, d):
     """Where pieces begin and how long they are, as the recursion over cuts gives them."""
     from ..config import ChunkPolicy
 
-    @F.pandas_udf("array<struct<first_char:bigint,n_chars:bigint>>")
-    def places(s):
-        def walk(text):
-            t, out, at, p = text.strip(), [], 0, ChunkPolicy()
-            while at < len(t):
-                n = len(t) - at if len(t) - at <= p.max_characters else chunking.break_at(t[at : at + p.max_characters])
-                out.append({"first_char": at, "n_chars": n})
-                if at + n >= len(t):
-                    break
-                at += max(1, n - p.overlap)
-            return out
-
-        return s.map(walk)
-
-    return table(spark, d, "documents").select("doc_id", F.inline(places("text")))
+    def walk(text):
+        t, at, p = text.strip(), 0, ChunkPolicy()
+        while at < len(t):
+            n = len(t) - at if len(t) - at <= p.max_characters else chunking.break_at(t[at : at + p.max_characters])
+            yield at, n
+            if at + n >= len(t):
+                break
+            at += max(1, n - p.overlap)
+
+    return chunking.walked(table(spark, d, "documents").select("doc_id", "text"), walk, "first_char bigint, n_chars bigint")
 
 
 _PIECES = (
