@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from . import common
 
 
+#: Links of its forest that a task keeps while it reads on.
+HELD = 1 << 18
+
+
 def merge(label, u, v):
     """Lets label hold the smallest index of each component after adding edges u-v."""
     import numpy as np
@@ -45,6 +49,34 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Edges ``a > b`` with the same components: of the links a task reads those that close a circle go.
+
+    A task keeps a forest, at most ``HELD`` links of it, so what leaves is in proportion to its nodes, however many links a
+    large group has.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        a = b = np.zeros(0, np.int64)
+        link = lambda: pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        for batch in batches:
+            u, v = (np.concatenate([x, batch.column(k).to_numpy()]) for k, x in enumerate((a, b)))
+            names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+            label = np.arange(len(names))
+            merge(label, at[: len(u)], at[len(u) :])
+            moved = np.flatnonzero(label != np.arange(len(names)))
+            a, b = names[moved], names[label[moved]]
+            if len(a) > HELD:
+                yield link()
+                a = b = np.zeros(0, np.int64)
+        yield link()
+
+    return edges.mapInArrow(run, "a long, b long")
+
+
 def _settled(edges: DataFrame) -> bool:
     """Whether all edges ``a > b`` are stars: each ``a`` has one ``b``, and no ``b`` is an ``a``."""
     ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up")).union(edges.select(F.col("b").alias("node"), F.lit(0).alias("up")))
@@ -54,7 +86,9 @@ def _settled(edges: DataFrame) -> bool:
 
 def connected(links: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``links`` (``a, b``); the root is the component's smallest node."""
-    edges = common.staged(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    edges = common.staged(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"))
+    # Written first: what is read again comes in few tasks, each of which sees many links of a group.
+    edges = common.staged(_contracted(edges).distinct())
     while not _settled(edges):
         edges = common.staged(_star(common.staged(_star(edges, True)), False))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

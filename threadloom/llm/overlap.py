@@ -1,6 +1,6 @@
 """Near-duplicates by the Jaccard similarity of five-word shingles, 0.8 or more, verified on whole texts.
 
-Candidates share one of ``BANDS`` keys, each made of ``ROWS`` minima of permuted shingle hashes: a pair at 0.8 shares
+Candidates are linked by their SimHash fingerprints (``simhash.links``) or share one of ``BANDS`` keys, each made of ``ROWS`` minima of permuted shingle hashes: a pair at 0.8 shares
 none with probability 3 in a million, a nearer pair still less.  Texts that are equal but for case and white space are
 one node.  Buckets give stars, not pairs, and their components are groups of candidates.  A small group is searched
 breadth first in one task: a text is compared with those not yet reached, so a group that hangs together takes few rounds.
@@ -247,12 +247,27 @@ def links(texts: DataFrame, block: int = BLOCK) -> DataFrame:
     return small.union(met.where("alike and node <> root").select("node", "root")).union(_met(dealt))
 
 
-def components(rows: DataFrame, *keep: str) -> DataFrame:
-    """``keep`` columns, ``component`` and ``component_id`` for each row of ``doc_id, text_hash, text`` and more.
+def fingerprint_candidates(nodes: DataFrame, near) -> DataFrame:
+    """``nodes``: distinct ``node`` and its ``fp``.  Links ``a, b`` that connect nodes of equal fingerprints, and those that ``near`` links.
+
+    ``near`` is a function of distinct ``fp`` to links of fingerprints; each fingerprint stands for its smallest node.
+    """
+    heads = common.staged(nodes.groupBy("fp").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")))
+    equal = nodes.join(heads.where("n > 1"), "fp").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    linked = near(heads.select("fp"))
+    ends = [heads.select(F.col("fp").alias(x), F.col("head").alias(f"head_{x}")) for x in ("a", "b")]
+    met = linked.join(ends[0], "a").join(ends[1], "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+    return equal.union(met).where("a <> b")
+
+
+def components(rows: DataFrame, *keep: str, near) -> DataFrame:
+    """``keep`` columns, ``component`` and ``component_id`` for each row of ``doc_id, text_hash, text, fp`` and more.
+
+    Candidates are what ``near`` links of the fingerprints ``fp`` and what shares a key of minima; all are verified.
 
     ``component_id`` is the smallest doc_id of a component, null only where all are.  Blank and null texts are one component.
     """
-    taken = rows.select(common.row_of(rows, *keep), "text")
+    taken = rows.select(common.row_of(rows, *dict.fromkeys([*keep, "fp"])), "text")
 
     def run(batches):
         import numpy as np
@@ -264,10 +279,10 @@ def components(rows: DataFrame, *keep: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array([keys(m[1]).view(np.int64) for m in made], pa.list_(pa.int64())), pa.array([len(m[1]) for m in made])], names=["row", "node", "keys", "size"])
 
     schema = T.StructType([taken.schema["row"], T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("size", T.LongType())])
-    marked = common.staged(taken.mapInArrow(run, schema).select(*common.unpacked(taken, keep), "node", "keys", "size"))
+    marked = common.staged(taken.mapInArrow(run, schema).select(*common.unpacked(taken, dict.fromkeys([*keep, "fp"])), "node", "keys", "size"))
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    nodes = common.staged(marked.groupBy("node").agg(F.min(own).alias("own"), F.first("keys").alias("keys"), F.first("size").alias("size")))
-    groups = common.staged(connected(candidates(nodes)))
+    nodes = common.staged(marked.groupBy("node").agg(F.min(own).alias("own"), F.first("keys").alias("keys"), F.first("size").alias("size"), F.first("fp").alias("fp")))
+    groups = common.staged(connected(fingerprint_candidates(nodes.select("node", "fp"), near).union(candidates(nodes))))
     members = nodes.select("node", "own", "size").join(groups, "node")
     counts = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
     asked = common.staged(members.join(counts, "root").select("root", "n", "shingles", "node", F.col("own.doc_id").alias("id_"), F.col("own.text_hash").alias("hash_")))
