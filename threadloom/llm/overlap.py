@@ -260,14 +260,15 @@ def fingerprint_candidates(nodes: DataFrame, near) -> DataFrame:
     return equal.union(met).where("a <> b")
 
 
-def components(rows: DataFrame, *keep: str, near) -> DataFrame:
-    """``keep`` columns, ``component`` and ``component_id`` for each row of ``doc_id, text_hash, text, fp`` and more.
+def components(rows: DataFrame, *keep: str, prints, near) -> DataFrame:
+    """``keep`` columns, ``fp``, ``component`` and ``component_id`` for each row of ``doc_id, text_hash, text`` and more.
 
-    Candidates are what ``near`` links of the fingerprints ``fp`` and what shares a key of minima; all are verified.
+    Candidates are what ``near`` links of the fingerprints that ``prints`` makes of texts, and what shares a key of minima; all are
+    verified.  Fingerprints and minima are made by one worker, as two in a row would each keep their memory.
 
     ``component_id`` is the smallest doc_id of a component, null only where all are.  Blank and null texts are one component.
     """
-    taken = rows.select(common.row_of(rows, *dict.fromkeys([*keep, "fp"])), "text")
+    taken = rows.select(common.row_of(rows, *keep), "text")
 
     def run(batches):
         import numpy as np
@@ -275,11 +276,12 @@ def components(rows: DataFrame, *keep: str, near) -> DataFrame:
 
         for batch in batches:
             made = [shingles(t.as_py()) for t in batch.column(1)]
+            fp = np.array([prints([t.as_py()])[0] for t in batch.column(1)], np.uint64).view(np.int64)
             node = np.array([m[0] for m in made], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array([keys(m[1]).view(np.int64) for m in made], pa.list_(pa.int64())), pa.array([len(m[1]) for m in made])], names=["row", "node", "keys", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array([keys(m[1]).view(np.int64) for m in made], pa.list_(pa.int64())), pa.array([len(m[1]) for m in made]), pa.array(fp)], names=["row", "node", "keys", "size", "fp"])
 
-    schema = T.StructType([taken.schema["row"], T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("size", T.LongType())])
-    marked = common.staged(taken.mapInArrow(run, schema).select(*common.unpacked(taken, dict.fromkeys([*keep, "fp"])), "node", "keys", "size"))
+    schema = T.StructType([taken.schema["row"], T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("size", T.LongType()), T.StructField("fp", T.LongType())])
+    marked = common.staged(taken.mapInArrow(run, schema).select(*common.unpacked(taken, keep), "node", "keys", "size", "fp"))
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     nodes = common.staged(marked.groupBy("node").agg(F.min(own).alias("own"), F.first("keys").alias("keys"), F.first("size").alias("size"), F.first("fp").alias("fp")))
     groups = common.staged(connected(fingerprint_candidates(nodes.select("node", "fp"), near).union(candidates(nodes))))
@@ -292,4 +294,4 @@ def components(rows: DataFrame, *keep: str, near) -> DataFrame:
     labels = connected(links(texts))
     rooted = common.staged(nodes.join(labels.withColumnRenamed("root", "top"), "node", "left").select("node", "own.doc_id", F.coalesce("top", "node").alias("component")))
     tops = common.staged(rooted.groupBy("component").agg(F.min("doc_id").alias("component_id")))
-    return marked.select(*keep, "node").join(rooted.join(tops, "component").select("node", "component", "component_id"), "node").select(*keep, "component", "component_id")
+    return marked.select(*keep, "fp", "node").join(rooted.join(tops, "component").select("node", "component", "component_id"), "node").select(*keep, "fp", "component", "component_id")

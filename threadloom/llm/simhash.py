@@ -289,14 +289,13 @@ def fingerprint_components(docs: DataFrame, bands: int | None = None) -> DataFra
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """As ``fingerprint_components``, but what fingerprints link is verified: components are those of texts with a similarity of 0.8 or more (``overlap``)."""
-    rows = fingerprints(_hashed(docs), "doc_id", "text_hash", "text")
-    found = overlap.components(rows, "doc_id", "text_hash", "fp", near=links)
+    found = overlap.components(_hashed(docs), "doc_id", "text_hash", prints=fingerprint_texts, near=links)
     return found.select("doc_id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component", "component_id")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component of similar texts: the smallest doc_id, nulls last, then the smallest text hash."""
-    found = common.staged(overlap.components(fingerprints(_hashed(docs), "doc_id", "text_hash", "text"), "doc_id", "text_hash", near=links))
+    found = common.staged(overlap.components(_hashed(docs), "doc_id", "text_hash", prints=fingerprint_texts, near=links))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     best = common.staged(found.groupBy("component").agg(F.min(place).alias("best")))
     own = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
