@@ -16,6 +16,8 @@ from ..plans.terms import QueryTerm
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
+#: Bytes of words that are sorted by term at once where postings are made, and rows that leave at once.
+SLICE_BYTES, SLICE_ROWS = 4 << 20, 1 << 16
 
 
 def _overlaps(term: QueryTerm) -> bool:
@@ -115,7 +117,8 @@ def postings(chunks: DataFrame) -> DataFrame:
     """``term, uri, ordinal, n_tokens, positions``: the corpus by term, to be written sorted by term in each task.
 
     A passage's terms are grouped where it is, in Arrow batches: gathering lists of places by an aggregation would
-    sort a row for each token.
+    sort a row for each token.  A slice's rows leave in the order of ``term, uri, ordinal``, so a sort by these has
+    a few long runs to merge, whatever the rows.
     """
 
     def run(batches):
@@ -125,19 +128,30 @@ def postings(chunks: DataFrame) -> DataFrame:
 
         for batch in batches:
             batch = batch.filter(pc.not_equal(batch.column(3), ""))
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            ends = np.cumsum(pc.binary_length(batch.column(3)).to_numpy().astype(np.int64))
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE_BYTES, "right")))
+                part = batch.slice(lo, hi - lo)
+                part, lo = part.take(pc.sort_indices(part, sort_keys=[("uri", "ascending"), ("ordinal", "ascending")])), hi
+                n = part.num_rows
                 lists = pc.split_pattern(pc.utf8_trim(part.column(3), " "), "  ")
                 size = pc.list_value_length(lists).to_numpy()
                 coded = pc.dictionary_encode(lists.flatten())
-                code, row = coded.indices.to_numpy(), np.repeat(np.arange(len(size)), size)
-                place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-                order = np.lexsort((place, code, row))
-                code, row, place = code[order], row[order], place[order].astype(np.int32)
-                head = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (row[1:] != row[:-1])])
-                of = pa.array(row[head])
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[head, len(row)].astype(np.int32)), pa.array(place))
-                yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[head])), *(part.column(k).take(of) for k in range(3)), lists], names=["term", "uri", "ordinal", "n_tokens", "positions"])
+                by_term = pc.sort_indices(coded.dictionary)
+                rank = np.empty(len(by_term), np.int64)
+                rank[by_term.to_numpy()] = np.arange(len(by_term))
+                key = rank[coded.indices.to_numpy()] * n + np.repeat(np.arange(n), size)
+                # Places ascend within a passage, and a stable sort keeps them so.
+                order = np.argsort(key, kind="stable")
+                place = (np.arange(len(key)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)[order]
+                key = key[order]
+                head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[head, len(key)].astype(np.int32)), pa.array(place))
+                terms, of = coded.dictionary.take(by_term).take(pa.array(key[head] // n)), pa.array(key[head] % n)
+                out = pa.RecordBatch.from_arrays([terms, *(part.column(k).take(of) for k in range(3)), lists], names=["term", "uri", "ordinal", "n_tokens", "positions"])
+                for k in range(0, out.num_rows, SLICE_ROWS):
+                    yield out.slice(k, SLICE_ROWS)
 
     rows = chunks.select("uri", F.col("ordinal").cast("int").alias("ordinal"), F.col("n_tokens").cast("int").alias("n_tokens"), "words")
     return rows.mapInArrow(run, "term string, uri string, ordinal int, n_tokens int, positions array<int>")
