@@ -91,19 +91,26 @@ def forest(sets) -> list[tuple[int, int]]:
 
 
 def across(sets, asking) -> list[tuple[int, int]]:
-    """Links (index, index) of similar sets of which the first is ``asking``."""
+    """Links (index, index) that span the components of the similar pairs of which one set is ``asking``."""
     import numpy as np
 
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     _, flat = np.unique(np.concatenate(sets), return_inverse=True)
     at = np.concatenate([[0], np.cumsum(sizes)])
-    flag, out = np.zeros(len(flat), np.int64), []
+    flag, label, out = np.zeros(len(flat), np.int64), np.arange(len(sets)), []
     for me in np.flatnonzero(asking).tolist():
-        mine = flat[at[me] : at[me + 1]]
+        rest = np.flatnonzero(label != label[me])  # what is joined already is not asked again
+        if not len(rest):
+            continue
+        mine, n = flat[at[me] : at[me + 1]], sizes[rest]
         flag[mine] = 1
-        shared = np.add.reduceat(flag[flat], at[:-1])
+        shared = np.add.reduceat(flag[flat[np.repeat(label != label[me], sizes)]], np.concatenate([[0], np.cumsum(n)[:-1]]))
         flag[mine] = 0
-        out += [(me, x) for x in np.flatnonzero((ABOVE + BELOW) * shared >= ABOVE * (sizes + sizes[me])).tolist() if x != me]
+        near = rest[(ABOVE + BELOW) * shared >= ABOVE * (n + sizes[me])]
+        # Of the sets found, one for each component that they are of.
+        _, first = np.unique(label[near], return_index=True)
+        out += [(me, x) for x in near[first].tolist()]
+        label[np.isin(label, label[near])] = label[me]
     return out
 
 
@@ -199,8 +206,8 @@ def _met(dealt: DataFrame) -> DataFrame:
                     now = root, i, j
                     if len(out) > 50_000:
                         yield links()
-                if node not in held:
-                    held[node] = shingles(text)[1], asking
+                if node not in held and len(made := shingles(text)[1]):  # a blank text is like no other
+                    held[node] = made, asking
         close()
         yield links()
 
