@@ -123,6 +123,17 @@ def test_words_folded_beforehand_or_in_place_give_the_same(spark, sf_dir):
     assert {r.doc_id: list(r.ids) for r in few.collect()} == {r.doc_id: list(r.ids) for r in none.collect()}
 
 
+def test_bytes_joined_by_words_are_those_of_the_ids(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(20)
+    docs = docs.union(spark.createDataFrame([(-1 - i, t) for i, t in enumerate(ODD)], docs.schema))
+    own = bpe.encoder(spark)
+    expected = {r.doc_id: (r.decoded, r.packed) for r in own.pack(own.decode(own.encode(docs))).collect()}
+    made = ("decoded", "packed")
+    out = own.encode_whole(docs, "text", own.known_words(docs, words=50, made=made), made)
+    assert out.columns == ["doc_id", "text", *made]
+    assert {r.doc_id: (r.decoded, r.packed) for r in out.collect()} == expected
+
+
 def test_registered_query_on_a_table(spark, sf_dir, library):
     out = {r.doc_id: r for r in queries.queries()["op13_byte_level_bpe"](spark, sf_dir).collect()}
     table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()

@@ -14,7 +14,8 @@ Words repeat, so most are folded once: of the distinct words that occur again, t
 ``WORD_BYTES`` bytes are folded beforehand, and the texts look them up.  That list has a fixed bound, whatever the corpus; the
 rare rest is folded where it stands, which changes no id.  Texts are never shuffled.
 
-Decoding joins the byte pieces of the ids.  Bytes are held as strings of the characters 0 to 255 (ISO-8859-1), since only
+Decoding joins the byte pieces of the ids; those of a known word's ids are joined once, after its fold, and a text's are
+joined by words.  Bytes are held as strings of the characters 0 to 255 (ISO-8859-1), since only
 strings are joined in one pass.
 
 A fold takes time with the square of its word's length; words are runs of letters, digits, marks or blanks.
@@ -40,6 +41,8 @@ _WORD_BUCKETS = 1 << 18
 _PAIR_BUCKETS = 1 << 17
 #: Stands for "no token": above all characters of ids.
 _NONE = "\U0010FFFF"
+#: What texts are made into: ids, the bytes that they stand for, and themselves as bytes.
+MADE = ("ids", "decoded", "packed")
 
 
 def default_path() -> str:
@@ -97,6 +100,10 @@ def _buckets(pairs: dict[tuple[int, int], int]) -> list[list[tuple[str, str]]]:
     return out
 
 
+def _bucket(word: Column) -> Column:
+    return F.hash(word).bitwiseAND(F.lit(_WORD_BUCKETS - 1))
+
+
 def _free(df: DataFrame, name: str) -> str:
     """A name that no column has."""
     taken = {c.lower() for c in df.columns}
@@ -113,6 +120,11 @@ def _let(value: Column, zero: Column, body) -> Column:
     return F.aggregate(F.array(value), zero, lambda _, x: body(x))
 
 
+def _fields(made: tuple[str, ...], kind: str) -> Column:
+    """Null as a struct of these columns, whose bytes have the type ``kind``."""
+    return F.lit(None).cast("struct<" + ", ".join(f"{c}: {'array<int>' if c == 'ids' else kind}" for c in made) + ">")
+
+
 def _ints() -> Column:
     return F.array().cast("array<int>")
 
@@ -176,19 +188,54 @@ class Encoder:
         start = F.struct(pieces.alias("p"), F.array_join(ranks, "").alias("r"))
         return F.aggregate(codes, start, step, lambda s: F.transform(F.split(s["p"], ""), _id))
 
+    def _held(self, x: Column, word: Column) -> Column:
+        """The cell of a known word, or null."""
+        return F.try_element_at(F.get(x["known"], _bucket(word)), word)
+
     def encode(self, df: DataFrame, column: str = "text", out: str = "ids", known: Column | None = None) -> DataFrame:
         """``df`` with the ids of the texts in a column as arrays of integers; null counts as empty."""
         words = self.words(F.col(common.quoted(column)))
         if known is None:
             return self._with(df, out, _ints(), lambda x: F.flatten(F.transform(words, lambda w: self._fold(x["t"], w))), t=self.table)
-        held = lambda x, w: F.try_element_at(F.get(x["known"], F.crc32(w).bitwiseAND(_WORD_BUCKETS - 1).cast("int")), w)
-        one = lambda x, w: F.coalesce(held(x, w), self._fold(x["t"], w))
+        one = lambda x, w: F.coalesce(self._held(x, w)["ids"], self._fold(x["t"], w))
         return self._with(df, out, _ints(), lambda x: F.flatten(F.transform(words, lambda w: one(x, w))), t=self.table, known=known)
 
+    def encode_whole(self, df: DataFrame, column: str, known: Column, made: tuple[str, ...] = MADE) -> DataFrame:
+        """``df`` with ``ids``, ``decoded`` and ``packed``, or some of these, of the texts in a column: as ``encode``, ``decode``
+        and ``pack`` make them.
+
+        The ids of a known word were decoded and packed once, after its fold; those of other words are here.  ``known``
+        must have cells of the same columns.
+        """
+        words = self.words(F.col(common.quoted(column)))
+
+        def folded(x: Column, word: Column) -> Column:
+            return _let(self._fold(x["t"], word), _fields(made, "string"), lambda ids: self._cell(x, ids, made))
+
+        def joined(cells: Column) -> Column:
+            whole = lambda c: F.flatten(cells[c]) if c == "ids" else F.encode(F.array_join(cells[c], ""), "ISO-8859-1")
+            return F.struct(*[whole(c).alias(c) for c in made])
+
+        def body(x: Column) -> Column:
+            cells = F.transform(words, lambda w: F.coalesce(self._held(x, w), folded(x, w)))
+            return _let(cells, _fields(made, "binary"), joined)
+
+        name = _free(df, "whole")
+        values = {"t": self.table, "pieces": self.pieces, "numbers": self.numbers, "known": known}
+        kept = [F.col(common.quoted(c)) for c in df.columns if c not in made]
+        return self._with(df, name, _fields(made, "binary"), body, **values).select(*kept, *[F.col(name)[c].alias(c) for c in made])
+
+    def _cell(self, x: Column, ids: Column, made: tuple[str, ...]) -> Column:
+        """The ids of a word and their bytes, as characters."""
+        values = {"ids": lambda: ids, "decoded": lambda: self._chars(x["pieces"], ids), "packed": lambda: self._chars(x["numbers"], ids)}
+        return F.struct(*[values[c]().alias(c) for c in made])
+
+    def _chars(self, parts: Column, ids: Column) -> Column:
+        return F.array_join(F.transform(ids, lambda i: F.get(parts, i)), "")
+
     def _joined(self, df: DataFrame, column: str, out: str, parts: Column) -> DataFrame:
         ids = F.coalesce(F.col(common.quoted(column)), _ints())
-        text = lambda x: F.array_join(F.transform(ids, lambda i: F.get(x["parts"], i)), "")
-        return self._with(df, out, F.lit(b""), lambda x: F.encode(text(x), "ISO-8859-1"), parts=parts)
+        return self._with(df, out, F.lit(b""), lambda x: F.encode(self._chars(x["parts"], ids), "ISO-8859-1"), parts=parts)
 
     def decode(self, df: DataFrame, column: str = "ids", out: str = "decoded") -> DataFrame:
         """``df`` with the bytes of a column of arrays of ids; an id that is none of the file's has no bytes, as has null."""
@@ -198,8 +245,8 @@ class Encoder:
         """``df`` with a column of arrays of ids as unsigned 32-bit integers, little-endian, one after another."""
         return self._joined(df, column, out, self.numbers)
 
-    def known_words(self, texts: DataFrame, column: str = "text", words: int = WORDS) -> Column:
-        """The most frequent words of at most ``WORD_BYTES`` bytes with their ids: at most ``words``, in buckets, as one value.
+    def known_words(self, texts: DataFrame, column: str = "text", words: int = WORDS, made: tuple[str, ...] = MADE) -> Column:
+        """The most frequent words of at most ``WORD_BYTES`` bytes with cells of the columns ``made``: at most ``words``, in buckets, as one value.
 
         A threshold of frequency is taken from a count of counts, so no task sorts the words.  The result is an array of
         maps, to be given to ``encode``.
@@ -213,9 +260,11 @@ class Encoder:
                 break
             total, least = total + row["count"], row["level"]
         chosen = counts.where(level >= least).select("word").repartition(max(1, min(64, total // 4096 + 1)), "word")
-        folded = common.staged(self.fold_words(chosen))
-        bucket = F.crc32("word").bitwiseAND(_WORD_BUCKETS - 1)
-        held = folded.groupBy(bucket.alias("bucket")).agg(F.collect_list(F.struct("word", "ids")).alias("held"))
+        ids = common.staged(self.fold_words(chosen))
+        values = {"pieces": self.pieces, "numbers": self.numbers}
+        folded = common.staged(self._with(ids, "cell", _fields(made, "string"), lambda x: self._cell(x, F.col("ids"), made), **values))
+        bucket = _bucket(F.col("word")).cast("long")
+        held = folded.groupBy(bucket.alias("bucket")).agg(F.collect_list(F.struct("word", "cell")).alias("held"))
         every = self.spark.range(_WORD_BUCKETS).withColumnRenamed("id", "bucket").join(held, "bucket", "left")
         row = every.agg(F.array_sort(F.collect_list(F.struct("bucket", "held"))).alias("all"))
         return row.select(F.transform("all", lambda x: F.map_from_entries(x["held"])).alias("known")).scalar()
@@ -271,19 +320,20 @@ def encoder(spark: SparkSession, path: str | None = None, pattern: str | None =
     return Encoder(spark, jvm_pattern(spark, pattern or default_pattern()), *[row.select(c).scalar() for c in ("t", "pieces", "numbers")])
 
 
-def encoded(docs: DataFrame, column: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
+def encoded(docs: DataFrame, column: str = "text", path: str | None = None, pattern: str | None = None, made: tuple[str, ...] = MADE) -> DataFrame:
     """``docs`` with ``ids``, the token ids of each whole text, ``packed``, the same as little-endian unsigned 32-bit
-    integers, and ``decoded``, the bytes that the ids stand for.
+    integers, and ``decoded``, the bytes that the ids stand for; or with those of them that ``made`` names.
 
     Every row stays, repeated ones too, in any order and with its other columns; columns of these names are replaced.
     A null or empty text has no ids and no bytes.  An empty table gives an empty one.
     """
     own = encoder(docs.sparkSession, path, pattern)
-    known = own.known_words(docs.select(F.col(common.quoted(column)).alias("text")))
-    return own.pack(own.decode(own.encode(docs, column, "ids", known), "ids", "decoded"), "ids", "packed")
+    known = own.known_words(docs.select(F.col(common.quoted(column)).alias("text")), made=made)
+    return own.encode_whole(docs, column, known, made)
 
 
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents, and the bytes that these ids stand for, as the contract's digests."""
-    rows = encoded(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    rows = encoded(common.table(spark, sf_dir, "documents").select("doc_id", "text"), made=("decoded", "packed"))
+    tokens = (F.octet_length("packed") / 4).cast("long")
+    return rows.select("doc_id", tokens.alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
