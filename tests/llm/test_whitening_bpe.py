@@ -134,6 +134,23 @@ def test_bytes_joined_by_words_are_those_of_the_ids(spark, sf_dir):
     assert {r.doc_id: (r.decoded, r.packed) for r in out.collect()} == expected
 
 
+def test_words_of_a_block_fold_as_the_librarys(library):
+    draw = random.Random(5)
+    words = [draw.choice(["", " "]) + "".join(draw.choice("aeinrsthé的") for _ in range(draw.randint(1, 40))) for _ in range(3000)]
+    words += ["a", "a" * 300, "abab" * 40, "日本語のテキスト", " 😀👩‍👩‍👧", "---___---", " ", "0123456789" * 9]
+    merges = bpe.Merges.of(bpe.read_ranks())
+    assert [x.tolist() for x in merges.fold([w.encode() for w in words])] == [library.encode_ordinary(w) for w in words]
+    assert merges.fold([]) == [] and [x.tolist() for x in merges.fold([b""])] == [[]]
+    bytes_only = bpe.Merges.of({bytes([b]): 255 - b for b in range(256)})
+    assert bytes_only.fold([b"ab"])[0].tolist() == [255 - 97, 255 - 98]
+
+
+def test_listed_words_are_folded_without_higher_order_functions(spark, library):
+    rows = bpe.encoder(spark).fold_words(spark.createDataFrame([(" hetionat",), (" the",), ("é的",)], "w string"), "w", "i")
+    assert {r.w: list(r.i) for r in rows.collect()} == {w: library.encode_ordinary(w) for w in (" hetionat", " the", "é的")}
+    assert "lambdafunction" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_registered_query_on_a_table(spark, sf_dir, library):
     out = {r.doc_id: r for r in queries.queries()["op13_byte_level_bpe"](spark, sf_dir).collect()}
     table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()

@@ -4,7 +4,7 @@ A rank file says which byte strings are tokens; a token's rank is its id.  A wor
 the array of its bytes; a fold merges, step by step, the adjacent pair whose joint token has the least rank, the
 leftmost of equals, until no pair is a token.  That is the order of the reference library, so the ids are the same.
 Within the fold a piece is one character that stands for its id, and a word a string of them: cutting and joining strings
-is much quicker here than slicing arrays, and characters order as their ids do.
+is much quicker here than slicing arrays, and characters of longer tokens order as their ids do.  A byte stands for itself.
 
 The rank map is one literal row, which expressions hold as a scalar subquery: its value goes to each executor with the
 stage, is copied for no row and is printed in no plan.  Spark looks keys of a map up one by one, so the map is cut into
@@ -12,7 +12,8 @@ buckets by hash: an array of small maps from two pieces to the piece of their un
 
 Words repeat, so most are folded once: of the distinct words that occur again, the ``WORDS`` most frequent of at most
 ``WORD_BYTES`` bytes are folded beforehand, and the texts look them up.  That list has a fixed bound, whatever the corpus; the
-rare rest is folded where it stands, which changes no id.  Texts are never shuffled.
+rare rest is folded where it stands, which changes no id.  Texts are never shuffled.  As rows of their own the listed words
+need no higher-order function: the same merges are made in Arrow batches, a step for all words of a block at once.
 
 Decoding joins the byte pieces of the ids; those of a known word's ids are joined once, after its fold, and a text's are
 joined by words.  Bytes are held as strings of the characters 0 to 255 (ISO-8859-1), since only
@@ -27,6 +28,7 @@ import base64
 import unicodedata
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,11 +36,13 @@ from . import common
 
 #: The rank file that the contract names.
 VOCABULARY = "byte_bpe_50k.tiktoken"
-WORDS = 1 << 19
+WORDS = 3 << 18
 WORD_BYTES = 32
 #: Buckets of the folded words, and of the pairs.
-_WORD_BUCKETS = 1 << 18
+_WORD_BUCKETS = 1 << 19
 _PAIR_BUCKETS = 1 << 17
+#: Bytes, padding included, of the words that are folded at once.
+_BLOCK = 1 << 16
 #: Stands for "no token": above all characters of ids.
 _NONE = "\U0010FFFF"
 #: What texts are made into: ids, the bytes that they stand for, and themselves as bytes.
@@ -79,23 +83,92 @@ def pairs_of(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
     return out
 
 
+#: No union: above all ids.
+_FAR = np.iinfo(np.int32).max
+
+
+@dataclass
+class Merges:
+    """Ids of bytes, and the unions of pairs of ids: ``keys``, sorted, are the first id times 2^32 and the second."""
+
+    single: np.ndarray
+    keys: np.ndarray
+    unions: np.ndarray
+
+    @staticmethod
+    def of(ranks: dict[bytes, int]) -> "Merges":
+        pairs = sorted((a << 32 | b, rank) for (a, b), rank in pairs_of(ranks).items())
+        keys, unions = zip(*pairs) if pairs else ((), ())
+        return Merges(np.array([ranks[bytes([b])] for b in range(256)], np.int32), np.array(keys, np.int64), np.array(unions, np.int32))
+
+    def union(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The union of each two ids, or ``_FAR``; an id below zero has none."""
+        out = np.full(a.shape, _FAR, np.int32)
+        if len(self.keys):
+            wanted = a.astype(np.int64) << 32 | b
+            at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            np.copyto(out, self.unions[at], where=(self.keys[at] == wanted) & (a >= 0) & (b >= 0))
+        return out
+
+    def fold(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of each word."""
+        out: list = [None] * len(words)
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        lo = 0
+        while lo < len(order):
+            hi = lo + 1
+            while hi < len(order) and (hi + 1 - lo) * len(words[order[hi]]) <= _BLOCK:
+                hi += 1
+            self._block(words, order[lo:hi], out)
+            lo = hi
+        return out
+
+    def _block(self, words: list[bytes], rows: list[int], out: list) -> None:
+        """Folds some words, the longest last, each by its own least and leftmost pair in every step."""
+        width = len(words[rows[-1]]) + 1
+        raw = np.frombuffer(b"".join(words[i].ljust(width, b"\0") for i in rows), np.uint8).reshape(len(rows), width)
+        size = np.array([len(words[i]) for i in rows])
+        ids = np.where(np.arange(width) < size[:, None], self.single[raw], -1)
+        joint = np.full_like(ids, _FAR)
+        joint[:, :-1] = self.union(ids[:, :-1], ids[:, 1:])
+        left = np.array(rows)
+        while len(left):
+            each = np.arange(len(left))
+            at = joint.argmin(1)
+            least = joint[each, at]
+            done = least == _FAR
+            for i, row, n in zip(left[done].tolist(), ids[done], size[done].tolist()):
+                out[i] = row[:n]
+            if done.any():
+                left, ids, joint, size, at, least = (x[~done] for x in (left, ids, joint, size, at, least))
+                each = np.arange(len(left))
+            ids[each, at] = least
+            size = size - 1
+            beyond = np.minimum(np.arange(width) + (np.arange(width) > at[:, None]), width - 1)
+            ids, joint = np.take_along_axis(ids, beyond, 1), np.take_along_axis(joint, beyond, 1)
+            joint[each, at] = self.union(least, ids[each, at + 1])
+            some = at > 0
+            joint[each[some], at[some] - 1] = self.union(ids[each[some], at[some] - 1], least[some])
+
+
 def _char(rank: int) -> str:
-    """The character of an id: from U+0100 on, but for the surrogates."""
+    """The character of a token of several bytes: from U+0100 on, but for the surrogates."""
     return chr(rank + 0x100 if rank + 0x100 < 0xD800 else rank + 0x900)
 
 
-def _id(char: Column) -> Column:
+def _id(char: Column, single: Column) -> Column:
     code = F.ascii(char)
-    return code - F.when(code < 0xD800, 0x100).otherwise(0x900)
+    return F.when(code < 0x100, F.get(single, code)).when(code < 0xD800, code - 0x100).otherwise(code - 0x900)
 
 
-def _buckets(pairs: dict[tuple[int, int], int]) -> list[list[tuple[str, str]]]:
+def _buckets(ranks: dict[bytes, int]) -> list[list[tuple[str, str]]]:
     """The pairs dealt as Spark's xxhash64 of a string deals them."""
     import xxhash
 
+    pieces = {rank: token.decode("latin-1") if len(token) == 1 else _char(rank) for token, rank in ranks.items()}
     out: list[list[tuple[str, str]]] = [[] for _ in range(_PAIR_BUCKETS)]
-    for (a, b), rank in pairs.items():
-        key = _char(a) + _char(b)
+    for (a, b), rank in pairs_of(ranks).items():
+        key = pieces[a] + pieces[b]
         out[xxhash.xxh64_intdigest(key.encode(), seed=42) % _PAIR_BUCKETS].append((key, _char(rank)))
     return out
 
@@ -138,6 +211,7 @@ class Encoder:
     table: Column
     pieces: Column
     numbers: Column
+    merges: Merges
 
     def _rank(self, t: Column, pair: Column) -> Column:
         """The union of two pieces by the table ``t``, or ``_NONE``."""
@@ -160,15 +234,27 @@ class Encoder:
         return df.select("*", *[held[k].alias(n) for k, n in names.items()]).select(*kept, _let(values, zero, body).alias(out))
 
     def fold_words(self, df: DataFrame, column: str = "word", out: str = "ids") -> DataFrame:
-        """``df`` with the ids of the words in a column."""
-        return self._with(df, out, _ints(), lambda x: self._fold(x["t"], F.col(common.quoted(column))), t=self.table)
+        """Words of a column, none of them null, with their ids: rows of these two columns."""
+        common.ship_package(self.spark)
+        merges = self.merges
+
+        def folded(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                ids = merges.fold(batch.column(0).cast(pa.binary()).to_pylist())
+                lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, ids)], dtype=np.int32), np.concatenate([*ids, np.zeros(0, np.int32)]))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["word", "ids"])
+
+        rows = df.select(F.col(common.quoted(column)).alias("word")).mapInArrow(folded, "word string, ids array<int>")
+        return rows.toDF(column, out)
 
     def _fold(self, t: Column, word: Column) -> Column:
-        codes = F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: F.ascii(c))
-        return _let(codes, _ints(), lambda c: self._merged(t, c))
+        pieces = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
+        return _let(F.transform(F.split(pieces, ""), lambda c: F.ascii(c)), _ints(), lambda c: self._merged(t, pieces, c))
 
-    def _merged(self, t: Column, codes: Column) -> Column:
-        """Ids of a word of these bytes.  The state holds the pieces ``p``, and ``r``, the union of each with its right neighbour."""
+    def _merged(self, t: Column, pieces: Column, codes: Column) -> Column:
+        """Ids of a word of these bytes, as characters and as numbers.  The state holds the pieces ``p``, and ``r``, the union of each with its right neighbour."""
 
         def merged(s: Column, rank: Column, i: Column) -> Column:
             p, r = s["p"], s["r"]
@@ -183,10 +269,9 @@ class Encoder:
             at = lambda s, m: F.aggregate(F.array(F.instr(s["r"], m)), s, lambda s, i: merged(s, m, i))
             return F.aggregate(least, s, lambda s, m: F.when(m == _NONE, s).otherwise(at(s, m)))
 
-        pieces = F.array_join(F.transform(codes, lambda c: F.get(t["bytes"], c)), "")
         ranks = F.transform(codes, lambda c, i: F.coalesce(F.get(t["first"], c * 256 + F.get(codes, i + 1)), F.lit(_NONE)))
         start = F.struct(pieces.alias("p"), F.array_join(ranks, "").alias("r"))
-        return F.aggregate(codes, start, step, lambda s: F.transform(F.split(s["p"], ""), _id))
+        return F.aggregate(codes, start, step, lambda s: F.transform(F.split(s["p"], ""), lambda c: _id(c, t["bytes"])))
 
     def _held(self, x: Column, word: Column) -> Column:
         """The cell of a known word, or null."""
@@ -266,7 +351,7 @@ class Encoder:
         bucket = _bucket(F.col("word")).cast("long")
         held = folded.groupBy(bucket.alias("bucket")).agg(F.collect_list(F.struct("word", "cell")).alias("held"))
         every = self.spark.range(_WORD_BUCKETS).withColumnRenamed("id", "bucket").join(held, "bucket", "left")
-        row = every.agg(F.array_sort(F.collect_list(F.struct("bucket", "held"))).alias("all"))
+        row = every.agg(F.sort_array(F.collect_list(F.struct("bucket", "held"))).alias("all"))
         return row.select(F.transform("all", lambda x: F.map_from_entries(x["held"])).alias("known")).scalar()
 
 
@@ -315,9 +400,10 @@ def encoder(spark: SparkSession, path: str | None = None, pattern: str | None =
     numbers = [i.to_bytes(4, "little").decode("latin-1") for i in range(len(pieces))]
     first = [_char(ranks[a + b]) if a + b in ranks else _NONE for a in single for b in single]
     strings, maps = pa.list_(pa.string()), pa.list_(pa.map_(pa.string(), pa.string()))
-    parts = [pa.array([[_char(ranks[b]) for b in single]], strings), pa.array([first], strings), pa.array([_buckets(pairs_of(ranks))], maps)]
+    parts = [pa.array([[ranks[b] for b in single]], pa.list_(pa.int32())), pa.array([first], strings), pa.array([_buckets(ranks)], maps)]
     row = spark.createDataFrame(pa.table({"t": pa.StructArray.from_arrays(parts, names=["bytes", "first", "pairs"]), "pieces": pa.array([pieces], strings), "numbers": pa.array([numbers], strings)}))
-    return Encoder(spark, jvm_pattern(spark, pattern or default_pattern()), *[row.select(c).scalar() for c in ("t", "pieces", "numbers")])
+    columns = [row.select(c).scalar() for c in ("t", "pieces", "numbers")]
+    return Encoder(spark, jvm_pattern(spark, pattern or default_pattern()), *columns, Merges.of(ranks))
 
 
 def encoded(docs: DataFrame, column: str = "text", path: str | None = None, pattern: str | None = None, made: tuple[str, ...] = MADE) -> DataFrame:
