@@ -72,15 +72,23 @@ def truncate(c: Column, n: int, suffix: str = ELLIPSIS) -> Column:
     return F.when(F.length(c) <= n, c).otherwise(F.concat(F.regexp_replace(F.substring(c, F.lit(1), cut), r"(?U)\s+$", ""), F.lit(suffix)))
 
 
+def begun(c: Column, n: int) -> Column:
+    """The start of ``flatten(c)``: more than ``n`` of its characters, or all it has.  Of a long text only the start is searched, unless that is mostly blank."""
+    return once(flatten(F.substring(c, 1, 2 * n)), lambda start: F.when(F.length(start) > n, start).otherwise(flatten(c)))
+
+
 def preview(c: Column, n: int) -> Column:
-    return truncate(flatten(c), n)
+    return once(begun(c, n), lambda start: truncate(start, n)) if n > 0 else flatten(c)
 
 
 def derive_title(c: Column, n: int = 80) -> Column:
     """The first sentence if it ends among the first ``n`` characters but not too early, else a preview."""
-    flat = flatten(c)
-    stop = F.regexp_instr(F.substring(flat, 1, n), F.lit(r"[.?!]"))
-    return F.when(F.length(flat) == 0, F.lit(UNTITLED)).when(stop > 13, F.substring(flat, F.lit(1), stop)).otherwise(truncate(flat, n))
+
+    def of(flat: Column) -> Column:
+        stop = F.regexp_instr(F.substring(flat, 1, n), F.lit(r"[.?!]"))
+        return F.when(F.length(flat) == 0, F.lit(UNTITLED)).when(stop > 13, F.substring(flat, F.lit(1), stop)).otherwise(truncate(flat, n))
+
+    return once(begun(c, n), of)
 
 
 def output_cap(c: Column, n: int) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -104,29 +104,79 @@ def tool_text(name: Column, title: Column, input_json: Column, output: Column, p
     return F.concat_ws("\n", head, F.when(full(input_json), F.substring(input_json, 1, n // 2)), F.when(full(output), F.substring(output, 1, n)))
 
 
-def turn_chunks(turns: DataFrame, policy: ChunkPolicy = ChunkPolicy()) -> DataFrame:
-    """Passages of turns: tool calls first, then the turn's prose; ``ordinal`` is within the turn."""
-    blocks = turns.select("uri", "turn_index", "role", "timestamp", F.posexplode("blocks").alias("pos", "b"))
-    kind = F.col("b.kind")
-    tools = blocks.where((kind == "tool") & F.lit(policy.include_tool_output)).select(
-        "uri", "turn_index", F.lit("Tool").alias("role"), "timestamp", F.lit(0).alias("part"), "pos",
-        tool_text(F.col("b.tool_name"), F.col("b.title"), F.col("b.input_json"), F.col("b.output"), policy).alias("text"), F.lit(False).alias("is_embeddable"),
-    )
-    said = F.when(kind == "text", F.col("b.text")).when((kind == "reasoning") & F.lit(policy.include_reasoning), F.col("b.text"))
-    said = said.when(kind == "patch", F.concat(F.lit("[edit] "), F.col("b.path")))
+def said(blocks: Column, policy: ChunkPolicy = ChunkPolicy()) -> Column:
+    """A turn's prose: its blocks in order, blank ones left out."""
+
+    def one(b: Column) -> Column:
+        kind = b["kind"]
+        out = F.when(kind == "text", b["text"]).when((kind == "reasoning") & F.lit(policy.include_reasoning), b["text"])
+        out = out.when(kind == "patch", F.concat(F.lit("[edit] "), b["path"]))
+        if not policy.include_tool_output:
+            out = out.when(kind == "tool", F.concat(F.lit("["), b["tool_name"], F.lit("] "), F.coalesce(b["title"], F.lit(""))))
+        return F.trim(out)
+
+    return F.array_join(F.filter(F.transform(blocks, one), lambda t: t != ""), "\n\n")
+
+
+def tool_texts(blocks: Column, policy: ChunkPolicy = ChunkPolicy()) -> Column:
+    """The texts of a turn's tool calls in order."""
     if not policy.include_tool_output:
-        said = said.when(kind == "tool", F.concat(F.lit("["), F.col("b.tool_name"), F.lit("] "), F.coalesce("b.title", F.lit(""))))
-    prose = blocks.withColumn("said", F.trim(said)).where("said <> ''").groupBy("uri", "turn_index", "role", "timestamp")
-    joined = prose.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "said"))), lambda x: x["said"]), "\n\n").alias("text"))
-    cut = split_texts(joined, "text", policy).select("uri", "turn_index", "role", "timestamp", F.lit(1).alias("part"), F.col("piece_no").alias("pos"), F.col("piece").alias("text"), F.lit(True).alias("is_embeddable"))
-    return tools.unionByName(cut)
+        return F.array().cast("array<string>")
+    calls = F.filter(blocks, lambda b: b["kind"] == "tool")
+    return F.transform(calls, lambda b: tool_text(b["tool_name"], b["title"], b["input_json"], b["output"], policy))
 
 
 def chunks(sessions: DataFrame, turns: DataFrame, policy: ChunkPolicy = ChunkPolicy()) -> DataFrame:
-    """All passages of sessions with their ``ordinal``: the header, then turns in order."""
+    """All passages of ``sessions`` with their ``ordinal``: the header, then turns in order, of each its tool calls before its prose.
+
+    ``turns`` has a row for each turn; those of other sessions are left out.  A text goes through one exchange, to where its session's
+    others are; there sessions pass by one after another in order, so that a worker cuts and numbers them holding one turn and one slice.
+    """
     head = header_text(F.col("title"), F.col("preview"), F.coalesce(F.regexp_extract("workspace_path", r"([^/\\]+)[/\\]*$", 1), "repository"))
-    headers = sessions.select("uri", F.lit(-1).alias("turn"), F.lit(0).alias("turn_index"), F.lit("System").alias("role"), F.col("created_at").alias("timestamp"), F.lit(0).alias("part"), F.lit(0).alias("pos"), head.alias("text"), F.lit(True).alias("is_embeddable")).where(F.length("text") >= policy.min_characters)
-    body = turn_chunks(turns, policy).withColumn("turn", F.col("turn_index"))
-    every = headers.unionByName(body)
-    w = Window.partitionBy("uri").orderBy("turn", "part", "pos")
-    return every.withColumn("ordinal", (F.row_number().over(w) - 1).cast("int")).select("uri", "ordinal", "turn_index", "role", "timestamp", "text", "is_embeddable")
+    none = F.array().cast("array<string>")
+    heads = sessions.select(
+        "uri", F.lit(-1).alias("turn"), F.lit(0).alias("turn_index"), F.lit("System").alias("role"), F.col("created_at").alias("timestamp"), none.alias("tools"),
+        F.when(F.length(head) >= policy.min_characters, head).alias("text"),
+    )
+    body = turns.select("uri", F.col("turn_index").alias("turn"), "turn_index", "role", "timestamp", tool_texts(F.col("blocks"), policy).alias("tools"), said(F.col("blocks"), policy).alias("text"))
+    every = heads.unionByName(body).repartition("uri").sortWithinPartitions("uri", "turn")
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        uri, known, ordinal = None, False, 0
+        for batch in batches:
+            uris, places, tools, texts = (batch.column(k) for k in (0, 1, 5, 6))
+            at, numbers, calls, out, held = [], [], [], [], 0
+
+            def slice_():
+                rows = pa.array(at, pa.int64())
+                role = pc.if_else(pa.array(calls, pa.bool_()), "Tool", batch.column(3).take(rows))
+                columns = [uris.take(rows), pa.array(numbers, pa.int32()), batch.column(2).take(rows), role, batch.column(4).take(rows), pa.array(out, pa.string()), pc.invert(pa.array(calls, pa.bool_()))]
+                return pa.RecordBatch.from_arrays(columns, names=["uri", "ordinal", "turn_index", "role", "timestamp", "text", "is_embeddable"])
+
+            for i in range(batch.num_rows):
+                header = places[i].as_py() < 0
+                if uris[i].as_py() != uri:
+                    uri, known, ordinal = uris[i].as_py(), header, 0
+                if not known:
+                    continue
+                text = texts[i].as_py()
+                pieces = ([text] if text else []) if header else split(text, policy)
+                found = [(True, t) for t in tools[i].as_py() or ()] + [(False, t) for t in pieces]
+                for call, t in found:
+                    at.append(i)
+                    numbers.append(ordinal)
+                    calls.append(call)
+                    out.append(t)
+                    held += len(t)
+                    ordinal += 1
+                if held >= SLICE_CHARACTERS:
+                    yield slice_()
+                    at, numbers, calls, out, held = [], [], [], [], 0
+            yield slice_()
+
+    types = {f.name: f.dataType.simpleString() for f in every.schema}
+    schema = f"uri string, ordinal int, turn_index {types['turn_index']}, role string, timestamp {types['timestamp']}, text string, is_embeddable boolean"
+    return every.mapInArrow(run, schema)

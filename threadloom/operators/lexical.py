@@ -68,7 +68,8 @@ def matches(words: Column, terms: list[QueryTerm]) -> Column:
 
 def tokenized(chunks: DataFrame, text: str = "text") -> DataFrame:
     """Chunks with ``words`` and ``n_tokens``, as an index stores them."""
-    return chunks.withColumn("words", words_of(F.col(text))).withColumn("n_tokens", word_count(F.col("words")))
+    made = once(words_of(F.col(text)), lambda w: F.struct(w.alias("words"), word_count(w).alias("n_tokens")))
+    return chunks.withColumn("__made", made).withColumns({"words": F.col("__made.words"), "n_tokens": F.col("__made.n_tokens")}).drop("__made")
 
 
 def _idf(n_rows: Column, n_with: Column) -> Column:

@@ -31,6 +31,8 @@ VECTORS = ("chunk_embedding", "session_embedding")
 #: Generations of a source, and files of the log of tags, before they are written as one.
 MAX_DELTAS = 8
 MAX_TAG_FILES = 64
+#: Sessions whose URIs are broadcast to find their turns.
+FEW_SESSIONS = 1 << 19
 
 
 @dataclass
@@ -290,7 +292,7 @@ class IndexStore:
             kept.setdefault("generations", [])
             if report.written or report.pruned:
                 whole = len(kept["generations"]) >= MAX_DELTAS
-                self._write(source, todo, gone, old, manifest["generation"], policy, embedder, whole)
+                self._write(source, todo, report.written, gone, old, manifest["generation"], policy, embedder, whole)
                 kept["generations"] = ([] if whole else kept["generations"]) + [manifest["generation"]]
                 kept["sessions"] = self._source_table("session", source.source_id, kept).count()
                 chunk = self._source_table("chunk", source.source_id, kept)
@@ -304,9 +306,12 @@ class IndexStore:
             if bad is not None:
                 bad.unpersist()
 
-    def _write(self, source, todo, gone, old, generation, policy, embedder, whole: bool) -> None:
+    def _write(self, source, todo, n_todo, gone, old, generation, policy, embedder, whole: bool) -> None:
         """A generation of what changed, or of the ``whole`` source."""
-        turns = source.turns().join(todo.select("uri"), "uri", "left_semi")
+        turns = source.turns()
+        if n_todo <= FEW_SESSIONS:
+            # More are told apart where their turns meet, so that texts are not sent for a join.
+            turns = turns.join(F.broadcast(todo.select("uri")), "uri", "left_semi")
         # Cut once: passages, postings and vectors all come from what is written here.
         chunk, loose = fetch.written(lexical.tokenized(chunking.chunks(todo, turns, policy)))
         new = {"session": todo.drop("source_id"), "chunk": chunk, "posting": lexical.postings(chunk)}

@@ -33,10 +33,10 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sessions(spark: SparkSession, d: str, dealt: bool = True) -> DataFrame:
     """A session for each document.  What reads few columns need not have the texts ``dealt`` to all cores."""
     docs, labels = texts(spark, d) if dealt else table(spark, d, "documents"), table(spark, d, "labels").select("doc_id", "toxic")
-    joined = docs.join(labels, "doc_id", "left")
     i = F.col("doc_id")
     at = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(doc_id % 1440 as int))")
-    return joined.select(
+    # What is made of texts is made below the join, which large labels turn into an exchange: texts are not sent.
+    made = docs.select(
         i,
         F.concat(F.lit("doc://"), "source", F.lit("/"), i.cast("string")).alias("uri"),
         F.col("source").alias("source_id"),
@@ -51,10 +51,12 @@ def sessions(spark: SparkSession, d: str, dealt: bool = True) -> DataFrame:
         at.alias("created_at"),
         (at + F.expr("make_dt_interval(0, 0, cast(doc_id % 60 as int))")).alias("updated_at"),
         F.when(i % 7 != 0, F.col("n_chars").cast("int")).alias("message_count"),
-        F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("is_archived"),
         F.md5("text").alias("content_hash"),
         "text",
     )
+    archived = F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("is_archived")
+    first = made.columns[: made.columns.index("content_hash")]
+    return made.join(labels, "doc_id", "left").select(*first, archived, "content_hash", "text")
 
 
 def sql_flatten(c: str) -> str:
